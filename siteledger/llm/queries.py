@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +24,27 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteledger.llm import warc
+
+    back = warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+    # digest and length of a response come from the bytes that were read, a revisit's from its record
+    body = F.col("payload").isNotNull()
+    return back.select(
+        "page_id", F.when(body, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(body, warc.base32(F.sha1("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to", "intact",
+    )
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteledger.llm import tokenfile
+
+    back = tokenfile.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, first=65536)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "shard")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing}
+    return {"op1_packing": op1_packing, "op5_warc": op5_warc, "op7_token_output": op7_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
