@@ -36,6 +36,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteledger.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs)).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteledger.llm import tokenfile
 
@@ -44,7 +51,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op5_warc": op5_warc, "op7_token_output": op7_token_output}
+    return {"op1_packing": op1_packing, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
