@@ -24,6 +24,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteledger.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.apply(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteledger.llm import warc
 
@@ -51,7 +58,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output}
+    return {"op1_packing": op1_packing, "op3_quality": op3_quality, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
