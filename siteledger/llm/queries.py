@@ -31,6 +31,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+#: The surrogates' key. A deployment passes its own secret one.
+PII_KEY = "siteledger"
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteledger.llm import pii
+
+    return pii.replace(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities", "entity_types")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteledger.llm import warc
 
@@ -58,7 +68,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_quality": op3_quality, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output}
+    return {"op1_packing": op1_packing, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
