@@ -18,7 +18,7 @@ SPACE, LETTER, NUMBER, OTHER, UNSURE = 0, 1, 2, 3, 4
 #: Characters that one array pass handles; longer texts are cut between a letter and a space.
 CHUNK = 1_000_000
 #: Pre-tokens kept by a worker before it starts afresh.
-KEPT = 600_000
+KEPT = 1_000_000
 SAFE_CUT = re.compile(r"[A-Za-z](?= )")
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
@@ -120,18 +120,24 @@ def unsure(text: str) -> bool:
     return bool((classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)] == UNSURE).any())
 
 
-class TextEncoder:
-    """encode(texts): ids of all texts in a row, and how many each has. A null counts as an empty text."""
+def byte_level_joins(word: str) -> bool:
+    return len(word) > 1 and word[0] == " " and not word[1].isspace()
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+class SpanEncoder:
+    """encode(texts): ids of all texts in a row, and how many each has. A null counts as an empty text.
+
+    starts(code points, texts' starts) gives the starts of the parts that the tokenizer handles by
+    themselves; joins(part) tells those that part again when they are laid end to end; whole(text)
+    tells texts that must go to the library as they are.
+    """
+
+    def __init__(self, tok, starts=gpt_starts, joins=byte_level_joins, whole=None):
+        self.tok, self.starts, self.joins, self.whole = tok, starts, joins, whole
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[int, int] = {}
+        self.keys, self.row = np.empty(0, np.uint64), np.empty(0, np.int32)  # sorted hashes of known pre-tokens, and their rows
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
         self.at, self.n, self.rows = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
 
@@ -152,7 +158,7 @@ class TextEncoder:
     def _add(self, words: list[str]) -> list[int]:
         """Encode new pre-tokens; the order in which they got their rows. Those that begin with a
         blank part again at the blanks, so many go to the library as one text."""
-        apart = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace()]
+        apart = [i for i, w in enumerate(words) if self.joins(w)]
         for k in range(0, len(apart), 1000):
             e = self.tok.encode("".join([words[i] for i in apart[k : k + 1000]]), add_special_tokens=False)
             self._keep(np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(apart[k : k + 1000])))
@@ -163,7 +169,7 @@ class TextEncoder:
         return apart + rest
 
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.row) > KEPT:
+        if len(self.keys) > KEPT:
             self.clear()
         joined = "".join(texts)
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -172,17 +178,20 @@ class TextEncoder:
         if not joined:
             return np.empty(0, np.uint32), counts
         cps = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        starts = gpt_starts(cps, np.unique(text_at[:-1][sizes > 0]))
+        starts = self.starts(cps, np.unique(text_at[:-1][sizes > 0]))
         ends = np.append(starts[1:], len(cps))
         hashes, first, inverse = np.unique(span_hashes(cps, starts, ends), return_index=True, return_inverse=True)
-        get = self.row.get
-        rows = np.array([get(h, -1) for h in hashes.tolist()], np.int64)
-        if (miss := np.flatnonzero(rows < 0)).size:
+        place = np.searchsorted(self.keys, hashes)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == hashes[known]
+        rows = np.full(len(hashes), -1, np.int64)
+        rows[known] = self.row[place[known]]
+        if (miss := np.flatnonzero(~known)).size:
             at = first[miss]
             base = self.rows
             order = self._add([joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             rows[miss[order]] = np.arange(base, self.rows)
-            self.row.update(zip(hashes[miss].tolist(), rows[miss].tolist(), strict=True))
+            self.keys, self.row = np.insert(self.keys, place[miss], hashes[miss]), np.insert(self.row, place[miss], rows[miss])
         rows = rows[inverse]
         n = self.n[rows]
         after = np.cumsum(n)
@@ -209,7 +218,7 @@ class TextEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if unsure(text):
+            if self.whole and self.whole(text):
                 flush()
                 parts.append(ids := self._whole(text))
                 counts[i] = len(ids)
@@ -236,6 +245,10 @@ class TextEncoder:
 
 
 @functools.cache
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str) -> SpanEncoder:
     """One encoder for each worker process; it lives as long as the worker."""
-    return TextEncoder(path)
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    return SpanEncoder(tok, whole=unsure)

@@ -24,6 +24,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteledger.llm import spm
+
+    out = spm.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.octet_length("text_back").cast("long").alias("bytes_back"), "round_trip", "parity")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteledger.llm import quality
 
@@ -68,7 +75,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output}
+    return {"op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
