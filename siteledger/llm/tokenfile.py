@@ -33,66 +33,65 @@ MAGIC = b"RPRS"
 HEAD = struct.Struct("<4sIIQQQ")
 #: Stands for a document's end while a shard is compressed.
 END = 0xFFFFFFFF
-#: Most pairs that one round replaces, and most rounds.
-PAIRS, ROUNDS = 2048, 12
+#: Buckets of pairs that one round looks at, and most rounds.
+PAIRS, ROUNDS = 4096, 10
 #: Buckets of a round's first count, by which it leaves out rare pairs.
 BUCKETS = 1 << 20
 
 
-def bucket(pair: np.ndarray) -> np.ndarray:
-    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-
-
-def frequent_pairs(symbols: np.ndarray, pair: np.ndarray, open_: np.ndarray, least: int) -> np.ndarray:
-    """The pairs that come least times or more, the most frequent first; ties by value."""
-    at = bucket(pair)
-    rough = np.bincount(at[open_], minlength=BUCKETS)
-    often = np.flatnonzero(rough >= least)
-    if not len(often):
-        return np.empty(0, np.uint64)
-    keep = np.zeros(BUCKETS, bool)
-    keep[often[np.argsort(-rough[often], kind="stable")[: 2 * PAIRS]]] = True
-    found, n = np.unique(pair[keep[at] & open_], return_counts=True)
-    best = np.lexsort((found, -n))[:PAIRS]
-    return found[best][n[best] >= least]
+def buckets(symbols: np.ndarray) -> np.ndarray:
+    """A bucket for each neighbouring pair; BUCKETS for those that hold a document's end."""
+    key = symbols[:-1] * np.uint32(0x9E3779B1)
+    key ^= key >> np.uint32(15)
+    key += symbols[1:] * np.uint32(0x85EBCA77)
+    key ^= key >> np.uint32(13)
+    key *= np.uint32(0xC2B2AE3D)
+    out = (key >> np.uint32(12)).astype(np.int64)
+    ends = np.flatnonzero(symbols == END)
+    out[ends[ends < len(out)]] = BUCKETS
+    out[ends[ends > 0] - 1] = BUCKETS
+    return out
 
 
 def compress(ids: np.ndarray, first: int, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """symbols, rules: rule k stands for the pair rules[k] and has the symbol first + k. Ends stay as they are."""
-    symbols, rules = ids.astype(np.uint32), []
-    n_rules = 0
+    symbols, rules, n_rules = ids.astype(np.uint32), [], 0
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
-        left, right = symbols[:-1], symbols[1:]
-        pair = (left.astype(np.uint64) << np.uint64(32)) | right
-        open_ = (left != END) & (right != END)
-        best = frequent_pairs(symbols, pair, open_, least)
-        if not len(best):
+        at = buckets(symbols)
+        rough = np.bincount(at, minlength=BUCKETS + 1)[:BUCKETS]
+        often = np.flatnonzero(rough >= least)
+        look = np.zeros(BUCKETS + 1, bool)
+        look[often[np.argsort(-rough[often], kind="stable")[:PAIRS]]] = True
+        hit = np.flatnonzero(look[at])
+        del at
+        pairs, kind, n = np.unique((symbols[hit].astype(np.uint64) << np.uint64(32)) | symbols[hit + 1], return_inverse=True, return_counts=True)
+        order = np.lexsort((pairs, -n))
+        rank = np.empty(len(pairs), np.int64)
+        rank[order] = np.arange(len(pairs))
+        best = n[order] >= least
+        if not best.any():
             break
-        order = np.argsort(best)
-        look = np.zeros(BUCKETS, bool)
-        look[bucket(best)] = True
-        hit = np.flatnonzero(look[bucket(pair)] & open_)
-        slot = np.searchsorted(best[order], pair[hit])
-        slot[slot == len(best)] = 0
-        same = best[order][slot] == pair[hit]
-        hit, rank = hit[same], order[slot[same]]
+        rank = rank[kind]
+        good = rank < int(best.sum())
+        hit, rank = hit[good], rank[good]
         # of places that overlap, the one of the more frequent pair stays; alike pairs go from left to right
-        near = np.zeros(len(hit), bool)
-        near[1:] = hit[1:] == hit[:-1] + 1
+        near = hit[1:] == hit[:-1] + 1
         worse = np.zeros(len(hit), bool)
-        worse[1:] = near[1:] & (rank[1:] > rank[:-1])
-        worse[:-1] |= near[1:] & (rank[:-1] > rank[1:])
+        worse[1:] = near & (rank[1:] > rank[:-1])
+        worse[:-1] |= near & (rank[:-1] > rank[1:])
         hit, rank = hit[~worse], rank[~worse]
         near = np.zeros(len(hit), bool)
         near[1:] = hit[1:] == hit[:-1] + 1
         run_at = np.maximum.accumulate(np.where(near, 0, np.arange(len(hit))))
         even = (np.arange(len(hit)) - run_at) % 2 == 0
         hit, rank = hit[even], rank[even]
-        used, rank = np.unique(rank, return_inverse=True)
-        rules.append(best[used])
-        symbols[hit] = (first + n_rules + rank).astype(np.uint32)
+        used = np.flatnonzero(np.bincount(rank, minlength=len(pairs)))
+        number = np.zeros(len(pairs), np.uint32)
+        number[used] = np.arange(len(used)) + first + n_rules
+        rules.append(pairs[order][used])
+        symbols[hit] = number[rank]
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
         symbols = symbols[keep]
@@ -138,17 +137,39 @@ class Shard:
         self.lengths = part("<u4", n_rules)
         self.doc_ids, self.symbol_ends, self.id_ends = part("<i8", n_docs), part("<i8", n_docs), part("<i8", n_docs)
         self.symbols = part("<u4", n_symbols)
+        self.flat = None
+
+    def _rule_ids(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all rules in a row, with each rule's start and length; made once."""
+        if self.flat is None:
+            start = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+            pool = np.empty(int(self.lengths.sum()), np.uint32)
+            for k, (a, b) in enumerate(self.rules.tolist()):
+                at = int(start[k])
+                for x in (a, b):
+                    if x < self.first:
+                        pool[at] = x
+                        at += 1
+                    else:
+                        n, s = int(self.lengths[x - self.first]), int(start[x - self.first])
+                        pool[at : at + n] = pool[s : s + n]
+                        at += n
+            self.flat = pool, start, self.lengths.astype(np.int64)
+        return self.flat
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        out = symbols
-        while (big := out >= self.first).any():
-            n = 1 + big
-            at = np.cumsum(n) - n
-            wide = np.empty(len(out) + int(big.sum()), np.uint32)
-            wide[at[~big]] = out[~big]
-            pairs = self.rules[out[big] - self.first]
-            wide[at[big]], wide[at[big] + 1] = pairs[:, 0], pairs[:, 1]
-            out = wide
+        pool, start, lengths = self._rule_ids()
+        big = symbols >= self.first
+        n = np.ones(len(symbols), np.int64)
+        rule = symbols[big].astype(np.int64) - self.first
+        n[big] = lengths[rule]
+        after = np.cumsum(n)
+        out = np.empty(int(after[-1]) if len(n) else 0, np.uint32)
+        at = after - n
+        out[at[~big]] = symbols[~big]
+        m = n[big]
+        inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        out[np.repeat(at[big], m) + inner] = pool[np.repeat(start[rule], m) + inner]
         return out
 
     def document(self, k: int) -> np.ndarray:
@@ -218,7 +239,12 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int, first: int, id_col:
     path = new_path(spark, "token-shards")
     write(docs, path, tokenizer, end_id, first, id_col, text_col)
     back = read(spark, path)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [int(ends[-1]) if len(ends := Shard(blob.as_buffer()).id_ends) else 0 for blob in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["shard", "total"])
+
     # one row for each shard file
-    totals = back.groupBy("shard").agg(F.max(F.col("shard_start") + F.col("n_tokens")).alias("total"))
-    starts = F.broadcast(starts_of(totals, "shard", "total"))
+    starts = F.broadcast(starts_of(read_shards(spark, path).mapInArrow(total, "shard long, total long"), "shard", "total"))
     return back.join(starts, "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids", "shard")
