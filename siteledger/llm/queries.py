@@ -86,8 +86,14 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteledger.llm import quotes
+
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output, "op8_embedding_links": op8_embedding_links, "op9_near_duplicates": op9_near_duplicates}
+    return {"op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output, "op8_embedding_links": op8_embedding_links, "op9_near_duplicates": op9_near_duplicates, "op10_conversations": op10_conversations}
 
 
 def oracle_sql() -> dict[str, str]:
