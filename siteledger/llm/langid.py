@@ -19,10 +19,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteledger.llm.shared import annotated
+
 TRAIN_ROWS, TRAIN_CHARS, LANDMARKS, RIDGE = 2400, 20_000, 200, 0.05
 MAX_N = 4
 #: Symbols of the kernel's alphabet; all other characters share symbol 0.
@@ -173,18 +174,15 @@ def sample(docs: DataFrame, allowed: Column, id_col: str, text_col: str, lang_co
     return [(r[1], r[2]) for r in got]
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for every row."""
+def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
+    """row (the kept columns), lang_pred, score for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks' n-grams: bounded by LANDMARKS * TRAIN_CHARS * MAX_N
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                piece = batch.slice(k, 512)
-                lang, score = shared.value.predict(piece.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+    def answer(texts: list[str | None]) -> Iterator[list]:
+        for k in range(0, len(texts), 512):
+            yield list(shared.value.predict(texts[k : k + 512]))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return annotated(docs, keep, text_col, answer, "lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

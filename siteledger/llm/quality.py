@@ -17,11 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteledger.llm.pretokens import mixed, powers
+from siteledger.llm.shared import annotated
 
 MIN_WORDS, MIN_CONTENT = 50, 0.5
 TRAIN_DOCS, TRAIN_CHARS, STEPS = 1500, 20_000, 80
@@ -242,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([(r[1], r[2]) for r in sorted(got, key=lambda r: (r[0], r[1]))])
 
 
-COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
+COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
 
 
 def judge(texts: list[bytes], field: Field | None) -> tuple[list[np.ndarray], np.ndarray]:
@@ -253,22 +253,19 @@ def judge(texts: list[bytes], field: Field | None) -> tuple[list[np.ndarray], np
     return [m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, failed, ~failed & (share >= MIN_CONTENT), share], content
 
 
-def apply(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document with its counts, base_failed, kept and content_share."""
+def apply(docs: DataFrame, field: Field | None, keep: list[str], text_col: str = "text") -> DataFrame:
+    """row (the kept columns), counts, base_failed, kept and content_share for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(field)  # some tens of numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in COLUMNS.split(", ")]
-        for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                stop, size = at + 1, len(texts[at])
-                while stop < len(texts) and size + len(texts[stop]) <= CHUNK:
-                    size += len(texts[stop])
-                    stop += 1
-                out, _ = judge(texts[at:stop], shared.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, stop - at), *(pa.array(x) for x in out)], names=names)
-                at = stop
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, COLUMNS)
+    def answer(texts: list[str | None]) -> Iterator[list]:
+        blobs = [(t or "").encode() for t in texts]
+        at = 0
+        while at < len(blobs):
+            stop, size = at + 1, len(blobs[at])
+            while stop < len(blobs) and size + len(blobs[stop]) <= CHUNK:
+                size += len(blobs[stop])
+                stop += 1
+            yield judge(blobs[at:stop], shared.value)[0]
+            at = stop
+
+    return annotated(docs, keep, text_col, answer, COLUMNS)

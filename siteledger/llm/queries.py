@@ -35,7 +35,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteledger.llm import quality
 
     docs = table(spark, sf_dir, "documents")
-    return quality.apply(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return quality.apply(docs, quality.train(docs, table(spark, sf_dir, "labels")), ["doc_id"]).select("row.doc_id", *[c.split()[0] for c in quality.COLUMNS.split(", ")])
 
 
 #: The surrogates' key. A deployment passes its own secret one.
@@ -64,7 +64,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteledger.llm import langid
 
     docs = table(spark, sf_dir, "documents")
-    return langid.predict(docs, langid.train(docs)).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+    found = langid.predict(docs, langid.train(docs), ["doc_id"]).select("row.doc_id", "lang_pred", "score")
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +93,14 @@ def op10_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output, "op8_embedding_links": op8_embedding_links, "op9_near_duplicates": op9_near_duplicates, "op10_conversations": op10_conversations}
+    return {"op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output, "op8_embedding_links": op8_embedding_links, "op9_near_duplicates": op9_near_duplicates, "op10_conversations": op10_conversations, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

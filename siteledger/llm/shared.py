@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,24 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def annotated(docs: DataFrame, keep: list[str], text_col: str, answer: Callable[[list[str | None]], Iterator[list]], new: str) -> DataFrame:
+    """row (a struct of the kept columns, so no names clash) and the new columns that answer gives for texts.
+
+    answer takes the texts of a batch and yields arrays for runs of them, in order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for arrays in answer(batch.column(1).to_pylist()):
+                n = len(arrays[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *(pa.array(a) for a in arrays)], names=["row", *[c.split()[0] for c in new.split(", ")]])
+                at += n
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {new}")
+
+
 def write_shards(df: DataFrame, shard: str, blob: str, path: str) -> None:
     """One file for each row of df: the bytes in blob and a final newline, in path/shard=N.
 
