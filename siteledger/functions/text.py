@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # fixed values: languages by file extension
 LANGUAGES = {"py": "python", "swift": "swift", "rs": "rust"}
 # fixed values: base names that define a specification
-BASE_NAMES = ("Specification", "PredicateSpec", "AsyncSpecification", "AnySpecification", "PredicateSpecification", "CompositeSpecification")
+BASE_NAMES = ("Specification", "AsyncSpecification", "DecisionSpec", "AsyncDecisionSpec", "DecisionSpecification", "AutoContextSpecification")
 BLANK = r"(?U)\s+"
 
 
