@@ -103,5 +103,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output, "op8_embedding_links": op8_embedding_links, "op9_near_duplicates": op9_near_duplicates, "op10_conversations": op10_conversations, "pipeline": pipeline}
 
 
+#: Links of good vectors by all pairs of a label; components by reach along links.
+OP8_SQL = """
+with recursive good as (select vec_id, label, embedding::double[] as v from embeddings where label is not null and embedding is not null and list_sum(list_transform(embedding, lambda x: x::double * x::double)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.98),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on l.a = r.b),
+comp as (select a, min(b) as component_id from reach group by 1)
+select vec_id, (select count(*) from links where a = vec_id) as n_links, component_id, vec_id = component_id as kept from embeddings join comp on a = vec_id"""
+
+OP5_SQL = """
+with p as (select page_id, coalesce(html, '') as body from pages), d as (select page_id, strlen(body)::bigint as payload_bytes, sha1(body) as h, min(page_id) over (partition by body) as first_id from p)
+select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1)::bigint, 1)), '') as payload_digest,
+case when page_id > first_id then 'revisit' else 'response' end as record_type, case when page_id > first_id then first_id end as refers_to, true as intact from d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": OP5_SQL, "op8_embedding_links": OP8_SQL}
