@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteledger.plans.lineage import cut
+
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
 
 
@@ -28,7 +30,7 @@ def bm25(documents: DataFrame, queries: DataFrame, doc: str, query: str, tokens:
     n_docs, mean = sized.agg(F.count(F.lit(1)), F.avg("n")).first()
     words = queries.select(F.col(query), F.explode(tokens).alias("token")).groupBy(query, "token").agg(F.count(F.lit(1)).alias("times"))
     each = documents.select(F.explode(F.array_distinct(tokens)).alias("token"))
-    df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = cut(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "df")  # read for the mean and for the weights
     raw = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = df.withColumn("idf", raw)
     floor = EPSILON * (weighed.agg(F.avg("idf")).first()[0] or 0.0)
