@@ -22,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteledger.llm.graph import components
@@ -92,6 +92,20 @@ def numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return cut(ranked.join(first, group).withColumn("position", F.col("rank") - F.col("_first")).drop("_first"), "numbered")
 
 
+def runs(tree: DataFrame, rows: int = 65_536) -> DataFrame:
+    """tree with run: the id of the message that starts the run of turns, each of which follows the one before it.
+
+    Ids rise by conversation and turn, so a run's start is the last start up to its message. It is looked for in blocks
+    of ids, and what comes from earlier blocks is one number for each block.
+    """
+    start = F.when(F.col("link").isNotNull() | F.col("before").isNull(), F.col("id"))
+    marked = tree.withColumn("block", F.floor(F.col("id") / rows)).withColumn("start", start)
+    last = marked.groupBy("block").agg(F.max("start").alias("start"))
+    carry = cut(last.select("block", F.max("start").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carry")), "carry")
+    so_far = F.max("start").over(Window.partitionBy("block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    return cut(marked.withColumn("so_far", so_far).join(carry, "block").withColumn("run", F.coalesce("so_far", "carry")).drop("block", "start", "so_far", "carry"), "runs")
+
+
 def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """conv_id, turn, text (clean), n_quotes, n_linked, parent_conv, parent_turn, thread_conv, thread_turn, position."""
     rows = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).alias("text"))
@@ -103,7 +117,7 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     quotes = real.where(F.size("quotes") > 0).select("conv", "turn", F.inline("quotes")).join(keys.select("conv", "turn", "id"), ["conv", "turn"]).select("conv", "id", "no", "level", "rank", "hash").distinct()
     quotes = cut(quotes, "quotes")
     if quotes.isEmpty():
-        tree = cut(keys.withColumn("parent", F.col("before")).withColumn("n_linked", F.lit(0).cast("long")), "tree")
+        tree = cut(keys.select("conv", "turn", "id", "before", F.lit(None).cast("long").alias("link"), F.lit(0).cast("long").alias("n_linked")), "tree")
     else:
         asked = cut(quotes.select("hash").distinct(), "asked")
         held = real.select("conv", "turn", F.explode("units").alias("hash")).join(asked, "hash", "left_semi").join(keys.select("conv", "turn", "id"), ["conv", "turn"])
@@ -113,9 +127,11 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
         source = F.when(F.col("near") < F.col("id"), F.col("near")).when(F.col("far") < F.col("id"), F.col("far"))
         found = found.withColumn("source", source).where("source is not null")
         best = found.groupBy("id").agg(F.min(F.when(F.col("level") == 1, F.struct("no", "rank", "source")))["source"].alias("link"), F.count_distinct("no").alias("n_linked"))
-        tree = cut(keys.join(best, "id", "left").select("conv", "turn", "id", F.coalesce("link", "before").alias("parent"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked")), "tree")
-    root = components(tree.where("parent is not null"), "id", "parent")
-    threads = tree.join(root, tree["id"] == root["u"], "left").withColumn("thread", F.coalesce("v", "id"))
+        tree = cut(keys.join(best, "id", "left").select("conv", "turn", "id", "before", "link", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked")), "tree")
+    parts = runs(tree)
+    links = parts.where("link is not null").select(F.col("run").alias("from"), "link").join(parts.select(F.col("id").alias("link"), F.col("run").alias("to")), "link")
+    root = components(links, "from", "to")
+    threads = parts.join(root, parts["run"] == root["u"], "left").withColumn("thread", F.coalesce("v", "run")).withColumn("parent", F.coalesce("link", "before"))
     placed = numbered(threads.select("thread", "id", "conv", "turn", "parent", "n_linked"), ["thread"], ["id"]).drop("rank")
     name = lambda x: tree.select(F.col("id").alias(x), F.col("conv").alias(f"{x}_conv"), F.col("turn").alias(f"{x}_turn"))
     placed = placed.join(name("parent"), "parent", "left").join(name("thread"), "thread", "left").select("conv", "turn", "n_linked", "parent_conv", "parent_turn", "thread_conv", "thread_turn", "position")
