@@ -15,7 +15,8 @@ and social-security numbers, secrets (long hexadecimal strings, access keys) and
   other and with all real entities of their type, and those that collide are drawn again until none does.
 
 Null texts stay null, empty ones empty, with 0 entities. Repeated rows get equal results. An
-empty table gives an empty one. Other columns stay as they are; names of new columns must not clash.
+empty table gives an empty one. Other columns stay as they are, but for older ones named n_entities or entity_types,
+which the new ones replace.
 """
 
 from __future__ import annotations
@@ -230,26 +231,27 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     found = cut(entities(docs, text_col), "entities")
     again = redrawn(found, key)
     text = F.col(f"`{text_col}`")
-    rows = docs.withColumn("_matches", matches(text))
+    rows = docs.withColumn("_pii_matches", matches(text))
     if again is not None:
         # few rows: only texts that hold an entity drawn again; Spark broadcasts them if they are small
-        hit = rows.select("_matches").distinct().select("_matches", F.explode("_matches").alias("m")).select("_matches", kind(F.col("m")).alias("type"), F.col("m"))
-        hit = hit.select("_matches", "type", canonical(F.col("m"), F.col("type")).alias("canon")).distinct().join(again, ["type", "canon"])
-        known = hit.groupBy("_matches").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "type", "canon"), "new"))).alias("_known"))
-        rows = rows.join(cut(known, "known"), "_matches", "left")
+        hit = rows.select("_pii_matches").distinct().select("_pii_matches", F.explode("_pii_matches").alias("m")).select("_pii_matches", kind(F.col("m")).alias("type"), F.col("m"))
+        hit = hit.select("_pii_matches", "type", canonical(F.col("m"), F.col("type")).alias("canon")).distinct().join(again, ["type", "canon"])
+        known = hit.groupBy("_pii_matches").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "type", "canon"), "new"))).alias("_pii_known"))
+        rows = rows.join(cut(known, "known"), "_pii_matches", "left")
     else:
-        rows = rows.withColumn("_known", F.lit(None).cast("map<string,string>"))
+        rows = rows.withColumn("_pii_known", F.lit(None).cast("map<string,string>"))
 
     def one(m: Column) -> Column:
         def typed(t: Column) -> Column:
             canon = canonical(m, t)
-            new = F.coalesce(F.col("_known")[F.concat_ws("|", t, canon)], surrogate(t, canon, key, 0)) if again is not None else surrogate(t, canon, key, 0)
+            new = F.coalesce(F.col("_pii_known")[F.concat_ws("|", t, canon)], surrogate(t, canon, key, 0)) if again is not None else surrogate(t, canon, key, 0)
             return rendered(m, t, new, key)
 
         return let(kind(m), typed)
 
     gaps = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.zip_with(gaps, F.transform("_matches", one), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
-    types = F.array_sort(F.array_distinct(F.transform(F.coalesce("_matches", F.array().cast("array<string>")), kind)))
-    out = rows.withColumn(text_col, F.when(F.size("_matches") > 0, joined).otherwise(text))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.greatest(F.size("_matches"), F.lit(0)), F.lit(0)).cast("long").alias("n_entities"), types.alias("entity_types"))
+    joined = F.array_join(F.zip_with(gaps, F.transform("_pii_matches", one), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+    types = F.array_sort(F.array_distinct(F.transform(F.coalesce("_pii_matches", F.array().cast("array<string>")), kind)))
+    out = rows.withColumn(text_col, F.when(F.size("_pii_matches") > 0, joined).otherwise(text))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_entities", "entity_types")]
+    return out.select(*kept, F.coalesce(F.greatest(F.size("_pii_matches"), F.lit(0)), F.lit(0)).cast("long").alias("n_entities"), types.alias("entity_types"))

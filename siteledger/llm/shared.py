@@ -2,39 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from siteledger.plans.lineage import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siteledger-"))
-    return sc.getCheckpointDir()
+__all__ = ["annotated", "cut", "new_path", "read_shards", "shared_dir", "write_shards"]
 
 
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later stages survive lost executors."""
-    path = new_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, by exact name, so that extra columns can't clash."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
-
-
 def annotated(docs: DataFrame, keep: list[str], text_col: str, answer: Callable[[list[str | None]], Iterator[list]], new: str) -> DataFrame:
     """row (a struct of the kept columns, so no names clash) and the new columns that answer gives for texts.
 
@@ -50,7 +34,7 @@ def annotated(docs: DataFrame, keep: list[str], text_col: str, answer: Callable[
                 at += n
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {new}")
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *T._parse_datatype_string(new).fields]))
 
 
 def write_shards(df: DataFrame, shard: str, blob: str, path: str) -> None:
