@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from siteledger.llm.shared import cut
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    return row[0], int(row[1] or 0)
+def _stars(edges: DataFrame) -> bool:
+    """Whether every id has one link, to an id that has none: then the components are found."""
+    if edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return False
+    return edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count() == 0
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -21,15 +23,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     pair = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     edges = cut(pair.distinct(), "links")
-    state = _state(edges)
-    while state[0]:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
         large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large-star")
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         near = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(near.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        if (now := _state(edges)) == state:
-            break
-        state = now
     return edges

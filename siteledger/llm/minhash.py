@@ -11,10 +11,10 @@ and are verified by weighted Jaccard similarity of at least THRESHOLD; linked on
    have some bits more than the number of shingles needs, so few shingles share one.
 3. A document whose shingles with df >= 2 weigh under THRESHOLD of its total can't reach the
    threshold with any other; it ends here. The others are sketched.
-4. Within a bucket not all pairs are emitted. A round compares its members with one leader. Then a bucket is
-   done if its members are in one class already; if few members lie outside the largest class, they
-   are compared with all others and it is done too; else the next leader follows. So every pair of different
-   classes in a bucket is compared in the end.
+4. Within a bucket not all pairs are emitted. A round compares its members with some leaders, at first one,
+   then 32 times as many each time. A bucket is done if its members are in one class; if few members lie
+   outside the largest class, they are compared with all others and it is done too; else the next leaders
+   follow. So every pair of different classes in a bucket is compared in the end.
 
 Null texts and texts without words are alike to nothing but equal texts are copies of each other; null texts
 link with nothing. A text of one to four words is one shingle. Rows with equal ids count as one
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteledger.llm.graph import components
@@ -37,12 +37,10 @@ from siteledger.llm.shared import cut
 
 WORDS, THRESHOLD = 5, 0.8
 SAMPLES, ROWS = 36, 3
-#: Samples that two documents at the threshold share but for one case in a million.
-AGREE = 16
+#: Samples that two documents at the threshold share but for three cases in ten thousand.
+AGREE = 20
 #: Characters of documents in one chunk, and of shingles in one range of hashes.
 CHUNK_CHARS, RANGE_CHARS = 8_000_000, 4_000_000
-#: A bucket with so few members, or members outside its largest class, is compared whole.
-FEW = 8
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -258,6 +256,9 @@ def verified(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("keys").alias(f"keys_{x}"), F.col("weights").alias(f"weights_{x}"), F.col("total").alias(f"total_{x}"))
+    # only the documents in question travel
+    asked = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "asked")
+    sketches = sketches.join(asked, "doc_id", "left_semi")
     wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "keys_a", "weights_a", "total_a", "keys_b", "weights_b", "total_b")
     return wide.mapInArrow(run, "a long, b long")
 
@@ -271,32 +272,36 @@ def links(sketches: DataFrame) -> DataFrame:
     # written first, so that Spark can split a bucket that is hot
     open_ = cut(members.join(cut(sizes, "buckets"), "bucket", "left_semi").select("bucket", "doc_id"), "open")
     samples = sketches.select("doc_id", "samples")
-    found = None
-    classes = None
-    last = None
+    found = classes = done = None
+    leaders = 1
     while not open_.isEmpty():
-        state = open_.withColumn("class", F.col("doc_id")) if classes is None else open_.join(classes, open_["doc_id"] == classes["u"], "left").select("bucket", "doc_id", F.coalesce("v", "doc_id").alias("class"))
-        state = cut(state, "state")
+        labelled = open_.withColumn("class", F.col("doc_id")) if classes is None else open_.join(classes, open_["doc_id"] == classes["u"], "left").select("bucket", "doc_id", F.coalesce("v", "doc_id").alias("class"))
+        state = cut(labelled, "state")
         per_class = state.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-        later = state.join(last, "bucket", "left").where(F.col("leader").isNull() | (F.col("doc_id") > F.col("leader"))).groupBy("bucket").agg(F.min("doc_id").alias("leader")) if last is not None else state.groupBy("bucket").agg(F.min("doc_id").alias("leader"))
-        buckets = per_class.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("top")).where("classes > 1").join(later, "bucket")
-        # the first round takes one leader everywhere, and later ones finish buckets with few members outside the top class
-        finish = F.lit(False) if last is None else F.col("n") - F.col("top.n") <= FEW
-        buckets = cut(buckets.select("bucket", "leader", "n", F.col("top.class").alias("top"), (finish | (F.col("n") == 2)).alias("whole")), "bucket-state")
-        with_state = state.join(buckets, "bucket")
-        lead = state.join(buckets.where("not whole").select("bucket", "leader"), "bucket").where("doc_id = leader").select("bucket", F.col("doc_id").alias("a"), F.col("class").alias("class_a"))
-        rest = with_state.where("whole").where("class != top").select("bucket", F.col("doc_id").alias("a"), F.col("class").alias("class_a"))
+        sizes = per_class.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class"))["class"].alias("top"), F.max("n").alias("most")).where("classes > 1")
+        few = F.lit(leaders + 1)
+        buckets = cut(sizes.select("bucket", "top", (F.col("n") - F.col("most") < few).alias("whole")), "bucket-state")
+        live = state.join(buckets, "bucket")
+        ahead = live.where("not whole").select("bucket", "doc_id", "class")
+        if done is not None:
+            ahead = ahead.join(done, "bucket", "left").where(F.col("last").isNull() | (F.col("doc_id") > F.col("last"))).select("bucket", "doc_id", "class")
+        # a task sends no more than the leaders of a bucket to the window
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
+        lead = ahead.withColumn("rank", rank).where(F.col("rank") <= leaders).select("bucket", F.col("doc_id").alias("a"), F.col("class").alias("class_a"))
+        lead = cut(lead, "leaders")
+        rest = live.where("whole and class != top").select("bucket", F.col("doc_id").alias("a"), F.col("class").alias("class_a"))
         heads = cut(lead.unionByName(rest), "heads")
-        pairs = with_state.select("bucket", "doc_id", "class", "whole").join(heads, "bucket").where((F.col("class") != F.col("class_a")) & (F.col("whole") | (F.col("doc_id") > F.col("a"))))
+        pairs = live.select("bucket", "doc_id", "class", "whole").join(heads, "bucket").where((F.col("class") != F.col("class_a")) & (F.col("whole") | (F.col("doc_id") > F.col("a"))))
         pairs = cut(pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct(), "pairs")
         near = pairs.join(samples.select(F.col("doc_id").alias("a"), F.col("samples").alias("sa")), "a").join(samples.select(F.col("doc_id").alias("b"), F.col("samples").alias("sb")), "b")
         same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z))
-        new = cut(verified(near.where(same >= AGREE).select("a", "b"), sketches), "verified")
+        new = cut(verified(cut(near.where(same >= AGREE).select("a", "b"), "candidates"), sketches), "verified")
         found = new if found is None else found.unionByName(new)
         classes = components(found, "a", "b")
-        # a leader's bucket goes on while it has members after the leader that were not compared with all
-        last = buckets.where("not whole").select("bucket", "leader")
-        open_ = cut(open_.join(last.select("bucket"), "bucket", "left_semi"), "open")
+        # a bucket goes on until its last member has led; then no pair of it is left
+        done = cut(lead.groupBy("bucket").agg(F.max("a").alias("last")), "done")
+        open_ = cut(open_.join(done.select("bucket"), "bucket", "left_semi"), "open")
+        leaders *= 32
     return classes if classes is not None else sketches.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0)
 
 
