@@ -37,8 +37,6 @@ from siteledger.llm.shared import cut
 
 WORDS, THRESHOLD = 5, 0.8
 SAMPLES, ROWS = 36, 3
-#: Samples that two documents at the threshold share but for three cases in ten thousand.
-AGREE = 20
 #: Characters of documents in one chunk, and of shingles in one range of hashes.
 CHUNK_CHARS, RANGE_CHARS = 8_000_000, 4_000_000
 LOWER = np.arange(256, dtype=np.uint8)
@@ -271,7 +269,7 @@ def links(sketches: DataFrame) -> DataFrame:
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     # written first, so that Spark can split a bucket that is hot
     open_ = cut(members.join(cut(sizes, "buckets"), "bucket", "left_semi").select("bucket", "doc_id"), "open")
-    samples = sketches.select("doc_id", "samples")
+    totals = sketches.select("doc_id", "total")
     found = classes = done = None
     leaders = 1
     while not open_.isEmpty():
@@ -293,9 +291,10 @@ def links(sketches: DataFrame) -> DataFrame:
         heads = cut(lead.unionByName(rest), "heads")
         pairs = live.select("bucket", "doc_id", "class", "whole").join(heads, "bucket").where((F.col("class") != F.col("class_a")) & (F.col("whole") | (F.col("doc_id") > F.col("a"))))
         pairs = cut(pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct(), "pairs")
-        near = pairs.join(samples.select(F.col("doc_id").alias("a"), F.col("samples").alias("sa")), "a").join(samples.select(F.col("doc_id").alias("b"), F.col("samples").alias("sb")), "b")
-        same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z))
-        new = cut(verified(cut(near.where(same >= AGREE).select("a", "b"), "candidates"), sketches), "verified")
+        near = pairs.join(totals.select(F.col("doc_id").alias("a"), F.col("total").alias("ta")), "a").join(totals.select(F.col("doc_id").alias("b"), F.col("total").alias("tb")), "b")
+        # a similarity is the smaller total over the larger one at the most, so this loses nothing
+        able = F.least("ta", "tb") >= (THRESHOLD - 1e-6) * F.greatest("ta", "tb")
+        new = cut(verified(cut(near.where(able).select("a", "b"), "candidates"), sketches), "verified")
         found = new if found is None else found.unionByName(new)
         classes = components(found, "a", "b")
         # a bucket goes on until its last member has led; then no pair of it is left

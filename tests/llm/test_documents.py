@@ -158,6 +158,15 @@ def test_near_duplicates(spark):
     assert minhash.classes(df.limit(0)).count() == 0
 
 
+def test_all_pairs_of_a_band_are_compared_exactly(spark):
+    key, weight = np.arange(10, dtype="<u8").tobytes(), np.ones(10, "<f4").tobytes()
+    shared = [*range(minhash.ROWS)]
+    rows = [(k, shared + [100 * k + j for j in range(minhash.SAMPLES - minhash.ROWS)], bytearray(key), bytearray(weight), total) for k, total in ((1, 10.0), (2, 12.0), (3, 13.0))]
+    got = minhash.links(spark.createDataFrame(rows, minhash.SKETCHED)).collect()
+    # 1 and 2 have 10 / 12, 2 and 3 have 10 / 15, 1 and 3 have 10 / 13
+    assert [(r.u, r.v) for r in got] == [(2, 1)]
+
+
 def test_weighted_sampling_estimates_similarity():
     rng = np.random.default_rng(5)
     key = rng.integers(0, 1 << 60, 400).astype(np.uint64)
