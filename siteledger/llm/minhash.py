@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteledger.llm.graph import components
+from siteledger.llm.packing import starts_of
 from siteledger.llm.pretokens import mixed
 from siteledger.llm.quality import WHITE, hashes
 from siteledger.llm.shared import cut
@@ -304,18 +305,38 @@ def links(sketches: DataFrame) -> DataFrame:
     return classes if classes is not None else sketches.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0)
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """docs with p, their chunk: chunks are runs of rising ids with about CHUNK_CHARS characters each.
+
+    A prefix sum over the tasks' characters cuts the runs, so how ids are spread doesn't matter.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lengths = cut(docs.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")), "lengths")
+    laid = cut(lengths.repartitionByRange(n, "doc_id").withColumn("task", F.spark_partition_id()), "laid")
+    # one row for each task
+    before = F.broadcast(starts_of(laid.groupBy("task").agg(F.sum("n").alias("total")), "task", "total"))
+    inside = F.sum("n").over(Window.partitionBy("task").orderBy("doc_id")) - F.col("n")
+    placed = laid.withColumn("at", inside).join(before, "task")
+    firsts = placed.groupBy(F.floor((F.col("before") + F.col("at")) / CHUNK_CHARS).alias("k")).agg(F.min("doc_id").alias("first"))
+    starts = sorted(r["first"] for r in firsts.collect())
+    # a binary search for the last chunk that starts at the id or before it
+    steps = [1 << k for k in reversed(range(len(starts).bit_length()))]
+    first = F.lit(starts).cast("array<long>")
+    found = F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), lambda i, s: F.when(F.get(first, i + s) <= F.col("doc_id"), i + s).otherwise(i))
+    return docs.withColumn("p", found.cast("long"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest id of its class), kept (doc_id = class_id), one row for each row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     real = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    low, high, chars, n_docs = real.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.length("text")), F.count(F.lit(1))).first()
+    chars, n_docs = real.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
     if not n_docs:
         return rows.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
-    chunks, ranges = -(-(chars + 1) // CHUNK_CHARS), -(-(chars + 1) // RANGE_CHARS)
+    ranges = -(-(chars + 1) // RANGE_CHARS)
     # a shingle for every two characters at the most; twelve bits over that
     bits = min(63, max(40, (chars // 2 + 1).bit_length() + 12))
-    p = F.floor((F.col("doc_id") - low).cast("double") * chunks / (float(high) - low + 1)).cast("long")
-    real = real.withColumn("p", p)
+    real = dealt(real)
     digests = cut(real.select("doc_id", "p", F.md5(F.col("text").cast("binary")).alias("digest")), "digests")
     first = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"), "copies")
     copies = cut(digests.join(first, "digest").where("doc_id != first").select("p", "doc_id", "first").distinct(), "copies")

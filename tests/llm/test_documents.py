@@ -158,6 +158,18 @@ def test_near_duplicates(spark):
     assert minhash.classes(df.limit(0)).count() == 0
 
 
+def test_chunks_do_not_depend_on_how_ids_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK_CHARS", 1000)
+    ids = [-(1 << 63), *range(7, 107), 10**15, (1 << 63) - 1]
+    rows = [(i, " ".join(f"w{k // 2}x{j}" for j in range(20))) for k, i in enumerate(ids)]
+    df = spark.createDataFrame([*rows, rows[5]], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.classes(df).collect()} == {i: ids[k // 2 * 2] for k, i in enumerate(ids)}
+    sizes = Counter()
+    for r in minhash.dealt(df).collect():
+        sizes[r.p] += len(r.text)
+    assert max(sizes.values()) <= 1200 and len(sizes) == -(-sum(sizes.values()) // 1000)
+
+
 def test_all_pairs_of_a_band_are_compared_exactly(spark):
     key, weight = np.arange(10, dtype="<u8").tobytes(), np.ones(10, "<f4").tobytes()
     shared = [*range(minhash.ROWS)]
