@@ -106,6 +106,7 @@ def statuses(definitions: DataFrame, found: DataFrame, names: DataFrame, complet
 def scan(spark: SparkSession, root: str, includes: list[str] | None = None, manifest: list[tuple[str, str]] | None = None, closed_world: bool = False) -> Scan:
     """Parse once; everything after works on the written facts."""
     tree = trees.files(spark, root)
+    trees.check_includes(tree, trees.normalised(includes or []))
     texts, issues = trees.sources(tree, includes, manifest)
     found = cut(facts(texts.where("language = 'python'")), "facts")
     issues = cut(issues.unionByName(found.where("fact = 'issue'").select(F.col("kind").alias("class"), "path", F.col("text").alias("message"))), "issues")

@@ -77,3 +77,22 @@ def test_readers(spark, tmp_path):
     assert got == {1: (None, 1), 2: ("not strict JSON", None), 3: ("missing", None), 4: ("not strict JSON", None)}
     (tmp_path / "log.jsonl").write_text('{"a":1}\n{"a":2}\n{"a"')
     assert [(r.number, r.complete) for r in documents.json_lines(spark, str(tmp_path / "log.jsonl")).collect()] == [(0, True), (1, True), (2, False)]
+
+
+def test_all_files_of_a_tree_but_ignored_ones(spark, tmp_path):
+    names = ["pkg/__init__.py", "pkg/_private.py", "pkg/plain.py", "_build/y.py", "top.py", "empty.py", ".hidden/x.py", "gen/a.py", "gen/keep.py", "pkg/out/b.py", "pkg/c1.py", "deep/tmp/d.py", "other.txt"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("" if n == "empty.py" else "x = 1\n")
+    (tmp_path / "link.py").symlink_to(tmp_path / "top.py")
+    (tmp_path / ".gitignore").write_text("# made\n/gen/*\n!/gen/keep.py\n**/tmp/\nc[0-9].py\n")
+    (tmp_path / "pkg/.gitignore").write_text("out/\n")
+    whole = {n for n in names if n.endswith(".py") and not n.startswith(".")}
+    listed = lambda: {r.path for r in trees.files(spark, str(tmp_path)).collect()}
+    assert listed() == whole
+    (tmp_path / ".git").mkdir()
+    assert listed() == whole - {"gen/a.py", "pkg/out/b.py", "pkg/c1.py", "deep/tmp/d.py"}
+    (tmp_path / ".ignore").write_text("top.py\n!c1.py\n")
+    assert listed() == whole - {"gen/a.py", "pkg/out/b.py", "top.py", "deep/tmp/d.py"}
+    with pytest.raises(ValueError, match="no source file"):
+        scan(spark, str(tmp_path), includes=["absent"])
