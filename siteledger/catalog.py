@@ -373,6 +373,18 @@ def fixpoint_closure(spark: SparkSession, sf: str) -> DataFrame:
     return closure.reached(seeds, edges, "node", "a", "b", rounds=4)
 
 
+@query("fixpoint_closure_whole", """
+with recursive o as (select o_custkey as c, l_partkey as p from orders join lineitem on l_orderkey = o_orderkey), e as (select distinct 'c' || c as a, 'p' || p as b from o union select distinct 'p' || p, 'c' || c from o),
+r as (select 'c' || c_custkey as node from customer where c_acctbal < 0 union select e.b from r join e on e.a = r.node)
+select node from r""")
+def fixpoint_closure_whole(spark: SparkSession, sf: str) -> DataFrame:
+    bought = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    c, p = F.concat(F.lit("c"), F.col("o_custkey")), F.concat(F.lit("p"), F.col("l_partkey"))
+    edges = bought.select(c.alias("a"), p.alias("b")).unionByName(bought.select(p.alias("a"), c.alias("b")))
+    seeds = table(spark, sf, "customer").where("c_acctbal < 0").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node"))
+    return closure.reached(seeds, edges, "node", "a", "b").select("node")
+
+
 @query("text_functions", rf"""
 select doc_id, {TOKENS_SQL}[1] as first_token, len({TOKENS_SQL})::bigint as n_tokens, substr(trim(list_filter(string_split_regex(text, '\r?\n'), lambda x: regexp_matches(x, '\S'))[1], e' \t\n\r'), 1, 120) as excerpt, 'sha256:' || sha256(text) as digest from documents""")
 def text_functions(spark: SparkSession, sf: str) -> DataFrame:

@@ -57,3 +57,15 @@ def test_reuse(spark):
     assert {(r.path, r.basis) for r in got} == {("app/a.py", "exact"), ("app/b.py", "near")}
     with pytest.raises(ValueError):
         reuse.templates_frame(spark, {"rules": [{"id": "x", "paths": []}, {"id": "x", "paths": []}]})
+
+
+def test_whole_closure_follows_a_long_path(spark, tmp_path):
+    from siteledger.catalog import QUERIES
+
+    spark.createDataFrame([(9001, -1.0), (9002, 5.0)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(k, 9001 + k) for k in range(8)] + [(50, 100)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(k, k) for k in range(8)] + [(k, k + 1) for k in range(8)] + [(50, 77)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.node for r in QUERIES["fixpoint_closure_whole"](spark, str(tmp_path)).collect()}
+    assert got == {f"c{9001 + k}" for k in range(8)} | {f"p{k}" for k in range(9)}
