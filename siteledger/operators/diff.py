@@ -31,13 +31,15 @@ def functions(before: DataFrame, after: DataFrame, key: list[str], value: str) -
     A key that each side has once is matched; equal multisets of values are unchanged and left out; all other
     keys are ambiguous, added or removed, and an absent side is null, never zero.
     """
-    tagged = before.select(*key, F.lit(0).alias("_side"), value).unionByName(after.select(*key, F.lit(1).alias("_side"), value))
-    side = lambda k: F.array_sort(F.collect_list(F.when(F.col("_side") == k, F.col(value))))
-    out = tagged.groupBy(*key).agg(side(0).alias("_before"), side(1).alias("_after")).where("_before != _after")
-    one = (F.size("_before") == 1) & (F.size("_after") == 1)
-    kind = F.when(one, "matched").when(F.size("_before") == 0, "added").when(F.size("_after") == 0, "removed").otherwise("ambiguous")
-    single = lambda c: F.when(F.size(c) == 1, F.col(c)[0])
-    return out.select(*key, single("_before").alias("before"), single("_after").alias("after"), F.when(one, F.col("_after")[0] - F.col("_before")[0]).alias("delta"), kind.alias("correspondence"))
+    tagged = before.select(*key, value, F.lit(1).alias("_b"), F.lit(0).alias("_a")).unionByName(after.select(*key, value, F.lit(0).alias("_b"), F.lit(1).alias("_a")))
+    # counts of values meet, not values, so a key of many rows travels as one row for each task
+    counts = tagged.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("_value")).agg(F.sum("_b").alias("_nb"), F.sum("_a").alias("_na"))
+    some = lambda n: F.max(F.when(F.col(n) > 0, F.col("_value")))
+    each = counts.groupBy(*key).agg(F.bool_or(F.col("_nb") != F.col("_na")).alias("_differs"), F.sum("_nb").alias("_before"), F.sum("_na").alias("_after"), some("_nb").alias("_vb"), some("_na").alias("_va"))
+    one = (F.col("_before") == 1) & (F.col("_after") == 1)
+    kind = F.when(one, "matched").when(F.col("_before") == 0, "added").when(F.col("_after") == 0, "removed").otherwise("ambiguous")
+    single = lambda n, v: F.when(F.col(n) == 1, F.col(v))
+    return each.where("_differs").select(*key, single("_before", "_vb").alias("before"), single("_after", "_va").alias("after"), F.when(one, F.col("_va") - F.col("_vb")).alias("delta"), kind.alias("correspondence"))
 
 
 def severity(rows: DataFrame, metric: str, tie: list[str]) -> list[Column]:

@@ -39,13 +39,23 @@ def contained(points: DataFrame, spans: DataFrame, id_col: str, key: str, at: st
     """points with inside: whether one of the key's spans [start, end) holds the point. id_col names a point.
 
     A span is opened and closed by two events; along a key's sorted events a point is inside while more
-    spans are open than closed. That is one sort for each key, where a join would make all pairs.
+    spans are open than closed. Events are sorted over all tasks, and the number of open spans is carried from task
+    to task by a prefix sum for each key, so a key of any size is spread over many tasks.
     """
     from pyspark.sql import Window
 
-    order = Window.partitionBy(key).orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, 0)
-    event = lambda df, at_col, delta, order_, id_: df.select(key, F.col(at_col).alias("_at"), F.lit(delta).alias("_delta"), F.lit(order_).alias("_order"), id_.alias(id_col))
+    from siteledger.plans.lineage import cut
+
+    event = lambda df, at_col, delta, id_: df.select(key, F.col(at_col).alias("_at"), F.lit(delta).alias("_delta"), id_.alias(id_col))
     none = F.lit(None).cast(points.schema[id_col].dataType)
-    events = event(points, at, 0, 1, F.col(id_col)).unionByName(event(spans, start, 1, 0, none)).unionByName(event(spans, end, -1, 0, none))
-    counted = events.withColumn("_open", F.sum("_delta").over(order)).where(F.col(id_col).isNotNull())
+    borders = event(spans, start, 1, none).unionByName(event(spans, end, -1, none)).groupBy(key, "_at").agg(F.sum("_delta").alias("_delta"))
+    events = borders.select(key, "_at", "_delta", F.lit(0).alias("_order"), none.alias(id_col)).unionByName(event(points, at, 0, F.col(id_col)).select(key, "_at", F.col("_delta").cast("long").alias("_delta"), F.lit(1).alias("_order"), id_col))
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = cut(events.repartitionByRange(n, key, "_at", "_order", id_col).withColumn("_task", F.spark_partition_id()), "events")
+    # a key has one row for each task here
+    sums = laid.groupBy(F.col(key).alias("_key"), F.col("_task").alias("_t")).agg(F.sum("_delta").alias("_sum"))
+    before = sums.select("_key", "_t", F.coalesce(F.sum("_sum").over(Window.partitionBy("_key").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    order = Window.partitionBy("_task", key).orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    here = laid.withColumn("_here", F.sum("_delta").over(order)).where("_order = 1")
+    counted = here.join(before, (here["_task"] == before["_t"]) & here[key].eqNullSafe(before["_key"])).withColumn("_open", F.col("_before") + F.col("_here"))
     return counted.select(id_col, (F.col("_open") > 0).alias("inside"))

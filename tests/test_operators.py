@@ -69,3 +69,17 @@ def test_whole_closure_follows_a_long_path(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.node for r in QUERIES["fixpoint_closure_whole"](spark, str(tmp_path)).collect()}
     assert got == {f"c{9001 + k}" for k in range(8)} | {f"p{k}" for k in range(9)}
+
+
+def test_a_large_key_is_not_gathered_in_one_task(spark):
+    from siteledger.operators import diff, scope
+
+    points = spark.range(4000).selectExpr("id", "if(id % 10 = 0, id, 0) as k", "id as at")
+    spans = points.where("id % 100 = 0").selectExpr("0L as k", "at as start", "at + 7 as stop")
+    inside = scope.contained(points, spans, "id", "k", "at", "start", "stop")
+    assert {r.id for r in inside.where("inside").collect()} == {i for i in range(4000) if i % 100 < 7 and (i % 10 or i == 0)}
+    # no task of the window holds the whole key
+    assert "Window [" in (plan := inside._jdf.queryExecution().optimizedPlan().toString()) and "[_task" in plan
+    changed = diff.functions(points.where("id < 2000"), points.where("id >= 1000"), ["k"], "at")
+    assert "collect_list" not in changed._jdf.queryExecution().optimizedPlan().toString()
+    assert changed.where("k = 0").first()["correspondence"] == "ambiguous" and changed.where("k = 1500").isEmpty()
