@@ -7,7 +7,8 @@ and social-security numbers, secrets (long hexadecimal strings, access keys) and
   number keeps the distance of its last digit to the Luhn digit, so valid ones stay valid; an address
   keeps its top-level domain; a phone number keeps its country code.
 * Names: a given name becomes another one of its gender and script; a family name becomes syllables of
-  its script and keeps a gendered ending; titles stay. Both parts change by themselves, so
+  its script and keeps a gendered ending; titles stay. A name runs over all
+  capitalised words that follow; those between given names and the last one change like family names. All parts change by themselves, so
   `Frau Lang` and `Anna Lang` still share a name.
 * Coreference: a surrogate depends on the key, the type and the entity's canonical form (lower case,
   digits only), so an entity has one surrogate in all documents and formats.
@@ -41,14 +42,14 @@ VOWELS = {"latin": "a e i o".split(), "cyrillic": "а е и о".split()}
 ENDINGS = "ская|ский|ова|ева|ина|ов|ев|ин"
 
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.){1,6}[A-Za-z]{2,24}(?![A-Za-z])"
-_SECRET = r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,48})(?![\p{L}\p{N}])"
+_SECRET = r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+|sk-[0-9A-Za-z_-]{20,}+)(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 _CARD = r"(?<![\d+])\d{13,19}(?!\d)|(?<!\d)\d{4}([ -])\d{4}\g1\d{4}\g1\d{4}(?!\d)"
 _PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _CAP = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-_NAME = rf"(?<![\p{{L}}])(?:(?:{'|'.join(TITLES)})\.? )?(?:{'|'.join(n for names in GIVEN.values() for n in names)}) {_CAP}(?!\p{{L}})|(?<![\p{{L}}])(?:{'|'.join(TITLES)})\.? {_CAP}(?!\p{{L}})"
+_NAME = rf"(?<![\p{{L}}])(?:(?:{'|'.join(TITLES)})\.? )?(?:{'|'.join(n for names in GIVEN.values() for n in names)}) {_CAP}(?: {_CAP})*(?!\p{{L}})|(?<![\p{{L}}])(?:{'|'.join(TITLES)})\.? {_CAP}(?: {_CAP})*(?!\p{{L}})"
 #: One pattern for all entities, so that a place in a text belongs to one entity; earlier kinds win.
 PATTERN = "|".join([_EMAIL, _SECRET, _IP, _SSN, _CARD.replace(r"\g1", r"\1"), _PHONE, _NAME])
 SPECIAL = [r"^(?:AKIA|gh[pousr]_|sk-)"]
@@ -63,7 +64,7 @@ def kind(m: Column) -> Column:
     digits = F.regexp_replace(m, r"\D", "")
     return (
         F.when(m.contains("@"), "email").when(m.rlike(_IP) & ~m.rlike("[^0-9.]"), "ip").when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.startswith("+"), "phone")
-        .when(m.rlike(r"^[0-9a-fA-F]{32,128}$"), "secret").when(m.rlike(SPECIAL[0]), "key").when(m.rlike(r"^[\d -]+$") & (F.length(digits) >= 13), "card").when(m.rlike(r"^[\d() .-]+$"), "phone").otherwise("name")
+        .when(m.rlike(r"^[0-9a-fA-F]{32,}$"), "secret").when(m.rlike(SPECIAL[0]), "key").when(m.rlike(r"^[\d -]+$") & (F.length(digits) >= 13), "card").when(m.rlike(r"^[\d() .-]+$"), "phone").otherwise("name")
     )
 
 
@@ -153,7 +154,9 @@ def surrogate(type_: Column, canon: Column, key: str, nonce: int) -> Column:
         local, host = F.substring_index(canon, "@", 1), F.regexp_extract(canon, r"@(.*)\.[^.]*$", 1)
         return F.concat(alike(local, seed(canon)), F.lit("@"), alike(host, seed(host)), F.lit("."), F.substring_index(canon, ".", -1))
 
-    hex_ = F.substring(F.sha2(seed(canon), 512), F.lit(1), F.length(canon))
+    # blocks of 128 digits, each after the first from the first and its number
+    blocks = lambda h: F.concat(h, F.array_join(F.transform(F.when(F.length(canon) > 128, F.sequence(F.lit(1), F.floor((F.length(canon) - 1) / 128).cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.sha2(F.concat_ws("|", h, i.cast("string")), 512)), ""))
+    hex_ = F.substring(let(F.sha2(seed(canon), 512), blocks), F.lit(1), F.length(canon))
     prefix = F.regexp_extract(canon, SPECIAL[0], 0)
     key_ = F.concat(prefix, alike(F.substring(canon, F.length(prefix) + 1, F.length(canon)), seed(canon)))
     return F.when(type_ == "email", email()).when(type_ == "ip", ip()).when(type_ == "card", card()).when(type_.isin("phone", "ssn"), phone()).when(type_ == "secret", hex_).when(type_ == "key", key_).otherwise(family(canon, seed(canon)))
@@ -188,11 +191,16 @@ def other_given(name: Column, key: str) -> Column:
 def rendered(m: Column, type_: Column, new: Column, key: str) -> Column:
     """A canonical surrogate in the form of the text's own spelling."""
     words = F.split(m, " ")
-    front = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: other_given(w, key))
+    known = F.array(*[F.lit(x) for x in [*TITLES, *[f"{t}." for t in TITLES], *[n for names in GIVEN.values() for n in names]]])
+    # any other word before the last may be a part of the family name
+    middle = lambda w: F.initcap(family(F.lower(w), F.concat_ws("|", F.lit(f"{key}|0"), F.lit("name"), F.lower(w))))
+    front = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: F.when(F.array_contains(known, w), other_given(w, key)).otherwise(middle(w)))
+    # a secret of both cases keeps the places of its capitals
+    mixed = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(new, i + 1, F.lit(1)))).otherwise(F.substring(new, i + 1, F.lit(1)))), "")
     shout = (m == F.upper(m)) & (m != F.lower(m))
     return (
         F.when(type_ == "name", F.array_join(F.concat(front, F.array(F.initcap(new))), " ")).when(type_.isin("card", "phone", "ssn"), poured(m, new))
-        .when(type_.isin("email", "secret") & shout, F.upper(new)).otherwise(new)
+        .when(type_.isin("email", "secret") & shout, F.upper(new)).when((type_ == "secret") & m.rlike("[A-F]"), mixed).otherwise(new)
     )
 
 

@@ -112,6 +112,19 @@ def test_pii_distinct(spark):
     assert len(set(got)) == len(texts) and not set(got) & set(texts)
 
 
+def test_pii_of_any_length(spark):
+    secrets = ["0123456789abcdef" * 20, "Ab" * 20, "sk-" + "aZ9" * 30, "sk-proj-" + "k3Q" * 12, "ghp_" + "x" * 50]
+    names = ["Anna Maria Schmidt", "Mr. Aaron Miller", "Frau Lang Termin"]
+    df = spark.createDataFrame([(i, f"so {t}, yes") for i, t in enumerate(secrets + names)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace(df, "k").collect()}
+    for i, t in enumerate(secrets):
+        new = got[i].text[3:-5]
+        assert len(new) == len(t) and new != t and got[i].n_entities == 1 and got[i].text[-5:] == ", yes"
+    assert len({got[0].text[3 + k : 35 + k] for k in (0, 128, 256)}) == 3
+    assert not any(w in got[5 + k].text for k in range(3) for w in ("Maria Schmidt", "Schmidt", "Aaron", "Miller", "Lang", "Termin"))
+    assert got[6].text.startswith("so Mr. ") and got[7].text.startswith("so Frau ")
+
+
 def near_classes(texts):
     """Brute force over all pairs."""
     def grams(t):
