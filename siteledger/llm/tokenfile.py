@@ -33,8 +33,8 @@ MAGIC = b"RPRS"
 HEAD = struct.Struct("<4sIIQQQ")
 #: Stands for a document's end while a shard is compressed.
 END = 0xFFFFFFFF
-#: Buckets of pairs that one round looks at, and most rounds.
-PAIRS, ROUNDS = 4096, 10
+#: Buckets of pairs that one round looks at.
+PAIRS = 4096
 #: Buckets of a round's first count, by which it leaves out rare pairs.
 BUCKETS = 1 << 20
 
@@ -56,14 +56,13 @@ def buckets(symbols: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray, first: int, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """symbols, rules: rule k stands for the pair rules[k] and has the symbol first + k. Ends stay as they are."""
     symbols, rules, n_rules = ids.astype(np.uint32), [], 0
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    most = PAIRS
+    while len(symbols) > 1:
         at = buckets(symbols)
         rough = np.bincount(at, minlength=BUCKETS + 1)[:BUCKETS]
         often = np.flatnonzero(rough >= least)
         look = np.zeros(BUCKETS + 1, bool)
-        look[often[np.argsort(-rough[often], kind="stable")[:PAIRS]]] = True
+        look[often[np.argsort(-rough[often], kind="stable")[:most]]] = True
         hit = np.flatnonzero(look[at])
         del at
         pairs, kind, n = np.unique((symbols[hit].astype(np.uint64) << np.uint64(32)) | symbols[hit + 1], return_inverse=True, return_counts=True)
@@ -72,7 +71,11 @@ def compress(ids: np.ndarray, first: int, least: int = 16) -> tuple[np.ndarray,
         rank[order] = np.arange(len(pairs))
         best = n[order] >= least
         if not best.any():
-            break
+            # buckets may be full of rare pairs; then more of them are looked at
+            if most >= len(often):
+                break
+            most *= 16
+            continue
         rank = rank[kind]
         good = rank < int(best.sum())
         hit, rank = hit[good], rank[good]

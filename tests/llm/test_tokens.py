@@ -114,3 +114,21 @@ def test_token_files(spark):
         assert (r.start, r.n_tokens, np.frombuffer(bytes(r.ids), "<u4").tolist()) == (at, len(want), want)
         at += len(want)
     assert tokenfile.round_trip(df.limit(0), str(BPE), end_id=0, first=65536).count() == 0
+
+
+def test_no_frequent_pair_stays():
+    text = np.random.default_rng(7).integers(0, 50000, 5000)
+    ids = np.concatenate([np.append(text, tokenfile.END) for _ in range(20)])
+    symbols, rules = tokenfile.compress(ids, 50000)
+    assert len(symbols) == 40 and expanded(symbols[0], rules) == text.tolist()
+
+
+def expanded(symbol, rules):
+    out, open_ = [], [int(symbol)]
+    while open_:
+        s = open_.pop()
+        if s < 50000:
+            out.append(s)
+        else:
+            open_ += [int(x) for x in reversed(rules[s - 50000])]
+    return out
