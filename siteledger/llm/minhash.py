@@ -11,14 +11,17 @@ and are verified by weighted Jaccard similarity of at least THRESHOLD; linked on
    have some bits more than the number of shingles needs, so few shingles share one.
 3. A document whose shingles with df >= 2 weigh under THRESHOLD of its total can't reach the
    threshold with any other; it ends here. The others are sketched.
-4. Within a bucket not all pairs are emitted. A round compares its members with some leaders, at first one,
-   then 32 times as many each time. A bucket is done if its members are in one class; if few members lie
+4. Within a bucket pairs are not emitted. A round compares its members with some leaders, at first one,
+   then 64 times as many each time. A bucket is done if its members are in one class; if few members lie
    outside the largest class, they are compared with all others and it is done too; else the next leaders
-   follow. So every pair of different classes in a bucket is compared in the end.
+   follow. From the second round on, bounded blocks of leaders meet bounded blocks of members in a task, which
+   returns only links that join classes. So every pair of different classes in a bucket is compared in the end.
 
 Null texts and texts without words are alike to nothing but equal texts are copies of each other; null texts
 link with nothing. A text of one to four words is one shingle. Rows with equal ids count as one
-document; rows with a null id get a null class and stay. Only the named columns are read.
+document, which links by the smallest of their texts in byte order and by all equal texts; rows with a null id get
+a null class and stay. An empty table gives no rows. A text of any length is one document; it is never cut. Only the
+named columns are read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteledger.llm.graph import components
@@ -40,6 +44,8 @@ WORDS, THRESHOLD = 5, 0.8
 SAMPLES, ROWS = 36, 3
 #: Characters of documents in one chunk, and of shingles in one range of hashes.
 CHUNK_CHARS, RANGE_CHARS = 8_000_000, 4_000_000
+#: Bytes of shingles in a block of a bucket, and members outside a bucket's largest class that meet all others at once.
+BLOCK_BYTES, FEW = 1_000_000, 1024
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -213,8 +219,14 @@ def sketched(docs: DataFrame, common: DataFrame, copies: DataFrame, bits: int, n
         codes = codes[first]
         out: dict[str, list] = {k: [] for k in ("doc_id", "samples", "keys", "weights", "total")}
         seen: set[int] = set()
+        ids, n = np.unique(left.column("doc_id").to_numpy(), return_counts=True)
+        least: dict[int, bytes] = {}
+        if (n > 1).any():
+            again = left.filter(pc.is_in(left.column("doc_id"), pa.array(ids[n > 1])))
+            for i, t in zip(again.column("doc_id").to_pylist(), again.column("text").to_pylist(), strict=True):
+                least[i] = min(least.get(i, t.encode()), t.encode())
         for batch in left.select(["doc_id", "text"]).to_batches(max_chunksize=1024):
-            rows = [(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if i not in skip and i not in seen and not seen.add(i)]
+            rows = [(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if i not in skip and i not in seen and (i not in least or t.encode() == least[i]) and not seen.add(i)]
             for at, texts in pieces([t for _, t in rows]):
                 owner, key, count = shingles(texts, WORDS, bits)
                 if not len(key) or not len(known):
@@ -262,46 +274,117 @@ def verified(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return wide.mapInArrow(run, "a long, b long")
 
 
+def cost() -> Column:
+    """Bytes that a document's shingles take."""
+    return F.octet_length("keys") + F.octet_length("weights") + 64
+
+
+def matched(heads: pa.Table, members: pa.Table) -> list[tuple[int, int]]:
+    """Links between heads and members of unlike classes, as few as join the classes that belong together."""
+
+    def side(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        keys = [np.frombuffer(k, "<u8") for k in table.column("keys").to_pylist()]
+        weights = [np.frombuffer(w, "<f4").astype(float) for w in table.column("weights").to_pylist()]
+        return keys, weights, table.column("total").to_numpy()
+
+    keys_h, weights_h, total_h = side(heads)
+    keys_m, weights_m, total_m = side(members)
+    known, place = np.unique(np.concatenate(keys_m), return_inverse=True)
+    weight, sizes = np.concatenate(weights_m), np.array([len(k) for k in keys_m])
+    stop = np.cumsum(sizes)
+    ids, names = np.concatenate([heads.column("doc_id").to_numpy(), members.column("doc_id").to_numpy()]), np.concatenate([heads.column("class").to_numpy(), members.column("class").to_numpy()])
+    _, group = np.unique(names, return_inverse=True)
+    group_h, group_m = group[: len(keys_h)], group[len(keys_h) :]
+    dense, out = np.zeros(len(known)), []
+    for h in range(len(keys_h)):
+        # a similarity is the smaller total over the larger one at the most, so this loses nothing
+        ask = np.flatnonzero((group_m != group_h[h]) & (np.minimum(total_m, total_h[h]) >= (THRESHOLD - 1e-6) * np.maximum(total_m, total_h[h])))
+        if not len(ask):
+            continue
+        at = np.minimum(np.searchsorted(known, keys_h[h]), len(known) - 1)
+        hit = known[at] == keys_h[h]
+        dense[at[hit]] = weights_h[h][hit]
+        if 2 * len(ask) > len(keys_m):
+            shared = np.bincount(np.repeat(np.arange(len(keys_m)), sizes), np.minimum(dense[place], weight), len(keys_m))[ask]
+        else:
+            shared = np.array([np.minimum(dense[place[stop[m] - sizes[m] : stop[m]]], weight[stop[m] - sizes[m] : stop[m]]).sum() for m in ask.tolist()])
+        dense[at[hit]] = 0
+        good = ask[shared / (total_h[h] + total_m[ask] - shared) >= THRESHOLD - 1e-6]
+        for g, m in zip(*np.unique(group_m[good], return_index=True), strict=True):
+            out.append((int(ids[h]), int(ids[len(keys_h) + good[m]])))
+            mine = group_h[h]
+            group_m[group_m == g], group_h[group_h == g] = mine, mine
+    return out
+
+
+def by_blocks(live: DataFrame, heads: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b: links between each bucket's heads and members. No pair is a row: blocks of members meet blocks of heads.
+
+    A bucket is dealt to blocks of about BLOCK_BYTES by the hash of the id, however large it is.
+    """
+    asked = cut(live.select("doc_id").unionByName(heads.select("doc_id")).distinct(), "asked")
+    payload = cut(sketches.select("doc_id", "keys", "weights", "total").join(asked, "doc_id", "left_semi"), "asked-shingles")
+    members, heads = live.join(payload, "doc_id"), heads.join(payload, "doc_id")
+    blocks = lambda side, name: side.groupBy("bucket").agg(F.ceil(F.sum(cost()) / BLOCK_BYTES).alias(name))
+    sizes = cut(blocks(members, "m_blocks").join(blocks(heads, "h_blocks"), "bucket"), "blocks")
+    others = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    columns = [F.col(c).alias(c) for c in ("bucket", "doc_id", "class", "keys", "weights", "total")]
+    members = members.join(sizes, "bucket").select(*columns, own("m_blocks").alias("m"), others("h_blocks").alias("h"))
+    heads = heads.join(sizes, "bucket").select(*columns, own("h_blocks").alias("h"), others("m_blocks").alias("m"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = matched(left, right) if left.num_rows and right.num_rows else []
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return heads.groupBy("bucket", "m", "h").cogroup(members.groupBy("bucket", "m", "h")).applyInArrow(run, "a long, b long")
+
+
 def links(sketches: DataFrame) -> DataFrame:
     """u, v: classes of sketched documents by verified links, in rounds of leaders."""
     n_bands = SAMPLES // ROWS
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda k: F.xxhash64(k, F.slice("samples", k * ROWS + 1, ROWS))))
-    members = cut(sketches.select("doc_id", "samples", band.alias("bucket")), "members")
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = cut(sketches.select("doc_id", band.alias("bucket")), "members")
+    # of buckets with the same members one is enough
+    alike = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.min("doc_id").alias("least")).where("n > 1")
+    sizes = alike.groupBy("n", "x", "least").agg(F.min("bucket").alias("bucket")).select("bucket")
     # written first, so that Spark can split a bucket that is hot
     open_ = cut(members.join(cut(sizes, "buckets"), "bucket", "left_semi").select("bucket", "doc_id"), "open")
     totals = sketches.select("doc_id", "total")
-    found = classes = done = None
+    classes = done = None
     leaders = 1
     while not open_.isEmpty():
         labelled = open_.withColumn("class", F.col("doc_id")) if classes is None else open_.join(classes, open_["doc_id"] == classes["u"], "left").select("bucket", "doc_id", F.coalesce("v", "doc_id").alias("class"))
         state = cut(labelled, "state")
         per_class = state.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
         sizes = per_class.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class"))["class"].alias("top"), F.max("n").alias("most")).where("classes > 1")
-        few = F.lit(leaders + 1)
-        buckets = cut(sizes.select("bucket", "top", (F.col("n") - F.col("most") < few).alias("whole")), "bucket-state")
+        few = F.lit(1 if leaders == 1 else max(leaders, FEW))
+        buckets = cut(sizes.select("bucket", "top", (F.col("n") - F.col("most") <= few).alias("whole")), "bucket-state")
         live = state.join(buckets, "bucket")
         ahead = live.where("not whole").select("bucket", "doc_id", "class")
         if done is not None:
             ahead = ahead.join(done, "bucket", "left").where(F.col("last").isNull() | (F.col("doc_id") > F.col("last"))).select("bucket", "doc_id", "class")
         # a task sends no more than the leaders of a bucket to the window
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
-        lead = ahead.withColumn("rank", rank).where(F.col("rank") <= leaders).select("bucket", F.col("doc_id").alias("a"), F.col("class").alias("class_a"))
-        lead = cut(lead, "leaders")
-        rest = live.where("whole and class != top").select("bucket", F.col("doc_id").alias("a"), F.col("class").alias("class_a"))
+        lead = cut(ahead.withColumn("rank", rank).where(F.col("rank") <= leaders).select("bucket", "doc_id", "class"), "leaders")
+        rest = live.where("whole and class != top").select("bucket", "doc_id", "class")
         heads = cut(lead.unionByName(rest), "heads")
-        pairs = live.select("bucket", "doc_id", "class", "whole").join(heads, "bucket").where((F.col("class") != F.col("class_a")) & (F.col("whole") | (F.col("doc_id") > F.col("a"))))
-        pairs = cut(pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct(), "pairs")
-        near = pairs.join(totals.select(F.col("doc_id").alias("a"), F.col("total").alias("ta")), "a").join(totals.select(F.col("doc_id").alias("b"), F.col("total").alias("tb")), "b")
-        # a similarity is the smaller total over the larger one at the most, so this loses nothing
-        able = F.least("ta", "tb") >= (THRESHOLD - 1e-6) * F.greatest("ta", "tb")
-        new = cut(verified(cut(near.where(able).select("a", "b"), "candidates"), sketches), "verified")
-        found = new if found is None else found.unionByName(new)
-        classes = components(found, "a", "b")
+        if leaders == 1:
+            # a member meets one head of a bucket, so pairs are as many as members at the most
+            one = heads.select("bucket", F.col("doc_id").alias("a"), F.col("class").alias("class_a"))
+            pairs = live.join(one, "bucket").where((F.col("class") != F.col("class_a")) & (F.col("whole") | (F.col("doc_id") > F.col("a"))))
+            pairs = cut(pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct(), "pairs")
+            near = pairs.join(totals.select(F.col("doc_id").alias("a"), F.col("total").alias("ta")), "a").join(totals.select(F.col("doc_id").alias("b"), F.col("total").alias("tb")), "b")
+            # a similarity is the smaller total over the larger one at the most, so this loses nothing
+            able = F.least("ta", "tb") >= (THRESHOLD - 1e-6) * F.greatest("ta", "tb")
+            new = cut(verified(cut(near.where(able).select("a", "b"), "candidates"), sketches), "verified")
+        else:
+            new = cut(by_blocks(live.select("bucket", "doc_id", "class"), heads, sketches), "verified")
+        classes = components(new if classes is None else new.unionByName(classes.select(F.col("u").alias("a"), F.col("v").alias("b"))), "a", "b")
         # a bucket goes on until its last member has led; then no pair of it is left
-        done = cut(lead.groupBy("bucket").agg(F.max("a").alias("last")), "done")
+        done = cut(lead.groupBy("bucket").agg(F.max("doc_id").alias("last")), "done")
         open_ = cut(open_.join(done.select("bucket"), "bucket", "left_semi"), "open")
-        leaders *= 32
+        leaders *= 64
     return classes if classes is not None else sketches.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0)
 
 
