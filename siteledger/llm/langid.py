@@ -4,12 +4,14 @@ The kernel counts the character n-grams (blended, 1 to 4) that two texts share,
 divides by the geometric mean of both texts' own counts. Nystroem features come from landmark texts; a
 kernel ridge regression for each language against the rest is fitted on them. As the kernel is linear in
 n-gram presence, a text's scores are one product of its presence vector with a matrix over the
-landmarks' n-grams, made for many texts at a time.
-
-Fitting takes a bounded sample: TRAIN_ROWS labelled rows shared out evenly over the languages, none
-longer than TRAIN_CHARS. Prediction reads every whole text. Null texts and texts without a letter get
-`und` and score 0; so does every text if no labelled row can be learned from. Ties go to the language that
-sorts first. Repeated rows get equal answers. Only the named columns are read.
+landmarks' n-grams, made for many texts at a time. Characters of every script count: one or two stand for
+themselves, three or four are hashed to 48 bits.
+
+Fitting takes a bounded sample: TRAIN_ROWS labelled rows shared out evenly over the languages (the
+LANGUAGES most frequent values), none longer than TRAIN_CHARS. Prediction reads every whole text. Null texts and texts
+without a letter (Unicode category L) get `und` and score 0; so does every text if no labelled row can be
+learned from, as in an empty table. Ties go to the language that sorts first. Repeated rows get equal answers. A very
+long text is one presence vector. Only the named columns are read; others can have any names.
 """
 
 from __future__ import annotations
@@ -22,71 +24,142 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteledger.llm.pretokens import mixed
 from siteledger.llm.shared import annotated
 
-TRAIN_ROWS, TRAIN_CHARS, LANDMARKS, RIDGE = 2400, 20_000, 200, 0.05
+TRAIN_ROWS, TRAIN_CHARS, LANDMARKS, RIDGE, LANGUAGES = 2400, 20_000, 200, 0.05, 500
 MAX_N = 4
-#: Symbols of the kernel's alphabet; all other characters share symbol 0.
-ALPHABET = 254
-#: Characters that one array pass takes.
-CHUNK = 300_000
-HAS_LETTER = re.compile(r"[^\W\d_]")
+#: Characters that one array pass takes, and pairs of n-grams and landmarks that one product takes.
+CHUNK, PAIRS = 300_000, 500_000
+#: Bits of an n-gram's code; the rest of a key numbers the texts of one pass.
+BITS = np.uint64(48)
 BLANKS = re.compile(r"\s+")
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def plain(text: str) -> str:
     return BLANKS.sub(" ", text).lower()
 
 
+def presence(cps: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, code) of each text's distinct n-grams; owner rises along the code points."""
+    m = len(cps) - n + 1
+    if m < 1:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    code = cps[:m].copy()
+    for k in range(1, n):
+        code = code << np.uint64(21) | cps[k : m + k] if k < 2 else mixed(code * np.uint64(0x110000) + cps[k : m + k])
+    if n > 2:
+        code >>= np.uint64(16)
+    key = owner[:m].astype(np.uint64) << BITS | code
+    if n > 1:
+        key = key[owner[:m] == owner[n - 1 :]]
+    key.sort()
+    if len(key):
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    return (key >> BITS).astype(np.int64), key & np.uint64((1 << 48) - 1)
+
+
+def laid_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    return np.concatenate(parts).astype(np.uint64), np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+
+
+def passes(sizes: list[int], most: int = 512) -> Iterator[slice]:
+    """Runs of texts with about CHUNK characters and at most so many texts."""
+    at = size = 0
+    for i, n in enumerate(sizes):
+        if i > at and (size + n > CHUNK or i - at >= most):
+            yield slice(at, i)
+            at, size = i, 0
+        size += n
+    if len(sizes) > at:
+        yield slice(at, len(sizes))
+
+
 @dataclass
 class Grams:
-    """The alphabet and, for each n, the sorted codes of the landmarks' n-grams with their rows of weights."""
+    """For each n the sorted codes of the landmarks' n-grams with a row of weights for each."""
 
-    table: np.ndarray
     codes: list[np.ndarray]
     weights: list[np.ndarray]
 
-    def symbols(self, text: str) -> np.ndarray:
-        cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return self.table[np.minimum(cps, len(self.table) - 1)]
+    def products(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's presence vector times the weights, and the text's kernel with itself."""
+        out, own = np.zeros((len(texts), self.weights[0].shape[1])), np.zeros(len(texts))
+        cps, owner = laid_out(texts)
+        for n, (codes, weights) in enumerate(zip(self.codes, self.weights, strict=True), 1):
+            who, code = presence(cps, owner, n)
+            own += np.bincount(who, minlength=len(texts))
+            if not len(codes):
+                continue
+            at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            hit = codes[at] == code
+            who, at = who[hit], at[hit]
+            for c in range(weights.shape[1]):
+                out[:, c] += np.bincount(who, weights[at, c], len(texts))
+        return out, own
 
 
-def presence(symbols: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, code) of each text's distinct n-grams; owner rises along the symbols."""
-    if len(symbols) < n:
-        return np.empty(0, np.int64), np.empty(0, np.uint32)
-    key = owner[: len(owner) - n + 1].astype(np.uint64) << np.uint64(32)
-    for k in range(n):
-        key |= symbols[k : len(symbols) - n + 1 + k].astype(np.uint64) << np.uint64(8 * k)
-    if n > 1:
-        key = key[owner[: len(owner) - n + 1] == owner[n - 1 :]]
-    key.sort()
-    if len(key):
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    return (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32)
-
-
-def laid_out(grams: Grams, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [grams.symbols(t) for t in texts]
-    return np.concatenate(parts), np.repeat(np.arange(len(texts)), [len(p) for p in parts])
-
+@dataclass
+class Landmarks:
+    """For each n the sorted codes, and which landmarks hold each: holders[start[k] : start[k + 1]] for code k."""
 
-def products(grams: Grams, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's presence vector times the weights, and the text's kernel with itself."""
-    out, own = np.zeros((len(texts), grams.weights[0].shape[1])), np.zeros(len(texts))
-    symbols, owner = laid_out(grams, texts)
-    for n, (codes, weights) in enumerate(zip(grams.codes, grams.weights, strict=True), 1):
-        who, code = presence(symbols, owner, n)
-        own += np.bincount(who, minlength=len(texts))
-        if not len(codes):
-            continue
-        at = np.searchsorted(codes, code)
-        at[at == len(codes)] = 0
-        hit = codes[at] == code
-        who, rows = who[hit], weights[at[hit]]
-        for c in range(rows.shape[1]):
-            out[:, c] += np.bincount(who, rows[:, c], len(texts))
-    return out, own
+    own: np.ndarray
+    codes: list[np.ndarray]
+    starts: list[np.ndarray]
+    holders: list[np.ndarray]
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Landmarks:
+        out = cls(np.zeros(len(texts)), [], [], [])
+        cps, owner = laid_out(texts)
+        for n in range(1, MAX_N + 1):
+            who, code = presence(cps, owner, n)
+            out.own += np.bincount(who, minlength=len(texts))
+            order = np.argsort(code, kind="stable")
+            codes, counts = np.unique(code, return_counts=True)
+            out.codes.append(codes)
+            out.starts.append(np.concatenate([[0], np.cumsum(counts)]))
+            out.holders.append(who[order])
+        return out
+
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        """The normalised kernel of texts with the landmarks. Shared n-grams are counted in bounded runs."""
+        width = len(self.own)
+        rows = []
+        for part in passes([len(t) for t in texts]):
+            held = texts[part]
+            shared, own = np.zeros(len(held) * width), np.zeros(len(held))
+            cps, owner = laid_out(held)
+            for n, (codes, starts, holders) in enumerate(zip(self.codes, self.starts, self.holders, strict=True), 1):
+                who, code = presence(cps, owner, n)
+                own += np.bincount(who, minlength=len(held))
+                if not len(codes):
+                    continue
+                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                hit = codes[at] == code
+                who, at = who[hit], at[hit]
+                many = starts[at + 1] - starts[at]
+                after = np.cumsum(many)
+                k = 0
+                while k < len(at):
+                    stop = max(k + 1, int(np.searchsorted(after, after[k] - many[k] + PAIRS)))
+                    m, base = many[k:stop], after[k] - many[k]
+                    inside = np.arange(m.sum()) - np.repeat(after[k:stop] - m - base, m)
+                    shared += np.bincount(np.repeat(who[k:stop], m) * width + holders[np.repeat(starts[at[k:stop]], m) + inside], minlength=len(shared))
+                    k = stop
+            rows.append(shared.reshape(len(held), width) / np.sqrt(np.maximum(own, 1))[:, None] / np.sqrt(np.maximum(self.own, 1)))
+        return np.concatenate(rows)
+
+    def weighted(self, weights: np.ndarray) -> Grams:
+        """weights: a row for each landmark. Each n-gram gets the sum over the landmarks that hold it."""
+        scaled = weights / np.sqrt(np.maximum(self.own, 1))[:, None]
+        of = [np.repeat(np.arange(len(c)), np.diff(s)) for c, s in zip(self.codes, self.starts, strict=True)]
+        return Grams(self.codes, [np.stack([np.bincount(o, scaled[h, c], len(k)) for c in range(weights.shape[1])], 1) for o, h, k in zip(of, self.holders, self.codes, strict=True)])
 
 
 @dataclass
@@ -97,78 +170,47 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
-        if not self.languages:
-            return lang, score
-        asked = [i for i, t in enumerate(texts) if t and HAS_LETTER.search(t)]
-        held: list[int] = []
-        size = 0
-        for i in [*asked, -1]:
-            if i >= 0:
-                held.append(i)
-                size += len(texts[i])
-            if held and (size > CHUNK or i < 0):
-                out, own = products(self.grams, [plain(texts[k]) for k in held])
-                out = out / np.sqrt(np.maximum(own, 1))[:, None] + self.bias
-                best = out.argmax(1)
-                for k, b, s in zip(held, best.tolist(), out[np.arange(len(held)), best].tolist(), strict=True):
-                    lang[k], score[k] = self.languages[b], min(1.0, max(0.0, (s + 1) / 2))
-                held, size = [], 0
+        asked = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.languages else []
+        for part in passes([len(texts[i]) for i in asked]):
+            out, own = self.grams.products([plain(texts[i]) for i in asked[part]])
+            out = out / np.sqrt(np.maximum(own, 1))[:, None] + self.bias
+            best = out.argmax(1)
+            for k, b, s in zip(asked[part], best.tolist(), out[np.arange(len(best)), best].tolist(), strict=True):
+                lang[k], score[k] = self.languages[b], min(1.0, max(0.0, (s + 1) / 2))
         return lang, score
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
-    """rows: (text, language) of the sample. Landmarks are the first rows of each language in turn."""
-    rows = [(plain(t), c) for t, c in rows if HAS_LETTER.search(t)]
+    """rows: (text, language) of the sample. Landmarks are the first rows of each language in turn, long ones before short ones."""
+    rows = [(plain(t), c) for t, c in rows if has_letter(t)]
     languages = sorted({c for _, c in rows})
     if not languages:
         return Model([], None, None)
     by = {c: [t for t, k in rows if k == c] for c in languages}
-    landmarks = [t for c in languages for t in sorted(by[c], key=lambda t: len(t) < 200)[: max(1, LANDMARKS // len(languages))]]
-    cps, counts = np.unique(np.frombuffer("".join(landmarks).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-    keep = np.sort(cps[np.lexsort((cps, -counts))[:ALPHABET]])
-    table = np.zeros(int(keep.max()) + 2, np.uint8)
-    table[keep] = np.arange(1, len(keep) + 1)
-    grams = Grams(table, [], [])
-    symbols, owner = laid_out(grams, landmarks)
-    own = np.zeros(len(landmarks))
-    for n in range(1, MAX_N + 1):
-        who, code = presence(symbols, owner, n)
-        own += np.bincount(who, minlength=len(landmarks))
-        codes, at = np.unique(code, return_inverse=True)
-        rows_n = np.zeros((len(codes), len(landmarks)))
-        rows_n[at, who] = 1
-        grams.codes.append(codes)
-        grams.weights.append(rows_n)
-    norm = np.sqrt(np.maximum(own, 1))
-    grams.weights = [w / norm for w in grams.weights]
-
-    def kernel(texts: list[str]) -> np.ndarray:
-        out = [products(grams, texts[k : k + 100]) for k in range(0, len(texts), 100)]
-        return np.concatenate([p / np.sqrt(np.maximum(o, 1))[:, None] for p, o in out])
-
-    values, vectors = np.linalg.eigh(kernel(landmarks))
+    share = max(1, LANDMARKS // len(languages))
+    chosen = [t for c in languages for t in sorted(by[c], key=lambda t: len(t) < 200)[:share]]
+    landmarks = Landmarks.of(chosen)
+    values, vectors = np.linalg.eigh(landmarks.kernel(chosen))
     big = values > 1e-6 * values[-1]
     root = vectors[:, big] / np.sqrt(values[big])
-    features = kernel([t for t, _ in rows]) @ root
+    features = landmarks.kernel([t for t, _ in rows]) @ root
     mean = features.mean(0)
     target = np.where(np.array([[c == k for k in languages] for _, c in rows]), 1.0, -1.0)
     offset = target.mean(0)
     centred = features - mean
     solved = np.linalg.solve(centred.T @ centred + RIDGE * np.eye(len(mean)), centred.T @ (target - offset))
-    grams.weights = [w @ root @ solved for w in grams.weights]
-    return Model(languages, grams, offset - mean @ solved)
+    return Model(languages, landmarks.weighted(root @ solved), offset - mean @ solved)
 
 
 def sample(docs: DataFrame, allowed: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
     """About TRAIN_ROWS labelled rows, the same number for each language where there are as many."""
     rows = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= TRAIN_CHARS))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row for each language
+    counts = {r[0]: r["n"] for r in rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(LANGUAGES).collect()}
     if not counts:
         return []
     share = TRAIN_ROWS / len(counts)
-    rate = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        rate = F.when(F.col(lang_col) == lang, F.lit(min(1.0, share / n))).otherwise(rate)
+    rates = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, share / n))])
+    rate = F.coalesce(F.element_at(rates, F.col(lang_col)), F.lit(0.0))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
     got = rows.where(draw < rate).select(draw.alias("d"), F.col(text_col), F.col(lang_col)).orderBy("d", text_col).limit(2 * TRAIN_ROWS).collect()
     return [(r[1], r[2]) for r in got]

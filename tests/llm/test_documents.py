@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siteledger.llm import langid, minhash, pii, quality
 from siteledger.llm.queries import queries, table
@@ -69,13 +70,52 @@ def test_language(spark):
     assert langid.fit([]).predict(["x"]) [0] == ["und"]
 
 
-def test_language_kernel_counts():
-    model = langid.fit([("abab c", "x"), ("dede f", "y")])
-    texts = ["abab", "zz", "abc de"]
-    out, own = langid.products(model.grams, texts)
-    symbols = {t: [int(s) for s in model.grams.symbols(t)] for t in texts}
-    for t, k in zip(texts, own, strict=True):
-        assert k == sum(len({tuple(symbols[t][i : i + n]) for i in range(len(t) - n + 1)}) for n in range(1, 5))
+def grams_of(text):
+    text = re.sub(r"\s+", " ", text).lower()
+    return {text[i : i + n] for n in range(1, 5) for i in range(len(text) - n + 1)}
+
+
+def kernel_of(a, b):
+    return len(grams_of(a) & grams_of(b)) / np.sqrt(len(grams_of(a)) * len(grams_of(b)))
+
+
+def test_language_equals_ridge_over_sets(monkeypatch):
+    monkeypatch.setattr(langid, "LANDMARKS", 6)
+    monkeypatch.setattr(langid, "PAIRS", 7)
+    monkeypatch.setattr(langid, "CHUNK", 50)
+    rng = random.Random(8)
+    words = {"en": "the and with small cat house over".split(), "de": "der und mit kleine Katze Haus über".split(), "zh": "今天 天气 很好 我们 一起 出去 走走".split()}
+    rows = [(" ".join(rng.choices(words[c], k=rng.randrange(4, 9))), c) for _ in range(12) for c in words]
+    asked = ["die kleine Katze", "over the house", "今天我们走走", "²", "x", "a" * 500 + "漢字"]
+    lang, score = langid.fit(rows).predict(asked)
+    names = sorted(words)
+    landmarks = [t for c in names for t, k in rows if k == c]
+    landmarks = [t for c in names for t in [t for t, k in rows if k == c][:2]]
+    between = lambda xs: np.array([[kernel_of(x, y) for y in landmarks] for x in xs])
+    values, vectors = np.linalg.eigh(between(landmarks))
+    root = vectors[:, values > 1e-6 * values[-1]] / np.sqrt(values[values > 1e-6 * values[-1]])
+    x = np.hstack([between([t for t, _ in rows]) @ root, np.ones((len(rows), 1))])
+    y = np.array([[1.0 if c == k else -1.0 for k in names] for _, c in rows])
+    ridge = langid.RIDGE * np.eye(x.shape[1])
+    ridge[-1, -1] = 0  # the offset isn't shrunk
+    want = np.hstack([between(asked) @ root, np.ones((len(asked), 1))]) @ np.linalg.solve(x.T @ x + ridge, x.T @ y)
+    for k, t in enumerate(asked):
+        if t == "²":
+            assert (lang[k], score[k]) == ("und", 0)
+        else:
+            assert lang[k] == names[want[k].argmax()] and score[k] == pytest.approx(np.clip((want[k].max() + 1) / 2, 0, 1))
+
+
+def test_language_of_odd_rows(spark):
+    rows = [(1, "the cat", "en", "x"), (2, None, "en", "x"), (3, "", "de", "x"), (4, "² ½ Ⅷ 12", "en", "x"), (5, "der Hund", "de", "x"), (None, "der Hund", None, "x"), (5, "der Hund", "de", "x"), (6, "der Hund " * 40_000, "de", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    model = langid.train(df)
+    got = langid.predict(df, model, df.columns).select("row.doc_id", "row.score", "lang_pred").collect()
+    assert len(got) == len(rows) and {r.score for r in got} == {"x"}
+    assert {r.doc_id: r.lang_pred for r in got if r.doc_id in (2, 3, 4)} == {2: "und", 3: "und", 4: "und"}
+    assert len({r.lang_pred for r in got if r.doc_id in (None, 5)}) == 1
+    empty = df.limit(0)
+    assert langid.predict(empty, langid.train(empty), empty.columns).count() == 0
 
 
 PRIVATE = [
@@ -192,6 +232,45 @@ def test_all_pairs_of_a_band_are_compared_exactly(spark):
     assert [(r.u, r.v) for r in got] == [(2, 1)]
 
 
+def test_blocks_join_what_belongs_together(spark, monkeypatch):
+    """One bucket of vectors of which few are alike, over many blocks and rounds, against all pairs."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(minhash, "FEW", 3)
+    rng = np.random.default_rng(9)
+    rows, sets = [], []
+    for k in range(150):
+        base = np.arange(100 * (k % 9), 100 * (k % 9) + 40)
+        keep = np.sort(np.concatenate([np.delete(base, rng.choice(40, rng.integers(0, 5), False)), rng.choice(np.arange(2000, 9000), 2, False)]))
+        weight = (1 + keep % 7 / 7).astype("<f4")
+        sets.append(dict(zip(keep.tolist(), weight.astype(float).tolist(), strict=True)))
+        rows.append((k, [*range(minhash.SAMPLES)], bytearray(keep.astype("<u8").tobytes()), bytearray(weight.tobytes()), float(weight.astype(float).sum())))
+    root = list(range(150))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(150):
+        for b in range(a):
+            shared = sum(min(w, sets[b][g]) for g, w in sets[a].items() if g in sets[b])
+            if shared / (rows[a][4] + rows[b][4] - shared) >= 0.8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = {k: find(k) for k in range(150) if find(k) != k}
+    assert 20 < len(want) < 149 and len(set(want.values())) > 1
+    got = minhash.links(spark.createDataFrame(rows, minhash.SKETCHED)).collect()
+    assert {r.u: r.v for r in got} == want
+
+
+def test_equal_ids_take_the_smallest_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(1, b), (1, a), (2, a + " x"), (3, b + " x")], "doc_id long, text string")
+    for order in ("text", "doc_id"):
+        got = {r.doc_id: r.class_id for r in minhash.classes(df.orderBy(F.desc(order))).collect()}
+        assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_weighted_sampling_estimates_similarity():
     rng = np.random.default_rng(5)
     key = rng.integers(0, 1 << 60, 400).astype(np.uint64)
@@ -203,8 +282,6 @@ def test_weighted_sampling_estimates_similarity():
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
-    from pyspark.sql import functions as F
-
     docs = table(spark, sf, "documents").withColumns({c: F.lit("x") for c in ("kept", "lang_pred", "score", "row", "n_entities", "odd.name", "class_id", "p")})
     columns, kept = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
