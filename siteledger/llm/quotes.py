@@ -4,7 +4,8 @@ A line's quote level is the number of leading `>` (blanks before each and one af
 one level in a row form a passage; a deeper level is a passage of its own. Passages are normalised (lower case,
 white space squeezed) and hashed: whole, then by paragraph, then by line. So is each message's own text.
 A quoted passage comes from the earliest message of its conversation, before the quoting one, that holds it;
-failing that, from the earliest message of all, if that comes before the quoting one by (conversation, turn).
+failing that, and if it has FAR_WORDS words or more and messages of one conversation alone hold it, from the earliest of
+those, if that comes before the quoting one by (conversation, turn). Short or common passages link no conversations.
 The parent of a message is the source of its first linked passage of level one, else the turn before
 it in its conversation. A thread is a tree of parents; its root is its earliest message, and since
 parents always come earlier, (conversation, turn) is its reply order.
@@ -12,7 +13,7 @@ parents always come earlier, (conversation, turn) is its reply order.
 One row for each row of messages: the text without quotes and without the attribution line over a
 quote, parent, thread, position in the thread from 0. Null texts count as empty. Rows with a null conversation
 or turn have no parent, thread or position. Rows with equal conversation and turn count as one message that holds all their
-passages. Extra columns are not read.
+passages. Texts of any length are read whole. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,21 +30,18 @@ from siteledger.llm.graph import components
 from siteledger.llm.packing import starts_of
 from siteledger.llm.shared import cut
 
+#: Words that a passage needs to link two conversations.
+FAR_WORDS = 5
 LEAD = re.compile(r"(?:[ \t]*>)+[ \t]?")
 ATTRIBUTION = re.compile(r"(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*$", re.I)
 EMPTY_LINE = re.compile(r"\n[ \t]*\n")
 WHITE = re.compile(r"\s+")
 
 
-def hashed(text: str) -> str | None:
-    plain = WHITE.sub(" ", text.lower()).strip()
-    return hashlib.sha256(plain.encode()).hexdigest() if plain else None
-
-
-def units(text: str) -> list[str]:
-    """Hashes of a text: whole, its paragraphs, its lines; each once, in this order."""
-    parts = [text, *EMPTY_LINE.split(text), *text.split("\n")]
-    return list(dict.fromkeys(h for h in map(hashed, parts) if h))
+def units(text: str) -> dict[str, int]:
+    """Hashes of a text, with their words: whole, its paragraphs, its lines; each once, in this order."""
+    parts = (WHITE.sub(" ", p.lower()).strip() for p in [text, *EMPTY_LINE.split(text), *text.split("\n")])
+    return {hashlib.sha256(p.encode("utf-8", "surrogatepass")).hexdigest(): p.count(" ") + 1 for p in parts if p}
 
 
 def parsed(text: str | None) -> tuple[str, list[tuple[int, str]]]:
@@ -62,19 +60,19 @@ def parsed(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return own.strip("\n"), [(level, "\n".join(body)) for level, body in runs if level]
 
 
-PARSED = "conv long, turn long, clean string, n_quotes long, quotes array<struct<no:int,level:int,rank:int,hash:string>>, units array<string>"
+PARSED = "conv long, turn long, clean string, n_quotes long, quotes array<struct<no:int,level:int,rank:int,hash:string,words:int>>, units array<string>"
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    quote = pa.struct([("no", pa.int32()), ("level", pa.int32()), ("rank", pa.int32()), ("hash", pa.string())])
+    quote = pa.struct([("no", pa.int32()), ("level", pa.int32()), ("rank", pa.int32()), ("hash", pa.string()), ("words", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
                 out = [parsed(t) for t in part.column(2).to_pylist()]
-                quotes = [[{"no": no, "level": level, "rank": rank, "hash": h} for no, (level, passage) in enumerate(found) for rank, h in enumerate(units(passage))] for _, found in out]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([o for o, _ in out], pa.string()), pa.array([len(f) for _, f in out], pa.int64()), pa.array(quotes, pa.list_(quote)), pa.array([units(o) for o, _ in out], pa.list_(pa.string()))], names=["conv", "turn", "clean", "n_quotes", "quotes", "units"])
+                quotes = [[{"no": no, "level": level, "rank": rank, "hash": h, "words": n} for no, (level, passage) in enumerate(found) for rank, (h, n) in enumerate(units(passage).items())] for _, found in out]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([o for o, _ in out], pa.string()), pa.array([len(f) for _, f in out], pa.int64()), pa.array(quotes, pa.list_(quote)), pa.array([list(units(o)) for o, _ in out], pa.list_(pa.string()))], names=["conv", "turn", "clean", "n_quotes", "quotes", "units"])
 
     return messages.mapInArrow(run, PARSED)
 
@@ -114,7 +112,7 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     keys = numbered(real.select("conv", "turn").distinct(), ["conv"], ["turn"]).withColumnRenamed("rank", "id")
     before = keys.select("conv", (F.col("position") + 1).alias("position"), F.col("id").alias("before"))
     keys = keys.join(before, ["conv", "position"], "left").select("conv", "turn", "id", "before")
-    quotes = real.where(F.size("quotes") > 0).select("conv", "turn", F.inline("quotes")).join(keys.select("conv", "turn", "id"), ["conv", "turn"]).select("conv", "id", "no", "level", "rank", "hash").distinct()
+    quotes = real.where(F.size("quotes") > 0).select("conv", "turn", F.inline("quotes")).join(keys.select("conv", "turn", "id"), ["conv", "turn"]).select("conv", "id", "no", "level", "rank", "hash", "words").distinct()
     quotes = cut(quotes, "quotes")
     if quotes.isEmpty():
         tree = cut(keys.select("conv", "turn", "id", "before", F.lit(None).cast("long").alias("link"), F.lit(0).cast("long").alias("n_linked")), "tree")
@@ -122,9 +120,9 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
         asked = cut(quotes.select("hash").distinct(), "asked")
         held = real.select("conv", "turn", F.explode("units").alias("hash")).join(asked, "hash", "left_semi").join(keys.select("conv", "turn", "id"), ["conv", "turn"])
         near = cut(held.groupBy("hash", "conv").agg(F.min("id").alias("near")), "near")
-        far = cut(near.groupBy("hash").agg(F.min("near").alias("far")), "far")
+        far = cut(near.groupBy("hash").agg(F.min("near").alias("far"), F.count(F.lit(1)).alias("homes")).where("homes = 1").select("hash", "far"), "far")
         found = quotes.join(near, ["hash", "conv"], "left").join(far, "hash", "left")
-        source = F.when(F.col("near") < F.col("id"), F.col("near")).when(F.col("far") < F.col("id"), F.col("far"))
+        source = F.when(F.col("near") < F.col("id"), F.col("near")).when((F.col("far") < F.col("id")) & (F.col("words") >= FAR_WORDS), F.col("far"))
         found = found.withColumn("source", source).where("source is not null")
         best = found.groupBy("id").agg(F.min(F.when(F.col("level") == 1, F.struct("no", "rank", "source")))["source"].alias("link"), F.count_distinct("no").alias("n_linked"))
         tree = cut(keys.join(best, "id", "left").select("conv", "turn", "id", "before", "link", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked")), "tree")

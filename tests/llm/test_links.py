@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 import numpy as np
 
@@ -77,15 +78,90 @@ def test_components(spark):
 
 
 def test_conversations(spark):
+    long = "Fine, thanks, and how is yours?"
     rows = [
-        (1, 0, "Hello there.\n\nHow are you?"), (1, 1, "On Monday X wrote:\n> Hello there.\n>\n> How are you?\nFine, thanks."), (1, 2, "> > How are   you?\n> Fine, thanks.\nGood."), (1, 3, "> hello THERE.\nback to first"),
-        (2, 0, "> Fine, thanks.\ncross"), (2, 1, "next"), (3, 5, None), (3, 5, "dup"), (None, 1, "> x\nnull"), (4, 1, "> unknown quote\ntext"), (4, 7, "> text\n>> unknown quote\nself"),
+        (1, 0, "Hello there.\n\nHow are you?"), (1, 1, f"On Monday X wrote:\n> Hello there.\n>\n> How are you?\n{long}"), (1, 2, f"> > How are   you?\n> {long}\nGood."), (1, 3, "> hello THERE.\nback to first"),
+        (2, 0, f"> {long}\ncross"), (2, 1, "next"), (3, 5, None), (3, 5, "dup"), (None, 1, "> x\nnull"), (4, 1, "> unknown quote\ntext"), (4, 7, "> text\n>> unknown quote\nself"),
+        (5, 0, "> Hello there.\nshort passages link no conversations"), (6, 0, "a line that two conversations hold"), (7, 0, "a line that two conversations hold"), (8, 0, "> a line that two conversations hold\ncommon"),
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, text string, position string")
     got = {(r.conv_id, r.turn, r.text): r for r in quotes.conversations(df).collect()}
     assert len(got) == len(rows)
     parent = lambda c, t, x: (got[c, t, x].parent_conv, got[c, t, x].parent_turn)
-    assert parent(1, 1, "Fine, thanks.") == (1, 0) and parent(1, 2, "Good.") == (1, 1) and parent(1, 3, "back to first") == (1, 0) and parent(2, 0, "cross") == (1, 1)
+    assert parent(1, 1, long) == (1, 0) and parent(1, 2, "Good.") == (1, 1) and parent(1, 3, "back to first") == (1, 0) and parent(2, 0, "cross") == (1, 1)
     assert (got[2, 1, "next"].thread_conv, got[2, 1, "next"].thread_turn, got[2, 1, "next"].position) == (1, 0, 5)
     assert got[None, 1, "null"].thread_conv is None and parent(4, 1, "text") == (None, None) and got[4, 7, "self"].n_linked == 1
+    assert parent(5, 0, "short passages link no conversations") == (None, None) == parent(8, 0, "common")
     assert quotes.conversations(df.limit(0)).count() == 0
+
+
+def generated(seed, n_conv):
+    """Messages that quote earlier ones of their own or another conversation, up to three levels deep."""
+    rng = random.Random(seed)
+    own, full, rows = {}, {}, []
+    for conv in range(n_conv):
+        for turn in range(rng.randrange(1, 9)):
+            text = "\n".join(" ".join(f"w{rng.randrange(40)}" for _ in range(rng.choice([1, 2, 6, 9]))) for _ in range(rng.randrange(1, 4)))
+            head = ""
+            if full and rng.random() < 0.6:
+                source = rng.choice([k for k in full if k[0] == conv] or list(full)) if rng.random() < 0.7 else rng.choice(list(full))
+                quoted = full[source].split("\n")
+                if rng.random() < 0.4:
+                    quoted = [rng.choice(quoted)]
+                head = "Someone wrote:\n" + "".join(("> " if rng.random() < 0.9 else ">") + q + "\n" for q in quoted)
+            own[conv, turn], full[conv, turn] = text, head + text
+            rows.append((conv, turn, head + text))
+    return rows
+
+
+def threads_of(rows):
+    """Brute force over all earlier messages."""
+    norm = lambda t: " ".join(t.lower().split())
+    parts = lambda t: [p for p in dict.fromkeys(norm(p) for p in [t, *t.split("\n\n"), *t.split("\n")]) if p]
+    own, quoted = {}, {}
+    for c, t, text in rows:
+        mine, runs = [], []
+        for line in text.split("\n"):
+            level, body = 0, line
+            while body.lstrip(" \t").startswith(">"):
+                level, body = level + 1, body.lstrip(" \t")[1:]
+            body = body[1:] if level and body[:1] in (" ", "\t") else body
+            if not level:
+                mine.append(line)
+            elif runs and runs[-1][2] and runs[-1][0] == level:
+                runs[-1][1].append(body)
+            else:
+                if mine and mine[-1].endswith("wrote:") and not (runs and runs[-1][2]):
+                    mine.pop()
+                runs.append([level, [body], True])
+            if not level and runs:
+                runs[-1][2] = False
+        own[c, t], quoted[c, t] = "\n".join(mine), [(level, "\n".join(body)) for level, body, _ in runs]
+    held = {k: parts(v) for k, v in own.items()}
+    parent, linked, root = {}, {}, {}
+    for k in sorted(own):
+        links = []
+        for no, (level, passage) in enumerate(quoted[k]):
+            for rank, p in enumerate(parts(passage)):
+                near = [m for m in sorted(held) if m[0] == k[0] and p in held[m]]
+                homes = {m[0] for m in held if p in held[m]}
+                far = [m for m in sorted(held) if p in held[m]] if len(homes) == 1 and len(p.split()) >= quotes.FAR_WORDS else []
+                source = next((m[0] for m in (near, far) if m and m[0] < k), None)
+                if source:
+                    links.append((level, no, rank, source))
+        linked[k] = len({no for _, no, _, _ in links})
+        before = [m for m in own if m[0] == k[0] and m < k]
+        first = min(((no, rank, source) for level, no, rank, source in links if level == 1), default=None)
+        parent[k] = first[2] if first else max(before, default=None)
+        root[k] = root[parent[k]] if parent[k] else k
+    order = {r: sorted(k for k in root if root[k] == r) for r in set(root.values())}
+    return {k: (own[k].strip("\n"), len(quoted[k]), linked[k], parent[k], root[k], order[root[k]].index(k)) for k in own}
+
+
+def test_generated_conversations(spark):
+    rows = generated(11, 120)
+    want = threads_of(rows)
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(5)).collect()
+    both = lambda a, b: None if a is None else (a, b)
+    assert {(r.conv_id, r.turn): (r.text, r.n_quotes, r.n_linked, both(r.parent_conv, r.parent_turn), (r.thread_conv, r.thread_turn), r.position) for r in got} == want
+    assert sum(w[2] > 0 for w in want.values()) > 100 and any(w[3] and w[3][0] != k[0] for k, w in want.items())
