@@ -7,8 +7,9 @@ decoded by Viterbi, hold at least MIN_CONTENT of the words.
 
 Fitting takes a bounded sample of TRAIN_DOCS labelled documents, none longer than TRAIN_CHARS: lines
 of good documents count as content, lines of bad ones as boilerplate. Scoring reads every
-whole text. Null and empty texts have no words and fail. If there are no labels, all lines are content.
-Repeated rows get equal answers. Only the named columns are read.
+whole text; a very long one is decoded as one chain. Null and empty texts have no words and fail. If there are no labels,
+or labels of one kind only, all lines are content. Null and unknown labels don't count. Repeated rows get equal answers. An empty
+table gives no rows. Only the named columns are read, so others can have any names.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ MIN_WORDS, MIN_CONTENT = 50, 0.5
 TRAIN_DOCS, TRAIN_CHARS, STEPS = 1500, 20_000, 80
 #: Bytes of text that one array pass takes; a longer text is a pass of its own.
 CHUNK = 400_000
+#: Chains of like length that are decoded one by one.
+FEW_CHAINS = 8
 SYMBOLS = b"#*$%&|<>"
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -154,28 +157,61 @@ def padded(features: np.ndarray, line_text: np.ndarray, weights: np.ndarray) ->
 
 
 def viterbi(field: Field, features: np.ndarray, line_text: np.ndarray) -> np.ndarray:
-    """The best label of each line. Ties go to content."""
-    if not len(line_text):
-        return np.zeros(0, np.int64)
+    """The best label of each line. Ties go to content.
+
+    Chains of like length (within a factor of two) run side by side, so the grid has at most twice as many cells as lines.
+    """
+    out = np.zeros(len(line_text), np.int64)
+    n = np.bincount(line_text)[line_text] if len(line_text) else np.empty(0, np.int64)
+    size = np.frexp(n)[1]
+    for s in np.unique(size):
+        mine = np.flatnonzero(size == s)
+        edges = np.flatnonzero(np.diff(line_text[mine], prepend=-1, append=-2))
+        if len(edges) > FEW_CHAINS:
+            out[mine] = alike(field, features[mine], line_text[mine])
+            continue
+        scores = features[mine] @ field.weights
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            out[mine[a:b]] = alone(field, scores[a:b].tolist())
+    return out
+
+
+def alone(field: Field, scores: list[float]) -> list[int]:
+    """Viterbi decoding of one chain, whose lines are in a row."""
+    (s00, s01), (s10, s11) = field.step.tolist()
+    a, b = float(field.first[0]), float(field.first[1]) + scores[0]
+    turns = []
+    for x in scores[1:]:
+        to_a, to_b = b + s10 >= a + s00, b + s11 >= a + s01
+        turns.append((to_a, to_b))
+        a, b = b + s10 if to_a else a + s00, (b + s11 if to_b else a + s01) + x
+    now = int(b >= a)
+    out = [now]
+    for turn in reversed(turns):
+        now = int(turn[now])
+        out.append(now)
+    return out[::-1]
+
+
+def alike(field: Field, features: np.ndarray, line_text: np.ndarray) -> np.ndarray:
+    """Viterbi decoding of chains side by side."""
     scores, place, n = padded(features, line_text, field.weights)
     best = np.stack([np.full(len(n), field.first[0]), field.first[1] + scores[0]])
     back = np.zeros((len(scores), 2, len(n)), np.int8)
     for t in range(1, len(scores)):
         m = int(np.searchsorted(-n, -t))  # chains longer than t
-        for y in (0, 1):
-            stay, turn = best[0, :m] + field.step[0, y], best[1, :m] + field.step[1, y]
-            back[t, y, :m] = turn >= stay
-        a = np.where(back[t, 0, :m], best[1, :m] + field.step[1, 0], best[0, :m] + field.step[0, 0])
-        b = np.where(back[t, 1, :m], best[1, :m] + field.step[1, 1], best[0, :m] + field.step[0, 1])
-        best[0, :m], best[1, :m] = a, b + scores[t, :m]
-    label = np.zeros(scores.shape, np.int64)
-    now = (best[1] >= best[0]).astype(np.int64)
+        stay, turn = best[None, 0, :m] + field.step[0, :, None], best[None, 1, :m] + field.step[1, :, None]
+        back[t, :, :m] = turn >= stay
+        best[:, :m] = np.maximum(stay, turn)
+        best[1, :m] += scores[t, :m]
+    label = np.zeros(scores.shape, np.int8)
+    now = (best[1] >= best[0]).astype(np.int8)
     for t in range(len(scores) - 1, -1, -1):
         m = int(np.searchsorted(-n, -t))
         label[t, :m] = now[:m]
         if t:
             now[:m] = back[t, now[:m], np.arange(m)]
-    return label[place[0], place[1]]
+    return label[place[0], place[1]].astype(np.int64)
 
 
 def marginals(field: Field, scores: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

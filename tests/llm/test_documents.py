@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -54,6 +55,45 @@ def test_viterbi_is_best():
         at += n
 
 
+def test_decoding_takes_little_memory(monkeypatch):
+    rng = np.random.default_rng(5)
+    field = quality.Field(rng.normal(size=quality.N_FEATURES), rng.normal(size=(2, 2)), rng.normal(size=2))
+    texts = [b"a b\n" * 40_000, *[b"x y z"] * 600]
+    tracemalloc.start()
+    labels = quality.judge(texts, field)[1]
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+    features, owner = rng.normal(size=(900, quality.N_FEATURES)), np.sort(rng.integers(0, 60, 900))
+    monkeypatch.setattr(quality, "FEW_CHAINS", 0)
+    want = quality.viterbi(field, features, owner)
+    monkeypatch.setattr(quality, "FEW_CHAINS", 1000)
+    assert quality.viterbi(field, features, owner).tolist() == want.tolist() and len(labels) == 40_600
+
+
+def test_gradient_of_the_field():
+    """Marginals and expected steps against all label sequences."""
+    rng = np.random.default_rng(6)
+    field, scores = quality.Field(np.zeros(0), rng.normal(size=(2, 2)), rng.normal(size=2)), rng.normal(size=(4, 2))
+    n = np.array([4, 2])
+    p, steps = quality.marginals(field, scores, n)
+    want, moves = np.zeros((4, 2)), np.zeros((2, 2))
+    for c in range(2):
+        paths = [[(m >> k) & 1 for k in range(n[c])] for m in range(1 << n[c])]
+        weight = np.exp([field.first[y[0]] + sum(field.step[a, b] for a, b in zip(y, y[1:], strict=False)) + sum(scores[k, c] for k in range(n[c]) if y[k]) for y in paths])
+        for y, w in zip(paths, weight / weight.sum(), strict=True):
+            for k in range(n[c]):
+                want[k, c] += w * y[k]
+            for a, b in zip(y, y[1:], strict=False):
+                moves[a, b] += w
+    assert np.allclose(p[0], want[0]) and np.allclose(p[:2, 1], want[:2, 1]) and np.allclose(p[:, 0], want[:, 0]) and np.allclose(steps, moves)
+
+
+def test_quality_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    field = quality.train(empty, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.apply(empty, field, empty.columns).count() == 0
+
+
 def test_quality_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = queries()["op3_quality"](spark, sf).where("not base_failed").join(table(spark, sf, "labels"), "doc_id").collect()
