@@ -1,7 +1,7 @@
 """Token-id output: shards of documents' ids, compressed by Re-Pair grammars.
 
 Each round counts all neighbouring pairs of a shard, gives the most frequent ones nonterminals and
-replaces them from left to right; it ends when no pair comes often enough. A round takes many
+replaces them from left to right; rounds end when no pair comes LEAST times. A round takes many
 pairs at once, so a pair that a better one overlaps may lose places to it, and comes up again in
 the next round. No pair reaches over a document's end, so every document keeps symbols of its own.
 
@@ -11,7 +11,8 @@ documents, and the symbols (without end ids, which the reader puts back). One do
 binary search over the running expansion lengths.
 
 Null text counts as empty and gives the end id alone. Repeated ids keep their rows, in any order. An
-empty table writes no shard. Only the id and text columns are read.
+empty table writes no shard. Null ids come first and come back as nulls (the file has NO_ID for them). A text of any length stays in one shard. Only the id and
+text columns are read.
 """
 
 from __future__ import annotations
@@ -33,8 +34,14 @@ MAGIC = b"RPRS"
 HEAD = struct.Struct("<4sIIQQQ")
 #: Stands for a document's end while a shard is compressed.
 END = 0xFFFFFFFF
+#: Stands for a null id in a file.
+NO_ID = -(1 << 63)
+#: Times that a pair must come to get a nonterminal.
+LEAST = 16
 #: Buckets of pairs that one round looks at.
 PAIRS = 4096
+#: Ids after which a shard ends; a longer document is a shard of its own.
+SHARD_IDS = 1 << 20
 #: Buckets of a round's first count, by which it leaves out rare pairs.
 BUCKETS = 1 << 20
 
@@ -53,7 +60,7 @@ def buckets(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def compress(ids: np.ndarray, first: int, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """symbols, rules: rule k stands for the pair rules[k] and has the symbol first + k. Ends stay as they are."""
     symbols, rules, n_rules = ids.astype(np.uint32), [], 0
     most = PAIRS
@@ -196,25 +203,36 @@ class Shard:
         return np.append(self.expand(symbols[a:b]), np.uint32(self.end_id) if b > len(symbols) else np.empty(0, np.uint32))[start - base : stop - base]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, first: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
-    """Write all documents in ascending id order; shard numbers rise with the ids. first: above any id."""
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, first: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write all documents in ascending id order; shard numbers rise with the ids. first: above any id.
+
+    A task cuts its run of ids into shards of about SHARD_IDS, so neither a task's memory nor a file grows with the input.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        doc_ids, counts, parts = [], [], []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        number = TaskContext.get().partitionId() << 32
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number
+            blob = write_shard(*(np.concatenate([h[k] for h in held]) for k in range(3)), end_id, first)
+            held.clear()
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([blob], pa.binary())], names=["shard", "blob"])
+
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                piece = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 64):
+                piece = batch.slice(k, 64)
                 ids, n = enc.encode(piece.column(1).to_pylist())
-                doc_ids.append(piece.column(0).to_numpy(zero_copy_only=False))
-                counts.append(n)
-                parts.append(ids)
-        if doc_ids:
-            blob = write_shard(np.concatenate(doc_ids), np.concatenate(counts), np.concatenate(parts), end_id, first)
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([blob], pa.binary())], names=["shard", "blob"])
+                held.append((piece.column(0).fill_null(NO_ID).to_numpy(), n, ids))
+                if sum(len(h[2]) for h in held) >= SHARD_IDS:
+                    yield flush()
+        if held:
+            yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = shards or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     write_shards(ranged.mapInArrow(run, "shard long, blob binary"), "shard", "blob", path)
 
@@ -231,7 +249,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     ids, n = shard.documents(k, stop)
                     ends = np.cumsum(n)
                     blobs = [ids[e - m : e].tobytes() for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(n), pa.int64()), pa.array(shard.doc_ids[k:stop]), pa.array(shard.id_ends[k:stop] - n), pa.array(n), pa.array(blobs, pa.binary())], names=["shard", "doc_id", "shard_start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(n), pa.int64()), pa.array(shard.doc_ids[k:stop], mask=shard.doc_ids[k:stop] == NO_ID), pa.array(shard.id_ends[k:stop] - n), pa.array(n), pa.array(blobs, pa.binary())], names=["shard", "doc_id", "shard_start", "n_tokens", "ids"])
 
     return read_shards(spark, path).mapInArrow(run, "shard long, doc_id long, shard_start long, n_tokens long, ids binary")
 
