@@ -5,8 +5,9 @@ builds a shard's hierarchical graph and searches it with the shard's own vectors
 layers, runs a beam on the lowest one, and then opens all vectors within a margin of the threshold until
 no new one comes. A sample of searches is compared with a scan of the shard; while the recall is under
 1, beam and margin are widened, up to the whole shard. All links are verified by cosine in double
-precision. Where a label has several shards, blocks of its vectors are sent to each of the other shards. Tasks
-return counts of links and links between components, never all pairs.
+precision. Where a label has several shards, every vector is searched in each of the other shards too: tiles of TILE
+shards' graphs meet tiles of TILE shards' vectors, so a graph travels once for every TILE shards. Tasks
+return counts of links and links between components, never all pairs. audits() gives each shard's measured recall.
 
 Vectors that are null, zero, or hold null or non-finite components, and null labels, link with
 nothing. Vectors of unlike length link with nothing. Rows with equal ids and unlike vectors keep their
@@ -27,7 +28,7 @@ from siteledger.llm.graph import components
 from siteledger.llm.shared import cut
 
 COSINE = 0.98
-SHARD, BLOCK = 6000, 1500
+SHARD, TILE = 4000, 8
 #: Links of a node in upper layers and in the lowest, and the beam of insertion.
 M, M0, EF_BUILD = 12, 24, 48
 #: First beam and margin of a search, and searches of each call that are audited.
@@ -218,13 +219,17 @@ class Graph:
         return key // len(self.unit), key % len(self.unit)
 
     def search(self, query: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """within(), from the queries' own nodes if they have some, with beam and margin widened until a sample of the searches has found all that a scan finds."""
+        """within(), from the queries' own nodes if they have some, with beam and margin widened until a sample of the searches has found all that a scan finds.
+
+        The beam and the sample's recall stay in self.audit.
+        """
         ef, margin = EF, MARGIN
         sample = np.linspace(0, len(query) - 1, min(AUDIT, len(query))).astype(np.int64)
         scan = query[sample] @ self.unit.T >= COSINE + 1e-9  # sums in another order may differ in the last digits
         while True:
             row, node = self.within(query, ef, margin, own)
             found = np.bincount(row, minlength=len(query))[sample]
+            self.audit = ef, float(np.minimum(found, scan.sum(1)).sum() / max(1, scan.sum()))
             if (found >= scan.sum(1)).all() or ef >= len(self.unit):
                 return row, node
             ef, margin = ef * 2, margin * 2
@@ -262,6 +267,7 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def units(table: pa.Table) -> np.ndarray:
     flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     out = flat.reshape(table.num_rows, -1)
+    out = out / np.abs(out).max(1)[:, None]  # else squares of tiny or huge components leave the doubles' range
     return out / np.linalg.norm(out, axis=1)[:, None]
 
 
@@ -279,28 +285,33 @@ def build(table: pa.Table) -> pa.Table:
     component = ids[roots(len(ids), row, node)]
     head = [table.column(k)[0].as_py() for k in ("label", "dim", "shard", "shards")]
     several = head[3] > 1
-    values = [pa.array([x]) for x in head[:3]] + [pa.array([x.tobytes()], pa.binary()) for x in (ids, n, component, copies)] + [pa.array([graph.dumped() if several else None], pa.binary()), pa.array([unit.tobytes() if several else None], pa.binary())]
-    return pa.table(values, names=["label", "dim", "shard", "ids", "n", "component", "copies", "graph", "units"])
+    values = [pa.array([x]) for x in head] + [pa.array([x.tobytes()], pa.binary()) for x in (ids, n, component, copies)] + [pa.array([graph.dumped() if several else None], pa.binary()), pa.array([unit.tobytes() if several else None], pa.binary()), pa.array([graph.audit[0]]), pa.array([graph.audit[1]])]
+    return pa.table(values, names=[c.split()[0] for c in BUILT.split(", ")])
 
 
-BUILT = "label long, dim long, shard long, ids binary, n binary, component binary, copies binary, graph binary, units binary"
+BUILT = "label long, dim long, shard long, shards long, ids binary, n binary, component binary, copies binary, graph binary, units binary, beam long, recall double"
 
 
-def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block of one shard's vectors searched in another shard: each vector's links there, and linked components."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            graph = Graph.loaded(r["graph"])
-            ids, component = (np.frombuffer(r[k], np.int64) for k in ("ids", "component"))
-            copies = np.frombuffer(r["copies"], np.int64)
-            mine, own = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_component"], np.int64)
-            row, node = graph.search(np.frombuffer(r["q_units"], np.float64).reshape(len(mine), -1))
+def across(targets: pa.Table, sources: pa.Table) -> pa.Table:
+    """A tile's vectors searched in the graphs of another tile: each vector's links there, and linked components."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    pairs = [np.empty((0, 2), np.int64)]
+    vectors = [(s, *(np.frombuffer(sources.column(k)[i].as_buffer(), np.int64) for k in ("ids", "component")), np.frombuffer(sources.column("units")[i].as_buffer(), np.float64)) for i, s in enumerate(sources.column("shard").to_pylist())]
+    for i, shard in enumerate(targets.column("shard").to_pylist()):
+        graph = Graph.loaded(targets.column("graph")[i].as_py())
+        component, copies = (np.frombuffer(targets.column(k)[i].as_buffer(), np.int64) for k in ("component", "copies"))
+        for other, mine, own, unit in vectors:
+            if other == shard:
+                continue
+            row, node = graph.search(unit.reshape(len(mine), -1))
             node = graph.order[node]
             n = np.bincount(row, copies[node], len(mine)).astype(np.int64)
-            hit = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(mine[hit]), pa.array(n[hit]), pa.nulls(len(hit), pa.int64())], names=["a", "n", "b"])
-            pairs = np.unique(np.stack([own[row], component[node]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 1])], names=["a", "n", "b"])
+            found.append((mine[n > 0], n[n > 0]))
+            pairs.append(np.unique(np.stack([own[row], component[node]], 1), axis=0))
+    ids, n = (np.concatenate([f[k] for f in found] or [np.empty(0, np.int64)]) for k in (0, 1))
+    pair = np.unique(np.concatenate(pairs), axis=0)
+    counts = pa.table([pa.array(ids), pa.array(n), pa.nulls(len(n), pa.int64())], names=["a", "n", "b"])
+    return pa.concat_tables([counts, pa.table([pa.array(pair[:, 0]), pa.nulls(len(pair), pa.int64()), pa.array(pair[:, 1])], names=["a", "n", "b"])])
 
 
 def unrolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,46 +320,53 @@ def unrolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (ids, n, component)], names=["vec_id", "n", "component"])
 
 
-def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            ids, component = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["component"], np.int64)
-            unit = np.frombuffer(r["units"], np.float64).reshape(len(ids), -1)
-            for k in range(0, len(ids), BLOCK):
-                parts = [x[k : k + BLOCK].tobytes() for x in (ids, component, unit)]
-                yield pa.RecordBatch.from_pylist([{"label": r["label"], "dim": r["dim"], "from_shard": r["shard"], "part": k // BLOCK, **dict(zip(("q_ids", "q_component", "q_units"), parts, strict=True))}])
-
-
-def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of vectors."""
+def keyed(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """The vectors that can link, with a digest that equal vectors share."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("long").alias("label"))
     real = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(real, F.lit(False)))
-    keyed = good.withColumn("dim", F.size("embedding").cast("long")).withColumn("digest", F.sha2(F.concat_ws(",", F.col("embedding").cast("array<string>")), 256))
-    keyed = cut(keyed, "vectors")
-    first = keyed.groupBy("label", "digest").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    first = cut(first, "first")
-    joined = keyed.join(first, ["label", "digest"])
-    member = cut(joined.select("vec_id", "first", "copies"), "membership")
-    one = keyed.join(first.select("label", "digest", F.col("first").alias("vec_id"), "copies"), ["label", "digest", "vec_id"]).dropDuplicates(["label", "digest"]).select("vec_id", "label", "dim", "copies", "embedding")
+    return cut(good.withColumn("dim", F.size("embedding").cast("long")).withColumn("digest", F.sha2(F.concat_ws(",", F.col("embedding").cast("array<string>")), 256)), "vectors")
+
+
+def shards(good: DataFrame, first: DataFrame) -> DataFrame:
+    """One row for each shard, see BUILT. first: label, digest, first, copies of distinct vectors."""
+    one = good.join(first.select("label", "digest", F.col("first").alias("vec_id"), "copies"), ["label", "digest", "vec_id"]).dropDuplicates(["label", "digest"]).select("vec_id", "label", "dim", "copies", "embedding")
     sizes = one.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD)).cast("long").alias("shards"))
     dealt = one.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")))
-    built = cut(dealt.groupBy("label", "dim", "shard").applyInArrow(build, BUILT), "shards")
-    inside = built.select("ids", "n", "component").mapInArrow(unrolled, "vec_id long, n long, component long")
-    # blocks go to every other shard of their label
-    many = built.where(F.col("graph").isNotNull())
-    blocks = many.select("label", "dim", "shard", "ids", "component", "units").mapInArrow(blocked, "label long, dim long, from_shard long, part long, q_ids binary, q_component binary, q_units binary")
-    targets = many.select("label", "dim", "shard")
-    sent = blocks.join(targets, ["label", "dim"]).where("shard != from_shard")
-    other = sent.join(many.select("label", "dim", "shard", "ids", "component", "copies", "graph"), ["label", "dim", "shard"]).select("graph", "ids", "component", "copies", "q_ids", "q_component", "q_units")
-    crossed = cut(other.mapInArrow(across, "a long, n long, b long"), "crossed")
-    inside = cut(inside, "inside")
+    return cut(dealt.groupBy("label", "dim", "shard").applyInArrow(build, BUILT), "shards")
+
+
+def firsts(good: DataFrame) -> DataFrame:
+    return cut(good.groupBy("label", "digest").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")), "first")
+
+
+def audits(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """label, dim, shard, vectors, beam, recall: of the searches inside each shard that were compared with a scan."""
+    good = keyed(vectors, id_col, vector_col, label_col)
+    return shards(good, firsts(good)).select("label", "dim", "shard", (F.octet_length("ids") / 8).cast("long").alias("vectors"), "beam", "recall")
+
+
+def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of vectors."""
+    good = keyed(vectors, id_col, vector_col, label_col)
+    first = firsts(good)
+    member = cut(good.join(first, ["label", "digest"]).select("vec_id", "first", "copies"), "membership")
+    built = shards(good, first)
+    inside = cut(built.select("ids", "n", "component").mapInArrow(unrolled, "vec_id long, n long, component long"), "inside")
+    # every tile's vectors go to every tile's graphs
+    many = built.where("shards > 1").withColumn("tile", F.floor(F.col("shard") / TILE))
+    all_tiles = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shards") - 1) / TILE)))
+    fresh = lambda *names: [F.col(c).alias(c) for c in names]
+    targets = many.select(*fresh("label", "dim", "shard", "component", "copies", "graph"), F.col("tile").alias("q"), all_tiles.alias("p"))
+    sources = many.select(*fresh("label", "dim", "shard", "ids", "component", "units"), F.col("tile").alias("p"), all_tiles.alias("q"))
+    by = ["label", "dim", "p", "q"]
+    crossed = cut(targets.groupBy(*by).cogroup(sources.groupBy(*by)).applyInArrow(across, "a long, n long, b long"), "crossed")
     counts = inside.select("vec_id", "n").unionByName(crossed.where("n is not null").select(F.col("a").alias("vec_id"), "n")).groupBy("vec_id").agg(F.sum("n").alias("n"))
     edges = inside.select(F.col("vec_id").alias("a"), F.col("component").alias("b")).unionByName(crossed.where("b is not null").select("a", "b")).unionByName(member.select(F.col("vec_id").alias("a"), F.col("first").alias("b")))
     found = components(edges, "a", "b")
     # each id once on the right, so a hot first vector only makes a long left side, which Spark can split
     counted = member.join(cut(counts.withColumnRenamed("vec_id", "first"), "counts"), "first").select("vec_id", (F.col("n") + F.col("copies") - 1).alias("n"))
-    ids = rows.select("vec_id")
+    ids = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
     counted = cut(counted.groupBy("vec_id").agg(F.max("n").alias("n")), "counted")
     out = ids.join(counted, "vec_id", "left").join(found.withColumnRenamed("u", "vec_id"), "vec_id", "left")
     component = F.coalesce("v", "vec_id")

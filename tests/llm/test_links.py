@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from siteledger.llm import annlinks, graph, quotes, warc
 from siteledger.llm.queries import queries, table
@@ -38,7 +39,7 @@ def brute(rows):
             x = root[x]
         return x
 
-    good = [(i, np.array(v, float), k) for i, v, k in rows if k is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    good = [(i, np.array(v, float) / np.abs(v).max(), k) for i, v, k in rows if k is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     for k, (i, v, label) in enumerate(good):
         for j, w, other in good[:k]:
             if label == other and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98:
@@ -51,10 +52,11 @@ def brute(rows):
 
 def test_vectors(spark, sf, monkeypatch):
     def got(df):
-        return {r.vec_id: (r.n_links, r.component_id) for r in annlinks.links(df).collect()}
+        clashing = df.withColumn("n_links", F.lit("x")).withColumn("shard", F.lit("x"))
+        return {r.vec_id: (r.n_links, r.component_id) for r in annlinks.links(clashing).collect()}
 
-    odd = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [2.0, 0.0], 1), (4, None, 1), (5, [0.0, 0.0], 1), (6, [1.0, None], 1), (7, [float("nan"), 1.0], 1), (8, [1.0, 0.0], None), (9, [1.0, 0.1], 1), (10, [1.0, 0.0, 0.0], 1), (11, [1.0, 0.0], 2)]
-    schema = "vec_id long, embedding array<float>, label int"
+    odd = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [2.0, 0.0], 1), (4, None, 1), (5, [0.0, 0.0], 1), (6, [1.0, None], 1), (7, [float("nan"), 1.0], 1), (8, [1.0, 0.0], None), (9, [1.0, 0.1], 1), (10, [1.0, 0.0, 0.0], 1), (11, [1.0, 0.0], 2), (12, [1e-200, 0.0], 1), (13, [1e30, 1e29], 1)]
+    schema = "vec_id long, embedding array<double>, label int"
     assert got(spark.createDataFrame(odd, schema)) == brute(odd)
     assert got(spark.createDataFrame([], schema)) == {}
     rng = np.random.default_rng(6)
@@ -65,12 +67,29 @@ def test_vectors(spark, sf, monkeypatch):
     df, want = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), brute(rows)
     assert got(df) == want
     monkeypatch.setattr(annlinks, "SHARD", 60)
-    monkeypatch.setattr(annlinks, "BLOCK", 25)
-    assert got(df) == want
+    for tile in (1, 3):
+        monkeypatch.setattr(annlinks, "TILE", tile)
+        assert got(df) == want
     real = [(r.vec_id, list(r.embedding), r.label) for r in table(spark, sf, "embeddings").collect()]
     assert {r.vec_id: (r.n_links, r.component_id) for r in queries()["op8_embedding_links"](spark, sf).collect()} == brute(real)
 
 
+def test_recall_of_many_shards(spark):
+    """12,000 vectors of one label in three shards: a sample's links against a scan, and the shards' audits."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    centres = unit(rng.normal(size=(800, 32)))
+    vectors = unit(centres[rng.integers(0, 800, 12_000)] + rng.normal(size=(12_000, 32)) * rng.choice([0.01, 0.022, 0.03], (12_000, 1)))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r.n_links for r in annlinks.links(df).collect()}
+    asked = range(0, 12_000, 50)
+    want = {i: int((vectors @ vectors[i] >= 0.98).sum()) - 1 for i in asked}
+    assert all(got[i] <= want[i] for i in asked)
+    assert sum(got[i] for i in asked) >= 0.99 * sum(want.values()) > 1000
+    audits = annlinks.audits(df).collect()
+    assert len(audits) == 3 and all(a.recall == 1 for a in audits) and sum(a.vectors for a in audits) == 12_000
+
+
 def test_components(spark):
     pairs = [(1, 2), (2, 3), (5, 4), (4, 9), (7, 7), (None, 3), *((100 + i, 101 + i) for i in range(40))]
     got = {r.u: r.v for r in graph.components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
