@@ -38,14 +38,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply(docs, quality.train(docs, table(spark, sf_dir, "labels")), ["doc_id"]).select("row.doc_id", *[c.split()[0] for c in quality.COLUMNS.split(", ")])
 
 
-#: The surrogates' key. A deployment passes its own secret one.
-PII_KEY = "siteledger"
+#: Where the surrogates' secret key is set, and the public one of tests and examples.
+PII_SETTING, EXAMPLE_KEY = "spark.siteledger.pii.key", "not secret"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(PII_SETTING, None) or EXAMPLE_KEY
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteledger.llm import pii
 
-    return pii.replace(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities", "entity_types")
+    return pii.replace(table(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_entities", "entity_types")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
