@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteledger.llm import langid, minhash, packing, pii, quality
-from siteledger.llm.queries import PII_KEY, table, vocabulary
+from siteledger.llm.queries import pii_key, table, vocabulary
 from siteledger.llm.shared import cut
 
 #: No SQL expresses the stages; tests hold them against brute force.
@@ -37,8 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities get surrogates; n_chars follows the new text."""
-    new = pii.replace(docs, PII_KEY)
-    return new.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    new = pii.rewritten(docs, pii_key(spark))
+    own = {"text": F.col("text"), "n_chars": F.length("text")}
+    return new.select(*[own[c].cast(docs.schema[c].dataType).alias(c) if c in own else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
