@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siteledger.functions import text as T
 from siteledger.functions import vectors as V
 from siteledger.operators import closure, diff, history, measure, policy, registry, retrieval, scope, scoring, similarity
-from siteledger.plans.lineage import numbered
+from siteledger.plans.lineage import cut, numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -287,8 +287,7 @@ select item_id, doc_id, score, rank from (select *, row_number() over (partition
 @query("bm25_rank", BM25_SQL)
 def bm25_rank(spark: SparkSession, sf: str) -> DataFrame:
     tokens = T.ascii_tokens(F.col("text")).alias("tokens")
-    scores = retrieval.bm25(table(spark, sf, "documents").select("doc_id", tokens), table(spark, sf, "benchmark").select("item_id", tokens), "doc_id", "item_id", "tokens")
-    return retrieval.ranked(scores, "item_id", "doc_id", F.round("score", 6), 10)
+    return retrieval.bm25(table(spark, sf, "documents").select("doc_id", tokens), table(spark, sf, "benchmark").select("item_id", tokens), "doc_id", "item_id", "tokens", k=10)
 
 
 def near_sql(dims: int, k: int) -> str:
@@ -323,6 +322,45 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.fused([near(spark, sf, None, 50), near(spark, sf, 16, 50)], 10)
 
 
+UNICODE_SQL = r"regexp_extract_all(lower(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g')), '[\p{L}\p{N}]+')"
+
+
+def bm25_ranked_sql(tokens: str, k: int, positive: bool) -> str:
+    """All documents in order for each query, zero scores by id; with positive, only those above zero."""
+    scored = BM25_SQL.replace(TOKENS_SQL, tokens).rpartition("select item_id, doc_id, score, rank from")[0]
+    everything = f"select i.item_id, d.doc_id, coalesce(sc.score, 0) as score from benchmark i cross join documents d left join sc on sc.item_id = i.item_id and sc.doc_id = d.doc_id where d.text is not null{' and sc.score > 0' if positive else ''}"
+    return f"{scored} select item_id as query, doc_id as doc, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from ({everything})) where rank <= {k}"
+
+
+HYBRID_ARMS = [(name, dims, tokens, positive) for name, tokens in (("ascii", TOKENS_SQL), ("unicode", UNICODE_SQL)) for positive in (False, True) for dims in (64, 16)]
+#: The dense channel: a query has the vector of its id, and documents those of theirs.
+DENSE_SQL = """select * from (select *, row_number() over (partition by query order by score desc, doc) as rank from (select q.vec_id as query, e.vec_id as doc, round(list_cosine_similarity(q.embedding[1:{dims}]::double[], e.embedding[1:{dims}]::double[]), 6) as score
+from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id in (select item_id from benchmark) and e.vec_id in (select doc_id from documents where text is not null))) where rank <= 50"""
+HYBRID_SQL = " union all ".join(f"""select '{name}' as tokenizer, {positive}::boolean as positive_only, {dims} as dims, query, doc, score, rank from (select *, row_number() over (partition by query order by score desc, doc) as rank
+from (select query, doc, round(sum(1.0::double / (60 + rank)), 9) as score from (select query, doc, rank from ({bm25_ranked_sql(tokens, 50, positive)}) union all select query, doc, rank from ({DENSE_SQL.format(dims=dims)})) group by 1, 2)) where rank <= 10""" for name, dims, tokens, positive in HYBRID_ARMS)
+
+
+@query("hybrid_rrf", HYBRID_SQL)
+def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 with a dense channel of two lengths, by two tokenizers, with all documents or only those of a positive score in the lexical channel."""
+    docs, items = table(spark, sf, "documents").where("text is not null"), table(spark, sf, "benchmark")
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    mine = cut(vectors.join(docs.select(F.col("doc_id").alias("vec_id")).distinct(), "vec_id", "left_semi"), "document-vectors")
+    asked = vectors.join(items.select(F.col("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    dense = {d: cut(retrieval.nearest(mine, asked, "vec_id", "embedding", 50, d), "dense") for d in (64, 16)}
+    out = None
+    for name, tokens in (("ascii", T.ascii_tokens), ("unicode", T.unicode_tokens)):
+        toks = tokens(F.col("text")).alias("tokens")
+        scored = cut(retrieval.bm25(docs.select("doc_id", toks), items.select("item_id", toks), "doc_id", "item_id", "tokens", k=50), "lexical")
+        for positive in (False, True):
+            lexical = retrieval.ranked(scored.where("score > 0").drop("rank"), "item_id", "doc_id", F.col("score"), 50) if positive else retrieval.padded(scored, docs, items, "doc_id", "item_id", 50)
+            lexical = lexical.select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"), "rank")
+            for dims in (64, 16):
+                one = retrieval.fused([lexical, dense[dims]], 10).select(F.lit(name).alias("tokenizer"), F.lit(positive).alias("positive_only"), F.lit(dims).alias("dims"), "query", "doc", "score", "rank")
+                out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("mrr_hits", f"""
 with r as ({near_ranked(64, 10)}), f as (select r.query, min(rank) filter (a.label = b.label) as first from r join embeddings a on a.vec_id = r.query join embeddings b on b.vec_id = r.doc group by 1), q as (select vec_id as query from embeddings where vec_id % 50 = 0)
 select count(*) as queries, round(avg(coalesce(1.0::double / first, 0)), 9) as mrr, count(*) filter (first <= 1) as hits_at_1, count(*) filter (first <= 5) as hits_at_5, count(*) filter (first <= 10) as hits_at_10 from q left join f using (query)""")

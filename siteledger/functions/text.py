@@ -78,8 +78,18 @@ def ascii_tokens(text: Column) -> Column:
 
 
 def unicode_tokens(text: Column) -> Column:
-    """Runs of letters or digits of any script; folds case as far as lower() does, and sharp s."""
-    return F.regexp_extract_all(F.regexp_replace(F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")), "ß", "ss"), F.lit(r"(?U)[^\W_]+"), F.lit(0))
+    """Runs of letters or digits of any script, split between a small and a capital ASCII letter; case is folded."""
+    return F.regexp_extract_all(casefolded(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def casefolded(text: Column) -> Column:
+    """Full case folding but for rare ligatures and Cherokee: lower() of upper(), which opens sharp s, and the final sigma."""
+    return F.translate(F.lower(F.upper(text)), "ς", "σ")
+
+
+def type_text(annotation: Column) -> Column:
+    """A type annotation without the white space outside its quoted parts."""
+    return F.regexp_replace(annotation, r"""("[^"]*"|'[^']*')|\s+""", "$1")
 
 
 def repository(text: Column) -> Column:

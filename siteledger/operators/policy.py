@@ -51,3 +51,100 @@ def suggestion(choice: Column, confidence: Column, labels: list[str], threshold:
     """The choice, if it is one of the labels with enough confidence; else the fallback."""
     good = choice.isin(*labels) & unit_interval(confidence) & (confidence >= threshold)
     return F.when(F.coalesce(good, F.lit(False)), choice).otherwise(fallback)
+
+
+OWNED = ("existing_specification", "simple_composition")
+
+
+def conflicting(ownership: Column, tool: Column, intent: Column, conflicts: Column | None = None) -> Column:
+    """Whether facts contradict each other: said so, marked so, or a rule that both a specification and a tool own."""
+    marked = (ownership == "conflicting") | (tool == "conflicting") | (intent == "conflicting")
+    both = ownership.isin(*OWNED) & (tool == "yes")
+    said = F.coalesce(conflicts, F.lit(False)) if conflicts is not None else F.lit(False)
+    return said | F.coalesce(marked, F.lit(False)) | F.coalesce(both, F.lit(False))
+
+
+def recommendation(role: Column, support: Column, ownership: Column, tool: Column, intent: Column, conflicts: Column | None = None) -> Column:
+    """action, basis, status and unresolved of the ordered recommendation rules.
+
+    Existing ownership settles reuse even if other facts are open; any other action is provisional while some are.
+    """
+    conflict, sure = conflicting(ownership, tool, intent, conflicts), F.coalesce(support == "supported", F.lit(False))
+    rules = [
+        ("none/conflicting_facts", conflict), ("reuse_specification/existing_specification", ownership.isin(*OWNED)), ("use_tool_rules/tool_responsibility", tool == "yes"),
+        ("formalize/domain_contract", sure & role.isin("policy", "variant_behavior")), ("keep_procedural/mechanics", (role == "mechanics") & sure), ("formalize/formalization_preference", ~sure & (intent == "completed")),
+    ]
+    chosen = first_match(rules, "none/missing_facts")
+    action = F.nullif(F.substring_index(chosen, "/", 1), F.lit("none"))
+    open_ = findings([
+        ("role_not_established", ~sure), ("same_decision_ownership_not_checked", ownership == "unknown"),
+        ("tool_responsibility_not_checked", tool == "unknown"), ("bounded_intent_lookup_not_completed", intent == "not_done"), ("conflicting_facts", conflict),
+    ])
+    status = F.when(action.isNull(), "needs_review").when((action == "reuse_specification") | (F.size(open_) == 0), "recommended_in_scope").otherwise("provisional")
+    return F.struct(action.alias("action"), F.substring_index(chosen, "/", -1).alias("basis"), status.alias("status"), open_.alias("unresolved"))
+
+
+def routed(operational: list[tuple[str, Column]], semantic: list[tuple[str, Column]]) -> Column:
+    """findings (all observations that hold), route and status: an operational one stops, a semantic one asks for review."""
+    found, stops, asks = findings([*operational, *semantic]), findings(operational), findings(semantic)
+    route = first_match([("stop_incomplete", F.size(stops) > 0), ("ordinary_review", F.size(asks) > 0)], "retain_proposal")
+    status = F.when(route == "stop_incomplete", "analysis_incomplete").when(route == "ordinary_review", "needs_review").otherwise("proposed_not_accepted")
+    return F.struct(found.alias("findings"), route.alias("route"), status.alias("status"))
+
+
+def ownership_transition(facts: dict[str, Column]) -> Column:
+    """accepted value (null if review is needed) and status; a blocked transition accepts nothing, and null facts don't hold.
+
+    facts: conflict, owned (ownership is known already), tool, source_proof, same_decision, and what is known of the search and the review of its finds.
+    """
+    f = {k: F.coalesce(c, F.lit(False)) for k, c in facts.items()}
+    blocked = f["conflict"] | f["owned"] | (f["tool"] & (f["source_proof"] | f["same_decision"]))
+    reviewed = f["search_approved"] & f["review_approved"] & f["review_complete"] & ~f["review_limitations"] & ~f["comparison_conflict"]
+    verified = f["source_proof"] | (reviewed & ~f["search_failed"] & f["same_decision"])
+    absent = reviewed & f["search_complete"] & f["inventory_complete"] & ~f["search_limitations"] & f["comparisons_complete"] & f["catalogue_closed"] & ~f["ranked"] & f["all_different"]
+    value = F.nullif(first_match([("none", blocked), ("existing_specification", verified), ("absent_in_scope", absent)], "none"), F.lit("none"))
+    return F.struct(value.alias("accepted"), F.when(value.isNull(), "needs_review").otherwise("accepted").alias("status"))
+
+
+def fact_violations(role: Column, support: Column, ownership: Column, tool: Column) -> Column:
+    """Names of the rules of consistency that a tuple of facts breaks."""
+    return findings([
+        ("role_support", (role == "unknown") != (support == "insufficient")),
+        ("responsibilities", ownership.isin(*OWNED) & (tool == "yes")),
+    ])
+
+
+def cited(code: Column, first_line: Column, start: Column, end: Column, quote: Column) -> Column:
+    """Whether quote is exactly lines start to end of code, line ends kept; first_line is the number of code's first line."""
+    lines = F.split(code, "(?<=\n)")
+    n = F.size(F.filter(lines, lambda x: x != ""))
+    inside = (start >= first_line) & (start <= end) & (end < first_line + n)
+    span = F.array_join(F.slice(lines, F.greatest(start - first_line, F.lit(0)) + 1, F.greatest(end - start, F.lit(0)) + 1), "")
+    return F.coalesce(inside & (F.trim(F.regexp_replace(quote, r"\s+", " ")) != "") & (quote == span), F.lit(False))
+
+
+def cascade(majority: Column, uncertain: Column, reviewed: Column) -> Column:
+    """The label that stands: the review's where the answer was uncertain and reviewed, else the answer's; and what is left to do."""
+    ask = F.coalesce(uncertain, F.lit(True))
+    return F.struct(F.when(~ask, majority).otherwise(reviewed).alias("label"), F.when(~ask, "not_needed").when(reviewed.isNull(), "not_run").otherwise("completed").alias("review_status"))
+
+
+def limits(checks: list[tuple[str, Column]]) -> Column:
+    """Names of the limits that a packet or profile breaks; a null counts as broken."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(good, F.lit(False)), F.lit(name)) for name, good in checks]))
+
+
+def packet_problems(questions: Column, state: Column, most_questions: int = 16, criteria: tuple[int, int] = (2, 32), most_bytes: int = 65_536) -> Column:
+    """questions: a map from question to its criteria; state: the packet's text."""
+    sizes = F.transform(F.map_values(questions), lambda c: F.size(c))
+    return limits([
+        ("questions", F.size(questions).between(1, most_questions)), ("criteria", F.forall(sizes, lambda n: n.between(*criteria))),
+        ("empty_criterion", F.forall(F.flatten(F.map_values(questions)), lambda c: F.trim(c) != "")), ("bytes", F.octet_length(state) <= most_bytes),
+    ])
+
+
+def profile_problems(lists: dict[str, Column], most_items: int = 4, most_bytes: int = 4096) -> Column:
+    """lists: name to array of ids; every list is short, has no empty or repeated id, and all together are small."""
+    checks = [(f"{n}_items", F.size(c) <= most_items) for n, c in lists.items()]
+    checks += [(f"{n}_ids", F.forall(c, lambda x: F.trim(x) != "") & (F.size(F.array_distinct(c)) == F.size(c))) for n, c in lists.items()]
+    return limits([*checks, ("bytes", F.octet_length(F.to_json(F.struct(*[c.alias(n) for n, c in lists.items()]))) <= most_bytes)])

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,24 +21,103 @@ def ranked(scores: DataFrame, query: str, doc: str, score: Column, k: int) -> Da
     return scores.withColumn("score", score).withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
-def bm25(documents: DataFrame, queries: DataFrame, doc: str, query: str, tokens: str) -> DataFrame:
-    """query, doc, score of all documents that share a token with the query.
+#: Postings (query, token) that go to the tasks at once, and cells of one score matrix.
+POSTINGS, CELLS = 2_000_000, 4_000_000
 
-    Documents are reduced to the queries' tokens before the first shuffle. A token in over half of the documents gets
-    EPSILON times the mean weight of all tokens of the corpus, as the usual formula would turn negative.
+
+def bm25(documents: DataFrame, queries: DataFrame, doc: str, query: str, tokens: str, k: int | None = None, positive: bool = False, digits: int = 6) -> DataFrame:
+    """query, doc, score (rounded) of documents that share a token with the query; with k, the k best of each query, ties by document.
+
+    Documents' tokens are written once. One pass counts how many documents hold each token, and one scores: a task has the
+    queries' tokens as a sparse matrix and keeps k documents for each query, so no pair that can't win is shuffled. Queries whose
+    postings don't fit in POSTINGS take several passes. A token in over half of the documents gets EPSILON times the mean weight of all
+    tokens of the corpus, as the usual formula would turn negative. positive leaves out scores that aren't above zero.
     """
-    sized = documents.select(F.col(doc), F.col(tokens), F.size(tokens).alias("n"))
-    n_docs, mean = sized.agg(F.count(F.lit(1)), F.avg("n")).first()
-    words = queries.select(F.col(query), F.explode(tokens).alias("token")).groupBy(query, "token").agg(F.count(F.lit(1)).alias("times"))
-    each = documents.select(F.explode(F.array_distinct(tokens)).alias("token"))
-    df = cut(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "df")  # read for the mean and for the weights
-    raw = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = df.withColumn("idf", raw)
+    spark = documents.sparkSession
+    sized = cut(documents.select(F.col(doc).cast("long").alias("doc"), F.col(tokens).alias("tokens")), "tokens")
+    n_docs, mean = sized.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
+    df = sized.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    weighed = cut(df.select("token", F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "idf")
     floor = EPSILON * (weighed.agg(F.avg("idf")).first()[0] or 0.0)
-    wanted = weighed.join(words.select("token").distinct(), "token", "left_semi").select("token", F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")).alias("idf"))
-    tf = sized.select(F.col(doc), "n", F.explode(tokens).alias("token")).join(wanted.select("token"), "token", "left_semi").groupBy(doc, "n", "token").agg(F.count(F.lit(1)).alias("tf"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(float(mean or 1.0))))
-    return tf.join(wanted, "token").join(words, "token").groupBy(query, doc).agg(F.sum(part).alias("score"))
+    words = queries.select(F.col(query).cast("long").alias("query"), F.explode(tokens).alias("token")).groupBy("query", "token").agg(F.count(F.lit(1)).alias("times"))
+    idf = F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf"))
+    words = cut(words.join(weighed, "token").select("query", "token", (F.col("times") * idf).alias("weight")), "postings")
+    n_passes = max(1, -(-words.count() // POSTINGS))
+    out = None
+    for i in range(n_passes):
+        # POSTINGS rows on average: a query's postings stay together
+        part = words.where(F.pmod(F.xxhash64("query"), F.lit(n_passes)) == i).toArrow()
+        found = sized.mapInArrow(_scorer(spark, part, float(mean or 1.0), k, positive, digits), "query long, doc long, score double")
+        out = found if out is None else out.unionByName(found)
+    out = out.select(F.col("query").alias(query), F.col("doc").alias(doc), "score")
+    return ranked(out, query, doc, F.col("score"), k) if k else out
+
+
+def _scorer(spark, postings: pa.Table, mean: float, k: int | None, positive: bool, digits: int):
+    """A function over batches of (doc, tokens) that gives query, doc, score."""
+    postings = postings.sort_by([("token", "ascending"), ("query", "ascending")])
+    terms = postings.column("token").combine_chunks().dictionary_encode()
+    names, which = np.unique(postings.column("query").to_numpy(), return_inverse=True)
+    starts = np.searchsorted(terms.indices.to_numpy(), np.arange(len(terms.dictionary) + 1))
+    shared = spark.sparkContext.broadcast((terms.dictionary, starts, which, postings.column("weight").to_numpy(), names))  # at most about POSTINGS rows
+
+    def some(docs: np.ndarray, tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        dictionary, starts, which, weight, names = shared.value
+        sizes = np.diff(tokens.offsets.to_numpy())
+        term = pc.index_in(tokens.flatten(), value_set=dictionary).fill_null(-1).to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(docs)), sizes)
+        hit = term >= 0
+        key, tf = np.unique(owner[hit] * len(dictionary) + term[hit], return_counts=True)
+        owner, term = key // len(dictionary), key % len(dictionary)
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[owner] / mean))
+        n = starts[term + 1] - starts[term]
+        at = np.repeat(starts[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cell = np.repeat(owner, n) * len(names) + which[at]
+        scores = np.bincount(cell, np.repeat(part, n) * weight[at], len(docs) * len(names)).reshape(len(docs), len(names)).round(digits)
+        touched = np.bincount(cell, minlength=scores.size).reshape(scores.shape) > 0
+        row, col = np.nonzero(touched & (scores > 0) if positive else touched)
+        return names[col], docs[row], scores[row, col]
+
+    def best(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, d, s = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((d, -s, q))
+        q, d, s = q[order], d[order], s[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        return q[rank < k], d[rank < k], s[rank < k]
+
+    def batch_of(parts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.float64())], names=["query", "doc", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(postings):
+            return
+        rows, held = max(1, CELLS // max(1, len(names))), []
+        for batch in batches:
+            good = batch.filter(pc.and_(batch.column(0).is_valid(), batch.column(1).is_valid()))
+            for at in range(0, good.num_rows, rows):
+                piece = good.slice(at, rows)
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(piece.column(1)).to_numpy())]).astype(np.int32)), piece.column(1).flatten())
+                found = some(piece.column(0).to_numpy(), tokens)
+                if k is None:
+                    yield batch_of(found)
+                else:
+                    held = [best([*held, found])]
+        if held:
+            yield batch_of(held[0])
+
+    return run
+
+
+def padded(ranking: DataFrame, documents: DataFrame, queries: DataFrame, doc: str, query: str, k: int) -> DataFrame:
+    """The first k of a full order of all documents for each query: those that ranking lacks score 0 and come by id.
+
+    ranking holds each query's k best of the documents with a score. Only the 2 k documents with the smallest ids can fill places, so that is all that is met.
+    """
+    least = documents.select(F.col(doc).cast("long").alias(doc)).orderBy(doc).limit(2 * k)
+    # 2 * k rows
+    free = queries.select(F.col(query).cast("long").alias(query)).distinct().join(F.broadcast(least.withColumn("_all", F.lit(1))), F.lit(1) == F.col("_all")).drop("_all")
+    rest = free.join(ranking.select(query, doc), [query, doc], "left_anti").withColumn("score", F.lit(0.0))
+    return ranked(ranking.select(query, doc, "score").unionByName(rest), query, doc, F.col("score"), k)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, dims: int | None = None, rows: int = 2048, digits: int = 6) -> DataFrame:

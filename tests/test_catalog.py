@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from siteledger import catalog_scores  # noqa: F401  adds its queries
 from siteledger.catalog import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
