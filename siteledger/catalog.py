@@ -403,12 +403,15 @@ def byte_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("fixpoint_closure", """
-with recursive e as (select distinct o_custkey as a, o_orderkey % 1499 + 1 as b from orders), r as (select c_custkey as node, 0 as depth from customer where c_custkey <= 5 union all select e.b, r.depth + 1 from r join e on e.a = r.node where r.depth < 4)
-select node, min(depth) as depth from r group by 1""")
+with recursive e as (select distinct a.o_custkey as a, b.o_custkey as b from orders a join orders b on b.o_orderkey = a.o_orderkey + 1 where a.o_custkey < b.o_custkey), r as (select c_custkey as node from customer where c_acctbal < 0 union select e.b from r join e on e.a = r.node)
+select node from r""")
 def fixpoint_closure(spark: SparkSession, sf: str) -> DataFrame:
-    edges = table(spark, sf, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 1499 + 1).alias("b"))
-    seeds = table(spark, sf, "customer").where("c_custkey <= 5").select(F.col("c_custkey").alias("node"))
-    return closure.reached(seeds, edges, "node", "a", "b", rounds=4)
+    """From customers of negative balance to those with a larger key who bought next, and so on."""
+    orders = table(spark, sf, "orders")
+    after = orders.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("b"))
+    edges = orders.select("o_orderkey", F.col("o_custkey").alias("a")).join(after, "o_orderkey").where("a < b")
+    seeds = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("node"))
+    return closure.reached(seeds, edges, "node", "a", "b").select("node")
 
 
 @query("fixpoint_closure_whole", """

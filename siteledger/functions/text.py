@@ -84,7 +84,8 @@ def unicode_tokens(text: Column) -> Column:
 
 def casefolded(text: Column) -> Column:
     """Full case folding but for rare ligatures and Cherokee: lower() of upper(), which opens sharp s, and the final sigma."""
-    return F.translate(F.lower(F.upper(text)), "ς", "σ")
+    sigma = lambda c: F.translate(c, "ς", "σ")
+    return sigma(F.lower(sigma(F.upper(text))))  # next to each other, Spark would drop upper()
 
 
 def type_text(annotation: Column) -> Column:

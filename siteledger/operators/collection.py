@@ -14,7 +14,8 @@ def set_digest(rows: DataFrame, columns: list[str], digits: int = 2) -> DataFram
     """
     each = rows.select(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("d")).distinct()
     buckets = each.groupBy(F.substring("d", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+    # an empty set has the digest of an empty text
+    return buckets.agg(F.sha2(F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), F.lit("")), 256).alias("digest"))
 
 
 def contract_digest(policy: dict[str, Column]) -> Column:

@@ -1,94 +1,250 @@
-"""Structural reuse of rules: decision sites of Python code against expression templates of a catalogue.
+"""Structural reuse of rules: decision sites of Python code against a catalogue's expression templates.
 
-The plan is a join: sites meet the templates of rules in whose scope they lie, exact matches first, and only the
-rest is compared by features. The two Python functions look at one expression, or at one pair.
+One pass parses each text once and gives rows: sites, imports, bound names, declarations. Everything after that is
+joins. An expression's shape (its tree with all identifiers blanked and ordinary strings unquoted) is hashed, so exact matches
+are an equi-join and a comparison of the identifiers in order; near matches meet on shared features.
 """
 
 from __future__ import annotations
 
 import ast
+import hashlib
 import json
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Templates are small; a larger catalogue is refused, as it goes to all executors.
-MOST_TEMPLATES = 5_000
-
-
-def tree(text: str) -> ast.expr | None:
-    try:
-        return ast.parse(text.strip(), mode="eval").body
-    except (SyntaxError, ValueError, RecursionError):
-        return None
-
-
-def features_of(text: str | None) -> list[str] | None:
-    """Attribute names and string values; null if the text is no expression."""
-    root = tree(text) if text else None
-    if root is None:
-        return None
-    found = {f"a:{n.attr}" for n in ast.walk(root) if isinstance(n, ast.Attribute)} | {f"s:{n.value}" for n in ast.walk(root) if isinstance(n, ast.Constant) and isinstance(n.value, str)}
-    return sorted(found)
-
-
-def matches(template: str | None, text: str | None, renameable: list[str]) -> bool:
-    """Whether both trees are equal, where renameable names stand for names one to one."""
-    a, b = (tree(t) if t else None for t in (template, text))
-    if a is None or b is None:
-        return False
-    names: dict[str, str] = {}
-
-    def same(x, y) -> bool:
-        if isinstance(x, ast.Name) and isinstance(y, ast.Name) and x.id in renameable:
-            return names.setdefault(x.id, y.id) == y.id and list(names.values()).count(y.id) == 1
-        if isinstance(x, ast.AST):
-            return type(x) is type(y) and all(same(getattr(x, f, None), getattr(y, f, None)) for f in x._fields if f not in ("ctx", "kind"))
-        if isinstance(x, list):
-            return isinstance(y, list) and len(x) == len(y) and all(map(same, x, y))
-        return type(x) is type(y) and x == y
-
-    return same(a, b)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def features(text: pd.Series) -> pd.Series:
-    return text.map(features_of)
-
-
-@F.pandas_udf(T.BooleanType())
-def equal(template: pd.Series, text: pd.Series, renameable: pd.Series) -> pd.Series:
-    return pd.Series([matches(a, b, list(r) if r is not None else []) for a, b, r in zip(template, text, renameable, strict=True)])
-
-
-def findings(sites: DataFrame, templates: DataFrame) -> DataFrame:
-    """sites (path, line, column, expression) with rule_id, template_id, basis: exact, review or near.
-
-    templates: rule_id, template_id, expression, renameable, review_only, paths (scope prefixes). A site's exact matches
-    stand before matches for review only, and those before near ones; of one kind the first template by id counts for a rule.
+from siteledger.operators import similarity
+from siteledger.plans.lineage import cut, numbered
+
+#: Bytes of a review request; a larger one is a diagnostic.
+REQUEST_BYTES = 24 * 1024
+FACT = "fact string, path string, line long, column long, end_line long, end_column long, construct string, name string, module string, code string, shape string, names array<string>, features array<string>, evaluates string"
+NAMES = [f.split()[0] for f in FACT.split(", ")]
+SCHEMA = pa.schema([(n, pa.int64() if "line" in n or "column" in n else pa.list_(pa.string()) if n in ("names", "features") else pa.string()) for n in NAMES])
+
+
+def ordinary(raw: str) -> str | None:
+    """The value of a plain quoted string; null for prefixes, escapes and triple quotes, which count as they are written."""
+    if len(raw) >= 2 and raw[0] in "'\"" and raw[0] == raw[-1] and not raw.startswith(('"""', "'''")) and not set(raw[1:-1]) & {"\\", "\n", "\r"} and raw[0] not in raw[1:-1]:
+        return raw[1:-1]
+    return None
+
+
+def described(root: ast.expr, source: str) -> dict:
+    """shape, names (identifiers in order) and features (attribute names and ordinary string values) of one expression."""
+    names: list[str] = []
+    features: set[str] = set()
+
+    def tree(node) -> object:
+        if isinstance(node, list):
+            return [tree(n) for n in node]
+        if not isinstance(node, ast.AST):
+            return node
+        kind = type(node).__name__
+        if isinstance(node, ast.Name):
+            names.append(node.id)
+            return "name"
+        if isinstance(node, ast.arg):
+            names.append(node.arg)
+            return "arg"
+        if isinstance(node, ast.Constant | ast.JoinedStr):
+            raw = ast.get_source_segment(source, node) or repr(getattr(node, "value", ""))
+            value = ordinary(raw)
+            if value is None:
+                return ["literal", raw]
+            features.add(value)
+            return ["string", value]
+        if isinstance(node, ast.Attribute):
+            inner = tree(node.value)
+            features.add(node.attr)
+            return ["attribute", inner, node.attr]
+        if isinstance(node, ast.keyword) and node.arg:
+            names.append(node.arg)
+            return ["keyword", tree(node.value)]
+        return [kind, *[tree(v) for f, v in ast.iter_fields(node) if f != "ctx"]]
+
+    shape = json.dumps(tree(root), ensure_ascii=True, default=repr)
+    return {"shape": hashlib.sha256(shape.encode()).hexdigest(), "names": names, "features": sorted(features)}
+
+
+def evaluated(node: ast.expr) -> str | None:
+    """X of `X.is_satisfied_by(...)`, perhaps negated."""
+    while isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
+        node = node.operand
+    f = node.func if isinstance(node, ast.Call) else None
+    return f.value.id if isinstance(f, ast.Attribute) and f.attr == "is_satisfied_by" and isinstance(f.value, ast.Name) else None
+
+
+def conditions(node: ast.AST, lines: list[str]) -> Iterator[tuple[str, ast.expr]]:
+    if isinstance(node, ast.If):
+        yield "elif_clause" if lines[node.lineno - 1].encode()[node.col_offset :].startswith(b"elif") else "if_statement", node.test
+    elif isinstance(node, ast.While):
+        yield "while_statement", node.test
+    elif isinstance(node, ast.Assert):
+        yield "assert_statement", node.test
+    elif isinstance(node, ast.Lambda):
+        yield "lambda", node.body
+    elif isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "require" and node.args:
+        yield "call", node.args[0]
+
+
+def rows_of(path: str, text: str) -> list[dict]:
+    tree, lines, out = ast.parse(text), text.split("\n"), []
+    place = lambda n: {"line": n.lineno, "column": n.col_offset + 1, "end_line": n.end_lineno, "end_column": n.end_col_offset + 1}
+    for s in tree.body:
+        target = s.targets[0] if isinstance(s, ast.Assign) and len(s.targets) == 1 else s.target if isinstance(s, ast.AnnAssign) else s
+        name = target.id if isinstance(target, ast.Name) else getattr(target, "name", None)
+        if name:
+            value, extra = getattr(s, "value", None), {}
+            body = value.args[0] if isinstance(value, ast.Call) and isinstance(value.func, ast.Name) and value.func.id == "PredicateSpec" and value.args else None
+            a = body.args if isinstance(body, ast.Lambda) else None
+            if a and len(a.args) == 1 and not (a.posonlyargs or a.kwonlyargs or a.vararg or a.kwarg or a.defaults):
+                extra = described(body.body, text) | {"evaluates": a.args[0].arg, "construct": "predicate"}
+            out.append({"fact": "declaration", "name": name, "code": ast.get_source_segment(text, s), **place(s), **extra})
+        if isinstance(s, ast.ImportFrom) and not s.level:
+            out += [{"fact": "import", "module": s.module or "", "code": a.name, "name": a.asname or a.name, **place(s)} for a in s.names]
+    for node in ast.walk(tree):
+        for construct, test in conditions(node, lines):
+            out.append({"fact": "site", "construct": construct, "code": ast.get_source_segment(text, test), "evaluates": evaluated(test), **place(test), **described(test, text)})
+        bound = [t.id for t in (node.targets if isinstance(node, ast.Assign) else [node.target]) if isinstance(t, ast.Name)] if isinstance(node, ast.Assign | ast.AnnAssign) else [node.name] if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) else [node.arg] if isinstance(node, ast.arg) else []
+        out += [{"fact": "bound", "name": b} for b in bound]
+    return [{"path": path, **r} for r in out]
+
+
+def parsed(texts: DataFrame) -> DataFrame:
+    """Fact rows of all texts (path, text); a text that can't be parsed gives one issue."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows = rows_of(path, text or "")
+                except (SyntaxError, ValueError, RecursionError):
+                    rows = [{"fact": "issue", "path": path}]
+                for k in range(0, len(rows), 5000):
+                    yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in NAMES} for r in rows[k : k + 5000]], schema=SCHEMA)
+
+    return texts.select("path", "text").mapInArrow(run, FACT)
+
+
+def templates_frame(spark: SparkSession, catalogue: dict) -> DataFrame:
+    """A catalogue's rules and templates as rows, with shapes; ids must be unique, scopes relative and templates expressions."""
+    rules = catalogue.get("rules", [])
+    for what, ids in (("rule", [r["id"] for r in rules]), ("template", [(r["id"], t["id"]) for r in rules for t in r.get("templates", [])])):
+        if len(ids) != len(set(ids)):
+            raise ValueError(f"{what} ids are not unique")
+    if bad := [p for r in rules for p in r["paths"] if p != "." and (p.startswith("/") or "\\" in p or set(p.split("/")) & {"", ".", ".."})]:
+        raise ValueError(f"scopes must be relative paths: {bad}")
+    rows = []
+    for r in rules:
+        for k, t in enumerate(r.get("templates", [])):
+            source = f"({t['expression']})"
+            d = described(ast.parse(source, mode="eval").body, source)
+            rows.append((r["id"], t["id"], k, t["expression"], list(t.get("renameable_identifiers", [])), bool(t.get("review_only", False)), list(r["paths"]), r.get("canonical_path"), r.get("canonical_symbol"), r.get("canonical_digest"), d["shape"], d["names"], d["features"]))
+    return spark.createDataFrame(rows, "rule_id string, template_id string, ordinal int, expression string, renameable array<string>, review_only boolean, paths array<string>, canonical_path string, canonical_symbol string, canonical_digest string, t_shape string, t_names array<string>, t_features array<string>")
+
+
+def canonical_problems(rules: DataFrame, facts: DataFrame) -> DataFrame:
+    """rule_id, problem of each rule with a canonical declaration; null if it is there and its digest is the catalogue's."""
+    own = facts.where("fact = 'declaration'").select(F.col("path").alias("canonical_path"), F.col("name").alias("canonical_symbol"), F.sha2("code", 256).alias("_digest"), F.col("construct").alias("_kind"))
+    asked = rules.where("canonical_path is not null").select("rule_id", "canonical_path", "canonical_symbol", "canonical_digest").distinct()
+    problem = F.when(F.col("_digest").isNull(), "no_declaration").when(F.coalesce(F.col("canonical_digest") != F.col("_digest"), F.lit(False)), "stale_digest").when(F.col("_kind").isNull(), "no_plain_predicate")
+    return asked.join(own, ["canonical_path", "canonical_symbol"], "left").select("rule_id", problem.alias("problem"))
+
+
+def in_scope(path: Column, paths: Column) -> Column:
+    return F.exists(paths, lambda p: (p == ".") | (path == p) | path.startswith(F.concat(p, F.lit("/"))))
+
+
+def renamed(names: Column, wanted: Column, renameable: Column) -> Column:
+    """Whether the identifiers are the wanted ones in order, where renameable ones stand for others one to one."""
+    pairs = F.zip_with(wanted, names, lambda t, s: F.struct(t.alias("t"), s.alias("s")))
+    free = F.array_distinct(F.filter(pairs, lambda x: F.array_contains(renameable, x["t"])))
+    one_to_one = (F.size(F.array_distinct(F.transform(free, lambda x: x["t"]))) == F.size(free)) & (F.size(F.array_distinct(F.transform(free, lambda x: x["s"]))) == F.size(free))
+    return (F.size(names) == F.size(wanted)) & F.forall(pairs, lambda x: F.array_contains(renameable, x["t"]) | (x["t"] == x["s"])) & one_to_one
+
+
+SITE = ["path", "line", "column", "construct", "code"]
+
+
+def judged(facts: DataFrame, templates: DataFrame) -> DataFrame:
+    """SITE columns, rule_id, basis and template_id for each site and rule in whose scope it lies, where one of these holds.
+
+    Bases, the first of which counts: verified_reuse (the site evaluates the rule's own specification, imported by name from
+    its module and bound nowhere else in the file), equivalent_template, review_template (the first template by its place), and
+    feature_overlap. Sites inside the rule's canonical declaration don't count.
+    """
+    sites = facts.where("fact = 'site'").select(*SITE, "end_line", "end_column", "shape", "names", "features", "evaluates")
+    sites = cut(sites.withColumn("site", F.xxhash64("path", "line", "column", "construct", "end_line", "end_column")), "reuse-sites")
+    rules = templates.select("rule_id", "paths", "canonical_path", "canonical_symbol").distinct()
+    shapes = templates.select("rule_id", "template_id", "ordinal", "review_only", "renameable", "paths", F.col("t_shape").alias("shape"), "t_names")
+    same = sites.join(shapes, "shape").where(in_scope(F.col("path"), F.col("paths")) & renamed(F.col("names"), F.col("t_names"), F.col("renameable")))
+    exact = same.select("site", "rule_id", F.when(F.col("review_only"), 2).otherwise(1).alias("rank"), "ordinal", "template_id")
+    # one row for each distinct set of features of each side
+    sets = sites.select(F.xxhash64("features").alias("set"), "features").dropDuplicates(["set"])
+    wanted = templates.where("not review_only").select(F.concat_ws("|", "rule_id", "template_id").alias("template"), F.col("t_features").alias("features"))
+    near = similarity.near_templates(sets, wanted, "set", "template", "features").join(templates.where("not review_only").select(F.concat_ws("|", "rule_id", "template_id").alias("template"), "rule_id", "paths"), "template")
+    near = sites.select("site", "path", F.xxhash64("features").alias("set")).join(near, "set").where(in_scope(F.col("path"), F.col("paths")))
+    near = near.select("site", "rule_id", F.lit(3).alias("rank"), F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("template_id"))
+    bound = facts.where("fact = 'bound'").select("path", F.col("name").alias("evaluates")).distinct()
+    stem = F.regexp_extract("canonical_path", r"([^/]*?)(?:\.py)?$", 1)
+    imports = facts.where("fact = 'import'").select("path", "module", F.col("code").alias("canonical_symbol"), F.col("name").alias("evaluates"))
+    known = imports.join(rules.where("canonical_path is not null").withColumn("module", stem), ["module", "canonical_symbol"]).join(bound, ["path", "evaluates"], "left_anti")
+    reused = sites.where("evaluates is not null").join(known, ["path", "evaluates"]).where(in_scope(F.col("path"), F.col("paths")))
+    reused = reused.select("site", "rule_id", F.lit(0).alias("rank"), F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("template_id"))
+    best = exact.unionByName(near).unionByName(reused).groupBy("site", "rule_id").agg(F.min(F.struct("rank", "ordinal", "template_id")).alias("b"))
+    spans = facts.where("fact = 'declaration'").select(F.col("path").alias("canonical_path"), F.col("name").alias("canonical_symbol"), F.col("line").alias("d_line"), F.col("column").alias("d_column"), F.col("end_line").alias("d_end_line"), F.col("end_column").alias("d_end_column"))
+    spans = rules.join(spans, ["canonical_path", "canonical_symbol"]).select("rule_id", F.col("canonical_path").alias("path"), "d_line", "d_column", "d_end_line", "d_end_column")
+    out = best.join(sites, "site").join(spans, ["rule_id", "path"], "left")
+    start, stop = F.struct("line", "column"), F.struct("end_line", "end_column")
+    inside = (start >= F.struct(F.col("d_line").alias("line"), F.col("d_column").alias("column"))) & (stop <= F.struct(F.col("d_end_line").alias("end_line"), F.col("d_end_column").alias("end_column")))
+    basis = F.element_at(F.array(*map(F.lit, ("verified_reuse", "equivalent_template", "review_template", "feature_overlap"))), F.col("b.rank") + 1)
+    return out.where(~F.coalesce(inside, F.lit(False))).select(*SITE, "rule_id", basis.alias("basis"), F.col("b.template_id").alias("template_id"), "shape", "names").distinct()
+
+
+def findings(facts: DataFrame, templates: DataFrame) -> DataFrame:
+    """judged() without verified reuse: SITE columns, rule_id, kind (reimplementation or near_match), basis, template_id."""
+    rows = judged(facts, templates).where("basis != 'verified_reuse'")
+    return rows.select(*SITE, "rule_id", F.when(F.col("basis") == "equivalent_template", "reimplementation").otherwise("near_match").alias("kind"), "basis", "template_id")
+
+
+def check(before: DataFrame, after: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Findings of the after side with introduced, one row of totals, and files that count as incomplete.
+
+    before, after: path (the same on both sides, so renames are resolved already) and text of the changed files. A file that can't be parsed on
+    either side is left out of all counts. A finding is introduced if it goes beyond the number of findings of one file before it with the same
+    rule, kind and template (or, without a template, the same expression).
     """
-    if templates.limit(MOST_TEMPLATES + 1).count() > MOST_TEMPLATES:
-        raise ValueError("the catalogue has too many templates")
-    rules = templates.select("rule_id", "template_id", F.col("expression").alias("_template"), "renameable", "review_only", "paths", features("expression").alias("_wanted"))
-    own = sites.select("path", "line", "column", "expression", features("expression").alias("_features"))
-    scope = F.exists("paths", lambda p: (p == ".") | (F.col("path") == p) | F.col("path").startswith(F.concat(p, F.lit("/"))))
-    pairs = own.join(F.broadcast(rules), scope)
-    key = ["path", "line", "column", "rule_id"]
-    tested = pairs.withColumn("_same", equal("_template", "expression", "renameable"))
-    common = F.size(F.array_intersect("_features", "_wanted"))
-    near = (common >= 3) & (2 * common >= F.size(F.array_union("_features", "_wanted")))
-    rank = F.when(F.col("_same") & ~F.col("review_only"), 0).when(F.col("_same"), 1).when(near, 2)
-    best = tested.withColumn("_rank", rank).where("_rank is not null").groupBy(*key).agg(F.min(F.struct("_rank", "template_id")).alias("_best"), F.first("expression").alias("expression"))
-    basis = F.element_at(F.array(*map(F.lit, ("exact", "review", "near"))), F.col("_best._rank") + 1)
-    return best.select(*key, "expression", F.col("_best.template_id").alias("template_id"), basis.alias("basis"))
-
-
-def templates_frame(spark, catalogue: dict) -> DataFrame:
-    """A catalogue's rules and templates as rows; ids must be unique."""
-    rows = [(r["id"], t["id"], t["expression"], list(t.get("renameable_identifiers", [])), bool(t.get("review_only", False)), list(r["paths"])) for r in catalogue.get("rules", []) for t in r.get("templates", [])]
-    ids = [r["id"] for r in catalogue.get("rules", [])]
-    if len(ids) != len(set(ids)):
-        raise ValueError(f"rule ids are not unique: {json.dumps(sorted({i for i in ids if ids.count(i) > 1}))}")
-    return spark.createDataFrame(rows, "rule_id string, template_id string, expression string, renameable array<string>, review_only boolean, paths array<string>")
+    old, new = cut(parsed(before), "reuse-before"), cut(parsed(after), "reuse-after")
+    bad = old.where("fact = 'issue'").select("path").unionByName(new.where("fact = 'issue'").select("path")).distinct()
+    scope = templates.select(F.explode("paths").alias("prefix")).distinct()
+    paths = before.select("path").unionByName(after.select("path")).distinct()
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"))
+    scoped = paths.withColumn("prefix", F.explode(F.concat(F.array(F.lit(".")), prefixes))).join(scope, "prefix").select("path").distinct()
+    files = cut(scoped.join(bad.withColumn("bad", F.lit(True)), "path", "left"), "reuse-files")
+    whole = files.where("bad is null").select("path")
+    side = lambda facts: cut(judged(facts.join(whole, "path", "left_semi"), templates), "judged")
+    was, now = side(old), side(new)
+    kind = F.when(F.col("basis") == "equivalent_template", "reimplementation").otherwise("near_match")
+    key = F.coalesce("template_id", F.concat_ws(",", F.col("shape"), F.concat_ws(",", "names")))
+    keyed = lambda df: df.where("basis != 'verified_reuse'").select(*SITE, "rule_id", "basis", "template_id", kind.alias("kind"), key.alias("key"))
+    group = ["path", "rule_id", "kind", "key"]
+    counts = keyed(was).groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    found = numbered(keyed(now), group, ["line", "column", "construct"], "occurrence").join(counts, group, "left")
+    found = cut(found.select(*SITE, "rule_id", "kind", "basis", "template_id", (F.col("occurrence") > F.coalesce("n", F.lit(0))).alias("introduced")), "reuse-findings")
+    exact = F.col("kind") == "reimplementation"
+    one = F.lit(1).alias("_one")
+    total = found.agg(F.count_if(exact).alias("after_reimplementations"), F.count_if(exact & F.col("introduced")).alias("new_reimplementations"), F.count_if(~exact & F.col("introduced")).alias("new_near_matches"), one)
+    total = total.join(keyed(was).agg(F.count_if(exact).alias("before_reimplementations"), one), "_one").join(now.agg(F.count_if(F.col("basis") == "verified_reuse").alias("reused_specifications"), one), "_one")
+    total = total.join(files.agg(F.count(F.lit(1)).alias("files_checked"), F.count_if(F.col("bad")).alias("incomplete_files"), one), "_one").drop("_one")
+    return found, total, files.where("bad").select("path")
+
+
+def review_requests(found: DataFrame) -> DataFrame:
+    """The introduced near matches as requests, with diagnostic context_too_large (and no request) for those over REQUEST_BYTES."""
+    request = F.to_json(F.struct("path", "line", F.col("code").alias("predicate"), "basis", "rule_id", "template_id"))
+    small = F.octet_length(request) <= REQUEST_BYTES
+    return found.where("introduced and kind = 'near_match'").select(*SITE, "rule_id", F.when(small, request).alias("request"), F.when(~small, "context_too_large").alias("diagnostic"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -78,7 +79,7 @@ def interval(families: DataFrame, family: str, gain: str, draws: int = 2000, see
     """
     rows = families.groupBy(family).agg(F.sum(F.col(gain).cast("double")).alias("s"), F.count(gain).alias("n")).orderBy(family).limit(100_001).collect()
     if len(rows) > 100_000:
-        raise ValueError("too many families to draw from on the driver")
+        raise ValueError("too many families to draw from on the driver; interval_of_many() takes any number")
     if not rows:
         return None
     rng, means = random.Random(seed), []
@@ -91,6 +92,26 @@ def interval(families: DataFrame, family: str, gain: str, draws: int = 2000, see
     return {"low": at((1 - level) / 2), "high": at((1 + level) / 2)}
 
 
+def interval_of_many(families: DataFrame, family: str, gain: str, draws: int = 2000, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """low, high of the same bootstrap for any number of families: each draw weighs a family by how often it would be taken.
+
+    That number is nearly Poisson with mean 1 and comes from a hash of seed, draw and family, so tasks add up their own families
+    and only one row for each draw and task is shuffled. The generator's own draws, as interval() makes them, can't be had this way.
+    """
+    each = families.groupBy(family).agg(F.sum(F.col(gain).cast("double")).alias("s"), F.count(gain).alias("n"))
+    drawn = each.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u = F.pmod(F.xxhash64(F.lit(seed), "draw", F.col(family)), F.lit(1 << 52)) / float(1 << 52)
+    below, term, times = 0.0, math.exp(-1), F.lit(0)
+    for k in range(1, 18):
+        below += term
+        times = times + F.when(u >= below, 1).otherwise(0)
+        term /= k
+    means = drawn.withColumn("w", times).groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n")).cast("double")).alias("mean"))
+    ordered = means.agg(F.array_sort(F.collect_list(F.coalesce("mean", F.lit(0.0)))).alias("m"))  # one number for each draw
+    at = lambda q: F.element_at("m", int(q * (draws - 1)) + 1)
+    return ordered.where(F.size("m") > 0).select(at((1 - level) / 2).alias("low"), at((1 + level) / 2).alias("high"))
+
+
 def probability_change(before: Column, after: Column, slack: str = "0.005") -> Column:
     """low, high, sign of a difference of rounded probabilities, in exact decimals."""
     dec = lambda c: c.cast("string").cast("decimal(20,10)")

@@ -75,7 +75,7 @@ class Facts:
         s = own[0]
         good = len(own) == 1 and isinstance(s, ast.AnnAssign) and ast.unparse(s.annotation) in MARKER_TYPES and isinstance(s.value, ast.Constant) and s.value.value == MARKER_VALUE
         if not good:
-            why = "the marker class variable must be declared exactly once" if len(own) > 1 else "expected ClassVar[Literal[...]] with the marker's value"
+            why = "it has more than one" if len(own) > 1 else "expected ClassVar[Literal[...]] with the marker's value"
             self.add("issue", s, kind="marker", text=f"marker on class {node.name!r}: {why}")
         return good
 

@@ -72,7 +72,9 @@ def references(found: DataFrame, names: DataFrame) -> DataFrame:
     # a module that goes somewhere as a value may be used for anything in it
     bare = uses.where(~F.col("kind").isin("part", "factory")).join(aliases.where("alias = head").select("module", F.col("alias").alias("name"), "to"), ["module", "name"])
     inside = names.select("def_module", "def_name").distinct()
-    loose = bare.join(inside, (F.col("def_module") == F.col("to")) | F.col("def_module").startswith(F.concat("to", F.lit(".")))).select("path", "name", "kind", "line", "def_module", "def_name", F.lit(False).alias("direct"))
+    parts = F.split("def_module", r"\.")
+    below = inside.withColumn("to", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))))
+    loose = bare.join(below, "to").select("path", "name", "kind", "line", "def_module", "def_name", F.lit(False).alias("direct"))
     return out.unionByName(loose)
 
 
@@ -107,6 +109,11 @@ def scan(spark: SparkSession, root: str, includes: list[str] | None = None, mani
     """Parse once; everything after works on the written facts."""
     tree = trees.files(spark, root)
     trees.check_includes(tree, trees.normalised(includes or []))
+    return scanned(tree, includes, manifest, closed_world)
+
+
+def scanned(tree: DataFrame, includes: list[str] | None = None, manifest: list[tuple[str, str]] | None = None, closed_world: bool = False) -> Scan:
+    """The scan of files given as rows: path, language, bytes, length."""
     texts, issues = trees.sources(tree, includes, manifest)
     found = cut(facts(texts.where("language = 'python'")), "facts")
     issues = cut(issues.unionByName(found.where("fact = 'issue'").select(F.col("kind").alias("class"), "path", F.col("text").alias("message"))), "issues")
@@ -134,6 +141,27 @@ def scan(spark: SparkSession, root: str, includes: list[str] | None = None, mani
     return Scan(sites, live, issues, trees.tree_digest(tree))
 
 
+def import_closure(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """module, depth: the modules of the tree that the seed modules import, whole or by name, and those that these import."""
+    own = found.where("fact = 'file'").select(F.col("module").alias("b")).distinct()
+    named = found.where("fact = 'import'").select("module", F.explode(F.array("target_module", F.concat_ws(".", "target_module", "target_name"))).alias("b"))
+    whole = found.where("fact = 'module_import'").select("module", F.col("target_module").alias("b"))
+    edges = named.unionByName(whole).join(own, "b", "left_semi").select(F.col("module").alias("a"), "b").distinct()
+    return closure.reached(seeds, edges, "module", "a", "b")
+
+
+def at_position(branches: DataFrame, candidates: DataFrame) -> DataFrame:
+    """branches with the fingerprint of the `if` candidate at exactly their place, the first by fingerprint; null where there is none."""
+    place = ["path", "line", "column"]
+    first = candidates.where("kind = 'if'").groupBy(*place).agg(F.min("fingerprint").alias("fingerprint"))
+    return branches.join(first, place, "left")
+
+
+def ordered(result: Scan) -> tuple[DataFrame, DataFrame]:
+    """Candidates and definitions in the order of reports: by language, path and place. Sort at the output only."""
+    return result.candidates.orderBy("language", "path", "line", "column", "kind", "fingerprint"), result.definitions.orderBy("language", "path", "line", "column", "name", "kind")
+
+
 def measured(result: Scan, registry: DataFrame | None = None) -> DataFrame:
     """The one-row measure of a scan: S, U, ratio, state, provisional, digest."""
     out = result.candidates.select("fingerprint", "inside_specification")

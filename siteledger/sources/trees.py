@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteledger.functions.text import LANGUAGES, language, valid_path
+from siteledger.operators.collection import set_digest
 from siteledger.operators.scope import included, roles
 
-#: A larger file is an issue, not a source.
+#: By default a larger file is an issue, not a source.
 MOST_BYTES = 4 << 20
 
 
@@ -101,8 +102,8 @@ def walked(root: str) -> list[tuple[str, int]]:
     return sorted(out)
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative to root), language, bytes (null if too large), length of all files of the languages known.
+def files(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """path (relative to root), language, bytes (null if over most_bytes), length of all files of the languages known.
 
     The driver lists paths, tasks read contents, by pyarrow.fs: local, HDFS, S3 and GCS paths.
     """
@@ -113,7 +114,7 @@ def files(spark: SparkSession, root: str) -> DataFrame:
         for batch in batches:
             for path, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = None
-                if length <= MOST_BYTES:
+                if length <= most_bytes:
                     with store.open_input_stream(f"{top.rstrip('/')}/{path}") as f:
                         data = f.read()
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary()), pa.array([length], pa.int64())], names=["path", "bytes", "length"])
@@ -156,6 +157,6 @@ def sources(found: DataFrame, includes: list[str] | None = None, manifest: list[
 
 
 def tree_digest(found: DataFrame) -> DataFrame:
-    """One row: digest over all files' paths and digests in path order. Digests meet in one task, texts don't."""
-    each = found.select(F.struct("path", F.sha2(F.coalesce("bytes", F.lit(b"")), 256).alias("digest")).alias("f"))
-    return each.agg(F.array_sort(F.collect_list("f")).alias("all")).select(F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform("all", lambda f: F.concat(f["path"], F.lit("\x00"), f["digest"])), "\n"), 256)).alias("digest"))
+    """One row: digest over the set of all readable files' paths and contents, whatever their order."""
+    each = found.where("bytes is not null").select("path", F.sha2("bytes", 256).alias("content"))
+    return set_digest(each, ["path", "content"]).select(F.concat(F.lit("sha256:"), "digest").alias("digest"))

@@ -1,12 +1,16 @@
 """Operators that the catalogue's SQL doesn't reach."""
 
+import ast
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from siteledger.functions import text as T
 from siteledger.functions import vectors as V
-from siteledger.operators import history, policy, reuse, scoring
+from siteledger.operators import arms, history, policy, reuse, scoring
 from siteledger.plans.lineage import numbered
+from siteledger.sources import vector_index
 from siteledger.streaming.history import keep
 
 
@@ -49,14 +53,79 @@ def test_policy_and_scores(spark):
     assert got == scoring.interval(families, "f", "g", draws=200, seed=3) and got["low"] == 0.5 and got["high"] == 1.0
 
 
-def test_reuse(spark):
-    assert reuse.matches("x.age >= limit", "(user.age >= top)", ["x", "limit"]) and not reuse.matches("x.a and y.a", "u.a and u.a", ["x", "y"])
-    catalogue = {"rules": [{"id": "adult", "paths": ["app"], "templates": [{"id": "t1", "expression": "p.kind == 'adult' and p.age > 17 and p.ok", "renameable_identifiers": ["p"]}]}]}
-    sites = [("app/a.py", 1, 1, "q.kind == 'adult' and q.age > 17 and q.ok"), ("app/b.py", 2, 1, "q.kind == 'adult' and q.age > 18 or q.ok"), ("lib/c.py", 1, 1, "q.kind == 'adult' and q.age > 17 and q.ok"), ("app/d.py", 1, 1, "broken (")]
-    got = reuse.findings(spark.createDataFrame(sites, "path string, line long, column long, expression string"), reuse.templates_frame(spark, catalogue)).collect()
-    assert {(r.path, r.basis) for r in got} == {("app/a.py", "exact"), ("app/b.py", "near")}
+def brute_match(template, expression, renameable):
+    """Both trees walked together."""
+    a, b = (ast.parse(f"({t})", mode="eval").body for t in (template, expression))
+    names = {}
+
+    def same(x, y):
+        if isinstance(x, ast.Name) and x.id in renameable:
+            if not isinstance(y, ast.Name) or (x.id not in names and y.id in names.values()):
+                return False
+            return names.setdefault(x.id, y.id) == y.id
+        if isinstance(x, ast.AST):
+            return type(x) is type(y) and all(same(getattr(x, f, None), getattr(y, f, None)) for f in x._fields if f not in ("ctx", "kind"))
+        if isinstance(x, list):
+            return isinstance(y, list) and len(x) == len(y) and all(map(same, x, y))
+        return type(x) is type(y) and x == y
+
+    return same(a, b)
+
+
+def test_reuse_matches_as_a_walk_over_both_trees(spark):
+    rng = random.Random(13)
+    expressions = sorted({f"{a}.k {op} {b} and {c}.f('x', {d})" for a, b, c, d in (rng.choices("xyzw", k=4) for _ in range(60)) for op in ("<", "==")})
+    catalogue = {"rules": [{"id": f"r{k}", "paths": ["."], "templates": [{"id": "t", "expression": e, "renameable_identifiers": free}]} for k, (e, free) in enumerate((e, f) for e in expressions[::9] for f in (["x"], ["x", "y"], []))]}
+    texts = spark.createDataFrame([("a.py", "".join(f"if {e}: pass\n" for e in expressions))], "path string, text string")
+    got = {(r.line, r.rule_id) for r in reuse.findings(reuse.parsed(texts), reuse.templates_frame(spark, catalogue)).where("basis = 'equivalent_template'").collect()}
+    want = {(i + 1, r["id"]) for i, e in enumerate(expressions) for r in catalogue["rules"] for t in r["templates"] if brute_match(t["expression"], e, t["renameable_identifiers"])}
+    assert got == want and len(want) > len(catalogue["rules"])
+
+
+def test_reuse_catalogue_and_requests(spark):
+    for bad in ({"rules": [{"id": "x", "paths": []}, {"id": "x", "paths": []}]}, {"rules": [{"id": "x", "paths": ["../a"]}]}):
+        with pytest.raises(ValueError):
+            reuse.templates_frame(spark, bad)
+    rows = [("a.py", 1, 1, "if_statement", "x" * n, "r", "near_match", "feature_overlap", None, True) for n in (10, 30_000)]
+    found = spark.createDataFrame(rows, "path string, line long, column long, construct string, code string, rule_id string, kind string, basis string, template_id string, introduced boolean")
+    assert sorted((r.request is None, r.diagnostic) for r in reuse.review_requests(found).collect()) == [(False, None), (True, "context_too_large")]
+
+
+def test_interval_of_many_families(spark):
+    rng = random.Random(3)
+    rows = [(f"f{k}", rng.random() < 0.3) for k in range(400) for _ in range(3)]
+    families = spark.createDataFrame([(f, float(g)) for f, g in rows], "f string, g double")
+    few, many = scoring.interval(families, "f", "g", seed=5), scoring.interval_of_many(families, "f", "g", seed=5).first()
+    assert abs(few["low"] - many.low) < 0.01 and abs(few["high"] - many.high) < 0.01
+    assert scoring.interval_of_many(families.limit(0), "f", "g").count() == 0
+
+
+def test_vector_index(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")
+    encode = lambda df: df.select("key", F.array(F.length("text").cast("double")).alias("vector"))
+    root = str(tmp_path)
     with pytest.raises(ValueError):
-        reuse.templates_frame(spark, {"rules": [{"id": "x", "paths": []}, {"id": "x", "paths": []}]})
+        vector_index.read_snapshot(docs, root, "p", "s")
+    assert vector_index.publish(docs, root, "p", "s", encode) == 1
+    more = docs.union(spark.createDataFrame([("c", "zz")], docs.schema))
+    with pytest.raises(ValueError, match="too few"):
+        vector_index.publish(more, root, "p", "s", lambda df: encode(df).limit(0))
+    assert vector_index.read_snapshot(docs, root, "p", "s").count() == 2
+    assert vector_index.publish(more, root, "p", "s", encode) == 2
+    assert {(r.id, r.vector[0]) for r in vector_index.read_snapshot(more, root, "p", "s").collect()} == {("a", 1.0), ("b", 1.0), ("c", 2.0)}
+    for stale in ((docs, "p", "s"), (more, "q", "s"), (more, "p", "t")):
+        with pytest.raises(ValueError, match="stale"):
+            vector_index.read_snapshot(stale[0], root, *stale[1:])
+    with pytest.raises(ValueError, match="unique"):
+        vector_index.publish(docs.union(docs), root, "p", "s", encode)
+
+
+def test_small_functions(spark):
+    row = spark.createDataFrame([("ok", 0, False, " Final [ Literal['a b'] ] ")], "s string, a int, d boolean, t string")
+    got = row.select(arms.usable(F.lit("valid"), F.col("a"), F.col("d")).alias("u"), arms.usable(F.lit("valid"), F.lit(None).cast("int"), F.col("d")).alias("n"), T.type_text(F.col("t")).alias("t"), T.unicode_tokens(F.lit("v2Beta ΣΑΣ")).alias("w")).first()
+    assert (got.u, got.n, got.t, got.w) == (True, False, "Final[Literal['a b']]", ["v2beta", "σασ"])
+    low = scoring.probability_change(F.lit(0.4), F.lit(0.5))
+    assert row.select(low["sign"].alias("x")).first().x == "positive"
 
 
 def test_whole_closure_follows_a_long_path(spark, tmp_path):
