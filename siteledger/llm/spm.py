@@ -10,8 +10,8 @@ each distinct part too, so it covers every text. A text whose parts don't all ag
 the sentencepiece library and parity false. Models without that independence, or with a character map,
 go through both libraries text by text.
 
-Null text counts as empty: no ids, round trip and parity true. Repeated rows get equal results. Only the
-named columns are read.
+Null text counts as empty: no ids, round trip and parity true. A text of any length is encoded whole. Repeated rows get equal
+results. An empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -106,8 +106,12 @@ def implied_merges(vocab: dict[str, int], pieces: list[tuple[str, float, int]])
     return [(pieces[a][0], pieces[b][0]) for _, _, a, b in sorted(found)]
 
 
+def rewrites(proto: Proto) -> bool:
+    return bool(proto.charsmap) or proto.remove_blanks
+
+
 def tokenizer(proto: Proto):
-    """The library's tokenizer; it takes a text with its marker in front already as a blank."""
+    """The library's tokenizer; if the model rewrites no texts, it takes a text with its marker in front already as a blank."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     usable = {p: k for k, (p, _, kind) in enumerate(proto.pieces) if kind in (NORMAL, USER)}
@@ -121,9 +125,14 @@ def tokenizer(proto: Proto):
         raise ValueError(f"model type {proto.kind}")
     tok = Tokenizer(model)
     steps = [normalizers.Precompiled(proto.charsmap)] if proto.charsmap else []
-    steps += [normalizers.Replace(Regex(" {2,}"), " ")] * proto.remove_blanks + [normalizers.Replace(" ", MARK)] * proto.escape_blanks
+    if proto.remove_blanks:
+        steps += [normalizers.Replace(Regex(rf"\A +|[ {MARK}]+\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
+    if rewrites(proto) and proto.dummy_prefix:
+        steps.append(normalizers.Prepend(" "))
+    steps += [normalizers.Replace(" ", MARK)] * proto.escape_blanks
     tok.normalizer = normalizers.Sequence(steps)
-    tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
+    if not any(MARK in p.lstrip(MARK) for p in usable):
+        tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
     tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * proto.dummy_prefix])
     return tok
 
@@ -153,7 +162,7 @@ class Piece:
         self.tok = tokenizer(self.proto)
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         long = [p for p, _, kind in self.proto.pieces if kind in (NORMAL, USER) and len(p) > 1]
-        self.parts = not self.proto.charsmap and not self.proto.remove_blanks and not any(MARK in p.lstrip(MARK) or "\n" in p for p in long)
+        self.parts = not rewrites(self.proto) and not any(MARK in p.lstrip(MARK) or "\n" in p for p in long)
         self.bad: set[str] = set()
         self.cached = SpanEncoder(self.tok, marker_starts, marker_joins)
         plain = self.cached._add
@@ -161,10 +170,10 @@ class Piece:
 
     def normal(self, text: str) -> str:
         """The text that decoding gives back."""
-        return text.replace(MARK, " ") if not self.proto.charsmap and not self.proto.remove_blanks else self.sp.normalize(text).replace(MARK, " ").removeprefix(" ")
+        return text.replace(MARK, " ") if not rewrites(self.proto) else self.sp.normalize(text).replace(MARK, " ").removeprefix(" ")
 
     def front(self, text: str | None) -> str:
-        return " " + text if text and self.proto.dummy_prefix else text or ""
+        return " " + text if text and self.proto.dummy_prefix and not rewrites(self.proto) else text or ""
 
     def verify(self, parts: list[str]) -> None:
         """Encode new parts with both libraries and remember those that differ."""
@@ -180,7 +189,7 @@ class Piece:
         """ids of all texts in a row, how many each has, and whether both libraries agree."""
         if self.parts:
             ids, n = self.cached.encode([self.front(t) for t in texts])
-            odd = [i for i, t in enumerate(texts) if t and self.bad and any(p in t for p in (b.strip() for b in self.bad))]
+            odd = [i for i, t in enumerate(texts) if t and self.bad and any(p in t for p in (b.strip() or b for b in self.bad))]
             if not odd:
                 return ids, n, np.ones(len(texts), bool)
             rows = np.split(ids, np.cumsum(n)[:-1])
