@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from siteledger.llm.shared import cut, new_path
 
 CLOSE = b"\r\n\r\n"
+LINE_END = re.compile(r"\r\n|\r|\n")
 #: An empty gzip member.
 EMPTY = gzip.compress(b"", mtime=0)
 #: Bytes between two selected records that are still read over, and the longest range of many records.
@@ -70,7 +72,7 @@ def member(row: dict, date: str) -> bytes:
     block = row["payload"].encode() if row["record_type"] == "response" else b""
     name = lambda n: f"<urn:siteledger:page:{'none' if n is None else n}>"
     head = [
-        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {name(row['page_id'])}", f"WARC-Date: {date}", f"WARC-Target-URI: {' '.join(row['url'].splitlines())}",
+        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {name(row['page_id'])}", f"WARC-Date: {date}", f"WARC-Target-URI: {LINE_END.sub(' ', row['url'])}",
         f"WARC-Payload-Digest: sha1:{row['payload_digest']}", f"X-Payload-Length: {row['payload_bytes']}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}",
     ]
     if row["record_type"] == "revisit":
@@ -117,9 +119,9 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2000-01-
 
     total = pages.agg(F.sum(F.octet_length(F.col(payload_col)).cast("long"))).first()[0] or 0
     n = max(1, -(-total // FILE_BYTES), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = records(pages, min_bytes, id_col, url_col, payload_col).withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.lit(n)))
-    # a shard's rows go to one task in one order, so a shard has one file
-    out = rows.repartition(n, "shard").sortWithinPartitions("shard", "page_id", "payload_digest").mapInArrow(run, "shard long, record binary")
+    rows = records(pages, min_bytes, id_col, url_col, payload_col).withColumn("shard", F.pmod(F.xxhash64("page_id", "url", "payload_digest"), F.lit(n)).cast("int"))
+    # a shard is one task, in one order, so it has one file
+    out = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "page_id", "payload_digest").mapInArrow(run, "shard long, record binary")
     out.select("shard", F.col("record").cast("string")).write.partitionBy("shard").option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
