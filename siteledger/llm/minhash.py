@@ -43,7 +43,9 @@ from siteledger.llm.shared import cut
 WORDS, THRESHOLD = 5, 0.8
 SAMPLES, ROWS = 36, 3
 #: Characters of documents in one chunk, and of shingles in one range of hashes.
-CHUNK_CHARS, RANGE_CHARS = 8_000_000, 4_000_000
+CHUNK_CHARS, RANGE_CHARS = 6_000_000, 4_000_000
+#: Shingles that a task holds before it sends them on.
+HELD = 2_000_000
 #: Bytes of shingles in a block of a bucket, and members outside a bucket's largest class that meet all others at once.
 BLOCK_BYTES, FEW = 1_000_000, 1024
 LOWER = np.arange(256, dtype=np.uint8)
@@ -159,31 +161,38 @@ def repeated(docs: DataFrame, bits: int, ranges: int) -> DataFrame:
     """p, keys, codes: for chunk p its shingles that come in two documents or more, with df codes."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[int, list[np.ndarray]] = {}
+        n_held = 0
 
         def flush() -> pa.RecordBatch:
-            chunk, key = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            order = np.lexsort((key, chunk))
-            chunk, key = chunk[order], key[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])
-            where = np.flatnonzero(new)
-            count, chunk, key = np.diff(np.append(where, len(key))), chunk[where], key[where]
-            place = ((key.astype(np.float64) * ranges) / 2.0**bits).astype(np.int64)
-            edge = np.flatnonzero((np.diff(chunk, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
-            rows = [(int(place[a]), int(chunk[a]), packed(key[a:b]), b"" if (count[a:b] == 1).all() else count[a:b].astype("<u4").tobytes()) for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(key)], strict=True)]
+            rows = []
+            for p, parts in held.items():
+                key = np.concatenate(parts)
+                parts.clear()
+                key.sort()
+                where = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                count, key = np.diff(np.append(where, len(key))), key[where]
+                place = ((key.astype(np.float64) * ranges) / 2.0**bits).astype(np.int64)
+                edge = np.flatnonzero(np.diff(place, prepend=-1))
+                rows += [(int(place[a]), p, packed(key[a:b]), b"" if (count[a:b] == 1).all() else count[a:b].astype("<u4").tobytes()) for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(key)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["r", "p", "keys", "counts"])
 
         for batch in batches:
             chunk = batch.column(0).to_numpy(zero_copy_only=False)
             for at, texts in pieces(batch.column(1).to_pylist()):
                 owner, key, _ = shingles(texts, WORDS, bits)
-                if len(key):
-                    held.append((chunk[at + owner], key))
-                if sum(len(x[1]) for x in held) > 3_000_000:
+                if not len(key):
+                    continue
+                # owners rise, so a run of documents of one chunk has its keys in a row
+                edge = np.append(np.flatnonzero(np.diff(chunk[at : at + len(texts)], prepend=chunk[at] - 1)), len(texts))
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    held.setdefault(int(chunk[at + a]), []).append(key[np.searchsorted(owner, a) : np.searchsorted(owner, b)])
+                n_held += len(key)
+                if n_held > HELD:
                     yield flush()
                     held.clear()
-        if held:
+                    n_held = 0
+        if n_held:
             yield flush()
 
     def count(table: pa.Table) -> pa.Table:
