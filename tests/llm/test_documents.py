@@ -205,6 +205,53 @@ def test_pii_of_any_length(spark):
     assert got[6].text.startswith("so Mr. ") and got[7].text.startswith("so Frau ")
 
 
+def test_pii_kinds_and_shapes(spark):
+    texts = [
+        "pay DE89 3704 0044 0532 0130 00 or DE89370400440532013000 now", "host 2001:0DB8::1f and fe80::1, not 12:30 nor std::x", "Frau LANG met Anna Müller-Lang, Mr. O'Brien and Ms van Dyk.",
+        "hello, my name is Priya Sharma and I write", "Dr. McDonald; nothing In Between Here", "sum ￿ a@b.example.com ￿ 1.2.3.4", "x" * 3_000_000 + " +1 555-123-4567 end",
+    ]
+    df = spark.createDataFrame([(i, t, "c", "d") for i, t in enumerate(texts)], "doc_id long, text string, row string, parts string")
+    got = {r.doc_id: r for r in pii.replace(df, "k").collect()}
+    assert {r.row for r in got.values()} == {"c"} and {r.parts for r in got.values()} == {"d"}
+    assert [got[i].n_entities for i in range(7)] == [2, 2, 4, 1, 1, 2, 1]
+    a, b = re.fullmatch(r"pay (.{27}) or (.{22}) now", got[0].text).groups()
+    assert a.replace(" ", "") == b != "DE89370400440532013000" and int("".join(str(int(c, 36)) for c in b[4:] + b[:4])) % 97 == 1 and b[:2] == "DE"
+    assert re.fullmatch(r"host [0-9a-f]{4}:[0-9a-f][0-9A-F]{2}[0-9a-f]::[0-9a-f]{2} and [0-9a-f]{4}::[0-9a-f], not 12:30 nor std::x", got[1].text)
+    lang, anna, double, brien, dyk = re.fullmatch(r"Frau ([A-Z]+) met (\w+) (\w+-\w+), Mr\. (O'\w+) and Ms van (\w+)\.", got[2].text).groups()
+    assert lang.capitalize() == double.split("-")[1] and anna in pii.GIVEN["latin", "f"] and anna != "Anna" and "Brien" not in brien and dyk != "Dyk"
+    assert "Priya" not in got[3].text and "Sharma" not in got[3].text and got[4].text.endswith("nothing In Between Here")
+    assert re.fullmatch(r"sum ￿ \S+@\S+\.com ￿ \d+\.\d+\.\d+\.\d+", got[5].text) and len(got[6].text) == len(texts[6])
+
+
+def test_pii_against_a_table_of_entities(spark):
+    """Known entities at known places: the rest stays, an entity has one surrogate everywhere, and no two share one."""
+    rng = random.Random(19)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    make = {
+        "email": lambda: f"{''.join(rng.choices('abcxyz', k=6))}.{digits(2)}@{rng.choice(['one', 'two'])}.example.org", "ip": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)),
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", "card": lambda: "4" + digits(15), "phone": lambda: f"+49 ({digits(3)}) {digits(3)}-{digits(4)}", "secret": lambda: "".join(rng.choices("0123456789abcdef", k=40)),
+        "name": lambda: f"Herr {rng.choice(['Kra', 'Mol', 'Sted', 'Berg'])}{rng.choice(['mann', 'ler', 'ner', 'hoff'])}",
+    }
+    pool = {k: [f() for _ in range(25)] for k, f in make.items()}
+    rows, want = [], []
+    for i in range(150):
+        picked = [(k, rng.choice(pool[k])) for k in rng.choices(list(pool), k=rng.randrange(6))]
+        gaps = [" ".join(rng.choices(["and", "then", "some", "words,"], k=rng.randrange(1, 4))) for _ in range(len(picked) + 1)]
+        rows.append((i, gaps[0] + "".join(f" {e} {g}" for (_, e), g in zip(picked, gaps[1:], strict=True))))
+        want.append((picked, gaps))
+    new_of = {}
+    for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect():
+        picked, gaps = want[r.doc_id]
+        m = re.fullmatch(re.escape(gaps[0]) + "".join(f" (.+?) {re.escape(g)}" for g in gaps[1:]), r.text)
+        assert m and r.n_entities == len(picked) and r.entity_types == sorted({k for k, _ in picked})
+        for (k, e), x in zip(picked, m.groups(), strict=True):
+            assert new_of.setdefault((k, e), x) == x
+    for k in pool:
+        found = {e: x for (t, e), x in new_of.items() if t == k}
+        assert len(set(found.values())) == len(found) and not set(found.values()) & set(pool[k])
+        assert all(re.sub(r"[a-z]", "a", re.sub(r"\d", "0", x))[:3] == re.sub(r"[a-z]", "a", re.sub(r"\d", "0", e))[:3] for e, x in found.items() if k in ("ssn", "card", "phone"))
+
+
 def near_classes(texts):
     """Brute force over all pairs."""
     def grams(t):
@@ -322,12 +369,43 @@ def test_weighted_sampling_estimates_similarity():
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
-    docs = table(spark, sf, "documents").withColumns({c: F.lit("x") for c in ("kept", "lang_pred", "score", "row", "n_entities", "odd.name", "class_id", "p")})
+    docs = table(spark, sf, "documents").withColumns({c: F.lit("x") for c in ("kept", "lang_pred", "score", "row", "n_entities", "entity_types", "odd.name", "class_id", "p", "parts")})
     columns, kept = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.cut(stage(spark, docs, sf), name)
-        assert set(docs.columns) == set(columns)
+        assert set(docs.columns) == set(columns) and docs.where("n_entities != 'x' or entity_types != 'x'").isEmpty()
         assert 0 < docs.count() <= kept
         kept = docs.count()
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert out.select("doc_id").distinct().count() == kept
+
+
+ODD_ROWS = [
+    (1, "long enough words of plain text " + " ".join(f"w{k}" for k in range(80)), "en", "s", 1), (1, "another text under the same id " + " ".join(f"v{k}" for k in range(80)), "en", None, 1), (None, "no id at all but words " + " ".join(f"u{k}" for k in range(80)), "en", "s", 1),
+    (3, None, "de", "s", None), (4, "", None, "s", 0), (5, "² 12 !", "en", "s", 3), (6, "short", "en", "s", 5), (7, "call +1 555-123-4567 " + " ".join(f"x{k}" for k in range(90_000)), "en", "s", 9),
+    (8, "call +1 555-123-4567 " + " ".join(f"x{k}" for k in range(90_000)), "en", "s", 9), (9, "same words again and again \n" * 60, "en", "s", 9),
+]
+
+
+def test_stages_against_plain_rules(spark, sf):
+    """Each stage on nulls, empty and very long texts, repeated ids and rows, against what a reader of the rules expects."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(ODD_ROWS, schema)
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r.doc_id or 0 for r in df.select("doc_id").collect()))
+    assert ids(stage["language"](spark, docs, sf)) == [0, 1, 1, 6, 7, 8, 9]
+    good = {i: not (len((t or "").split()) < 50 or 100 * counts(t)[4] > 50 * counts(t)[0]) for i, t in enumerate(r[1] for r in ODD_ROWS)}
+    kept = ids(stage["quality"](spark, docs, sf))
+    assert set(kept) <= {ODD_ROWS[i][0] or 0 for i, g in good.items() if g} and 9 not in kept and 3 not in kept
+    stays = stage["near_duplicates"](spark, docs, sf)
+    assert ids(stays) == [0, 1, 1, 3, 4, 5, 6, 7, 9] and stays.columns == docs.columns
+    new = {(r.doc_id, r.source): r for r in stage["personal_data"](spark, docs, sf).collect()}
+    for i, t, lang, source, n in ODD_ROWS:
+        r = new[i, source]
+        assert (r.text is None) == (t is None) and r.n_chars == (None if t is None else len(r.text)) and ("555-123-4567" not in (r.text or "")) and r.lang == lang
+    pieces = stage["packing"](spark, docs, sf).collect()
+    assert sorted(p.doc_id or 0 for p in pieces if p.start == 0) == ids(docs)
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, spark.createDataFrame([], schema), sf).count() == 0, name
