@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siteledger.catalog import query
 from siteledger.functions.text import language
 from siteledger.operators import reuse
-from siteledger.plans import scan
+from siteledger.plans import applications, scan
 from siteledger.plans.lineage import cut
 from siteledger.plans.python_facts import facts
 
@@ -139,3 +139,51 @@ def rule_reuse_totals(spark: SparkSession, sf: str) -> DataFrame:
 def canonical_rules(spark: SparkSession, sf: str) -> DataFrame:
     rules = [dict(CATALOGUE["rules"][0], id=i, canonical_symbol=s, canonical_digest=d) for i, s, d in (("adult", "ADULT", None), ("lost", "NONE", None), ("stale", "ADULT", "0"), ("plain", "other", None))]
     return reuse.canonical_problems(reuse.templates_frame(spark, {"rules": rules}), reuse.parsed(texts(spark, AFTER)))
+
+
+APPLICATIONS = {
+    "rules.py": "from specification_core import FirstMatch, PredicateSpec\n\nREADY = PredicateSpec(lambda x: x)\nADULT = PredicateSpec[int](lambda x: x > 17)\nRULE = FirstMatch.with_fallback((), 'ok')\nTWICE = PredicateSpec(lambda x: x)\nTWICE = PredicateSpec(lambda x: not x)\n",
+    "app.py": """import rules
+from rules import ADULT, READY as R, RULE, TWICE
+
+
+def run(c, ADULT_LIMIT):
+    if R.is_satisfied_by(c) and not rules.ADULT.is_satisfied_by(c):
+        pass
+    if R.is_satisfied_by(c) and c > 1:
+        pass
+    elif ADULT.is_satisfied_by(c):
+        pass
+    if TWICE.is_satisfied_by(c):
+        pass
+    if [x for x in c if R.is_satisfied_by(x)]:
+        pass
+    value = RULE.decide(c).value
+    if RULE.decide(c).matched:
+        return RULE.decide(c)
+    print(RULE.decide(c), 1 + RULE.decide(c).value, c.decide(1))
+    return [RULE.decide(x) for x in c]
+
+
+def other(RULE, R):
+    RULE.decide(1)
+    if R.is_satisfied_by(1):
+        pass
+""",
+}
+
+
+@query("if_applications", values("path, line, \"column\", category", [
+    ("app.py", 6, 5, "direct_application"), ("app.py", 8, 5, "mixed_expression"), ("app.py", 12, 5, "unresolved_call"), ("app.py", 14, 5, "no_application"), ("app.py", 17, 5, "no_application"), ("app.py", 25, 5, "unresolved_call"),
+]))
+def if_applications(spark: SparkSession, sf: str) -> DataFrame:
+    return applications.if_applications(texts(spark, APPLICATIONS))
+
+
+@query("decide_calls", values("path, line, \"column\", receiver, projection, consumer, category", [
+    ("app.py", 16, 13, "RULE", "value", "binding", "direct_application"), ("app.py", 17, 8, "RULE", "matched", "boolean_guard", "direct_application"), ("app.py", 18, 16, "RULE", None, "return", "direct_application"),
+    ("app.py", 19, 11, "RULE", None, "argument", "direct_application"), ("app.py", 19, 31, "RULE", "value", "embedded", "mixed_expression"), ("app.py", 19, 53, "c", None, "argument", "unresolved_call"),
+    ("app.py", 20, 13, "RULE", None, "embedded", "unresolved_call"), ("app.py", 24, 5, "RULE", None, "standalone", "unresolved_call"),
+]))
+def decide_calls(spark: SparkSession, sf: str) -> DataFrame:
+    return applications.decide_calls(texts(spark, APPLICATIONS))

@@ -1,6 +1,7 @@
 """Operators that the catalogue's SQL doesn't reach."""
 
 import ast
+import json
 import random
 
 import pytest
@@ -8,9 +9,9 @@ from pyspark.sql import functions as F
 
 from siteledger.functions import text as T
 from siteledger.functions import vectors as V
-from siteledger.operators import arms, history, policy, reuse, scoring
+from siteledger.operators import arms, context, history, policy, reuse, scoring
 from siteledger.plans.lineage import numbered
-from siteledger.sources import vector_index
+from siteledger.sources import documents, vector_index
 from siteledger.streaming.history import keep
 
 
@@ -120,6 +121,50 @@ def test_vector_index(spark, tmp_path):
         vector_index.publish(docs.union(docs), root, "p", "s", encode)
 
 
+def shrunk(meta, excerpt, enclosing, related, most):
+    """One reduction at a time, as a reader of the rule would do it."""
+    state = {"excerpt": excerpt, "excerpt_truncated": False, "enclosing": enclosing, "enclosing_truncated": False, "related": [{"text": r, "truncated": False} for r in related]}
+    cut = lambda t, n: t.encode()[: max(n, 0)].decode("utf-8", "ignore")
+    while True:
+        excess = len(json.dumps({"meta": meta, "context": state}, ensure_ascii=False, separators=(",", ":")).encode()) - most
+        if excess <= 0:
+            return state | {"fits": True}
+        site = next((r for r in reversed(state["related"]) if r["text"]), None)
+        if site:
+            site.update(text=cut(site["text"], len(site["text"].encode()) - excess), truncated=True)
+        elif name := next((n for n in ("enclosing", "excerpt") if state[n]), None):
+            state[name], state[f"{name}_truncated"] = cut(state[name], len(state[name].encode()) - excess), True
+        else:
+            return state | {"fits": False}
+
+
+def test_contexts_fit_their_limit(spark):
+    rng = random.Random(23)
+    word = lambda n: "".join(rng.choices('aé"漢\n ', k=rng.randrange(n)))
+    rows = [(word(40), word(60), word(60), [word(50) for _ in range(rng.randrange(5))], i) for i in range(60)]
+    df = spark.createDataFrame(rows, "meta string, excerpt string, enclosing string, related array<string>, id int")
+    for most in (120, 300, 800):
+        got = {r.id: r.c.asDict(recursive=True) for r in df.select("id", context.fitted(F.col("meta"), F.col("excerpt"), F.col("enclosing"), F.col("related"), most).alias("c")).collect()}
+        assert got == {r[4]: shrunk(*r[:4], most) for r in rows}
+
+
+def test_registries_and_collections(spark, tmp_path):
+    path = str(tmp_path / "r.toml")
+    assert documents.load_registry(spark, path).count() == 0
+    with pytest.raises(FileNotFoundError):
+        documents.load_registry(spark, path, must_exist=True)
+    rows = [("2", "f2", "python", 'a"\\\x7f\n.py', "if", "excluded", "why é", ("t", None, "o", None)), ("1", "f1", "python", "b.py", "if", "unreviewed", None, None)]
+    sites = spark.createDataFrame(rows, documents.REGISTRY)
+    documents.save_registry(sites, path)
+    back = {r.id: r for r in documents.load_registry(spark, path, must_exist=True).collect()}
+    assert back["2"].path == rows[0][3] and tuple(back["2"].evidence) == ("t", None, "o", None) and back["1"].reason is None and len(back) == 2
+    for name, digest, n in (("b", "x", 3), ("a", "x", 5), ("c", "y", 5)):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"schema_version": 1, "project": "p", "contract_digest": digest, "primary": {"specification_definitions": n, "remaining_opportunities": 10 - n}}, indent=1))
+    load = lambda n: documents.load_collection(spark, str(tmp_path / f"{n}.json"))
+    assert tuple(documents.comparable(load("b"), load("a")).first()) == ("p", None, 2, -2)
+    assert tuple(documents.comparable(load("b"), load("c")).first()) == ("p", "incompatible_contracts", None, None)
+
+
 def test_small_functions(spark):
     row = spark.createDataFrame([("ok", 0, False, " Final [ Literal['a b'] ] ")], "s string, a int, d boolean, t string")
     got = row.select(arms.usable(F.lit("valid"), F.col("a"), F.col("d")).alias("u"), arms.usable(F.lit("valid"), F.lit(None).cast("int"), F.col("d")).alias("n"), T.type_text(F.col("t")).alias("t"), T.unicode_tokens(F.lit("v2Beta ΣΑΣ")).alias("w")).first()
