@@ -322,7 +322,7 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.fused([near(spark, sf, None, 50), near(spark, sf, 16, 50)], 10)
 
 
-UNICODE_SQL = r"regexp_extract_all(lower(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g')), '[\p{L}\p{N}]+')"
+UNICODE_SQL = r"regexp_extract_all(replace(lower(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g')), 'ß', 'ss'), '[\p{L}\p{N}]+')"
 
 
 def bm25_ranked_sql(tokens: str, k: int, positive: bool) -> str:

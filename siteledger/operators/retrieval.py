@@ -126,43 +126,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, k:
     Queries are blocked into matrices of `rows` vectors; each task of the corpus multiplies its vectors with each block
     and keeps k for each query, so no task holds more than a block's scores.
     """
-    blocks = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
-    n = int(blocks.count())
-    n_blocks = max(1, -(-n // rows))
-    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    packed = blocks.groupBy(block.alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    spread = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
-
-    def matrix(values: list[list[float]]) -> np.ndarray:
-        out = np.array([v[:dims] if dims else v for v in values], np.float64)
+    flat = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = flat(queries)
+    n_blocks = max(1, -(-blocks.count() // rows))
+
+    def matrix(column: pa.Array) -> bytes:
+        """Unit rows as bytes; all vectors have one length."""
+        out = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)[:, :dims]
         size = np.linalg.norm(out, axis=1)
-        return out / np.where(size > 0, size, 1)[:, None]
+        return (out / np.where(size > 0, size, 1)[:, None]).tobytes()
 
-    def piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 some = batch.slice(at, rows)
-                yield pa.RecordBatch.from_arrays([pa.array([some.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([some.column(1).to_pylist()], pa.list_(pa.list_(pa.float64())))], names=["ids", "vs"])
+                yield pa.RecordBatch.from_arrays([pa.array([some.column(0).to_numpy().tobytes()], pa.binary()), pa.array([matrix(some.column(1))], pa.binary())], names=["ids", "units"])
 
-    pieces = spread.where(F.col("v").isNotNull()).select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(piece, "ids array<long>, vs array<array<double>>")
-    asked = pieces.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    packed = "ids binary, units binary"
+    dealt = blocks.repartition(n_blocks, "id").mapInArrow(pieces, packed)
+    asked = cut(dealt.select(F.spark_partition_id().alias("block"), F.col("ids").alias("q_ids"), F.col("units").alias("q_units")), "query-blocks")
+    # up to four blocks go to every task; of more, each meets a copy of the corpus through an exchange
+    asked = F.broadcast(asked) if n_blocks <= 4 else asked
+    met = flat(vectors).mapInArrow(pieces, packed).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(asked, "block").drop("block")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, vs, qs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.array(ids, np.int64)
-                qs = [q for q in qs if q["v"] is not None]
-                if not qs:
+            for i in range(batch.num_rows):
+                ids, units, names, asked_units = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in enumerate((np.int64, np.float64, np.int64, np.float64)))
+                if not len(ids) or not len(names):
                     continue
-                names = np.array([q["id"] for q in qs], np.int64)
-                sims = np.round(matrix([q["v"] for q in qs]) @ matrix(vs).T, digits)
+                sims = np.round(asked_units.reshape(len(names), -1) @ units.reshape(len(ids), -1).T, digits)
                 sims[names[:, None] == ids[None, :]] = -np.inf
                 top = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
                 best = np.take_along_axis(sims, top, 1)
                 good = best > -np.inf
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, top.shape[1])[good.ravel()]), pa.array(ids[top][good]), pa.array(best[good])], names=["query", "doc", "score"])
 
-    found = asked.join(packed, "block").select("ids", "vs", "queries").mapInArrow(scored, "query long, doc long, score double")
+    found = met.mapInArrow(scored, "query long, doc long, score double")
     return ranked(found, "query", "doc", F.col("score"), k)
 
 

@@ -19,13 +19,32 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Folders of the written tables that clear() hasn't removed yet.
+_written: list[str] = []
+
+
+def new_path(spark: SparkSession, what: str) -> str:
+    """A folder of its own in the shared folder, which clear() removes."""
+    _written.append(f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """df, written as a table in the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Remove all tables that this process has written since the last call; how many. Results that still read them must have been used."""
+    n = len(_written)
+    while _written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return n
+
+
 def numbered(rows: DataFrame, group: list[str], order: list[str], name: str = "position") -> DataFrame:
     """rows with their number in the group, from 1, in the given order (which must be unique).
 

@@ -2,14 +2,17 @@
 
 import ast
 import json
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siteledger.functions import text as T
 from siteledger.functions import vectors as V
-from siteledger.operators import arms, context, history, policy, reuse, scoring
+from siteledger.operators import arms, context, history, policy, retrieval, reuse, scoring
+from siteledger.plans import lineage
 from siteledger.plans.lineage import numbered
 from siteledger.sources import documents, vector_index
 from siteledger.streaming.history import keep
@@ -27,6 +30,24 @@ def test_vectors(spark):
     assert row.t == [0.6, 0.8] and row.u is None and row.c is None
 
 
+def test_nearest_over_many_blocks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(90)] + [(90, None), (91, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    good = {i: np.array(v) / (np.linalg.norm(v) or 1) for i, v in rows if v is not None}
+    want = {(q, d) for q in good if q % 3 == 0 for d in sorted((d for d in good if d != q), key=lambda d: (-round(float(good[q] @ good[d]), 6), d))[:4]}
+    for block in (7, 2048):
+        got = retrieval.nearest(df, df.where("id % 3 = 0"), "id", "v", 4, rows=block).collect()
+        assert {(r.query, r.doc) for r in got} == want and len(got) == len(want)
+
+
+def test_clear_removes_what_was_written(spark):
+    lineage.clear(spark)
+    df = lineage.cut(spark.range(5), "gone")
+    path = df.inputFiles()[0].rpartition("/")[0].removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(path) and lineage.clear(spark) == 1 and not os.path.exists(path)
+
+
 def test_numbered_keeps_null_groups(spark):
     df = spark.createDataFrame([("a", 1), (None, 3), ("a", 0), (None, 2), ("b", 5)], "g string, o int")
     assert {(r.g, r.o): r.position for r in numbered(df, ["g"], ["o"]).collect()} == {("a", 0): 1, ("a", 1): 2, (None, 2): 1, (None, 3): 2, ("b", 5): 1}
