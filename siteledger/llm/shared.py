@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,15 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteledger.plans.lineage import cut, shared_dir
+from siteledger.plans.lineage import cut, new_path, shared_dir
 
 __all__ = ["annotated", "cut", "new_path", "read_shards", "shared_dir", "write_shards"]
 
 
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def annotated(docs: DataFrame, keep: list[str], text_col: str, answer: Callable[[list[str | None]], Iterator[list]], new: str) -> DataFrame:
     """row (a struct of the kept columns, so no names clash) and the new columns that answer gives for texts.
 
