@@ -4,7 +4,7 @@ Pass one encodes every document and writes its ids with their place inside the t
 The tasks' totals (one row for each task) give global offsets by a prefix sum; pass two cuts each
 document at the window borders. A document that crosses a border gives one record on either side.
 
-Null text counts as empty and gives one piece, the end id. Repeated rows are packed each on its own. An
+Null text counts as empty and gives one piece, the end id. A text of any length is encoded whole. Repeated rows are packed each on its own. An
 empty table gives no pieces. Only the id and text columns are read, so other columns can't clash.
 """
 

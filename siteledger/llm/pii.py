@@ -283,8 +283,8 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 def rewritten(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """row (a struct of the other columns), text (rewritten), n_entities, entity_types."""
     # written once, so that the pattern runs over each text once
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    rows = cut(docs.select(F.struct(*others, F.lit(True).alias("_")).alias("row"), fenced(F.col(f"`{text_col}`")).alias("parts")), "parts")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(True).alias("none")]
+    rows = cut(docs.select(F.struct(*others).alias("row"), fenced(F.col(f"`{text_col}`")).alias("parts")), "parts")
     rows = rows.withColumn("matches", F.filter("parts", lambda x, i: i % 2 == 1))
     found = cut(entities(rows.select(F.explode("matches").alias("m"))), "entities")
     again = redrawn(found, key)
