@@ -126,7 +126,7 @@ with d as (select lang, substr(sha256(text), 1, 16) as digest, {HALF} as side fr
 select lang, digest, n_before, n_after, case when n_before = 0 then 'added' when n_after = 0 then 'removed' else 'ambiguous' end as change from c where n_before <> n_after""")
 def inventory_diff(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("lang", F.substring(F.sha2("text", 256), 1, 16).alias("digest"), F.expr(HALF).alias("side"))
-    return diff.inventory(rows.where("side = 0"), rows.where("side = 1"), ["lang", "digest"])
+    return diff.listed(diff.inventory(rows.where("side = 0"), rows.where("side = 1"), ["lang", "digest"]), ["lang", "digest"])
 
 
 @query("introduced_multiset", f"""

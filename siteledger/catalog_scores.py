@@ -324,6 +324,25 @@ def report_locations(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", reports.location(F.col("url"), F.col("page_id"), F.lit("o/r"), revision).alias("location"))
 
 
+@query("opportunity_report", r"""
+with l as (select page_id % 4 as section, page_id, '* ' || case when page_id % 2 = 0 then '[`' || e || ':' || page_id || '`](https://github.com/o/r/blob/' || sha1('x') || '/' || e || '#L' || page_id || ')' else '`' || e || ':' || page_id || '`' end as row from (select page_id, replace(url_encode(url), '%2F', '/') as e from pages)),
+k as (select *, row_number() over (partition by section order by page_id) as rank from l), b as (select *, sum(strlen(row) + 1) over (partition by section order by rank) as used from k where rank <= 20) select section, rank, row from b where used <= 1800""")
+def opportunity_report(spark: SparkSession, sf: str) -> DataFrame:
+    revision = F.when(F.col("page_id") % 2 == 0, F.sha1(F.lit("x")))
+    rows = table(spark, sf, "pages").withColumn("section", F.col("page_id") % 4)
+    return reports.listed(rows, ["section"], [F.col("page_id")], reports.location(F.col("url"), F.col("page_id"), F.lit("o/r"), revision), most_bytes=1800)
+
+
+@query("frozen_inventory", """
+with e as (select page_id, sha256(html) as d from pages where page_id % 9 <> 0 and html is not null), f as (select page_id, sha256(case when page_id % 10 = 1 then url else html end) as d from pages where page_id % 8 <> 0 and html is not null)
+select page_id, case when e.page_id is null then 'unexpected' when f.page_id is null then 'missing' when e.d <> f.d then 'assignment_differs' end as problem from e full join f using (page_id)""")
+def frozen_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """Files (here pages) of a frozen artifact against those that are there, by digest."""
+    pages = table(spark, sf, "pages").where("html is not null")
+    expected = pages.where("page_id % 9 != 0").select("page_id", F.sha2("html", 256).alias("digest"))
+    return arms.assigned(expected, pages.where("page_id % 8 != 0").select("page_id", F.sha2(F.when(F.col("page_id") % 10 == 1, F.col("url")).otherwise(F.col("html")), 256).alias("digest")), ["page_id"], ["digest"])
+
+
 @query("index_update_plan", """
 with now as (select doc_id, sha256('p|' || text) as k from documents where doc_id % 5 <> 0 and text is not null), old as (select doc_id, sha256('p|' || case when doc_id % 3 = 0 then lang else text end) as k from documents where doc_id % 7 <> 0 and text is not null), have as (select distinct sha256('p|' || text) as k from documents where doc_id % 2 = 0 and text is not null)
 select count(n.doc_id) as documents, count(*) filter (o.doc_id is null) as added, count(*) filter (n.doc_id is null) as removed, count(*) filter (n.k <> o.k) as changed, count(distinct n.k) filter (h.k is null) as encode_inputs, count(*) filter (h.k is not null) as reused_documents, 0::bigint as repeated_ids

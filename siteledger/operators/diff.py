@@ -18,6 +18,11 @@ def inventory(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     return out.withColumn("change", F.when(F.col("n_before") == 0, "added").when(F.col("n_after") == 0, "removed").otherwise("ambiguous"))
 
 
+def listed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows in the order of reports, nulls first. For outputs only: the sort is over all rows."""
+    return rows.orderBy(*[F.col(c).asc_nulls_first() for c in order])
+
+
 def introduced(before: DataFrame, after: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """after with introduced: whether a row goes beyond the number of equal keys before, in the given order."""
     old = before.groupBy(*key).agg(F.count(F.lit(1)).alias("_old"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteledger.functions.text import percent_encoded
+from siteledger.operators.history import within_budget
 
 MOST_BYTES = 12_000
 
@@ -17,6 +18,12 @@ def location(path: Column, line: Column, repository: Column, revision: Column) -
     return F.coalesce(link, plain)
 
 
+def listed(rows: DataFrame, group: list[str], order: list[Column], text: Column, most_rows: int = 20, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """group, rank, row: list items of each group's first rows, up to a number of rows and of bytes with line ends."""
+    lines = rows.withColumn("row", F.concat(F.lit("* "), text))
+    return within_budget(lines, group, order, F.octet_length("row"), most_rows, most_bytes).select(*group, F.col("rank").cast("bigint").alias("rank"), "row")
+
+
 def hotspots(changes: DataFrame, metric: str, tie: list[str], cell: Column, most_rows: int = 5, most_bytes: int = MOST_BYTES) -> DataFrame:
     """metric, rank, row: the rows of each metric with the larger of before and after first, up to a number for each metric.
 
