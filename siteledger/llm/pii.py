@@ -4,8 +4,8 @@ All steps are DataFrame functions. Entities: e-mail addresses, IPv4 and IPv6 add
 and social-security numbers, secrets (long hexadecimal strings, access keys) and person names. One pattern finds
 them in one pass over each text.
 
-* Format: digits go into the places of digits, separators stay, upper case stays upper case. A card
-  number keeps the distance of its last digit to the Luhn digit, so valid ones stay valid; an IBAN keeps its
+* Format: digits go into the places of digits, separators stay, upper case stays upper case. A number of 13 to 19 digits is a card
+  only if its first digit is an issuer's (2 to 6) and its last one is right; its surrogate keeps both; an IBAN keeps its
   country and gets right check digits; an address keeps its top-level domain or its groups; a phone number keeps its country code.
 * Names stand after a title, after a known given name, or after words that announce a name. A given name becomes another one
   of its gender and script, by a keyed order of the list; a family name becomes syllables of its script and keeps hyphens, `O'` and a
@@ -73,11 +73,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: What the pattern finds but isn't an entity.
+NONE = "none"
+
+
+def is_card(digits: Column) -> Column:
+    """Whether the number begins as cards do and ends with its Luhn digit."""
+    return digits.rlike("^[2-6]") & (luhn(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.substring(digits, F.length(digits), F.lit(1)).cast("int"))
+
+
 def kind(m: Column) -> Column:
+    """The type of what the pattern found; NONE for numbers that are no cards."""
     digits = F.regexp_replace(m, r"\D", "")
     return (
         F.when(m.contains("@"), "email").when(m.rlike(_IP) & ~m.rlike("[^0-9.]"), "ip").when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.startswith("+"), "phone")
-        .when(m.contains(":"), "ip6").when(m.rlike(r"^[0-9a-fA-F]{32,}$"), "secret").when(m.rlike(SPECIAL[0]), "key").when(m.rlike(r"^[A-Z]{2}\d{2}[0-9A-Z ]+$"), "iban").when(m.rlike(r"^[\d -]+$") & (F.length(digits) >= 13), "card").when(m.rlike(r"^[\d() .-]+$"), "phone").otherwise("name")
+        .when(m.contains(":"), "ip6").when(m.rlike(r"^[0-9a-fA-F]{32,}$"), "secret").when(m.rlike(SPECIAL[0]), "key").when(m.rlike(r"^[A-Z]{2}\d{2}[0-9A-Z ]+$"), "iban").when(m.rlike(r"^[\d -]+$") & (F.length(digits) >= 13), F.when(is_card(digits), "card").otherwise(NONE)).when(m.rlike(r"^[\d() .-]+$"), "phone").otherwise("name")
     )
 
 
@@ -170,8 +180,8 @@ def surrogate(type_: Column, canon: Column, key: str, nonce: int) -> Column:
         return F.concat(F.substring(canon, F.lit(1), keep), permuted(F.substring(canon, keep + 1, F.length(canon)), F.concat_ws("|", F.lit(salt), type_)))
 
     def card() -> Column:
-        body = F.substring(canon, F.lit(1), F.length(canon) - 1)
-        return let(permuted(body, F.concat_ws("|", F.lit(salt), type_)), lambda new: F.concat(new, F.pmod(luhn(new) + F.substring(canon, F.length(canon), F.lit(1)).cast("int") - luhn(body), F.lit(10)).cast("string")))
+        first, inner = F.substring(canon, F.lit(1), F.lit(1)), F.substring(canon, F.lit(2), F.length(canon) - 2)
+        return let(F.concat(first, permuted(inner, F.concat_ws("|", F.lit(salt), type_))), lambda new: F.concat(new, luhn(new).cast("string")))
 
     def ip() -> Column:
         part = F.transform(F.split(canon, r"\."), lambda x: x.cast("long"))
@@ -251,7 +261,7 @@ def fenced(text: Column) -> Column:
 def entities(matches: DataFrame) -> DataFrame:
     """Each distinct entity of the column m: type, canon."""
     typed = matches.select("m", kind(F.col("m")).alias("type"))
-    return typed.select("type", canonical(F.col("m"), F.col("type")).alias("canon")).distinct()
+    return typed.where(F.col("type") != NONE).select("type", canonical(F.col("m"), F.col("type")).alias("canon")).distinct()
 
 
 def redrawn(found: DataFrame, key: str, rounds: int = 50) -> DataFrame | None:
@@ -285,7 +295,7 @@ def rewritten(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     # written once, so that the pattern runs over each text once
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(True).alias("none")]
     rows = cut(docs.select(F.struct(*others).alias("row"), fenced(F.col(f"`{text_col}`")).alias("parts")), "parts")
-    rows = rows.withColumn("matches", F.filter("parts", lambda x, i: i % 2 == 1))
+    rows = rows.withColumn("matches", F.filter("parts", lambda x, i: (i % 2 == 1) & (kind(x) != NONE)))
     found = cut(entities(rows.select(F.explode("matches").alias("m"))), "entities")
     again = redrawn(found, key)
     if again is not None:
@@ -301,7 +311,7 @@ def rewritten(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
             new = F.coalesce(F.col("known")[F.concat_ws("|", t, canon)], surrogate(t, canon, key, 0)) if again is not None else surrogate(t, canon, key, 0)
             return rendered(m, t, new, key)
 
-        return let(kind(m), typed)
+        return let(kind(m), lambda t: F.when(t == NONE, m).otherwise(typed(t)))
 
     text = F.array_join(F.transform("parts", lambda x, i: F.when(i % 2 == 1, one(x)).otherwise(x)), "")
     types = F.array_sort(F.array_distinct(F.transform(F.coalesce("matches", F.array().cast("array<string>")), kind)))

@@ -223,13 +223,31 @@ def test_pii_kinds_and_shapes(spark):
     assert re.fullmatch(r"sum ￿ \S+@\S+\.com ￿ \d+\.\d+\.\d+\.\d+", got[5].text) and len(got[6].text) == len(texts[6])
 
 
+def with_luhn(body):
+    return next(body + str(d) for d in range(10) if luhn_holds(body + str(d)))
+
+
+def luhn_holds(number):
+    return sum(sum(divmod(int(d) * (2 if i % 2 else 1), 10)) for i, d in enumerate(reversed(number))) % 10 == 0
+
+
+def test_only_valid_numbers_are_cards(spark):
+    numbers = ["4111111111111111", "4111111111111112", "9" + with_luhn("9" + "1" * 14)[1:], "5500 0000 0000 0004", "5500 0000 0000 0005"]
+    df = spark.createDataFrame([(i, f"order {n} of 1.2.3.4") for i, n in enumerate(numbers)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace(df, "k").collect()}
+    assert [got[i].n_entities for i in range(5)] == [2, 1, 1, 2, 1] and [got[i].entity_types for i in (0, 1)] == [["card", "ip"], ["ip"]]
+    assert all((n in got[i].text) == (i in (1, 2, 4)) for i, n in enumerate(numbers))
+    new = re.search(r"order (\d{4} \d{4} \d{4} \d{4}) of", got[3].text)[1].replace(" ", "")
+    assert new[0] == "5" and luhn_holds(new)
+
+
 def test_pii_against_a_table_of_entities(spark):
     """Known entities at known places: the rest stays, an entity has one surrogate everywhere, and no two share one."""
     rng = random.Random(19)
     digits = lambda n: "".join(rng.choices("0123456789", k=n))
     make = {
         "email": lambda: f"{''.join(rng.choices('abcxyz', k=6))}.{digits(2)}@{rng.choice(['one', 'two'])}.example.org", "ip": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)),
-        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", "card": lambda: "4" + digits(15), "phone": lambda: f"+49 ({digits(3)}) {digits(3)}-{digits(4)}", "secret": lambda: "".join(rng.choices("0123456789abcdef", k=40)),
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", "card": lambda: with_luhn("4" + digits(14)), "phone": lambda: f"+49 ({digits(3)}) {digits(3)}-{digits(4)}", "secret": lambda: "".join(rng.choices("0123456789abcdef", k=40)),
         "name": lambda: f"Herr {rng.choice(['Kra', 'Mol', 'Sted', 'Berg'])}{rng.choice(['mann', 'ler', 'ner', 'hoff'])}",
     }
     pool = {k: [f() for _ in range(25)] for k, f in make.items()}
