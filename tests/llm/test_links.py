@@ -21,6 +21,8 @@ def test_archives(spark, sf):
     assert next(bytes(r.payload) for r in back if r.page_id == 5) == b"x\r\n\r\ny"
     assert {r.record_type for r in warc.round_trip(df, min_bytes=4).where("page_id in (2, 4)").collect()} == {"response"}
     assert warc.round_trip(df.limit(0)).count() == 0
+    clashing = df.withColumns({c: F.lit("x") for c in ("payload", "shard", "sha", "first_id", "record_type")})
+    assert sorted((r.page_id or 0, r.record_type) for r in warc.round_trip(clashing).collect()) == sorted((r.page_id or 0, r.record_type) for r in back)
     want = {r.page_id: (r.html or "").encode() for r in table(spark, sf, "pages").collect()}
     for r in queries()["op5_warc"](spark, sf).collect():
         assert (r.payload_bytes, r.payload_digest) == (len(want[r.page_id]), base64.b32encode(hashlib.sha1(want[r.page_id]).digest()).decode())
@@ -114,6 +116,13 @@ def test_conversations(spark):
     assert quotes.conversations(df.limit(0)).count() == 0
 
 
+def test_a_very_long_message(spark):
+    long = "\n".join(f"line {k} of a long message" for k in range(60_000))
+    df = spark.createDataFrame([(1, 0, long), (1, 1, "".join(f"> {x}\n" for x in long.split("\n")) + "short"), (1, 1, None)], "conv_id long, turn long, text string")
+    got = sorted((r.turn, len(r.text), r.n_quotes, r.n_linked) for r in quotes.conversations(df).collect())
+    assert got == [(0, len(long), 0, 0), (1, 0, 0, 1), (1, 5, 1, 1)]
+
+
 def generated(seed, n_conv):
     """Messages that quote earlier ones of their own or another conversation, up to three levels deep."""
     rng = random.Random(seed)

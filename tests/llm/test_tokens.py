@@ -3,6 +3,7 @@
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -178,6 +179,57 @@ def test_no_frequent_pair_stays():
     assert len(symbols) == 40 and expanded(symbols[0], rules) == text.tolist()
 
 
+def plain_repair(ids, first, least):
+    """One pair at a time, the most frequent first; how many symbols and rules are left."""
+    seq, rules = [int(x) for x in ids], 0
+    while True:
+        counts, i = Counter(), 0
+        while i < len(seq) - 1:
+            pair = seq[i], seq[i + 1]
+            if tokenfile.END not in pair:
+                counts[pair] += 1
+                i += len(seq) > i + 2 and pair[0] == pair[1] == seq[i + 2]  # alike symbols in a row don't overlap
+            i += 1
+        if not counts or max(counts.values()) < least:
+            return len(seq), rules
+        best = min(p for p, n in counts.items() if n == max(counts.values()))
+        out, i = [], 0
+        while i < len(seq):
+            if tuple(seq[i : i + 2]) == best:
+                out.append(first + rules)
+                i += 2
+            else:
+                out.append(seq[i])
+                i += 1
+        seq, rules = out, rules + 1
+
+
+def test_size_against_plain_repair():
+    rng = np.random.default_rng(8)
+    words = [rng.integers(0, 400, rng.integers(1, 6)) for _ in range(60)]
+    ids = np.concatenate([np.append(np.concatenate([words[k] for k in rng.zipf(1.4, 40) % 60]), tokenfile.END) for _ in range(60)]).astype(np.uint32)
+    symbols, rules = tokenfile.compress(ids, 50000)
+    n, k = plain_repair(ids, 50000, tokenfile.LEAST)
+    assert len(ids) > 5000 and len(symbols) + 2 * len(rules) <= 1.1 * (n + 2 * k)
+
+
+def test_shards_are_cut_by_size(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "SHARD_IDS", 700)
+    rows = [(k, "some words " * 100) for k in range(200)] + [(None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = tokenfile.round_trip(df, str(BPE), end_id=0, first=65536).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in got) == sorted((i is not None, i or 0) for i, _ in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
+        assert r.start == at
+        at += r.n_tokens
+    assert len({r.shard for r in got}) >= 3
+
+
 def expanded(symbol, rules):
     out, open_ = [], [int(symbol)]
     while open_:
