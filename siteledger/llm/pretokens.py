@@ -9,6 +9,7 @@ between Unicode versions go to the library as they are.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import unicodedata
 
@@ -17,6 +18,8 @@ import numpy as np
 SPACE, LETTER, NUMBER, OTHER, UNSURE = 0, 1, 2, 3, 4
 #: Characters that one array pass handles; longer texts are cut between a letter and a space.
 CHUNK = 1_000_000
+#: Threads of the library in one task.
+THREADS = 2
 #: Pre-tokens kept by a worker before it starts afresh.
 KEPT = 1_000_000
 SAFE_CUT = re.compile(r"[A-Za-z](?= )")
@@ -159,9 +162,9 @@ class SpanEncoder:
         """Encode new pre-tokens; the order in which they got their rows. Those that begin with a
         blank part again at the blanks, so many go to the library as one text."""
         apart = [i for i, w in enumerate(words) if self.joins(w)]
-        for k in range(0, len(apart), 1000):
-            e = self.tok.encode("".join([words[i] for i in apart[k : k + 1000]]), add_special_tokens=False)
-            self._keep(np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(apart[k : k + 1000])))
+        runs = [apart[k : k + 1000] for k in range(0, len(apart), 1000)]
+        for run, e in zip(runs, self.tok.encode_batch(["".join([words[i] for i in r]) for r in runs], add_special_tokens=False), strict=True):
+            self._keep(np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(run)))
         rest = sorted(set(range(len(words))).difference(apart))
         for e in self.tok.encode_batch_fast([words[i] for i in rest], add_special_tokens=False):
             ids = e.ids
@@ -249,6 +252,7 @@ def encoder(path: str) -> SpanEncoder:
     """One encoder for each worker process; it lives as long as the worker."""
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
     return SpanEncoder(tok, whole=unsure)

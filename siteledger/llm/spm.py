@@ -28,14 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.llm.pretokens import SpanEncoder
+from siteledger.llm.pretokens import THREADS, SpanEncoder
 
 MARK = "▁"
 # fixed values: kinds of pieces and of models in the format
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Threads of the library in one task.
-THREADS = 2
 
 
 def fields(data: memoryview) -> Iterator[tuple[int, int | memoryview | float]]:
