@@ -142,7 +142,7 @@ def canonical_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 APPLICATIONS = {
-    "rules.py": "from specification_core import FirstMatch, PredicateSpec\n\nREADY = PredicateSpec(lambda x: x)\nADULT = PredicateSpec[int](lambda x: x > 17)\nRULE = FirstMatch.with_fallback((), 'ok')\nTWICE = PredicateSpec(lambda x: x)\nTWICE = PredicateSpec(lambda x: not x)\n",
+    "rules.py": "from rules_core import FirstMatch, PredicateSpec\n\nREADY = PredicateSpec(lambda x: x)\nADULT = PredicateSpec[int](lambda x: x > 17)\nRULE = FirstMatch.with_fallback((), 'ok')\nTWICE = PredicateSpec(lambda x: x)\nTWICE = PredicateSpec(lambda x: not x)\n",
     "app.py": """import rules
 from rules import ADULT, READY as R, RULE, TWICE
 
