@@ -97,6 +97,17 @@ def op10_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteledger.llm import merkle
+
+    leaf = lambda n_chars: merkle.digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(tampered, leaf(F.col("n_chars") + 1)).alias("tampered"))
+    found = merkle.manifest(rows, "lang", "doc_id", "leaf").withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output, "op8_embedding_links": op8_embedding_links, "op9_near_duplicates": op9_near_duplicates, "op10_conversations": op10_conversations, "pipeline": pipeline}
+    return {"op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output, "op8_embedding_links": op8_embedding_links, "op9_near_duplicates": op9_near_duplicates, "op10_conversations": op10_conversations, "op12_manifest": op12_manifest, "pipeline": pipeline}
 
 
 #: Links of good vectors by all pairs of a label; components by reach along links.
@@ -121,5 +132,34 @@ select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda
 case when page_id > first_id then 'revisit' else 'response' end as record_type, case when page_id > first_id then first_id end as refers_to, true as intact from d"""
 
 
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text of ASCII characters, bit by bit."""
+    byte = "list_reduce(list_prepend(xor(a, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen({text})::bigint + 1), lambda i: ascii(substr({text}, i, 1))::bigint)), lambda a, b: {byte}), 4294967295)"
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+
+
+#: Both forests level by level (tree 0: the subroots), then each document's siblings and the fold of its digest.
+OP12_SQL = f"""
+with recursive d as (select doc_id, lang, {" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "text")))} as told, case when {crc32_sql("doc_id::varchar")} % 7 = 0 then {" || ".join(map(_field, ("doc_id", "source", "lang", "(n_chars + 1)", "text")))} end as other from documents),
+leaves as (select doc_id, lang, sha256(told) as leaf, coalesce(sha256(other), sha256(told)) as given from d),
+placed as (select *, dense_rank() over (order by lang nulls first) as tree, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by lang) as n from leaves),
+low as (select tree, 0 as level, place, leaf as h, n from placed union all
+select tree, level + 1, place // 2, sha256(h || coalesce(next, '')), (n + 1) // 2 from (select *, lead(h) over (partition by tree order by place) as next from low where n > 1) where place % 2 = 0),
+subs as (select tree, h from low where n = 1),
+high as (select 0 as level, tree - 1 as place, h, (select count(*) from subs) as n from subs union all
+select level + 1, place // 2, sha256(h || coalesce(next, '')), (n + 1) // 2 from (select *, lead(h) over (order by place) as next from high where n > 1) where place % 2 = 0),
+way as (select p.tree, p.place, a.level as up, xor((p.place >> a.level), 1) as other, (p.place >> a.level) & 1 as mine from placed p join (select distinct tree, level from low where n > 1) a using (tree)
+union all select p.tree, p.place, 1000 + a.level, xor(((p.tree - 1) >> a.level), 1), ((p.tree - 1) >> a.level) & 1 from placed p, (select distinct level from high where n > 1) a),
+nodes as (select tree, level as up, place as other, h from low union all select t.tree, 1000 + level, place, h from high, (select distinct tree from placed) t),
+proof as (select way.tree, way.place, list({{'mine': mine, 'h': coalesce(h, '')}} order by up) as steps from way left join nodes using (tree, up, other) group by all),
+full_ as (select doc_id, leaf, given, subs.h as subroot, (select h from high where n = 1) as root, coalesce(steps, []) as steps from placed left join proof using (tree, place) join subs using (tree)),
+done as (select *, list_reduce(list_prepend({{'mine': 0::bigint, 'h': given}}, list_transform(steps, lambda s: {{'mine': s.mine::bigint, 'h': s.h}})), lambda a, s: {{'mine': 0::bigint, 'h': case when s.mine = 1 then sha256(s.h || a.h) else sha256(a.h || s.h) end}}).h as folded_root from full_)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s.h), '')) as proof_sha256, folded_root, folded_root = root as verified from done"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op8_embedding_links": OP8_SQL}
+    return {"op12_manifest": OP12_SQL, "op5_warc": OP5_SQL, "op8_embedding_links": OP8_SQL}
