@@ -97,6 +97,25 @@ def op10_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
+def damaged(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text: by a hash of a turn's number it is dropped, emptied, cut short, repeated or ascribed to the user, or stays."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hit = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    text = F.when(hit == 1, "").when(hit == 2, F.translate(space("text"), ".!?", "")).otherwise(space("text"))
+    rows = messages.select("conv_id", "turn", hit.alias("hit"), F.when(hit == 4, "user").otherwise(space("role")).alias("role"), text.alias("text")).where("hit <> 0")
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.expr("if(hit = 3, array(1, 2), array(1))")).alias("copy")).drop("copy")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteledger.llm import repair
+
+    messages = table(spark, sf_dir, "conversations")
+    report, turns = repair.repair(damaged(messages))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    every = messages.select(F.struct("conv_id").alias("key")).distinct().join(report, "key", "left").join(repair.digests(turns), "key", "left")
+    return every.select("key.conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteledger.llm import merkle
 
@@ -115,7 +134,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output, "op8_embedding_links": op8_embedding_links, "op9_near_duplicates": op9_near_duplicates, "op10_conversations": op10_conversations, "op12_manifest": op12_manifest, "pipeline": pipeline}
+    return {"op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output, "op8_embedding_links": op8_embedding_links, "op9_near_duplicates": op9_near_duplicates, "op10_conversations": op10_conversations, "op11_repair": op11_repair, "op12_manifest": op12_manifest, "pipeline": pipeline}
 
 
 #: Links of good vectors by all pairs of a label; components by reach along links.
@@ -161,5 +180,33 @@ done as (select *, list_reduce(list_prepend({{'mine': 0::bigint, 'h': given}}, l
 select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s.h), '')) as proof_sha256, folded_root, folded_root = root as verified from done"""
 
 
+def _op11_sql() -> str:
+    """One turn at a time: v0 to v3 are the least cost (ten digits) and audit that end in each state of the automaton."""
+    add = lambda v, cost, letters: f"(lpad(((left({v}, 10))::bigint + {cost})::varchar, 10, '0') || substr({v}, 11) || '{letters}')"
+    least = lambda *ways: f"least({', '.join(ways)})"
+    c2, c3 = least("v2", add("v0", 2, "I"), add("v1", 2, "I"), add("v3", 2, "I")), least("v3", add("v2", 2, "I"), add("v0", 4, "II"), add("v1", 4, "II"))
+    own = lambda v, more, letter: f"case when fault in ('none', 'truncated') then {add(v, f'({more} + (fault = {chr(39)}truncated{chr(39)})::int)', letter)} end"
+    keep = lambda v, role: f"case when initial = '{role}' then {own(v, 0, 'K')} end"
+    return f"""
+with recursive hits as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc32_sql("(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 as hit from conversations),
+rows_ as (select conv_id, turn, case when hit = 4 then 'user' else role end as role, case when hit = 1 then '' when hit = 2 then translate(text, '.!?', '') else text end as text from hits, (values (1), (2)) t(copy) where hit <> 0 and (copy = 1 or hit = 3)),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as position, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as last from rows_),
+marked as (select *, left(role, 1) as initial, left(lag(role) over (partition by conv_id order by position), 1) || left(role, 1) as pair, count(*) over (partition by conv_id) as n,
+case when last = '' then 'blank' when row_number() over (partition by conv_id, role, text order by position) > 1 then 'duplicate' when last not in ('.', '!', '?') then 'truncated' else 'none' end as fault from numbered),
+counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+count(*) filter (position > 1 and pair not in ('su', 'ua', 'au')) as illegal from marked group by 1),
+scan as (select conv_id, 0::bigint as position, max(n) as n, '0000000000' as v0, null::varchar as v1, null::varchar as v2, null::varchar as v3 from marked group by 1 union all
+select s.conv_id, s.position + 1, s.n, {add("v0", 3, "D")}, {least(add("v1", 3, "D"), keep("v0", "s"))}, {least(add("c2", 3, "D"), keep(least("v0", "v1", "c3"), "u"), own(least("v0", "v1", "c3"), 2, "R"))}, {least(add("c3", 3, "D"), keep("c2", "a"), own("c2", 2, "R"))}
+from (select *, {c2} as c2, {c3} as c3 from scan) s join marked m on s.conv_id is not distinct from m.conv_id and m.position = s.position + 1),
+best as (select conv_id, {least("v0", add("v1", 4, "II"), add("v2", 2, "I"), "v3")} as b from scan where position = n),
+letters as (select conv_id, unnest(string_split(substr(b, 11), '')) as letter, generate_subscripts(string_split(substr(b, 11), ''), 1) as nth from best where length(b) > 10),
+placed as (select *, sum((letter <> 'I')::int) over w as position, sum((letter <> 'D')::int) over w as place, sum((letter <> 'D')::int) over (partition by conv_id) as total from letters window w as (partition by conv_id order by nth)),
+told as (select p.conv_id, place, case when letter = 'K' then m.role when (total - place) % 2 = 0 then 'assistant' else 'user' end || ':' || case when letter = 'I' then '' else m.text end as line
+from placed p left join marked m on p.conv_id is not distinct from m.conv_id and p.position = m.position where letter <> 'D'),
+texts as (select conv_id, sha256(string_agg(line, chr(10) order by place)) as h from told group by 1)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce((left(b, 10))::bigint, 0) as cost, coalesce(substr(b, 11), '') as audit, coalesce(h, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts c on o.conv_id is not distinct from c.conv_id left join best on o.conv_id is not distinct from best.conv_id left join texts t on o.conv_id is not distinct from t.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_manifest": OP12_SQL, "op5_warc": OP5_SQL, "op8_embedding_links": OP8_SQL}
+    return {"op11_repair": _op11_sql(), "op12_manifest": OP12_SQL, "op5_warc": OP5_SQL, "op8_embedding_links": OP8_SQL}
