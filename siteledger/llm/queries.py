@@ -127,6 +127,17 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteledger.llm import classifier
+    from siteledger.llm.shared import cut
+
+    known = cut(classifier.described(table(spark, sf_dir, "documents"), ["doc_id"]), "statistics")
+    held_out = lambda c: F.coalesce(F.crc32(c.cast("string")) % 5 == 0, F.lit(False))
+    own = F.col("row")["doc_id"]
+    found = classifier.score(known, classifier.train(known, table(spark, sf_dir, "labels"), own, ~held_out(own)))
+    return found.select("row.doc_id", held_out(own).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -134,7 +145,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output, "op8_embedding_links": op8_embedding_links, "op9_near_duplicates": op9_near_duplicates, "op10_conversations": op10_conversations, "op11_repair": op11_repair, "op12_manifest": op12_manifest, "pipeline": pipeline}
+    return {"op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_warc": op5_warc, "op6_language": op6_language, "op7_token_output": op7_token_output, "op8_embedding_links": op8_embedding_links, "op9_near_duplicates": op9_near_duplicates, "op10_conversations": op10_conversations, "op11_repair": op11_repair, "op12_manifest": op12_manifest, "op13_quality_score": op13_quality_score, "pipeline": pipeline}
 
 
 #: Links of good vectors by all pairs of a label; components by reach along links.
