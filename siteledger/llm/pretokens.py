@@ -3,7 +3,7 @@
 A byte-level BPE tokenizer first cuts a text into pre-tokens and then merges inside each one, so
 the ids of a text are the ids of its pre-tokens in a row. The cuts are found here with array
 operations; the ids always come from the library. Texts with characters whose class can differ
-between Unicode versions go to the library as they are.
+between Unicode versions, or with one of the tokenizer's added tokens, go to the library as they are.
 """
 
 from __future__ import annotations
@@ -254,5 +254,5 @@ def encoder(path: str) -> SpanEncoder:
 
     os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    return SpanEncoder(tok, whole=unsure)
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    return SpanEncoder(tok, whole=lambda text: any(a in text for a in added) or unsure(text))

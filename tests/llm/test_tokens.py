@@ -1,5 +1,6 @@
 """Encoders, packing and token shards against the libraries themselves."""
 
+import functools
 import random
 import struct
 import zlib
@@ -9,27 +10,39 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from siteledger.llm import packing, pretokens, spm, tokenfile
 from siteledger.llm.queries import queries
 
+#: Texts that hold an added token, which the library takes for that token.
+MARKED = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "a<|endoftext|", "word " * 3000 + "x<|endoftext|> y", "<|endoftext|>\u0378 z"]
 BPE, SPM = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 EDGE = ["", None, " ", "\n", "it's don't we'll ''s 's", " x\n\n y  \n z", "a\x1cb", "日本 テスト 123 ４５ ¼", "'s", "t", "<|endoftext|>", "hello  world\r\n", "é" * 300, "a" * 5000, "word " * 3000]
 
 
+@functools.cache
+def fresh():
+    """A tokenizer as the library loads it."""
+    return tokenizers.Tokenizer.from_file(str(BPE))
+
+
 def per_text(ids, n):
     return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] if len(n) else []
 
 
 def check_bpe(texts):
     enc = pretokens.encoder(str(BPE))
-    assert per_text(*enc.encode(texts)) == [enc.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert per_text(*enc.encode(texts)) == [fresh().encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_bpe_parity():
     check_bpe(EDGE)
+    check_bpe(MARKED)
+    enc = pretokens.encoder(str(BPE))
+    assert per_text(*enc.encode(MARKED[:1])) == [[31373, 220, 50256, 995]]
     rng = random.Random(1)
     bits = ["a", "s", "t", "re", " ", "  ", "\n", "\t", "'", "'ll", "1", "²", "!", "…", "é", "Ж", "　", "\xa0", "😀", "\r\n", "ve"]
     check_bpe(["".join(rng.choices(bits, k=rng.randrange(40))) for _ in range(800)])
@@ -131,7 +144,7 @@ def test_packing(spark):
     assert set(by_doc) == set(texts)
     for d, pieces in by_doc.items():
         got = b"".join(bytes(p.ids) for p in sorted(pieces, key=lambda p: p.start))
-        want = [*enc.tok.encode(texts[d] or "", add_special_tokens=False).ids, 1]
+        want = [*fresh().encode(texts[d] or "", add_special_tokens=False).ids, 1]
         assert np.frombuffer(got, "<u4").tolist() == want
         assert {p.doc_tokens for p in pieces} == {len(want)}
     assert sorted(by_seq) == list(range(len(by_seq)))
@@ -166,7 +179,7 @@ def test_token_files(spark):
     enc = pretokens.encoder(str(BPE))
     at = 0
     for r in sorted(tokenfile.round_trip(df, str(BPE), end_id=0, first=65536).collect(), key=lambda r: r.doc_id):
-        want = [*enc.tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0]
+        want = [*fresh().encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0]
         assert (r.start, r.n_tokens, np.frombuffer(bytes(r.ids), "<u4").tolist()) == (at, len(want), want)
         at += len(want)
     assert tokenfile.round_trip(df.limit(0), str(BPE), end_id=0, first=65536).count() == 0
