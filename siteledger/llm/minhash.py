@@ -103,14 +103,20 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def df_code(df: np.ndarray) -> np.ndarray:
-    """Document frequencies on a logarithmic scale of one byte; steps of an eighth of a doubling."""
-    return np.minimum(np.round(8 * np.log2(df)), 255).astype(np.uint8)
+def packed_counts(df: np.ndarray) -> bytes:
+    """Document frequencies: a byte each, and eight more at the end for each that reaches 255."""
+    return np.minimum(df, 255).astype(np.uint8).tobytes() + df[df >= 255].astype("<i8").tobytes()
 
 
-def weight_of(code: np.ndarray, n_docs: int) -> np.ndarray:
+def unpacked_counts(blob: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(blob, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, "<i8", offset=n)
+    return out
+
+
+def weight_of(df: np.ndarray, n_docs: int) -> np.ndarray:
     """1 + log(N / df) / log(N): from 2 for a shingle of one document down to 1 for one of all."""
-    return 2 - code * (np.log(2) / 8) / np.log(max(n_docs, 2))
+    return 2 - np.log(df) / np.log(max(n_docs, 2))
 
 
 def draws(key: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +164,7 @@ def pieces(batch_texts: list[str | None], size: int = 400_000) -> Iterator[tuple
 
 
 def repeated(docs: DataFrame, bits: int, ranges: int) -> DataFrame:
-    """p, keys, codes: for chunk p its shingles that come in two documents or more, with df codes."""
+    """p, keys, counts: for chunk p its shingles that come in two documents or more, with their numbers of documents."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -205,11 +211,11 @@ def repeated(docs: DataFrame, bits: int, ranges: int) -> DataFrame:
             mine = df[at : at + len(key)]
             at += len(key)
             if (often := mine >= 2).any():
-                out.append((p, packed(key[often]), df_code(mine[often]).tobytes()))
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["p", "keys", "codes"])
+                out.append((p, packed(key[often]), packed_counts(mine[often])))
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["p", "keys", "counts"])
 
     sent = docs.select("p", "text").mapInArrow(send, "r long, p long, keys binary, counts binary")
-    return sent.groupBy("r").applyInArrow(count, "p long, keys binary, codes binary")
+    return sent.groupBy("r").applyInArrow(count, "p long, keys binary, counts binary")
 
 
 SKETCHED = "doc_id long, samples array<int>, keys binary, weights binary, total double"
@@ -217,15 +223,15 @@ SKETCHED = "doc_id long, samples array<int>, keys binary, weights binary, total
 
 def sketched(docs: DataFrame, common: DataFrame, copies: DataFrame, bits: int, n_docs: int) -> DataFrame:
     """Sketches and repeated shingles of the documents that can reach the threshold with another one."""
-    side = common.select("p", "keys", "codes", F.lit(None).cast("long").alias("copy")).unionByName(copies.select("p", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("codes"), F.col("doc_id").alias("copy")))
+    side = common.select("p", "keys", "counts", F.lit(None).cast("long").alias("copy")).unionByName(copies.select("p", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), F.col("doc_id").alias("copy")))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         skip = set(right.column("copy").drop_null().to_pylist())
-        blobs = [(unpacked(k), np.frombuffer(c, np.uint8)) for k, c in zip(right.column("keys").to_pylist(), right.column("codes").to_pylist(), strict=True) if k is not None]
+        blobs = [(key := unpacked(k), unpacked_counts(c, len(key))) for k, c in zip(right.column("keys").to_pylist(), right.column("counts").to_pylist(), strict=True) if k is not None]
         known = np.concatenate([b[0] for b in blobs]) if blobs else np.empty(0, np.uint64)
-        codes = np.concatenate([b[1] for b in blobs]) if blobs else np.empty(0, np.uint8)
+        df = np.concatenate([b[1] for b in blobs]) if blobs else np.empty(0, np.int64)
         known, first = np.unique(known, return_index=True)
-        codes = codes[first]
+        df = df[first]
         out: dict[str, list] = {k: [] for k in ("doc_id", "samples", "keys", "weights", "total")}
         seen: set[int] = set()
         ids, n = np.unique(left.column("doc_id").to_numpy(), return_counts=True)
@@ -242,7 +248,7 @@ def sketched(docs: DataFrame, common: DataFrame, copies: DataFrame, bits: int, n
                     continue
                 place = np.minimum(np.searchsorted(known, key), len(known) - 1)
                 often = known[place] == key
-                weight = count * np.where(often, weight_of(codes[place], n_docs), 2.0)
+                weight = count * np.where(often, weight_of(df[place], n_docs), 2.0)
                 total = np.bincount(owner, weight, len(texts))
                 good = np.bincount(owner, weight * often, len(texts)) >= THRESHOLD * total - 1e-9
                 good &= total > 0

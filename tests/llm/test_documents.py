@@ -278,7 +278,7 @@ def near_classes(texts):
 
     sets = {k: grams(t) for k, t in texts.items() if t is not None}
     df = Counter(g for s in sets.values() for g in s)
-    weight = {g: 2 - round(8 * np.log2(n)) * np.log(2) / 8 / np.log(max(len(sets), 2)) for g, n in df.items()}
+    weight = {g: 1 + np.log(len(sets) / n) / np.log(len(sets)) if len(sets) > 1 else 2.0 for g, n in df.items()}
     root = {k: k for k in texts}
 
     def find(x):
@@ -297,6 +297,12 @@ def near_classes(texts):
     return {k: find(k) for k in texts}
 
 
+def test_counts_come_back_exactly():
+    df = np.array([2, 254, 255, 256, 3, 10**11, 255], np.int64)
+    assert minhash.unpacked_counts(minhash.packed_counts(df), len(df)).tolist() == df.tolist()
+    assert minhash.weight_of(np.array([1, 1000]), 1000).tolist() == pytest.approx([2, 1])
+
+
 def test_near_duplicates(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(500)]
