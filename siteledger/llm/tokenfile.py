@@ -40,46 +40,73 @@ NO_ID = -(1 << 63)
 LEAST = 16
 #: Buckets of pairs that one round looks at.
 PAIRS = 4096
+#: Places that a round sorts without buckets.
+FEW = 1 << 16
 #: Ids after which a shard ends; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
 #: Buckets of a round's first count, by which it leaves out rare pairs.
 BUCKETS = 1 << 20
 
 
-def buckets(symbols: np.ndarray) -> np.ndarray:
-    """A bucket for each neighbouring pair; BUCKETS for those that hold a document's end."""
-    key = symbols[:-1] * np.uint32(0x9E3779B1)
+def buckets(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A bucket for each pair."""
+    key = left * np.uint32(0x9E3779B1)
     key ^= key >> np.uint32(15)
-    key += symbols[1:] * np.uint32(0x85EBCA77)
+    key += right * np.uint32(0x85EBCA77)
     key ^= key >> np.uint32(13)
     key *= np.uint32(0xC2B2AE3D)
-    out = (key >> np.uint32(12)).astype(np.int64)
-    ends = np.flatnonzero(symbols == END)
-    out[ends[ends < len(out)]] = BUCKETS
-    out[ends[ends > 0] - 1] = BUCKETS
-    return out
+    return (key >> np.uint32(12)).astype(np.int64)
+
+
+def told_apart(pairs: np.ndarray, bucket: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs, which of them each one is, and how often each comes. Most buckets hold one pair, so few pairs need sorting."""
+    one = np.zeros(n_buckets, np.uint64)
+    one[bucket] = pairs
+    other = np.flatnonzero(one[bucket] != pairs)
+    more, place = np.unique(pairs[other], return_inverse=True)
+    kind = bucket.astype(np.int64)
+    kind[other] = n_buckets + place
+    return np.concatenate([one, more]), kind, np.bincount(kind, minlength=n_buckets + len(more))
 
 
 def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """symbols, rules: rule k stands for the pair rules[k] and has the symbol first + k. Ends stay as they are."""
+    """symbols, rules: rule k stands for the pair rules[k] and has the symbol first + k. Ends stay as they are.
+
+    A pair that is rare once stays rare, as only pairs with a new symbol can come up. So each round looks at
+    the places that the last one left frequent, and at those next to its new symbols.
+    """
     symbols, rules, n_rules = ids.astype(np.uint32), [], 0
     most = PAIRS
+    at = None  # all places
     while len(symbols) > 1:
-        at = buckets(symbols)
-        rough = np.bincount(at, minlength=BUCKETS + 1)[:BUCKETS]
-        often = np.flatnonzero(rough >= least)
-        look = np.zeros(BUCKETS + 1, bool)
-        look[often[np.argsort(-rough[often], kind="stable")[:most]]] = True
-        hit = np.flatnonzero(look[at])
-        del at
-        pairs, kind, n = np.unique((symbols[hit].astype(np.uint64) << np.uint64(32)) | symbols[hit + 1], return_inverse=True, return_counts=True)
+        if at is None or len(at) > FEW:
+            left, right = (symbols[:-1], symbols[1:]) if at is None else (symbols[at], symbols[at + 1])
+            bucket = buckets(left, right)
+            bucket[(left == END) | (right == END)] = BUCKETS
+            rough = np.bincount(bucket, minlength=BUCKETS + 1)[:BUCKETS]
+            often = np.flatnonzero(rough >= least)
+            top = often[np.argsort(-rough[often], kind="stable")[:most]]
+            rate = np.zeros(BUCKETS + 1, np.int32)
+            rate[often] = 1
+            rate[top] = np.arange(2, len(top) + 2)
+            rate = rate[bucket]
+            live, hit = np.flatnonzero(rate), np.flatnonzero(rate > 1)
+            kind = rate[hit] - 2
+            if at is not None:
+                live, hit = at[live], at[hit]
+            whole = len(top) == len(often)
+            pairs, kind, n = told_apart((symbols[hit].astype(np.uint64) << np.uint64(32)) | symbols[hit + 1], kind, len(top))
+        else:
+            hit = at[(symbols[at] != END) & (symbols[at + 1] != END)]
+            pairs, kind, n = np.unique((symbols[hit].astype(np.uint64) << np.uint64(32)) | symbols[hit + 1], return_inverse=True, return_counts=True)
+            live, whole = hit[n[kind] >= least], True
         order = np.lexsort((pairs, -n))
         rank = np.empty(len(pairs), np.int64)
         rank[order] = np.arange(len(pairs))
         best = n[order] >= least
         if not best.any():
             # buckets may be full of rare pairs; then more of them are looked at
-            if most >= len(often):
+            if whole:
                 break
             most *= 16
             continue
@@ -101,11 +128,15 @@ def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarra
         number = np.zeros(len(pairs), np.uint32)
         number[used] = np.arange(len(used)) + first + n_rules
         rules.append(pairs[order][used])
+        n_rules += len(used)
         symbols[hit] = number[rank]
-        keep = np.ones(len(symbols), bool)
+        keep, look = np.ones(len(symbols), bool), np.zeros(len(symbols), bool)
         keep[hit + 1] = False
-        symbols = symbols[keep]
-        n_rules += len(used)
+        look[live] = True
+        symbols, look = symbols[keep], look[keep]
+        new = hit - np.arange(len(hit))
+        look[new] = look[new - 1] = True  # place -1 is the last one, which starts no pair
+        at = np.flatnonzero(look[:-1])
     pairs = np.concatenate(rules) if rules else np.empty(0, np.uint64)
     return symbols, np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
 
