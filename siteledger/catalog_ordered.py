@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteledger.catalog import query, table
-from siteledger.operators import phases
+from siteledger.operators import digests, phases
 
 #: A session opens, has items, and completes; what comes in another phase fails it; an error is a barrier after which all starts anew.
 SESSION = phases.Automaton(("start", "open", "items", "complete", "failed"), "start", "failed", {
@@ -34,3 +34,39 @@ def phase_traces(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's events through the phases of a session, and whether the last completion is the last purchase."""
     events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", "value")
     return phases.summary(phases.traced(events, "user_id", ["ts", "event_id"], "event_type", SESSION), "user_id", "value", "complete", "failed", F.col("event_type") == "purchase")
+
+
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+#: The later version of orders: some keys gone, some with another status, some twice.
+LATER = "o_orderkey, o_custkey, case when o_orderkey % 1013 = 5 then 'X' else o_orderstatus end as o_orderstatus, o_orderpriority"
+ORDER_JSON = """sha256('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}')"""
+
+
+def later_orders(spark: SparkSession, sf: str) -> DataFrame:
+    from siteledger.catalog_scores import columns
+
+    orders = table(spark, sf, "orders")
+    now = columns(orders, LATER).where("o_orderkey % 997 != 3")
+    return now.unionByName(now.where("o_orderkey % 1511 = 7"))
+
+
+@query("tree_changes", f"""
+with a as (select {ORDER_JSON} as digest, count(*) as n_before from orders group by 1), l as (select {LATER} from orders where o_orderkey % 997 <> 3), b as (select {ORDER_JSON} as digest, count(*) as n_after from (select * from l union all select * from l where o_orderkey % 1511 = 7) group by 1)
+select digest, coalesce(n_before, 0) as n_before, coalesce(n_after, 0) as n_after from a full join b using (digest) where coalesce(n_before, 0) <> coalesce(n_after, 0)""")
+def tree_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that differ between two versions of orders, found by going down two trees of digests."""
+    return digests.changed(*digests.matched_depth(table(spark, sf, "orders"), later_orders(spark, sf), ORDER_COLUMNS))
+
+
+def _root_sql() -> str:
+    """Buckets of at most 1024 digests (spread evenly, so by their number), and levels above them."""
+    up = "l4 as (select left(d, (select digits from depth)) as p, sha256(string_agg(e, '' order by e)) as h from entries group by 1)"
+    for k in (3, 2, 1, 0):
+        up += f",\nl{k} as (select left(p, {k}) as p, case when max(strlen(p)) > {k} then sha256(string_agg(h, '' order by p)) else min(h) end as h from l{k + 1} group by 1)"
+    sizes = " ".join(f"when (select max(n) from (select count(*) as n from entries group by left(d, {k}))) <= 1024 then {k}" for k in range(4))
+    return f"with entries as (select d, d || ':' || count(*) as e from (select {ORDER_JSON} as d from orders) group by d), depth as (select case {sizes} else 4 end as digits),\n{up}\nselect h as digest from l0"
+
+
+@query("tree_root", _root_sql())
+def tree_root(spark: SparkSession, sf: str) -> DataFrame:
+    return digests.tree(table(spark, sf, "orders"), ORDER_COLUMNS).root()

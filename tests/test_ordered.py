@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteledger.catalog_ordered import SESSION
-from siteledger.operators import phases
+from siteledger.operators import closure, digests, phases
 
 
 @pytest.mark.parametrize("block", [4, 16])
@@ -30,3 +30,57 @@ def test_phases_of_no_events(spark):
     frame = spark.createDataFrame([], "user string, at long, kind string, value double")
     traced = phases.traced(frame, "user", ["at"], "kind", SESSION)
     assert traced.count() == 0 and phases.summary(traced, "user", "value", "complete", "failed", F.lit(True)).count() == 0
+
+
+def breadth_first(seeds, edges):
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    depth, front = dict.fromkeys(seeds, 0), set(seeds)
+    while front:
+        front = {b for a in front for b in after.get(a, ()) if b not in depth and not depth.update({b: depth[a] + 1})}
+    return depth
+
+
+def graphs():
+    draw = random.Random(2)
+    yield "path with a short cut", [0], [(i, i + 1) for i in range(700)] + [(3, 650)]
+    yield "cycle", [5], [(i, (i + 1) % 300) for i in range(300)]
+    yield "chains that meet and branch", [0, 1000], [(i, i + 1) for i in range(200)] + [(1000 + i, 1001 + i) for i in range(150)] + [(1150, 120), (200, 2000), (200, 3000), *[(2000 + i, 2001 + i) for i in range(90)], (2090, 3050), *[(3000 + i, 3001 + i) for i in range(80)]]
+    yield "dense", [0, 1], [(draw.randrange(200), draw.randrange(200)) for _ in range(500)]
+    yield "no edges", [4], []
+
+
+@pytest.mark.parametrize(("name", "seeds", "edges"), list(graphs()), ids=lambda x: x if isinstance(x, str) else "")
+def test_depths(spark, name, seeds, edges):
+    log = []
+    frame = spark.createDataFrame([*edges, (None, 1), (seeds[0], None)], "a long, b long")
+    got = closure.reached(spark.createDataFrame([(s,) for s in seeds], "node long"), frame, "node", "a", "b", log=log)
+    assert {r.node: r.depth for r in got.collect()} == breadth_first(seeds, edges)
+    assert len(log) <= 15
+
+
+def test_steps_are_limited(spark):
+    frame = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    got = closure.reached(spark.createDataFrame([(0,)], "node long"), frame, "node", "a", "b", rounds=4)
+    assert {r.node: r.depth for r in got.collect()} == {i: i for i in range(5)}
+
+
+def test_tree_opens_few_buckets(spark):
+    rows = spark.range(60_000).select("id", F.concat(F.lit("v"), "id").alias("v"))
+    later = rows.where("id != 77").unionByName(spark.createDataFrame([(-1, "new"), (5, "v5")], "id long, v string"))
+    a, b = digests.matched_depth(rows, later, ["id", "v"], bucket=64)
+    assert a.leaves.agg(F.max(F.size("entries"))).first()[0] <= 64 and len(a.levels) == len(b.levels) >= 4
+    assert digests.descent(a, b).count() == 3 < a.leaves.count() / 500
+    got = {r.digest: (r.n_before, r.n_after) for r in digests.changed(a, b).collect()}
+    of = {r.digest: r.id for r in rows.unionByName(later).select("id", F.sha2(F.to_json(F.struct("id", "v")), 256).alias("digest")).where("id in (77, -1, 5)").collect()}
+    assert {of[d]: n for d, n in got.items()} == {77: (1, 0), -1: (0, 1), 5: (1, 2)}
+    assert a.root().first() != b.root().first()
+    shuffled, same = digests.matched_depth(rows.repartition(7), rows, ["id", "v"], bucket=64)
+    assert shuffled.root().first() == same.root().first() and digests.changed(shuffled, same).count() == 0
+
+
+def test_tree_of_no_rows(spark):
+    empty = spark.createDataFrame([], "id long, v string")
+    a, b = digests.matched_depth(empty, empty.unionByName(spark.createDataFrame([(1, None)] * 5000, "id long, v string")), ["id", "v"], bucket=2)
+    assert a.root().count() == 1 and [(r.n_before, r.n_after) for r in digests.changed(a, b).collect()] == [(0, 5000)]
