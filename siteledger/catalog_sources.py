@@ -1,189 +1,134 @@
-"""Queries of the source analysis over a small tree given as literals, each with the facts that a reader of it expects as SQL."""
+"""Queries of the source analysis over a code base that is read off the tables: customers are modules, orders in a row are imports.
+
+Each kind of fact is one SQL text that Spark and the SQL of the queries share; what follows from the facts (resolved names,
+derived specifications, statuses, places) is computed by the library on one side and by recursive SQL on the other.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteledger.catalog import query
-from siteledger.functions.text import language
-from siteledger.operators import reuse
-from siteledger.plans import applications, scan
+from siteledger.catalog import query, table
+from siteledger.plans import scan
 from siteledger.plans.lineage import cut
-from siteledger.plans.python_facts import facts
-
-FILES = {
-    "pkg/__init__.py": "from pkg.rules import Adult, _Used\n\n__all__ = ['Adult']\n\nif _Used().is_satisfied_by(1):\n    pass\n",
-    "pkg/rules.py": """class Adult(Specification[object]):
-    def is_satisfied_by(self, x):
-        return True if x else False
-
-
-class _Used(Specification[object]):
-    pass
-
-
-class _Unused(Specification[object]):
-    pass
-
-
-class _Child(_Used):
-    def check(self, x):
-        if x:
-            return 1
-""",
-    "pkg/_private.py": "import pkg.rules as rules\n\n\ndef pick(values):\n    out = [v for v in values if v]\n    if out:\n        return out\n    elif values:\n        return None\n    match values:\n        case []:\n            return rules._Child().check(1)\n",
-    "pkg/use.py": "from pkg.rules import Adult as Grown\nfrom pkg._private import pick\n\nready = PredicateSpec[int](lambda x: x > 1)\nisinstance(1, Grown)\n",
-    "tests/test_a.py": "from pkg.use import ready\n\nif ready:\n    pass\n",
+from siteledger.plans.python_facts import FIELDS
+from siteledger.sources import trees
+
+NAME = "case when {0} % 3 = 0 then 'C' else '_C' end || {0}"
+MODULE = "'p' || ({0} % 7) || '.m' || {0}"
+PATH = "'p' || ({0} % 7) || '/m' || {0} || '.py'"
+#: A customer and the ones of the next two orders; the first imports from the second, at times what that imports from the third.
+EDGES = "(select a.o_orderkey as o, a.o_custkey as a, b.o_custkey as b, coalesce(c.o_custkey, b.o_custkey) as c, a.o_orderstatus as status, a.o_orderpriority as priority from {orders} a join {orders} b on b.o_orderkey = a.o_orderkey + 1 left join {orders} c on c.o_orderkey = a.o_orderkey + 2 where a.o_custkey <> b.o_custkey and a.o_orderkey % 25 < 6) e"
+TARGET = f"case when o % 23 = 2 then 'Z' || b when o % 4 = 0 then {NAME.format('c')} else {NAME.format('b')} end"
+#: Kind of fact to the SQL of its columns.
+FACT_SQL = {
+    "file": f"select {PATH.format('c_custkey')} as path, {MODULE.format('c_custkey')} as module, false as flag from {{customer}}",
+    "definition": f"select {PATH.format('k')} as path, {MODULE.format('k')} as module, {NAME.format('k')} as name, 'declaration' as kind, line, 1 as col, line + 4 as end_line, 1 as end_col, segment = 'BUILDING' and k % 5 = 0 as flag from (select c_custkey as k, c_mktsegment as segment, 1 as line from {{customer}} where c_custkey % 2 = 0 union all select c_custkey, c_mktsegment, 7 from {{customer}} where c_custkey % 40 = 2) t union all select {PATH.format('c_custkey')}, {MODULE.format('c_custkey')}, 'PredicateSpec', 'factory', 9, 1, 9, 20, false from {{customer}} where c_custkey % 30 = 1",
+    "class": f"select {PATH.format('c_custkey')} as path, {MODULE.format('c_custkey')} as module, {NAME.format('c_custkey')} as name, 'declaration' as kind, 1 as line, 1 as col, 6 as end_line, 1 as end_col, false as flag from {{customer}} where c_custkey % 2 = 1",
+    "base": f"select {MODULE.format('a')} as module, {NAME.format('a')} as name, {TARGET} as target_name from {EDGES} where a % 2 = 1 and o % 6 = 5",
+    "import": f"select {MODULE.format('a')} as module, {TARGET} as name, {MODULE.format('b')} as target_module, {TARGET} as target_name, status = 'P' as flag from {EDGES}",
+    "module_import": f"select {MODULE.format('a')} as module, 'x' || b as name, {MODULE.format('b')} as target_module, false as flag from {EDGES} where o % 9 = 1",
+    "binder": f"select {MODULE.format('a')} as module, {TARGET} as name, status = 'P' as flag from {EDGES} union all select {MODULE.format('a')}, {TARGET}, true from {EDGES} where o % 17 = 0 union all select {MODULE.format('a')}, 'x' || b, false from {EDGES} where o % 9 = 1 union all select {MODULE.format('c_custkey')}, {NAME.format('c_custkey')}, false from {{customer}}",
+    "use": f"select {PATH.format('a')} as path, {MODULE.format('a')} as module, {TARGET} as name, case priority when '1-URGENT' then 'runtime' when '2-HIGH' then 'inherit' when '3-MEDIUM' then 'other' when '4-NOT SPECIFIED' then 'factory' else 'part' end as kind, o % 11 = 0 as flag, o % 1000 as line, 1 as col from {EDGES} where o % 3 <> 0 and priority <> '5-LOW' union all select {PATH.format('a')}, {MODULE.format('a')}, 'x' || b || '.' || {NAME.format('b')}, 'runtime', false, o % 1000, 9 from {EDGES} where o % 9 = 1 union all select {PATH.format('a')}, {MODULE.format('a')}, 'x' || b, 'other', false, o % 1000, 20 from {EDGES} where o % 135 = 1",
+    "export": f"select {MODULE.format('c_custkey')} as module, {NAME.format('c_custkey')} as name from {{customer}} where c_custkey % 10 = 4",
+    "assign": f"select {MODULE.format('c_custkey')} as module, 'Z' || c_custkey as name, case when c_custkey % 16 = 0 then 'literal' else 'other' end as kind from {{customer}} where c_custkey % 8 = 0",
+    "candidate": f"select {PATH.format('o_custkey')} as path, {MODULE.format('o_custkey')} as module, case o_orderkey % 3 when 0 then 'if' when 1 then 'match' else 'comprehension_filter' end as kind, 2 + o_orderkey % 9 as line, 1 + o_orderkey % 4 as col, o_orderkey as seq, 'if ' || (o_orderkey % 7) || '  > 1' as text, o_orderkey % 13 = 0 as flag from {{orders}}",
 }
-MANIFEST = [(".", "application"), ("tests", "test")]
-
-
-def tree(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
-    rows = [(p, bytearray(t.encode()), len(t.encode())) for p, t in texts.items()]
-    return spark.createDataFrame(rows, "path string, bytes binary, length long").select("path", language(F.col("path")).alias("language"), "bytes", "length")
-
-
-def values(names: str, rows: list[tuple]) -> str:
-    shown = lambda x: "null" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
-    return f"select * from (values {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) v({names})"
-
 
-#: Branches: path, line, column, kind, inside a specification. An elif is a part of its if.
-CANDIDATES = [
-    ("pkg/__init__.py", 5, 1, "if", False), ("pkg/rules.py", 3, 16, "conditional_expression", True), ("pkg/rules.py", 16, 9, "if", True),
-    ("pkg/_private.py", 5, 33, "comprehension_filter", False), ("pkg/_private.py", 6, 5, "if", False), ("pkg/_private.py", 10, 5, "match", False),
-]
 
-
-@query("scan_candidates", values("path, line, \"column\", kind, inside_specification", CANDIDATES))
+def code_facts(spark: SparkSession, sf: str) -> DataFrame:
+    frames = {n: table(spark, sf, n) for n in ("customer", "orders")}
+    out = None
+    for fact, sql in FACT_SQL.items():
+        rows = spark.sql(sql, **{n: f for n, f in frames.items() if "{" + n + "}" in sql}).withColumnsRenamed({"col": "column", "end_col": "end_column"})
+        named = dict(f.split() for f in FIELDS.split(", "))
+        rows = rows.select(F.lit(fact).alias("fact"), *[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in named.items() if c != "fact"])
+        out = rows if out is None else out.unionByName(rows)
+    return cut(out, "facts")
+
+
+def code_scan(spark: SparkSession, sf: str) -> scan.Scan:
+    """The scan of that code base; its digest is that of the pages, as contents."""
+    none = spark.createDataFrame([], "class string, path string, message string")
+    return scan.derived(code_facts(spark, sf), none, page_digest(spark, sf), closed_world=True)
+
+
+def page_digest(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return trees.tree_digest(pages.select(F.concat_ws("/", "page_id", "url").alias("path"), F.col("html").cast("binary").alias("bytes")))
+
+
+def _f(fact: str) -> str:
+    return f"f_{fact}"
+
+
+#: Facts, then names along imports, derived specifications, references, statuses.
+FACTS = "with recursive " + ",\n".join(f"{_f(n)} as ({s.format(customer='customer', orders='orders')})" for n, s in FACT_SQL.items())
+RESOLVED = f"""{FACTS},
+bound as (select module, name, count(*) <> 1 or bool_or(flag) as unsure from f_binder group by 1, 2),
+classes as (select module, name from f_definition where kind = 'declaration' union all select module, name from f_class),
+named as (select distinct i.module, i.name, target_module, target_name, flag or coalesce(unsure, true) as unsure from f_import i left join bound using (module, name)),
+way as (select c.module, c.name, c.module as dm, c.name as dn, many or coalesce(unsure, false) as ambiguous from (select module, name, count(*) <> 1 as many from classes group by 1, 2) c left join bound using (module, name)
+union select n.module, n.name, dm, dn, ambiguous or unsure from way w join named n on n.target_module = w.module and n.target_name = w.name),
+each as (select module, name, dm, dn, bool_or(ambiguous) as ambiguous from way group by all),
+names as (select * replace (ambiguous or count(*) over (partition by module, name) > 1 as ambiguous) from each),
+direct as (select distinct b.module, b.name, dm, dn from f_base b join names n on n.module = b.module and n.name = b.target_name where not ambiguous),
+spec as (select module, name from f_definition where kind = 'declaration' union select d.module, d.name from spec s join direct d on d.dm = s.module and d.dn = s.name),
+derived as (select * from f_class where (module, name) in (select module, name from spec)),
+definitions as (select * from f_definition union all select * from derived)"""
+LIVE = f"""{RESOLVED},
+own as (select distinct module as dm, name as dn from definitions where kind = 'declaration'),
+known as (select * from names where (dm, dn) in (select dm, dn from own)),
+uses as (select distinct path, module, name, kind, flag, line, col from f_use),
+aliases as (select distinct m.module, m.name as alias, target_module as target, n <> 1 as unsure from f_module_import m join (select module, name, count(*) as n from f_binder group by 1, 2) b using (module, name)),
+refs as (select dm, dn, u.kind in ('runtime', 'factory', 'inherit') and not u.flag and not ambiguous as direct from uses u join known using (module, name) where not contains(u.name, '.')
+union all select dm, dn, u.kind in ('runtime', 'factory', 'inherit') and not u.flag and not ambiguous and not unsure from uses u join aliases a on a.module = u.module and a.alias = string_split(u.name, '.')[1] join known k on k.module = target and k.name = string_split(u.name, '.')[2] where contains(u.name, '.')
+union all select dm, dn, false from uses u join aliases a on a.module = u.module and a.alias = u.name join own on dm = target or starts_with(dm, target || '.') where kind not in ('part', 'factory')),
+lost as (select distinct target_module, target_name from f_import where (target_module, target_name) not in (select module, name from known)),
+maybe as (select dm, dn from own where dn in (select target_name from lost) union select dm, dn from own join (select distinct target_module from lost join f_assign on module = target_module and name = target_name where kind <> 'literal') c on dm = target_module or starts_with(dm, target_module || '.')),
+used as (select dm, dn, bool_or(direct) as direct, bool_or(not direct) as unclear from (select * from refs union all select dm, dn, false from maybe) group by 1, 2),
+live as (select d.path, d.name, d.kind, d.line, case when d.kind = 'factory' then 'live' when n <> 1 then 'unknown' when unclear then 'unknown' when direct or d.flag then 'live' when not starts_with(d.name, '_') or e.name is not null then 'unknown' else 'dead' end as status
+from definitions d left join (select module, name, count(*) as n from definitions where kind = 'declaration' group by 1, 2) o using (module, name) left join used on dm = d.module and dn = d.name left join (select distinct module, name from f_export) e on e.module = d.module and e.name = d.name)"""
+PLACE = "line * 1000000 + col"
+SITES = f"""{RESOLVED},
+based as (select *, 'python:' || path || ':' || kind || ':' || substr(sha256(regexp_replace(text, '\\s+', '', 'g')), 1, 16) as base from f_candidate),
+sites as (select base || ':' || row_number() over (partition by base order by line, col, seq) as fingerprint, path, kind, line, col, flag or exists (select 1 from derived d where d.path = b.path and b.{PLACE.replace('col', 'b.col')} >= d.{PLACE.replace('col', 'd.col')} and b.{PLACE.replace('col', 'b.col')} < d.end_line * 1000000 + d.end_col) as inside_specification from based b)"""
+
+
+@query("scan_candidates", f"""{SITES} select fingerprint, path, line, col as "column", kind, inside_specification from sites""")
 def scan_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.ordered(scan.scanned(tree(spark, FILES), manifest=MANIFEST, closed_world=True))[0].select("path", "line", "column", "kind", "inside_specification")
+    return scan.ordered(code_scan(spark, sf))[0].select("fingerprint", "path", "line", "column", "kind", "inside_specification")
 
 
-#: An exported class is open to the outside unless used; a private one that nothing uses is dead in a closed world.
-STATUSES = [("pkg/rules.py", "Adult", "declaration", "live"), ("pkg/rules.py", "_Used", "declaration", "live"), ("pkg/rules.py", "_Unused", "declaration", "dead"), ("pkg/rules.py", "_Child", "declaration", "live"), ("pkg/use.py", "PredicateSpec", "factory", "live")]
+@query("scan_liveness", f"{LIVE} select path, name, kind, line, status from live")
+def scan_liveness(spark: SparkSession, sf: str) -> DataFrame:
+    return scan.ordered(code_scan(spark, sf))[1].select("path", "name", "kind", "line", "status")
 
 
-@query("scan_liveness", values("path, name, kind, status", STATUSES))
-def scan_liveness(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.ordered(scan.scanned(tree(spark, FILES), manifest=MANIFEST, closed_world=True))[1].select("path", "name", "kind", "status")
+DIGEST_SQL = """select 'sha256:' || sha256(string_agg(d, '' order by b)) as digest from (select d[1:2] as b, sha256(string_agg(d, '' order by d)) as d from (select distinct sha256('{"path":"' || page_id || '/' || url || '","content":"' || sha256(html) || '"}') as d from pages where html is not null) group by 1)"""
 
 
-@query("scan_measure", "select 2::bigint as covered, 0::bigint as excluded, 4::bigint as remaining, 4::bigint as live, 1::bigint as dead, 0::bigint as unknown, 4::bigint as definitions, 1.0::double as ratio, 'ratio' as state, 0::bigint as issues, false as provisional")
+@query("scan_measure", f"""{LIVE}, {SITES[len(RESOLVED) + 1:]},
+c as (select count(*) filter (inside_specification) as covered, 0::bigint as excluded, count(*) filter (not inside_specification) as remaining from sites), d as (select count(*) filter (status = 'live') as live, count(*) filter (status = 'dead') as dead, count(*) filter (status = 'unknown') as unknown from live)
+select *, live + unknown as definitions, (live + unknown)::double / remaining as ratio, 'ratio' as state, 0::bigint as issues, unknown > 0 as provisional, ({DIGEST_SQL}) as digest from c, d""")
 def scan_measure(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.measured(scan.scanned(tree(spark, FILES), manifest=MANIFEST, closed_world=True)).drop("digest")
+    return scan.measured(code_scan(spark, sf))
 
 
-@query("scan_import_closure", values("module, depth", [("pkg.use", 0), ("pkg.rules", 1), ("pkg._private", 1)]))
+@query("scan_import_closure", f"""{FACTS},
+edges as (select distinct module as a, target_module as b from f_import union select module, target_module from f_module_import),
+steps as (select module, 0 as depth from (select distinct module from f_export) union select b, depth + 1 from steps join edges on a = module where depth < 40)
+select module, min(depth) as depth from steps group by 1""")
 def scan_import_closure(spark: SparkSession, sf: str) -> DataFrame:
-    found = cut(facts(tree(spark, FILES).select("path", F.col("bytes").cast("string").alias("text"))), "facts")
-    return scan.import_closure(found, spark.createDataFrame([("pkg.use",)], "module string"))
+    """Modules that the exporting ones import, and that these import, with the least number of steps."""
+    found = code_facts(spark, sf)
+    return scan.import_closure(found, found.where("fact = 'export'").select("module"))
 
 
-@query("scan_positions", values("path, line, \"column\", found", [("pkg/__init__.py", 5, 1, True), ("pkg/_private.py", 6, 5, True), ("pkg/_private.py", 8, 5, False), ("pkg/_private.py", 10, 5, False)]))
+@query("scan_positions", f"""{SITES}
+select o_orderkey, min(fingerprint) as fingerprint from orders left join sites on path = {PATH.format('o_custkey')} and line = 2 + o_orderkey % 5 and col = 1 + o_orderkey % 3 and kind = 'if' group by 1""")
 def scan_positions(spark: SparkSession, sf: str) -> DataFrame:
-    branches = spark.createDataFrame([("pkg/__init__.py", 5, 1), ("pkg/_private.py", 6, 5), ("pkg/_private.py", 8, 5), ("pkg/_private.py", 10, 5)], "path string, line int, column int")
-    sites = scan.scanned(tree(spark, FILES), manifest=MANIFEST, closed_world=True).candidates
-    return scan.at_position(branches, sites).select("path", "line", "column", F.col("fingerprint").isNotNull().alias("found"))
-
-
-BEFORE = {
-    "app/old.py": "def f(p):\n    if p.kind == 'adult' and p.age > 17 and p.ok:\n        return 1\n",
-    "app/broken.py": "x = 1\n",
-    "domain/adult.py": "ADULT = PredicateSpec(lambda p: p.kind == 'adult' and p.age > 17 and p.ok)\n",
-    "lib/far.py": "if q.kind == 'adult' and q.age > 17 and q.ok: pass\n",
-}
-AFTER = {
-    "app/old.py": """def f(q, n):
-    if (q.kind == "adult" and q.age > 17 and q.ok):
-        return 1
-    while q.kind == 'adult' and q.age > 0x11 and q.ok:
-        n = lambda r: r.kind == 'adult' and r.age > 17 and r.ok
-    assert n.kind == 'adult' and n.age > 17 and q.ok
-    require(f.kind == f'adult' and f.age > 17 and f.ok)
-""",
-    "app/reuse.py": "from adult import ADULT\n\nif not ADULT.is_satisfied_by(1):\n    pass\nelif ADULT.holds(1):\n    pass\n",
-    "app/shadow.py": "from adult import ADULT\n\n\ndef g(ADULT, p):\n    if ADULT.is_satisfied_by(p):\n        pass\n",
-    "app/broken.py": "def broken(:\n",
-    "domain/adult.py": "ADULT = PredicateSpec(lambda p: p.kind == 'adult' and p.age > 17 and p.ok)\nother = lambda p: p.kind == 'adult' and p.age > 17 and p.ok\n",
-    "lib/far.py": "if q.kind == 'adult' and q.age > 17 and q.ok: pass\n",
-}
-CATALOGUE = {"rules": [{
-    "id": "adult", "paths": ["app", "domain"], "canonical_path": "domain/adult.py", "canonical_symbol": "ADULT",
-    "templates": [{"id": "t1", "expression": "p.kind == 'adult' and p.age > 17 and p.ok", "renameable_identifiers": ["p"]}, {"id": "t2", "expression": "ADULT.holds(v)", "renameable_identifiers": ["v"]}, {"id": "r1", "expression": "ADULT.holds(1)", "review_only": True}],
-}]}
-#: The first copy was there before; the number written in another way, mixed names and the f-string only overlap in features; lib is out of scope.
-FINDINGS = [
-    ("app/old.py", 2, "if_statement", "reimplementation", "equivalent_template", "t1", False), ("app/old.py", 4, "while_statement", "near_match", "feature_overlap", None, True), ("app/old.py", 5, "lambda", "reimplementation", "equivalent_template", "t1", True),
-    ("app/old.py", 6, "assert_statement", "near_match", "feature_overlap", None, True), ("app/old.py", 7, "call", "near_match", "feature_overlap", None, True), ("app/reuse.py", 5, "elif_clause", "near_match", "review_template", "r1", True), ("domain/adult.py", 2, "lambda", "reimplementation", "equivalent_template", "t1", True),
-]
-
-
-def texts(spark: SparkSession, files: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame(list(files.items()), "path string, text string")
-
-
-@query("rule_reuse_findings", values("path, line, construct, kind, basis, template_id, introduced", FINDINGS))
-def rule_reuse_findings(spark: SparkSession, sf: str) -> DataFrame:
-    found, _, _ = reuse.check(texts(spark, BEFORE), texts(spark, AFTER), reuse.templates_frame(spark, CATALOGUE))
-    return found.select("path", "line", "construct", "kind", "basis", "template_id", "introduced")
-
-
-@query("rule_reuse_totals", "select 3::bigint as after_reimplementations, 2::bigint as new_reimplementations, 4::bigint as new_near_matches, 1::bigint as before_reimplementations, 1::bigint as reused_specifications, 5::bigint as files_checked, 1::bigint as incomplete_files")
-def rule_reuse_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return reuse.check(texts(spark, BEFORE), texts(spark, AFTER), reuse.templates_frame(spark, CATALOGUE))[1]
-
-
-@query("canonical_rules", values("rule_id, problem", [("adult", None), ("lost", "no_declaration"), ("stale", "stale_digest"), ("plain", "no_plain_predicate")]).replace("(values", "(select rule_id, problem::varchar as problem from (values").replace(") v(rule_id, problem)", ") w(rule_id, problem)) v"))
-def canonical_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rules = [dict(CATALOGUE["rules"][0], id=i, canonical_symbol=s, canonical_digest=d) for i, s, d in (("adult", "ADULT", None), ("lost", "NONE", None), ("stale", "ADULT", "0"), ("plain", "other", None))]
-    return reuse.canonical_problems(reuse.templates_frame(spark, {"rules": rules}), reuse.parsed(texts(spark, AFTER)))
-
-
-APPLICATIONS = {
-    "rules.py": "from rules_core import FirstMatch, PredicateSpec\n\nREADY = PredicateSpec(lambda x: x)\nADULT = PredicateSpec[int](lambda x: x > 17)\nRULE = FirstMatch.with_fallback((), 'ok')\nTWICE = PredicateSpec(lambda x: x)\nTWICE = PredicateSpec(lambda x: not x)\n",
-    "app.py": """import rules
-from rules import ADULT, READY as R, RULE, TWICE
-
-
-def run(c, ADULT_LIMIT):
-    if R.is_satisfied_by(c) and not rules.ADULT.is_satisfied_by(c):
-        pass
-    if R.is_satisfied_by(c) and c > 1:
-        pass
-    elif ADULT.is_satisfied_by(c):
-        pass
-    if TWICE.is_satisfied_by(c):
-        pass
-    if [x for x in c if R.is_satisfied_by(x)]:
-        pass
-    value = RULE.decide(c).value
-    if RULE.decide(c).matched:
-        return RULE.decide(c)
-    print(RULE.decide(c), 1 + RULE.decide(c).value, c.decide(1))
-    return [RULE.decide(x) for x in c]
-
-
-def other(RULE, R):
-    RULE.decide(1)
-    if R.is_satisfied_by(1):
-        pass
-""",
-}
-
-
-@query("if_applications", values("path, line, \"column\", category", [
-    ("app.py", 6, 5, "direct_application"), ("app.py", 8, 5, "mixed_expression"), ("app.py", 12, 5, "unresolved_call"), ("app.py", 14, 5, "no_application"), ("app.py", 17, 5, "no_application"), ("app.py", 25, 5, "unresolved_call"),
-]))
-def if_applications(spark: SparkSession, sf: str) -> DataFrame:
-    return applications.if_applications(texts(spark, APPLICATIONS))
-
-
-@query("decide_calls", values("path, line, \"column\", receiver, projection, consumer, category", [
-    ("app.py", 16, 13, "RULE", "value", "binding", "direct_application"), ("app.py", 17, 8, "RULE", "matched", "boolean_guard", "direct_application"), ("app.py", 18, 16, "RULE", None, "return", "direct_application"),
-    ("app.py", 19, 11, "RULE", None, "argument", "direct_application"), ("app.py", 19, 31, "RULE", "value", "embedded", "mixed_expression"), ("app.py", 19, 53, "c", None, "argument", "unresolved_call"),
-    ("app.py", 20, 13, "RULE", None, "embedded", "unresolved_call"), ("app.py", 24, 5, "RULE", None, "standalone", "unresolved_call"),
-]))
-def decide_calls(spark: SparkSession, sf: str) -> DataFrame:
-    return applications.decide_calls(texts(spark, APPLICATIONS))
+    """For a place of each order's module the `if` that stands exactly there."""
+    places = spark.sql(f"select o_orderkey, {PATH.format('o_custkey')} as path, 2 + o_orderkey % 5 as line, 1 + o_orderkey % 3 as column from {{orders}}", orders=table(spark, sf, "orders"))
+    return scan.at_position(places, code_scan(spark, sf).candidates).select("o_orderkey", "fingerprint")

@@ -167,10 +167,20 @@ class Facts:
 
         visit(tree.body, False)
 
+    def assigned(self, s: ast.stmt) -> None:
+        """A name of the module that a statement gives a value; kind: literal, name or call (of target_name), or other."""
+        target = s.targets[0] if isinstance(s, ast.Assign) and len(s.targets) == 1 else s.target if isinstance(s, ast.AugAssign | ast.AnnAssign) else None
+        if isinstance(target, ast.Name) and s.value is not None:
+            v = s.value
+            plain = isinstance(v, ast.JoinedStr) or isinstance(v, ast.Constant) and v.value is not Ellipsis
+            source = v.id if isinstance(v, ast.Name) else last(dotted(v.func)) if isinstance(v, ast.Call) else None
+            self.add("assign", s, name=target.id, kind="literal" if plain else "other" if source is None else "name" if isinstance(v, ast.Name) else "call", target_name=source)
+
     def flags(self, tree: ast.Module) -> None:
         dynamic = any(isinstance(n, ast.Call) and last(dotted(n.func) or getattr(n.func, "attr", "")) in LOOKUPS for n in ast.walk(tree))
         hook = any(isinstance(n, ast.FunctionDef) and n.name == "__getattr__" for s in tree.body if not isinstance(s, ast.ClassDef) for n in ([s] if isinstance(s, ast.FunctionDef) else ast.walk(s) if not isinstance(s, ast.AsyncFunctionDef) else []))
         for s in tree.body:
+            self.assigned(s)
             target = s.targets[0] if isinstance(s, ast.Assign) else s.target if isinstance(s, ast.AugAssign | ast.AnnAssign) else None
             if isinstance(target, ast.Name) and target.id == "__all__":
                 value = s.value

@@ -78,9 +78,33 @@ def references(found: DataFrame, names: DataFrame) -> DataFrame:
     return out.unionByName(loose)
 
 
+def unresolved(definitions: DataFrame, found: DataFrame, names: DataFrame) -> DataFrame:
+    """def_module, def_name of specifications that an import without a known end may mean.
+
+    A name that is imported from anywhere but leads to no specification may be any of that name; if its module computes
+    it, also any of that module or below it; and a wildcard, even of an unknown module, may bring in all.
+    """
+    own = definitions.where("kind = 'declaration'").select(F.col("module").alias("def_module"), F.col("name").alias("def_name")).distinct()
+    imports = found.where("fact = 'import'").select("target_module", "target_name").distinct()
+    if imports.where("target_name = '*'").limit(1).count():
+        return own
+    files = found.where("fact = 'file'").groupBy("module").agg(F.count(F.lit(1)).alias("n"))
+    known = names.select(F.col("module").alias("target_module"), F.col("name").alias("target_name")).distinct()
+    whole = files.select(F.substring_index("module", ".", -1).alias("target_name"), F.regexp_replace("module", r"\.?[^.]*$", "").alias("target_module"))
+    lost = imports.join(known.unionByName(whole), ["target_module", "target_name"], "left_anti")
+    same = lost.select(F.col("target_name").alias("def_name")).distinct().join(own, "def_name").select("def_module", "def_name")
+    values = found.where("fact = 'assign' and kind != 'literal'").select("module", "name", F.col("target_name").alias("def_name"), F.col("module").alias("def_module"))
+    values = values.join(files.where("n = 1"), "module").join(own, ["def_module", "def_name"], "left_anti").select(F.col("module").alias("target_module"), F.col("name").alias("target_name"))
+    computed = lost.join(values, ["target_module", "target_name"], "left_semi").select(F.col("target_module").alias("to")).distinct()
+    parts = F.split("def_module", r"\.")
+    below = own.withColumn("to", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))))
+    return same.unionByName(below.join(computed, "to", "left_semi").select("def_module", "def_name")).distinct()
+
+
 def statuses(definitions: DataFrame, found: DataFrame, names: DataFrame, complete: bool, closed_world: bool) -> DataFrame:
     """definitions with status and evidence, by the first rule that holds."""
-    used = references(found, names).groupBy("def_module", "def_name").agg(F.bool_or("direct").alias("direct"), F.bool_or(~F.col("direct")).alias("unclear"))
+    maybe = unresolved(definitions, found, names).withColumn("direct", F.lit(False))
+    used = references(found, names).select("def_module", "def_name", "direct").unionByName(maybe).groupBy("def_module", "def_name").agg(F.bool_or("direct").alias("direct"), F.bool_or(~F.col("direct")).alias("unclear"))
     dynamic = bool(found.where("fact = 'file' and flag").limit(1).count())
     own = definitions.where("kind = 'declaration'").groupBy("module", "name").agg((F.count(F.lit(1)) != 1).alias("many"))
     exported = found.where("fact = 'export'").select(F.col("module").alias("e_module"), F.col("name").alias("e_name")).distinct()
@@ -115,7 +139,11 @@ def scan(spark: SparkSession, root: str, includes: list[str] | None = None, mani
 def scanned(tree: DataFrame, includes: list[str] | None = None, manifest: list[tuple[str, str]] | None = None, closed_world: bool = False) -> Scan:
     """The scan of files given as rows: path, language, bytes, length."""
     texts, issues = trees.sources(tree, includes, manifest)
-    found = cut(facts(texts.where("language = 'python'")), "facts")
+    return derived(cut(facts(texts.where("language = 'python'")), "facts"), issues, trees.tree_digest(tree), closed_world)
+
+
+def derived(found: DataFrame, issues: DataFrame, digest: DataFrame, closed_world: bool = False) -> Scan:
+    """The scan that follows from facts, wherever they come from; found should be written."""
     issues = cut(issues.unionByName(found.where("fact = 'issue'").select(F.col("kind").alias("class"), "path", F.col("text").alias("message"))), "issues")
     native = found.where("fact = 'definition'")
     classes = native.where("kind = 'declaration'").unionByName(found.where("fact = 'class'"))
@@ -138,7 +166,7 @@ def scanned(tree: DataFrame, includes: list[str] | None = None, manifest: list[t
     spans = new.select("path", place.alias("start"), (F.col("end_line") * 1_000_000 + F.col("end_column")).alias("stop"))
     inside = scope.contained(sites, spans, "fingerprint", "path", "at", "start", "stop")
     sites = sites.join(inside, "fingerprint").select("fingerprint", "language", "path", "kind", "line", "column", "excerpt", (F.col("native") | F.col("inside")).alias("inside_specification"))
-    return Scan(sites, live, issues, trees.tree_digest(tree))
+    return Scan(sites, live, issues, digest)
 
 
 def import_closure(found: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -15,13 +15,16 @@ CASES = {
         ("pkg/rules.py", "class _R(Specification): pass\n", "pkg/use.py", "from .rules import _R as Q\nisinstance(1, Q)\n"),
         ("a.py", "class _R(Specification): pass\n", "b.py", "from a import _R\ntable = {'r': _R}\n"),
     ],
-    "dead": [("a.py", "class _R(Specification): pass\n", "b.py", "if 1: pass\n"), ("a.py", "class _R(Specification): pass\n", "b.py", "import a\ndef f(x: a._R): pass\n")],
+    "dead": [("a.py", "class _R(Specification): pass\n", "b.py", "if 1: pass\n"), ("a.py", "class _R(Specification): pass\n", "b.py", "import a\ndef f(x: a._R): pass\n"), ("pkg/a.py", "class _R(Specification): pass\n", "pkg/__init__.py", "limit = 3\n", "b.py", "from pkg import limit, a\nfrom os import path\nprint(limit)\n")],
     "unknown": [
         ("a.py", "class R(Specification): pass\n", "b.py", "x = 1\n"),
         ("a.py", "class _R(Specification): pass\n", "b.py", "getattr(1, 'x')\n"),
         ("a.py", "class _R(Specification): pass\n", "b.py", "from a import *\n_R()\n"),
         ("a.py", "class _R(Specification): pass\n", "b.py", "try:\n    from a import _R\nexcept ImportError:\n    _R = None\n_R()\n"),
         ("a.py", "class _R(Specification): pass\n", "b.py", "def broken(:\n"),
+        ("a.py", "class _R(Specification): pass\n", "b.py", "from elsewhere import _R\n_R()\n"),
+        ("a.py", "class _R(Specification): pass\n", "b.py", "from elsewhere import *\n"),
+        ("pkg/a.py", "class _R(Specification): pass\n", "pkg/__init__.py", "from os import environ\nrule = environ.get('r')\n", "b.py", "from pkg import rule\nrule()\n"),
     ],
 }
 
