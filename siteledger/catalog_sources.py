@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteledger.catalog import query, table
-from siteledger.plans import scan
+from siteledger.plans import applications, scan
 from siteledger.plans.lineage import cut
 from siteledger.plans.python_facts import FIELDS
 from siteledger.sources import trees
@@ -21,15 +21,17 @@ PATH = "'p' || ({0} % 7) || '/m' || {0} || '.py'"
 #: A customer and the ones of the next two orders; the first imports from the second, at times what that imports from the third.
 EDGES = "(select a.o_orderkey as o, a.o_custkey as a, b.o_custkey as b, coalesce(c.o_custkey, b.o_custkey) as c, a.o_orderstatus as status, a.o_orderpriority as priority from {orders} a join {orders} b on b.o_orderkey = a.o_orderkey + 1 left join {orders} c on c.o_orderkey = a.o_orderkey + 2 where a.o_custkey <> b.o_custkey and a.o_orderkey % 25 < 6) e"
 TARGET = f"case when o % 23 = 2 then 'Z' || b when o % 4 = 0 then {NAME.format('c')} else {NAME.format('b')} end"
+MAKER = "case when c_custkey % 4 = 0 then 'PredicateSpec' when c_custkey % 3 = 0 then 'FirstMatch.with_fallback' else 'FirstMatch' end"
+ROOT = "case when c_custkey % 4 = 0 then 'PredicateSpec' else 'FirstMatch' end"
 #: Kind of fact to the SQL of its columns.
 FACT_SQL = {
     "file": f"select {PATH.format('c_custkey')} as path, {MODULE.format('c_custkey')} as module, false as flag from {{customer}}",
     "definition": f"select {PATH.format('k')} as path, {MODULE.format('k')} as module, {NAME.format('k')} as name, 'declaration' as kind, line, 1 as col, line + 4 as end_line, 1 as end_col, segment = 'BUILDING' and k % 5 = 0 as flag from (select c_custkey as k, c_mktsegment as segment, 1 as line from {{customer}} where c_custkey % 2 = 0 union all select c_custkey, c_mktsegment, 7 from {{customer}} where c_custkey % 40 = 2) t union all select {PATH.format('c_custkey')}, {MODULE.format('c_custkey')}, 'PredicateSpec', 'factory', 9, 1, 9, 20, false from {{customer}} where c_custkey % 30 = 1",
     "class": f"select {PATH.format('c_custkey')} as path, {MODULE.format('c_custkey')} as module, {NAME.format('c_custkey')} as name, 'declaration' as kind, 1 as line, 1 as col, 6 as end_line, 1 as end_col, false as flag from {{customer}} where c_custkey % 2 = 1",
     "base": f"select {MODULE.format('a')} as module, {NAME.format('a')} as name, {TARGET} as target_name from {EDGES} where a % 2 = 1 and o % 6 = 5",
-    "import": f"select {MODULE.format('a')} as module, {TARGET} as name, {MODULE.format('b')} as target_module, {TARGET} as target_name, status = 'P' as flag from {EDGES}",
+    "import": f"select {MODULE.format('a')} as module, {TARGET} as name, {MODULE.format('b')} as target_module, {TARGET} as target_name, status = 'P' as flag from {EDGES} union all select {MODULE.format('c_custkey')}, {ROOT}, 'rules_core', {ROOT}, false from {{customer}} where c_custkey % 2 = 0 and c_custkey % 14 <> 6",
     "module_import": f"select {MODULE.format('a')} as module, 'x' || b as name, {MODULE.format('b')} as target_module, false as flag from {EDGES} where o % 9 = 1",
-    "binder": f"select {MODULE.format('a')} as module, {TARGET} as name, status = 'P' as flag from {EDGES} union all select {MODULE.format('a')}, {TARGET}, true from {EDGES} where o % 17 = 0 union all select {MODULE.format('a')}, 'x' || b, false from {EDGES} where o % 9 = 1 union all select {MODULE.format('c_custkey')}, {NAME.format('c_custkey')}, false from {{customer}}",
+    "binder": f"select {MODULE.format('a')} as module, {TARGET} as name, status = 'P' as flag from {EDGES} union all select {MODULE.format('a')}, {TARGET}, true from {EDGES} where o % 17 = 0 union all select {MODULE.format('a')}, 'x' || b, false from {EDGES} where o % 9 = 1 union all select {MODULE.format('c_custkey')}, {NAME.format('c_custkey')}, false from {{customer}} union all select {MODULE.format('c_custkey')}, {ROOT}, false from {{customer}} where c_custkey % 2 = 0 union all select {MODULE.format('c_custkey')}, {ROOT}, false from {{customer}} where c_custkey % 22 = 4",
     "use": f"select {PATH.format('a')} as path, {MODULE.format('a')} as module, {TARGET} as name, case priority when '1-URGENT' then 'runtime' when '2-HIGH' then 'inherit' when '3-MEDIUM' then 'other' when '4-NOT SPECIFIED' then 'factory' else 'part' end as kind, o % 11 = 0 as flag, o % 1000 as line, 1 as col from {EDGES} where o % 3 <> 0 and priority <> '5-LOW' union all select {PATH.format('a')}, {MODULE.format('a')}, 'x' || b || '.' || {NAME.format('b')}, 'runtime', false, o % 1000, 9 from {EDGES} where o % 9 = 1 union all select {PATH.format('a')}, {MODULE.format('a')}, 'x' || b, 'other', false, o % 1000, 20 from {EDGES} where o % 135 = 1",
     "export": f"select {MODULE.format('c_custkey')} as module, {NAME.format('c_custkey')} as name from {{customer}} where c_custkey % 10 = 4",
     "assign": f"select {MODULE.format('c_custkey')} as module, 'Z' || c_custkey as name, case when c_custkey % 16 = 0 then 'literal' else 'other' end as kind from {{customer}} where c_custkey % 8 = 0",
@@ -132,3 +134,48 @@ def scan_positions(spark: SparkSession, sf: str) -> DataFrame:
     """For a place of each order's module the `if` that stands exactly there."""
     places = spark.sql(f"select o_orderkey, {PATH.format('o_custkey')} as path, 2 + o_orderkey % 5 as line, 1 + o_orderkey % 3 as column from {{orders}}", orders=table(spark, sf, "orders"))
     return scan.at_position(places, code_scan(spark, sf).candidates).select("o_orderkey", "fingerprint")
+
+
+#: Values of modules, calls of their methods elsewhere, and the if statements that hold some of the calls.
+APPLIED_SQL = {
+    "value": f"select {MODULE.format('c_custkey')} as module, {NAME.format('c_custkey')} as name, {MAKER} as text from {{customer}} where c_custkey % 2 = 0",
+    "call": f"select {PATH.format('a')} as path, {MODULE.format('a')} as module, case when o % 9 = 1 then 'x' || b || '.' || {NAME.format('b')} else {TARGET} end as name, o % 1000 as line, o as col, case when o % 3 = 0 then 'decide' else 'is_satisfied_by' end as text, case when o % 3 <> 0 then o - o % 2 end as if_line, case when o % 3 <> 0 then 5 end as if_col, case o % 4 when 0 then 'value' when 1 then 'matched' end as projection, case o % 6 when 0 then 'binding' when 3 then 'embedded' end as consumer, o % 19 = 0 as local from {EDGES}",
+    "if": f"select {PATH.format('o_custkey')} as path, {MODULE.format('o_custkey')} as module, o_orderkey as if_line, 5 as if_col, o_orderkey % 7 <> 0 as direct from {{orders}} where o_orderkey % 2 = 0",
+}
+
+
+def code_calls(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    frames = {n: table(spark, sf, n) for n in ("customer", "orders")}
+    out = None
+    for fact, sql in APPLIED_SQL.items():
+        rows = spark.sql(sql, **{n: f for n, f in frames.items() if "{" + n + "}" in sql}).withColumnsRenamed({"col": "column", "if_col": "if_column"})
+        rows = rows.select(F.lit(fact).alias("fact"), *[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in (f.split() for f in applications.FACT.split(", ")) if c != "fact"])
+        out = rows if out is None else out.unionByName(rows)
+    return applications.resolved_calls(code_facts(spark, sf), cut(out, "applications"))
+
+
+CALLS = f"""{FACTS}, {", ".join(f"f_{n} as ({x.format(customer='customer', orders='orders')})" for n, x in APPLIED_SQL.items())},
+bound as (select module, name, count(*) as n, count(*) <> 1 or bool_or(flag) as unsure from f_binder group by 1, 2),
+made as (select v.module, v.name, v.text as maker from f_value v join (select distinct module, name from f_import where name = target_name) i on i.module = v.module and i.name = string_split(v.text, '.')[1] join bound b on b.module = v.module and b.name = i.name where b.n = 1),
+named as (select distinct i.module, i.name, target_module, target_name, flag or coalesce(unsure, true) as unsure from f_import i left join bound using (module, name)),
+way as (select m.module, m.name, m.module as dm, m.name as dn, many or coalesce(unsure, false) as ambiguous from (select module, name, count(*) <> 1 as many from made group by 1, 2) m left join bound using (module, name)
+union select n.module, n.name, dm, dn, ambiguous or unsure from way w join named n on n.target_module = w.module and n.target_name = w.name),
+each as (select module, name, dm, dn, bool_or(ambiguous) as ambiguous from way group by all),
+names as (select e.module, e.name, dm, dn, maker from (select * from each qualify not ambiguous and count(*) over (partition by module, name) = 1) e join made on made.module = dm and made.name = dn),
+alias as (select module, name as front, min(target_module) as target from f_module_import group by 1, 2 having count(distinct target_module) = 1),
+known as (select module, name, dm, dn, maker from names union select a.module, front || '.' || n.name, dm, dn, maker from alias a join names n on n.module = target),
+hit as (select c.path, c.col, min(dn) as target_name, count(*) as n from f_call c join known using (module, name) where not local and (text = 'is_satisfied_by' and maker = 'PredicateSpec' or text = 'decide' and maker in ('FirstMatch', 'FirstMatch.with_fallback')) group by 1, 2),
+calls as (select c.*, target_name from f_call c left join (select * from hit where n = 1) using (path, col))"""
+
+
+@query("if_applications", f"""{CALLS},
+per as (select path, if_line, if_col, bool_and(target_name is not null) as known from calls where text = 'is_satisfied_by' and if_line is not null group by all)
+select path, if_line as line, case when known is null then 'no_application' when not known then 'unresolved_call' when direct then 'direct_application' else 'mixed_expression' end as category from f_if left join per using (path, if_line, if_col)""")
+def if_applications(spark: SparkSession, sf: str) -> DataFrame:
+    return applications.if_categories(*code_calls(spark, sf)).select("path", "line", "category")
+
+
+@query("decide_calls", f"""{CALLS}
+select path, line, col as "column", name as receiver, projection, consumer, case when target_name is null then 'unresolved_call' when consumer = 'binding' then 'direct_application' else 'mixed_expression' end as category from calls where text = 'decide'""")
+def decide_calls(spark: SparkSession, sf: str) -> DataFrame:
+    return applications.decide_categories(code_calls(spark, sf)[0])

@@ -218,10 +218,13 @@ def check(before: DataFrame, after: DataFrame, templates: DataFrame) -> tuple[Da
     either side is left out of all counts. A finding is introduced if it goes beyond the number of findings of one file before it with the same
     rule, kind and template (or, without a template, the same expression).
     """
-    old, new = cut(parsed(before), "reuse-before"), cut(parsed(after), "reuse-after")
+    return compared(cut(parsed(before), "reuse-before"), cut(parsed(after), "reuse-after"), before.select("path").unionByName(after.select("path")).distinct(), templates)
+
+
+def compared(old: DataFrame, new: DataFrame, paths: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What check() gives, from the facts of both sides and the paths of all changed files."""
     bad = old.where("fact = 'issue'").select("path").unionByName(new.where("fact = 'issue'").select("path")).distinct()
     scope = templates.select(F.explode("paths").alias("prefix")).distinct()
-    paths = before.select("path").unionByName(after.select("path")).distinct()
     prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"))
     scoped = paths.withColumn("prefix", F.explode(F.concat(F.array(F.lit(".")), prefixes))).join(scope, "prefix").select("path").distinct()
     files = cut(scoped.join(bad.withColumn("bad", F.lit(True)), "path", "left"), "reuse-files")

@@ -22,7 +22,7 @@ NAMES = [f.split()[0] for f in FACT.split(", ")]
 SCHEMA = pa.schema([(n, pa.int64() if t == "long" else pa.bool_() if t == "boolean" else pa.string()) for n, t in (f.split() for f in FACT.split(", "))])
 DEFERRED = (ast.Lambda, ast.GeneratorExp, ast.ListComp, ast.SetComp, ast.DictComp)
 COMPREHENSION = DEFERRED[1:]
-#: What makes a value of each method's kind.
+# fixed values: what makes a value of each method's kind
 MAKERS = {"is_satisfied_by": ("PredicateSpec",), "decide": ("FirstMatch", "FirstMatch.with_fallback")}
 
 
@@ -127,7 +127,11 @@ def parsed(texts: DataFrame) -> DataFrame:
 
 def calls(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All calls with target_module, target_name and maker (null where unresolved), and all if statements."""
-    found, rows = cut(facts(texts), "facts"), cut(parsed(texts), "applications")
+    return resolved_calls(cut(facts(texts), "facts"), cut(parsed(texts), "applications"))
+
+
+def resolved_calls(found: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same from facts of the tree and rows of values, calls and if statements, wherever they come from."""
     values = rows.where("fact = 'value'").select("module", "name", F.col("text").alias("maker"))
     # the constructor's own name must be bound once in its module, by an import
     bound = found.where("fact = 'binder'").groupBy("module", "name").agg(F.count(F.lit(1)).alias("n"))
@@ -158,7 +162,10 @@ def calls(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def if_applications(texts: DataFrame) -> DataFrame:
     """path, line, column, category of each if statement: no_application, unresolved_call (if one of its calls is), direct_application, mixed_expression."""
-    found, ifs = calls(texts)
+    return if_categories(*calls(texts))
+
+
+def if_categories(found: DataFrame, ifs: DataFrame) -> DataFrame:
     per = found.where("text = 'is_satisfied_by' and if_line is not null").groupBy("path", "if_line", "if_column").agg(F.bool_and(F.col("target_name").isNotNull()).alias("known"))
     joined = ifs.join(per, ["path", "if_line", "if_column"], "left")
     category = F.when(F.col("known").isNull(), "no_application").when(~F.col("known"), "unresolved_call").when(F.col("direct"), "direct_application").otherwise("mixed_expression")
@@ -167,7 +174,10 @@ def if_applications(texts: DataFrame) -> DataFrame:
 
 def decide_calls(texts: DataFrame) -> DataFrame:
     """path, line, column, receiver, projection, consumer, category of each decide call."""
-    found, _ = calls(texts)
+    return decide_categories(calls(texts)[0])
+
+
+def decide_categories(found: DataFrame) -> DataFrame:
     whole = F.col("consumer").isin("binding", "return", "argument", "standalone", "boolean_guard")
     category = F.when(F.col("target_name").isNull(), "unresolved_call").when(whole, "direct_application").otherwise("mixed_expression")
     return found.where("text = 'decide'").select("path", "line", "column", "receiver", "projection", "consumer", category.alias("category"))
