@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteledger.catalog import query, table
+from siteledger.operators import reuse
 from siteledger.plans import applications, scan
 from siteledger.plans.lineage import cut
 from siteledger.plans.python_facts import FIELDS
@@ -179,3 +180,73 @@ def if_applications(spark: SparkSession, sf: str) -> DataFrame:
 select path, line, col as "column", name as receiver, projection, consumer, case when target_name is null then 'unresolved_call' when consumer = 'binding' then 'direct_application' else 'mixed_expression' end as category from calls where text = 'decide'""")
 def decide_calls(spark: SparkSession, sf: str) -> DataFrame:
     return applications.decide_categories(code_calls(spark, sf)[0])
+
+
+#: Decision sites read off lineitem; a name list is a text with commas, as the two engines write lists differently.
+SITE_PATH = "case when l_suppkey % 9 = 4 then 'domain/spec' || (l_partkey % 25) || '.py' else 'app/' || (l_partkey % 20) || '/f' || (l_suppkey % 50) || '.py' end"
+SITE_SQL = {
+    "site": f"select l_shipdate < timestamp '1995-06-17' as old, {SITE_PATH} as path, l_orderkey as line, l_linenumber as col, l_orderkey as end_line, l_linenumber + 10 as end_col, case when l_linenumber % 2 = 0 then 'if_statement' else 'lambda' end as construct, 'c' || l_orderkey as code, 's' || (l_suppkey % 30) as shape, case when l_orderkey % 4 = 0 then 'p' else 'q' end || ',n' || (l_partkey % 5) as names, 'a' || (l_partkey % 4) || ',b' || (l_suppkey % 4) || ',c' || (l_linenumber % 2) || ',d' || (l_orderkey % 2) as features, case when l_orderkey % 10 = 0 then 'SPEC' || ((l_suppkey % 25) % 8) end as evaluates from {{lineitem}}",
+    "import": f"select distinct true as old, {SITE_PATH} as path, 'spec' || (l_suppkey % 25) as module, 'SPEC' || ((l_suppkey % 25) % 8) as code, 'SPEC' || ((l_suppkey % 25) % 8) as name from {{lineitem}}",
+    "bound": f"select distinct true as old, {SITE_PATH} as path, 'SPEC' || ((l_suppkey % 25) % 8) as name from {{lineitem}} where l_suppkey % 7 = 0",
+    "declaration": "select true as old, 'domain/spec' || n_nationkey || '.py' as path, 100 as line, 1 as col, 900 as end_line, 1 as end_col, case when n_nationkey % 7 <> 0 then 'lambda' end as construct, 'SPEC' || (n_nationkey % 8) as name, 'code' || n_nationkey as code from {nation} where n_nationkey % 5 <> 0",
+    "issue": f"select distinct true as old, {SITE_PATH} as path from {{lineitem}} where l_suppkey % 50 = 13 and l_partkey % 20 < 3",
+}
+TEMPLATE_SQL = """select 'r' || n_nationkey as rule_id, 't' || k as template_id, k as ordinal, k = 3 as review_only, case when k = 2 then 'p,n' || (n_nationkey % 5) else 'p' end as renameable, case when n_nationkey % 7 = 0 then '.' else 'app/' || (n_nationkey % 20) || ',domain' end as paths, 'domain/spec' || n_nationkey || '.py' as canonical_path, 'SPEC' || (n_nationkey % 8) as canonical_symbol, case when n_nationkey % 6 = 1 then '0' when n_nationkey % 6 = 2 then sha2('code' || n_nationkey, 256) end as canonical_digest,
+'s' || ((n_nationkey + 9 * k) % 30) as t_shape, 'p,n' || ((n_nationkey + k) % 5) as t_names, 'a' || (n_nationkey % 4) || ',b' || ((n_nationkey + k) % 4) || ',c' || (k % 2) || ',d1' as t_features from {nation}, (values (1), (2), (3)) v(k)"""
+LISTS = ("names", "features", "renameable", "paths", "t_names", "t_features")
+
+
+def reuse_facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts of the old and the new side (only sites differ), and templates."""
+    frames = {n: table(spark, sf, n) for n in ("lineitem", "nation")}
+    read = lambda sql: spark.sql(sql, **{n: f for n, f in frames.items() if "{" + n + "}" in sql}).withColumnsRenamed({"col": "column", "end_col": "end_column"})
+    out = None
+    for fact, sql in SITE_SQL.items():
+        rows = read(sql)
+        rows = rows.withColumns({c: F.split(c, ",") for c in LISTS if c in rows.columns})
+        rows = rows.select("old", F.lit(fact).alias("fact"), *[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in (f.split() for f in reuse.FACT.split(", ")) if c != "fact"])
+        out = rows if out is None else out.unionByName(rows)
+    out, templates = cut(out, "reuse-facts"), read(TEMPLATE_SQL)
+    templates = templates.withColumns({c: F.split(c, ",") for c in LISTS if c in templates.columns})
+    return out.where("old").drop("old"), out.where("fact != 'site' or not old").drop("old"), cut(templates, "templates")
+
+
+REUSE = "with " + ",\n".join(f"g_{n} as ({x.format(lineitem='lineitem', nation='nation')})" for n, x in SITE_SQL.items()) + f""",
+split as (select * replace (string_split(names, ',') as names, string_split(features, ',') as features) from g_site),
+t as (select * replace (string_split(renameable, ',') as renameable, string_split(paths, ',') as paths, string_split(t_names, ',') as t_names, string_split(t_features, ',') as t_features) from ({TEMPLATE_SQL.format(nation='nation').replace("sha2('code' || n_nationkey, 256)", "sha256('code' || n_nationkey)")}) x),
+rules as (select distinct rule_id, paths, canonical_path, canonical_symbol from t),
+pairs as (select s.*, t.* exclude (paths), list_transform(range(1, 3), lambda i: {{'t': t_names[i], 's': names[i]}}) as twins from split s join t on list_bool_or(list_transform(t.paths, lambda p: p = '.' or path = p or starts_with(path, p || '/')))),
+exact as (select *, list_distinct(list_filter(twins, lambda x: list_contains(renameable, x.t))) as free from pairs where shape = t_shape and list_bool_and(list_transform(twins, lambda x: list_contains(renameable, x.t) or x.t = x.s))),
+found as (select old, path, line, col, construct, code, shape, names, rule_id, case when review_only then 2 else 1 end as rank, ordinal, template_id from exact where len(list_distinct(list_transform(free, lambda x: x.t))) = len(free) and len(list_distinct(list_transform(free, lambda x: x.s))) = len(free)
+union all select old, path, line, col, construct, code, shape, names, rule_id, 3, null, null from pairs where not review_only and len(list_intersect(features, t_features)) >= 3 and 2 * len(list_intersect(features, t_features)) >= len(features) + len(t_features) - len(list_intersect(features, t_features))
+union all select s.old, s.path, s.line, s.col, s.construct, s.code, s.shape, s.names, r.rule_id, 0, null, null from split s join g_import i on i.path = s.path and i.name = evaluates join rules r on 'domain/' || i.module || '.py' = canonical_path and canonical_symbol = i.code where (s.path, evaluates) not in (select path, name from g_bound)
+and list_bool_or(list_transform(r.paths, lambda p: p = '.' or s.path = p or starts_with(s.path, p || '/')))),
+best as (select * from (select *, row_number() over (partition by old, path, line, col, construct, rule_id order by rank, ordinal nulls first, template_id nulls first) as k from found) where k = 1),
+judged as (select b.* from best b where not exists (select 1 from g_declaration d join rules r on d.path = canonical_path and d.name = canonical_symbol where r.rule_id = b.rule_id and d.path = b.path and (b.line, b.col) >= (d.line, d.col) and (b.line, b.col + 10) <= (d.end_line, d.end_col))
+and path not in (select path from g_issue)),
+keyed as (select *, case when rank = 1 then 'reimplementation' else 'near_match' end as kind, case rank when 1 then 'equivalent_template' when 2 then 'review_template' else 'feature_overlap' end as basis, coalesce(template_id, shape || ',' || array_to_string(names, ',')) as key from judged where rank > 0),
+was as (select path, rule_id, kind, key, count(*) as n from keyed where old group by all),
+now as (select k.*, row_number() over (partition by path, rule_id, kind, key order by line, col, construct) > coalesce(n, 0) as introduced from keyed k left join was using (path, rule_id, kind, key) where not old)"""
+
+
+@query("rule_reuse_findings", f"""{REUSE} select path, line, col as "column", rule_id, kind, basis, template_id, introduced from now""")
+def rule_reuse_findings(spark: SparkSession, sf: str) -> DataFrame:
+    old, new, templates = reuse_facts(spark, sf)
+    found = reuse.compared(old, new, old.unionByName(new).where("fact = 'site'").select("path").distinct(), templates)[0]
+    return found.select("path", "line", "column", "rule_id", "kind", "basis", "template_id", "introduced")
+
+
+@query("rule_reuse_totals", f"""{REUSE},
+files as (select distinct path, path in (select path from g_issue) as bad from g_site where exists (select 1 from rules r where list_bool_or(list_transform(r.paths, lambda p: p = '.' or path = p or starts_with(path, p || '/')))))
+select count(*) filter (kind = 'reimplementation') as after_reimplementations, count(*) filter (kind = 'reimplementation' and introduced) as new_reimplementations, count(*) filter (kind = 'near_match' and introduced) as new_near_matches, (select count(*) from keyed where old and kind = 'reimplementation') as before_reimplementations,
+(select count(*) from judged where not old and rank = 0) as reused_specifications, (select count(*) from files) as files_checked, (select count(*) from files where bad) as incomplete_files from now""")
+def rule_reuse_totals(spark: SparkSession, sf: str) -> DataFrame:
+    old, new, templates = reuse_facts(spark, sf)
+    return reuse.compared(old, new, old.unionByName(new).where("fact = 'site'").select("path").distinct(), templates)[1]
+
+
+@query("canonical_rules", f"""{REUSE}
+select distinct t.rule_id, case when d.path is null then 'no_declaration' when canonical_digest <> sha256(d.code) then 'stale_digest' when d.construct is null then 'no_plain_predicate' end as problem from t left join g_declaration d on d.path = canonical_path and d.name = canonical_symbol""")
+def canonical_rules(spark: SparkSession, sf: str) -> DataFrame:
+    _, new, templates = reuse_facts(spark, sf)
+    return reuse.canonical_problems(templates, new)
