@@ -11,6 +11,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteledger.plans.lineage import numbered
+
 
 def _yes(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
@@ -175,3 +177,38 @@ def anchored(cases: DataFrame, sites: DataFrame, key: list[str], case: str, cate
     joined = cases.select(case, *key).join(found, key, "left")
     status = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "duplicate").otherwise("matched")
     return joined.select(case, status.alias("status"), F.when(F.col("_n") == 1, F.col("_category")).alias("category"))
+
+
+def paired_resolutions(cases: DataFrame, case: str, arm: str, labels: dict[str, Column], truth: dict[str, Column], first: str, second: str) -> DataFrame:
+    """One row over cases with both arms: net, gains, losses of resolved facts, new_unsupported owners, adjudicable cases and the mean net of these.
+
+    labels, truth: concern_kind, evidence_confidence, ownership. A role is resolved if it is known, supported and found as such; an owner if it is
+    known and found. An owner is unsupported if it is said and wrong; it is new in the second arm if the first arm had none, or another one.
+    """
+    role = (truth["concern_kind"] != "unknown") & (truth["evidence_confidence"] == "supported")
+    rows = cases.select(
+        F.col(case).alias("_case"), F.col(arm).alias("_arm"), (role & (labels["concern_kind"] == truth["concern_kind"]) & (labels["evidence_confidence"] == "supported")).cast("int").alias("_role"),
+        ((truth["ownership"] != "unknown") & (labels["ownership"] == truth["ownership"])).cast("int").alias("_owner"), ((labels["ownership"] != "unknown") & (labels["ownership"] != truth["ownership"])).alias("_wrong"),
+        labels["ownership"].alias("_said"), (role | (truth["ownership"] != "unknown")).alias("_usable"),
+    )
+    of = lambda c, a: F.max(F.when(F.col("_arm") == a, F.col(c)))
+    both = rows.groupBy("_case").agg(*[of(c, a).alias(f"{c}_{k}") for k, a in ((1, first), (2, second)) for c in ("_role", "_owner", "_wrong", "_said")], F.bool_or("_usable").alias("_usable"))
+    both = both.where("_role_1 is not null and _role_2 is not null")
+    steps = [F.col(f"{c}_2") - F.col(f"{c}_1") for c in ("_role", "_owner")]
+    new = F.col("_wrong_2") & (~F.col("_wrong_1") | (F.col("_said_1") != F.col("_said_2")))
+    count = lambda test: F.coalesce(F.sum(sum((test(s).cast("long") for s in steps), F.lit(0))), F.lit(0))
+    out = both.agg(count(lambda s: s).alias("net"), count(lambda s: s > 0).alias("gains"), count(lambda s: s < 0).alias("losses"), F.count_if(new).alias("new_unsupported"), F.count_if("_usable").alias("adjudicable"))
+    return out.withColumn("mean_net", F.try_divide(F.col("net").cast("double"), F.col("adjudicable").cast("double")))
+
+
+def counterbalanced(cases: DataFrame, case: str, order: Column, repeats: list[int], first: str, second: str) -> DataFrame:
+    """case, repeat, first_arm: which arm comes first alternates along the cases' order and between repeats. order must be unique."""
+    placed = numbered(cases.select(case, order.alias("_order"), F.lit(0).alias("_all")), ["_all"], ["_order"])
+    each = placed.withColumn("repeat", F.explode(F.array(*map(F.lit, repeats))))
+    return each.select(case, "repeat", F.when((F.col("position") - 1 + F.col("repeat")) % 2 == 1, first).otherwise(second).alias("first_arm"))
+
+
+def pair_counts(rows: DataFrame, view: str, group: list[str]) -> DataFrame:
+    """view, groups, pairs: unordered pairs of rows of a group, counted from the groups' sizes and never made."""
+    sizes = rows.groupBy(view, *group).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy(view).agg(F.count(F.lit(1)).alias("groups"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs"))

@@ -18,6 +18,18 @@ def set_digest(rows: DataFrame, columns: list[str], digits: int = 2) -> DataFram
     return buckets.agg(F.sha2(F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), F.lit("")), 256).alias("digest"))
 
 
+def scope_digest(entries: DataFrame, path: str, role: str, reason: str, closed_world: bool) -> DataFrame:
+    """One row: digest of a scope, that is of its set of entries (a null reason is an empty one) and of whether it is a closed world.
+
+    problem is set, and the digest null, if one path and role has two reasons.
+    """
+    each = entries.select(F.col(path).alias("path"), F.col(role).alias("role"), F.coalesce(reason, F.lit("")).alias("reason"))
+    bad = each.groupBy("path", "role").agg((F.min("reason") != F.max("reason")).alias("bad")).agg(F.coalesce(F.bool_or("bad"), F.lit(False)).alias("_bad"), F.lit(1).alias("_one"))
+    one = set_digest(each, ["path", "role", "reason"]).withColumn("_one", F.lit(1)).join(bad, "_one")
+    whole = F.sha2(F.concat_ws("|", F.lit("scope/1"), F.lit("closed" if closed_world else "open"), "digest"), 256)
+    return one.select(F.when(~F.col("_bad"), whole).alias("digest"), F.when(F.col("_bad"), "conflicting_reasons").alias("problem"))
+
+
 def contract_digest(policy: dict[str, Column]) -> Column:
     """The digest of the fields that decide what is counted, in the given order; execution details such as roots stay out."""
     return F.sha2(F.to_json(F.struct(*[c.alias(n) for n, c in policy.items()]), {"ignoreNullFields": "false"}), 256)

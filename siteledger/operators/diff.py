@@ -52,6 +52,11 @@ def severity(rows: DataFrame, metric: str, tie: list[str]) -> list[Column]:
     return [F.col(metric).asc(), F.greatest("before", "after").desc(), *[F.col(c).asc_nulls_first() for c in tie]]
 
 
+def ranked(rows: DataFrame, metric: str, tie: list[str]) -> DataFrame:
+    """rows with rank among the changes of their metric, in the order of severity(), over all rows; tie must tell rows of a metric apart."""
+    return numbered(rows.withColumn("_less", -F.greatest("before", "after")), [metric], ["_less", *tie], "rank").drop("_less")
+
+
 def counters(before: DataFrame, after: DataFrame) -> DataFrame:
     """counter, before, after, delta of two one-row frames with the same numeric columns."""
     stacked = lambda df, name: df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).cast("double").alias(name)) for c in df.columns])))

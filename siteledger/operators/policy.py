@@ -148,3 +148,59 @@ def profile_problems(lists: dict[str, Column], most_items: int = 4, most_bytes:
     checks = [(f"{n}_items", F.size(c) <= most_items) for n, c in lists.items()]
     checks += [(f"{n}_ids", F.forall(c, lambda x: F.trim(x) != "") & (F.size(F.array_distinct(c)) == F.size(c))) for n, c in lists.items()]
     return limits([*checks, ("bytes", F.octet_length(F.to_json(F.struct(*[c.alias(n) for n, c in lists.items()]))) <= most_bytes)])
+
+
+#: Actions that rest on an owner, and what a claim must say to bear each action out (relation, axis, value; null: any or the answer's own).
+OWNER_ACTIONS = ("reuse_specification", "exclude_owned")
+
+
+def review_observations(answered: Column, missing: Column, labels: dict[str, Column], action: Column, required: Column, claims: Column) -> tuple[list[tuple[str, Column]], list[tuple[str, Column]]]:
+    """The eight observations for routed(): what stops (first list) and what asks for review.
+
+    labels: concern_kind, evidence_confidence, ownership, tool_responsibility; null where there is no answer, and then nothing is said of
+    them. required: names of axes that must be known; claims: checked ones, an array of structs of axis, relation and value.
+    """
+    there = labels["concern_kind"].isNotNull()
+    role, support, owner, tool = (labels[k] for k in ("concern_kind", "evidence_confidence", "ownership", "tool_responsibility"))
+    needs = F.concat(F.array(F.lit("concern_kind")), F.coalesce(required, F.array().cast("array<string>")), F.when(action.isin(*OWNER_ACTIONS), F.array(F.lit("ownership"))).when(action == "delegate_tool", F.array(F.lit("tool_responsibility"))).otherwise(F.array().cast("array<string>")))
+    unknown = F.array_compact(F.array(*[F.when(c == "unknown", F.lit(k)) for k, c in labels.items()]))
+    said = lambda test: F.exists(F.coalesce(claims, F.array().cast("array<struct<axis:string,relation:string,value:string>>")), test)
+    borne = (
+        F.when(action.isin(*OWNER_ACTIONS), said(lambda c: (c["axis"] == "ownership") & (c["relation"] == "exact_decision") & (c["value"] == owner)))
+        .when(action == "delegate_tool", said(lambda c: (c["axis"] == "tool_responsibility") & (c["relation"] == "tool_rule")))
+        .when(action == "create_specification", said(lambda c: (c["axis"] == "ownership") & (c["relation"] == "scoped_absence") & (c["value"] == "absent_in_scope"))).otherwise(F.lit(True))
+    )
+    apart = said(lambda a: said(lambda b: (a["axis"] == b["axis"]) & (a["value"] != b["value"])))
+    against = said(lambda c: F.exists(F.array(*[F.struct(F.lit(k).alias("axis"), v.alias("value")) for k, v in labels.items()]), lambda x: (x["axis"] == c["axis"]) & (x["value"] != "unknown") & (x["value"] != c["value"])))
+    clashing = F.size(fact_violations(role, support, owner, tool)) > 0
+    when = lambda c: there & F.coalesce(c, F.lit(False))
+    return [("analysis_unavailable", ~F.coalesce(answered, F.lit(False)) | ~there)], [
+        ("missing_premises", F.coalesce(missing, F.lit(False))), ("inconsistent_answers", when(clashing)), ("unresolved_role", when(role == "unknown")), ("insufficient_evidence", when(support != "supported")),
+        ("required_axis_unknown", when(F.size(F.array_intersect(needs, unknown)) > 0)), ("required_evidence_missing", when(~borne)), ("evidence_conflict", when(against) | F.coalesce(apart, F.lit(False))),
+    ]
+
+
+def reuse_answer(choice: Column, confidence: Column, probabilities: Column, labels: list[str], model: Column, allowance: str = "0.02") -> Column:
+    """choice and diagnostic of an answer on reuse: all labels and no others, each with a probability, which add up to 1 within less than the
+    allowance, and a model's name of 1 to 128 characters; else needs_review and malformed_provider_output. The choice needn't be the most probable."""
+    dec = "decimal(38,18)"
+    near = F.abs(mass(probabilities) - F.lit("1").cast(dec)) < F.lit(allowance).cast(dec)
+    whole = (F.size(F.map_keys(probabilities)) == len(labels)) & (F.size(F.array_except(F.array(*map(F.lit, labels)), F.map_keys(probabilities))) == 0)
+    good = choice.isin(*labels) & F.length(model).between(1, 128) & unit_interval(confidence) & whole & F.forall(F.map_values(probabilities), unit_interval) & near
+    good = F.coalesce(good, F.lit(False))
+    return F.struct(F.when(good, choice).otherwise("needs_review").alias("choice"), F.when(~good, "malformed_provider_output").alias("diagnostic"))
+
+
+def suggested(answers: dict[str, tuple[Column, Column, Column, list[str], str]], threshold: float) -> Column:
+    """A value for each axis, and diagnostics. answers: axis to choice, confidence, probabilities, labels and fallback.
+
+    One malformed answer (a choice that is no label or has no probability, none at all, or a number outside 0 to 1) makes all axes fall back; one
+    under the threshold only its own. Sums and the most probable label aren't looked at.
+    """
+    whole, low = F.lit(True), {}
+    for axis, (choice, confidence, probabilities, labels, _) in answers.items():
+        good = choice.isin(*labels) & unit_interval(confidence) & (F.size(probabilities) > 0) & F.forall(F.map_values(probabilities), unit_interval) & F.array_contains(F.map_keys(probabilities), choice)
+        whole, low[axis] = whole & F.coalesce(good, F.lit(False)), F.coalesce(confidence < threshold, F.lit(False))
+    under = F.exists(F.array(*low.values()), lambda x: x)
+    values = [F.when(~whole | low[axis], a[4]).otherwise(a[0]).alias(axis) for axis, a in answers.items()]
+    return F.struct(*values, findings([("malformed_provider_output", ~whole), ("close_decision", under)]).alias("diagnostics"))

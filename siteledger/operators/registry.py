@@ -18,6 +18,11 @@ def missing(candidates: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     return registry.join(candidates.select(key).distinct(), key, "left_anti")
 
 
+def unreviewed(candidates: DataFrame, inside: Column, reviewed: DataFrame, key: str) -> DataFrame:
+    """Candidates outside specifications that no review names; null keys stay, as nothing names them."""
+    return candidates.where(~F.coalesce(inside, F.lit(False))).join(reviewed.select(key).distinct(), key, "left_anti")
+
+
 def coverage(sites: DataFrame, eligible: Column, points: Column) -> DataFrame:
     """eligible, earned, coverage_percent: points earned of four for each eligible site; null if there is none."""
     out = sites.agg(F.count_if(eligible).alias("eligible"), F.coalesce(F.sum(F.when(eligible, points)), F.lit(0)).cast("bigint").alias("earned"))

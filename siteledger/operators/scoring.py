@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,36 +70,16 @@ def usage(rows: DataFrame, group: list[str], tokens: list[str], model: str) -> D
     return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in tokens], F.array_sort(F.collect_set(model)).alias("models"))
 
 
-def interval(families: DataFrame, family: str, gain: str, draws: int = 2000, seed: int = 1, level: float = 0.95) -> dict[str, float] | None:
-    """Percentile bootstrap of the mean gain by families, whose number is small: one sum and count for each.
+def interval(families: DataFrame, family: str, gain: str, draws: int = 2000, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """low, high: percentile bootstrap of the mean gain by families, of any number; no row if there is none.
 
-    Each draw takes as many families as there are, with Python's generator; a quantile is the element int(q * (n - 1))
-    of the sorted means, with no interpolation.
-    """
-    rows = families.groupBy(family).agg(F.sum(F.col(gain).cast("double")).alias("s"), F.count(gain).alias("n")).orderBy(family).limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("too many families to draw from on the driver; interval_of_many() takes any number")
-    if not rows:
-        return None
-    rng, means = random.Random(seed), []
-    for _ in range(draws):
-        got = [rows[rng.randrange(len(rows))] for _ in rows]
-        total = sum(r["n"] for r in got)
-        means.append(sum(r["s"] for r in got) / total if total else 0.0)
-    means.sort()
-    at = lambda q: means[int(q * (len(means) - 1))]
-    return {"low": at((1 - level) / 2), "high": at((1 + level) / 2)}
-
-
-def interval_of_many(families: DataFrame, family: str, gain: str, draws: int = 2000, seed: int = 1, level: float = 0.95) -> DataFrame:
-    """low, high of the same bootstrap for any number of families: each draw weighs a family by how often it would be taken.
-
-    That number is nearly Poisson with mean 1 and comes from a hash of seed, draw and family, so tasks add up their own families
-    and only one row for each draw and task is shuffled. The generator's own draws, as interval() makes them, can't be had this way.
+    A draw weighs a family by how often it would be taken, which is nearly Poisson with mean 1. That number comes from an MD5 of seed,
+    draw and family, so tasks add up their own families and only one row for each draw and task is shuffled. A quantile
+    is the element int(q * (n - 1)) of the sorted means, with no interpolation. A draw without any family counts as 0.
     """
     each = families.groupBy(family).agg(F.sum(F.col(gain).cast("double")).alias("s"), F.count(gain).alias("n"))
     drawn = each.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", F.col(family)), F.lit(1 << 52)) / float(1 << 52)
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", F.col(family).cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     below, term, times = 0.0, math.exp(-1), F.lit(0)
     for k in range(1, 18):
         below += term

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from siteledger import catalog_ordered, catalog_scores, catalog_sources  # noqa: F401  they add their queries
+from siteledger import catalog_ordered, catalog_rest, catalog_scores, catalog_sources  # noqa: F401  they add their queries
 from siteledger.catalog import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
