@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteledger.catalog import query, table
-from siteledger.operators import digests, phases
+from siteledger.operators import clones, digests, phases
 
 #: A session opens, has items, and completes; what comes in another phase fails it; an error is a barrier after which all starts anew.
 SESSION = phases.Automaton(("start", "open", "items", "complete", "failed"), "start", "failed", {
@@ -70,3 +70,21 @@ def _root_sql() -> str:
 @query("tree_root", _root_sql())
 def tree_root(spark: SparkSession, sf: str) -> DataFrame:
     return digests.tree(table(spark, sf, "orders"), ORDER_COLUMNS).root()
+
+
+CLONES_SQL = r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as i from documents), s as (select doc_id, i, trim(regexp_replace(t, '\s+', ' ', 'g'), ' ') as t from l),
+n as (select *, len(list_filter(string_split(t, ' '), lambda w: w <> '')) as own from s), w as (select doc_id, i, own, own + lead(own, 1) over w + lead(own, 2) over w as words, t || chr(10) || lead(t, 1) over w || chr(10) || lead(t, 2) over w as body from n window w as (partition by doc_id order by i)),
+f as (select *, first_value(doc_id) over v as fd, first_value(i) over v as fi from w where body is not null window v as (partition by body order by doc_id, i rows between unbounded preceding and unbounded following)),
+p as (select *, i - fi as shift, i - row_number() over (partition by doc_id, fd, i - fi order by i) as run from f where doc_id <> fd or i <> fi),
+c as (select doc_id, min(i) as start, fd as first_doc, min(i) - shift as first_start, max(i) - min(i) + 3 as lines, (sum(own) + arg_max(words - own, i))::bigint as tokens from p group by doc_id, fd, shift, run)"""
+
+
+@query("maximal_clones", f"{CLONES_SQL} select doc_id, start, first_doc, first_start, lines, tokens from c where tokens >= 30")
+def maximal_clones(spark: SparkSession, sf: str) -> DataFrame:
+    found = clones.maximal(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return found.withColumnsRenamed({"file": "doc_id", "first_file": "first_doc"})
+
+
+@query("clone_sums", f"{CLONES_SQL} select count(*) as clone_pairs, coalesce(sum(lines), 0)::bigint as duplicate_lines, coalesce(sum(tokens), 0)::bigint as duplicate_tokens from c where tokens >= 30")
+def clone_sums(spark: SparkSession, sf: str) -> DataFrame:
+    return clones.totals(clones.maximal(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text"))

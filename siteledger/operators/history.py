@@ -13,20 +13,6 @@ def new_rows(history: DataFrame, incoming: DataFrame, key: str, order: str) -> D
     return first.join(history.select(key).distinct(), key, "left_anti").select(*incoming.columns)
 
 
-def append_once(incoming: DataFrame, path: str, key: str, order: str) -> int:
-    """Append what history at path lacks; how many rows that is. Running it again appends nothing."""
-    spark = incoming.sparkSession
-    probe = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = probe.getFileSystem(spark._jsc.hadoopConfiguration()).exists(probe)
-    rows = new_rows(spark.read.option("mergeSchema", "true").parquet(path), incoming, key, order) if there else new_rows(incoming.limit(0), incoming, key, order)
-    rows = rows.persist()
-    n = rows.count()
-    if n:
-        rows.write.mode("append").parquet(path)
-    rows.unpersist()
-    return n
-
-
 def newest(history: DataFrame, time: str, id_: str, n: int) -> DataFrame:
     """The n newest rows; 1 <= n <= 1000. Each task sends n rows at most."""
     if not 1 <= n <= 1000:

@@ -1,17 +1,20 @@
 """An index of documents' vectors: what an update has to encode, publication as a whole, and reads that refuse stale data.
 
-Layout under a root in shared storage: `vectors` (cache key, vector), appended; `manifests/version=N` (id, cache key), one
-folder for each version, written last. The newest folder whose job ended (it has Spark's _SUCCESS mark) is the active
-one, so an update that fails leaves the one before it in use.
+Layout under a root in shared storage: `vectors/<random>` (cache key, vector), a folder for each encoding; `data/<random>` (id, cache key), one folder for each
+publication, and a log of numbered entries that name them (see versions). An entry is put last, and only if its number is free: an update that fails
+leaves the version before it in use, and of two publishers at once each gets a number of its own.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteledger.sources import versions
+
 
 def cache_key(profile: str, text: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(profile), text), 256)
@@ -28,21 +31,15 @@ def update_plan(current: DataFrame, previous: DataFrame, cached: DataFrame, id_:
     )
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifests/version=*/_SUCCESS")
-    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
-    return sorted(int(s.getPath().getParent().getName().partition("=")[2]) for s in found or [])
-
-
 def active(spark: SparkSession, root: str) -> DataFrame | None:
-    """id, key, profile, source of the newest whole version; None if there is none."""
-    versions = _versions(spark, root)
-    return spark.read.parquet(f"{root}/manifests/version={versions[-1]}") if versions else None
+    """id, key, profile, source of the newest version; None if there is none."""
+    found = versions.numbers(spark, root)
+    return spark.read.parquet(f"{root}/data/{versions.entry(spark, root, found[-1])['folders'][-1]}") if found else None
 
 
 def cached_keys(spark: SparkSession, root: str) -> DataFrame:
     try:
-        return spark.read.parquet(f"{root}/vectors").select("key")
+        return spark.read.parquet(f"{root}/vectors/*").select("key")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
@@ -56,12 +53,15 @@ def publish(documents: DataFrame, root: str, profile: str, source: str, encode:
     if rows.groupBy("id").count().where("count > 1").limit(1).count():
         raise ValueError("document ids are not unique")
     missing = rows.groupBy("key").agg(F.first("text").alias("text")).join(cached_keys(spark, root), "key", "left_anti")
-    encode(missing).select("key", "vector").write.mode("append").parquet(f"{root}/vectors")
+    encode(missing).select("key", "vector").write.parquet(f"{root}/vectors/{uuid.uuid4().hex}")
     lost = rows.select("key").join(cached_keys(spark, root), "key", "left_anti").limit(1).count()
     if lost:
         raise ValueError("the encoder returned too few vectors")
-    version = (_versions(spark, root) or [0])[-1] + 1
-    rows.select("id", "key", F.lit(profile).alias("profile"), F.lit(source).alias("source")).write.mode("overwrite").parquet(f"{root}/manifests/version={version}")
+    folder = uuid.uuid4().hex
+    rows.select("id", "key", F.lit(profile).alias("profile"), F.lit(source).alias("source")).write.parquet(f"{root}/data/{folder}")
+    version = (versions.numbers(spark, root) or [0])[-1] + 1
+    while not versions.put_if_absent(spark, root, version, {"folders": [folder]}):
+        version += 1
     return version
 
 
@@ -76,4 +76,4 @@ def read_snapshot(documents: DataFrame, root: str, profile: str, source: str, id
     wanted = documents.select(F.col(id_).alias("id"), cache_key(profile, F.col(text)).alias("wanted"))
     if wanted.join(manifest, "id", "full_outer").where(~F.col("wanted").eqNullSafe(F.col("key"))).limit(1).count():
         raise ValueError("the index is stale: documents differ")
-    return manifest.join(spark.read.parquet(f"{root}/vectors").dropDuplicates(["key"]), "key").select("id", "vector")
+    return manifest.join(spark.read.parquet(f"{root}/vectors/*").dropDuplicates(["key"]), "key").select("id", "vector")

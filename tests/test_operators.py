@@ -4,6 +4,9 @@ import ast
 import json
 import os
 import random
+import threading
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -14,8 +17,8 @@ from siteledger.functions import vectors as V
 from siteledger.operators import arms, context, history, policy, retrieval, reuse, scoring
 from siteledger.plans import lineage
 from siteledger.plans.lineage import numbered
-from siteledger.sources import documents, vector_index
-from siteledger.streaming.history import keep
+from siteledger.sources import documents, vector_index, versions
+from siteledger.streaming.history import keep, keep_with_state
 
 
 def test_text(spark):
@@ -56,16 +59,67 @@ def test_numbered_keeps_null_groups(spark):
 def test_append_once_and_stream(spark, tmp_path):
     df = spark.createDataFrame([("k", 1, "x"), ("k", 0, "y"), ("m", 2, "z")], "key string, ms int, v string")
     path = str(tmp_path / "h")
-    assert history.append_once(df, path, "key", "ms") == 2 and history.append_once(df, path, "key", "ms") == 0
-    assert {r.v for r in spark.read.parquet(path).collect()} == {"y", "z"}
+    assert versions.append_once(df, path, "key", "ms") == (2, 1) and versions.append_once(df, path, "key", "ms") == (0, 1)
+    assert {r.v for r in versions.read(spark, path).collect()} == {"y", "z"}
     df.withColumn("key", F.concat("key", F.lit("2"))).write.parquet(str(tmp_path / "in"))
     query = keep(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), path, "key", "ms", str(tmp_path / "c"))
     query.awaitTermination(120)
-    assert spark.read.parquet(path).count() == 4
+    assert versions.read(spark, path).count() == 4 and versions.read(spark, path, 1).count() == 2
     with pytest.raises(ValueError):
         history.newest(df, "ms", "key", 0)
 
 
+def test_history_by_state(spark, tmp_path):
+    """Doubles, rows out of order and a restart; what is later than the state reaches is dropped."""
+    kind = "key string, at timestamp, v string"
+
+    def arrive(name, rows):
+        spark.createDataFrame([(k, datetime(2024, 1, 1, 0, m), v) for k, m, v in rows], kind).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        source = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        keep_with_state(source, str(tmp_path / "out"), "key", "at", "20 minutes", str(tmp_path / "check")).awaitTermination(120)
+        return sorted((r.key, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    arrive("1", [("a", 10, "a1"), ("b", 12, "b1")])
+    assert run() == [("a", "a1"), ("b", "b1")]
+    arrive("2", [("a", 11, "a2"), ("c", 5, "c1")])  # started again: a is known, c is out of order but in time
+    assert run() == [("a", "a1"), ("b", "b1"), ("c", "c1")]
+    arrive("3", [("d", 50, "d1")])
+    run()
+    arrive("4", [("e", 1, "late"), ("f", 45, "f1")])
+    assert run() == [("a", "a1"), ("b", "b1"), ("c", "c1"), ("d", "d1"), ("f", "f1")]
+
+
+def test_two_writers(spark, tmp_path):
+    """Both have looked before either has written: the loser looks again, so nothing is lost or doubled."""
+    frame = lambda lo, hi, v: spark.createDataFrame([(f"k{i}", i, v) for i in range(lo, hi)], "key string, ms int, v string")
+    root, meet, met = str(tmp_path / "table"), threading.Barrier(2), []
+
+    def once():
+        if threading.get_ident() not in met:
+            met.append(threading.get_ident())
+            meet.wait(120)
+
+    with ThreadPoolExecutor(2) as pool:
+        done = [f.result() for f in [pool.submit(versions.append_once, frame(0, 60, "a"), root, "key", "ms", once), pool.submit(versions.append_once, frame(40, 100, "b"), root, "key", "ms", once)]]
+    rows = versions.read(spark, root).collect()
+    assert sorted(r.key for r in rows) == sorted(f"k{i}" for i in range(100)) and sorted(n for n, _ in done) == [40, 60] and sorted(v for _, v in done) == [1, 2]
+    assert versions.vacuum(spark, root) == 1 and versions.read(spark, root).count() == 100
+    assert not versions.put_if_absent(spark, root, 2, {"folders": []}) and versions.numbers(spark, root) == [1, 2]
+
+
+def test_two_publishers(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "id long, text string")
+    encode = lambda rows: rows.select("key", F.array(F.length("text").cast("float")).alias("vector"))
+    root = str(tmp_path / "index")
+    with ThreadPoolExecutor(2) as pool:
+        got = [f.result() for f in [pool.submit(vector_index.publish, docs.where(c), root, "p", s, encode) for c, s in (("id < 3", "one"), ("id >= 2", "two"))]]
+    assert sorted(got) == [1, 2]
+    last = "one" if got[0] == 2 else "two"
+    assert vector_index.read_snapshot(docs.where("id < 3" if last == "one" else "id >= 2"), root, "p", last).count() == 3
+
+
 def test_policy_and_scores(spark):
     row = spark.createDataFrame([("a", {"a": 0.6, "b": 0.4}), ("a", {"a": 0.5, "b": 0.5}), ("b", {"a": 0.7, "b": 0.3}), ("a", {"a": 0.7})], "c string, p map<string,double>")
     got = row.select(policy.choice_problem(F.col("c"), F.lit(0.9), F.col("p"), ["a", "b"], 1e-6).alias("w"), policy.strict_majority(F.col("c"), F.col("p")).alias("m")).collect()

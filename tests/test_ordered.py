@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteledger.catalog_ordered import SESSION
-from siteledger.operators import closure, digests, phases
+from siteledger.operators import clones, closure, digests, phases
 
 
 @pytest.mark.parametrize("block", [4, 16])
@@ -84,3 +84,24 @@ def test_tree_of_no_rows(spark):
     empty = spark.createDataFrame([], "id long, v string")
     a, b = digests.matched_depth(empty, empty.unionByName(spark.createDataFrame([(1, None)] * 5000, "id long, v string")), ["id", "v"], bucket=2)
     assert a.root().count() == 1 and [(r.n_before, r.n_after) for r in digests.changed(a, b).collect()] == [(0, 5000)]
+
+
+def test_clones_by_hand(spark):
+    lines = [f"line {k} has some ten words so that windows count {k}" for k in range(40)]
+    files = {
+        1: [*lines[:8], "only here", *lines[20:23]], 2: ["before", *(x.replace(" ", "\t  ") for x in lines[2:7]), "after", *lines[20:23]],
+        3: [*lines[:8]], 4: ["x"] * 50, 5: [*lines[30:33], *lines[30:33]], 6: [], 7: None,
+    }
+    frame = spark.createDataFrame([(k, None if v is None else "\n".join(v)) for k, v in files.items()], "id long, t string")
+    got = sorted((r.file, r.start, r.first_file, r.first_start, r.lines) for r in clones.maximal(frame, "id", "t").collect())
+    # each run of x first stood at the file's start, too short for a clone
+    assert got == [(2, 2, 1, 3, 5), (2, 8, 1, 10, 3), (3, 1, 1, 1, 8), (5, 4, 5, 1, 3)]
+    total = clones.totals(clones.maximal(frame, "id", "t")).first()
+    assert total.clone_pairs == len(got) and total.duplicate_lines == sum(r[4] for r in got)
+    assert clones.totals(clones.maximal(frame.limit(0), "id", "t")).first().clone_pairs == 0
+
+
+def test_popular_window_is_no_square(spark):
+    text = "\n".join(["the very same ten words stand in each of files"] * 3)
+    frame = spark.createDataFrame([(k, text) for k in range(400)], "id long, t string")
+    assert clones.maximal(frame, "id", "t").count() == 399 and clones.maximal(frame, "id", "t", tokens=31).count() == 0
