@@ -253,8 +253,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, first: int, i
             return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([blob], pa.binary())], names=["shard", "blob"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                piece = batch.slice(k, 64)
+            for k in range(0, batch.num_rows, 256):
+                piece = batch.slice(k, 256)
                 ids, n = enc.encode(piece.column(1).to_pylist())
                 held.append((piece.column(0).fill_null(NO_ID).to_numpy(), n, ids))
                 if sum(len(h[2]) for h in held) >= SHARD_IDS:
