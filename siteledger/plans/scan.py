@@ -11,7 +11,7 @@ from siteledger.functions import text as T
 from siteledger.operators import closure, measure, scope
 from siteledger.plans.lineage import cut, numbered
 from siteledger.plans.python_facts import facts
-from siteledger.sources import trees
+from siteledger.sources import trees, versions
 
 
 @dataclass
@@ -136,10 +136,32 @@ def scan(spark: SparkSession, root: str, includes: list[str] | None = None, mani
     return scanned(tree, includes, manifest, closed_world)
 
 
-def scanned(tree: DataFrame, includes: list[str] | None = None, manifest: list[tuple[str, str]] | None = None, closed_world: bool = False) -> Scan:
-    """The scan of files given as rows: path, language, bytes, length."""
+def kept_facts(texts: DataFrame, keep: str) -> tuple[DataFrame, int]:
+    """The facts of texts (path, text, digest), and how many files were parsed for them.
+
+    Facts are kept under keep, a table of versions, by path and digest of the content; only contents that it lacks are parsed. Every
+    file has a row at least, so each one is known by its rows. Names are resolved anew from all facts.
+    """
+    key = ["path", "digest"]
+    parsed = 0
+
+    def missing(known: DataFrame | None) -> DataFrame:
+        nonlocal parsed
+        new = texts if known is None else texts.join(known.select(*key).distinct(), key, "left_anti")
+        new = cut(new.select("path", "text", "digest"), "changed")
+        parsed = new.count()
+        return facts(new).join(new.select(*key), "path")
+
+    versions.append(texts.sparkSession, keep, missing)
+    known = versions.read(texts.sparkSession, keep)
+    return cut((facts(texts.limit(0)) if known is None else known.join(texts.select(*key), key, "left_semi").drop("digest")), "facts"), parsed
+
+
+def scanned(tree: DataFrame, includes: list[str] | None = None, manifest: list[tuple[str, str]] | None = None, closed_world: bool = False, keep: str | None = None) -> Scan:
+    """The scan of files given as rows: path, language, bytes, length. With keep, facts of contents that were scanned before are read from there."""
     texts, issues = trees.sources(tree, includes, manifest)
-    return derived(cut(facts(texts.where("language = 'python'")), "facts"), issues, trees.tree_digest(tree), closed_world)
+    python = texts.where("language = 'python'")
+    return derived(kept_facts(python, keep)[0] if keep else cut(facts(python), "facts"), issues, trees.tree_digest(tree), closed_world)
 
 
 def derived(found: DataFrame, issues: DataFrame, digest: DataFrame, closed_world: bool = False) -> Scan:

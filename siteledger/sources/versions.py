@@ -88,19 +88,18 @@ def read(spark: SparkSession, root: str, version: int | None = None) -> DataFram
     return spark.read.option("mergeSchema", "true").parquet(*[f"{root.rstrip('/')}/data/{f}" for f in found]) if found else None
 
 
-def append_once(incoming: DataFrame, root: str, key: str, order: str, between: Callable[[], None] = lambda: None) -> tuple[int, int]:
-    """Append the rows whose key the table lacks (of equal keys the first by order); how many, and the version that holds them.
+def append(spark: SparkSession, root: str, missing: Callable[[DataFrame | None], DataFrame], between: Callable[[], None] = lambda: None) -> tuple[int, int]:
+    """Append what missing makes of the table as it is (None if there is none yet); how many rows, and the version that holds them.
 
-    Whoever loses the race for a number works out anew what is missing, so no key is doubled and none is lost. between is called
+    Whoever loses the race for a number works out anew what is missing, so nothing is doubled and nothing is lost. between is called
     before an entry is put, for tests.
     """
-    spark, root = incoming.sparkSession, root.rstrip("/")
+    root = root.rstrip("/")
     while True:
         seen = numbers(spark, root)
         last = seen[-1] if seen else 0
-        now = read(spark, root, last)
         folder = uuid.uuid4().hex
-        new_rows(now if now is not None else incoming.limit(0), incoming, key, order).write.parquet(f"{root}/data/{folder}")
+        missing(read(spark, root, last)).write.parquet(f"{root}/data/{folder}")
         n = spark.read.parquet(f"{root}/data/{folder}").count()
         if not n:
             return 0, last
@@ -109,6 +108,11 @@ def append_once(incoming: DataFrame, root: str, key: str, order: str, between: C
             return n, last + 1
 
 
+def append_once(incoming: DataFrame, root: str, key: str, order: str, between: Callable[[], None] = lambda: None) -> tuple[int, int]:
+    """append() of the rows whose key the table lacks; of equal keys the first by order."""
+    return append(incoming.sparkSession, root, lambda now: new_rows(now if now is not None else incoming.limit(0), incoming, key, order), between)
+
+
 def vacuum(spark: SparkSession, root: str) -> int:
     """Remove folders that no entry names; how many. Only while no writer is at work."""
     fs, at = _fs(spark, f"{root.rstrip('/')}/data/*")

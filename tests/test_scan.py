@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siteledger.plans.scan import measured, scan
+from siteledger.plans.python_facts import facts
+from siteledger.plans.scan import kept_facts, measured, scan, scanned
 from siteledger.sources import documents, trees
 
 CASES = {
@@ -53,6 +54,20 @@ def test_candidates_and_measure(spark, tmp_path):
     assert one.ratio == 0.5
 
 
+def test_second_scan_parses_what_changed(spark, tmp_path):
+    keep = str(tmp_path / "kept")
+    files = {"a.py": "class _R(Specification): pass\n", "b.py": "if 1: pass\n", "c.py": "def broken(:\n", "d.py": ""}
+    texts = lambda files: spark.createDataFrame([(p, t, str(hash(t))) for p, t in files.items()], "path string, text string, digest string")
+    plain = lambda found: sorted(map(str, found.select(*sorted(found.columns)).collect()))
+    for change, n in (({}, 4), ({}, 0), ({"b.py": "from a import _R\n_R()\n"}, 1), ({"b.py": "if 1: pass\n"}, 0)):
+        files |= change
+        found, parsed = kept_facts(texts(files), keep)
+        assert parsed == n and plain(found) == plain(facts(texts(files)))
+    rows = [(p, "python", bytearray(t.encode()), len(t)) for p, t in files.items() if p != "c.py"]
+    tree_ = spark.createDataFrame(rows, "path string, language string, bytes binary, length long")
+    assert {(r.name, r.status) for r in scanned(tree_, closed_world=True, keep=keep).definitions.collect()} == {("_R", "dead")}
+
+
 def test_scope_and_issues(spark, tmp_path):
     root = tree(tmp_path, "app/a.py", "x = 1\n", "tests/t.py", "y = 1\n", "other.py", "z = 1\n")
     (tmp_path / "app" / "bad.py").write_bytes(b"\xff\xfe")
