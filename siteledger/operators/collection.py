@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteledger.plans.lineage import cut
 
-def set_digest(rows: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
+
+#: Digests that a cell holds at the most, about: hashes fall evenly into buckets.
+CELL = 10_000
+
+
+def set_digest(rows: DataFrame, columns: list[str], cell: int = CELL) -> DataFrame:
     """One row: the digest of the set of rows, whatever their order or number.
 
-    A row's digest falls into a bucket by its first hex digits; a bucket's digest is that of its rows' digests in
-    order, and the whole one that of the buckets' in order. So no cell holds more than a bucket; more digits make more of them.
+    A row's digest falls into a bucket by its first hex digits: two, or as many as keep a bucket to about `cell` rows. A bucket's
+    digest is that of its rows' digests in order; sixteen buckets at a time become one until two digits are left, and the
+    whole digest is that of those 256 in order. So no cell grows with the set.
     """
-    each = rows.select(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("d")).distinct()
-    buckets = each.groupBy(F.substring("d", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
+    each = cut(rows.select(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("d")).distinct(), "digests")
+    n, digits = each.count(), 2
+    while n > cell * 16**digits:
+        digits += 1
+    told = lambda c: F.sha2(F.array_join(c, ""), 256).alias("d")
+    buckets = each.groupBy(F.substring("d", 1, digits).alias("b")).agg(told(F.array_sort(F.collect_list("d"))))
+    for k in reversed(range(2, digits)):
+        buckets = buckets.groupBy(F.substring("b", 1, k).alias("p")).agg(told(F.array_sort(F.collect_list(F.struct("b", "d")))["d"])).withColumnRenamed("p", "b")
     # an empty set has the digest of an empty text
     return buckets.agg(F.sha2(F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), F.lit("")), 256).alias("digest"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A manifest longer than this is refused; it goes to all executors as one literal.
+#: A manifest up to this length goes to all executors as one literal; a longer one is joined.
 MOST_ENTRIES = 10_000
 
 
@@ -16,7 +16,7 @@ def under(path: Column, prefix: Column) -> Column:
 def roles(paths: DataFrame, manifest: list[tuple[str, str]], path_col: str = "path") -> DataFrame:
     """paths with role and scope_issue. `.` is the least specific prefix; two roles at the best one conflict."""
     if len(manifest) > MOST_ENTRIES:
-        raise ValueError("the manifest has too many entries")
+        return joined_roles(paths, paths.sparkSession.createDataFrame(manifest, "_prefix string, _role string"), path_col)
     path = F.col(path_col)
     entries = F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(r).alias("role"), F.lit(0 if p == "." else len(p.encode())).alias("weight")) for p, r in manifest]) if manifest else F.array().cast("array<struct<prefix:string,role:string,weight:int>>")
     hits = F.filter(entries, lambda e: under(path, e["prefix"]))
@@ -28,6 +28,18 @@ def roles(paths: DataFrame, manifest: list[tuple[str, str]], path_col: str = "pa
     ).drop("_hits", "_best", "_roles")
 
 
+def joined_roles(paths: DataFrame, entries: DataFrame, path_col: str = "path") -> DataFrame:
+    """roles() for a manifest of any length, as rows of _prefix and _role: each distinct path meets the entries by its own ancestors."""
+    parts = F.split("_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("_prefix"), k.alias("_depth")))
+    each = paths.select(F.col(path_col).alias("_path")).where("_path is not null").distinct()
+    each = each.select("_path", F.inline(F.concat(F.array(F.struct(F.lit(".").alias("_prefix"), F.lit(0).alias("_depth"))), above)))
+    per = each.join(entries.distinct(), "_prefix").groupBy("_path", "_depth").agg(F.count(F.lit(1)).alias("n"), F.min("_role").alias("role"))
+    best = per.groupBy("_path").agg(F.max_by(F.struct("n", "role"), "_depth").alias("b")).select("_path", F.when(F.col("b.n") == 1, F.col("b.role")).alias("role"), F.when(F.col("b.n") > 1, "conflicting roles").alias("scope_issue"), F.lit(True).alias("_hit"))
+    out = paths.join(best, F.col(path_col) == F.col("_path"), "left")
+    return out.withColumn("scope_issue", F.when(F.col("_hit").isNull(), "no role").otherwise(F.col("scope_issue"))).drop("_path", "_hit")
+
+
 def included(paths: DataFrame, prefixes: list[str], path_col: str = "path") -> DataFrame:
     """Rows at or under one of the prefixes; all of them if there is none."""
     if not prefixes:

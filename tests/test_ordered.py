@@ -1,12 +1,13 @@
 """Operators over orders and structures against plain loops, with hot keys over many tasks."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from siteledger.catalog_ordered import SESSION
-from siteledger.operators import clones, closure, digests, phases
+from siteledger.operators import clones, closure, collection, digests, phases, scope
 
 
 @pytest.mark.parametrize("block", [4, 16])
@@ -105,3 +106,28 @@ def test_popular_window_is_no_square(spark):
     text = "\n".join(["the very same ten words stand in each of files"] * 3)
     frame = spark.createDataFrame([(k, text) for k in range(400)], "id long, t string")
     assert clones.maximal(frame, "id", "t").count() == 399 and clones.maximal(frame, "id", "t", tokens=31).count() == 0
+
+
+def test_roles_of_long_manifests(spark, monkeypatch):
+    manifest = [(".", "excluded"), ("a", "application"), ("a/b", "test"), ("a/b", "vendored"), ("c/d/e", "test"), ("c/d/e", "test"), ("c", "application")]
+    paths = spark.createDataFrame([(p, i) for i, p in enumerate(["a", "a/x.py", "a/b/y.py", "ab/z.py", "c/d/e", "c/d/f.py", "q", "q", "a/b"])], "path string, prefix int")
+    rows = lambda m: sorted((r.path, r.prefix, r.role, r.scope_issue) for r in scope.roles(paths, m).select("path", "prefix", "role", "scope_issue").collect())
+    short = [rows(manifest), [r for r in rows(manifest[1:])]]
+    monkeypatch.setattr(scope, "MOST_ENTRIES", 2)
+    assert [rows(manifest), rows(manifest[1:])] == short and any(r[3] == "no role" for r in short[1]) and any(r[3] == "conflicting roles" for r in short[0])
+
+
+def test_set_digest_of_many_rows(spark):
+    """Small cells: three digits of buckets, against plain hashing."""
+    rows = spark.range(3000).select("id")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    level = {}
+    for d in sorted(sha(f'{{"id":{i}}}') for i in range(3000)):
+        level[d[:3]] = level.get(d[:3], "") + d
+    level = {p: sha(x) for p, x in level.items()}
+    two = {}
+    for p in sorted(level):
+        two[p[:2]] = two.get(p[:2], "") + level[p]
+    want = sha("".join(sha(two[p]) for p in sorted(two)))
+    assert collection.set_digest(rows.repartition(5).unionByName(rows), ["id"], cell=2).first().digest == want
+    assert collection.set_digest(rows.limit(0), ["id"]).first().digest == sha("")
