@@ -120,7 +120,7 @@ def scan_measure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("scan_import_closure", f"""{FACTS},
-edges as (select distinct module as a, target_module as b from f_import union select module, target_module from f_module_import),
+edges as (select * from (select distinct module as a, target_module as b from f_import union select module, target_module from f_module_import) e where b in (select module from f_file)),
 steps as (select module, 0 as depth from (select distinct module from f_export) union select b, depth + 1 from steps join edges on a = module where depth < 40)
 select module, min(depth) as depth from steps group by 1""")
 def scan_import_closure(spark: SparkSession, sf: str) -> DataFrame:
