@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siteledger.functions import text as T
 from siteledger.functions import vectors as V
 from siteledger.operators import closure, diff, history, measure, policy, registry, retrieval, scope, scoring, similarity
-from siteledger.plans.lineage import cut, numbered
+from siteledger.plans.lineage import cut, numbered, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,7 +200,7 @@ p as (select doc_id, item_id, len(list_intersect(s.f, t.f)) as common, len(s.f)
 select doc_id, item_id, common::bigint as common, (n_both - common)::bigint as total from p where common >= 3 and 2 * common >= n_both - common""")
 def feature_similarity(spark: SparkSession, sf: str) -> DataFrame:
     tokens = F.array_distinct(T.ascii_tokens(F.col("text"))).alias("features")
-    return similarity.near_templates(table(spark, sf, "documents").select("doc_id", tokens), table(spark, sf, "benchmark").select("item_id", tokens), "doc_id", "item_id", "features")
+    return similarity.near_templates(spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", tokens), table(spark, sf, "benchmark").select("item_id", tokens), "doc_id", "item_id", "features")
 
 
 @query("related_sites", """
@@ -287,7 +287,7 @@ select item_id, doc_id, score, rank from (select *, row_number() over (partition
 @query("bm25_rank", BM25_SQL)
 def bm25_rank(spark: SparkSession, sf: str) -> DataFrame:
     tokens = T.ascii_tokens(F.col("text")).alias("tokens")
-    return retrieval.bm25(table(spark, sf, "documents").select("doc_id", tokens), table(spark, sf, "benchmark").select("item_id", tokens), "doc_id", "item_id", "tokens", k=10)
+    return retrieval.bm25(spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", tokens), table(spark, sf, "benchmark").select("item_id", tokens), "doc_id", "item_id", "tokens", k=10)
 
 
 def near_sql(dims: int, k: int) -> str:

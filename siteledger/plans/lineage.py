@@ -36,6 +36,12 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where it has fewer: a small table is one file of one row group, and so one task."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def clear(spark: SparkSession) -> int:
     """Remove all tables that this process has written since the last call; how many. Results that still read them must have been used."""
     n = len(_written)
