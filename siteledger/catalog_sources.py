@@ -184,8 +184,10 @@ def decide_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Decision sites read off lineitem; a name list is a text with commas, as the two engines write lists differently.
 SITE_PATH = "case when l_suppkey % 9 = 4 then 'domain/spec' || (l_partkey % 25) || '.py' else 'app/' || (l_partkey % 20) || '/f' || (l_suppkey % 50) || '.py' end"
+#: The lines of an order don't all have numbers of their own, so a site's column also has the part and the supplier.
+SITE_COLUMN = "l_linenumber + 8 * l_suppkey + 8000 * l_partkey"
 SITE_SQL = {
-    "site": f"select l_shipdate < timestamp '1995-06-17' as old, {SITE_PATH} as path, l_orderkey as line, l_linenumber as col, l_orderkey as end_line, l_linenumber + 10 as end_col, case when l_linenumber % 2 = 0 then 'if_statement' else 'lambda' end as construct, 'c' || l_orderkey as code, 's' || (l_suppkey % 30) as shape, case when l_orderkey % 4 = 0 then 'p' else 'q' end || ',n' || (l_partkey % 5) as names, 'a' || (l_partkey % 4) || ',b' || (l_suppkey % 4) || ',c' || (l_linenumber % 2) || ',d' || (l_orderkey % 2) as features, case when l_orderkey % 10 = 0 then 'SPEC' || ((l_suppkey % 25) % 8) end as evaluates from {{lineitem}}",
+    "site": f"select l_shipdate < timestamp '1995-06-17' as old, {SITE_PATH} as path, l_orderkey as line, {SITE_COLUMN} as col, l_orderkey as end_line, {SITE_COLUMN} + 10 as end_col, case when l_linenumber % 2 = 0 then 'if_statement' else 'lambda' end as construct, 'c' || l_orderkey as code, 's' || (l_suppkey % 30) as shape, case when l_orderkey % 4 = 0 then 'p' else 'q' end || ',n' || (l_partkey % 5) as names, 'a' || (l_partkey % 4) || ',b' || (l_suppkey % 4) || ',c' || (l_linenumber % 2) || ',d' || (l_orderkey % 2) as features, case when l_orderkey % 10 = 0 then 'SPEC' || ((l_suppkey % 25) % 8) end as evaluates from {{lineitem}}",
     "import": f"select distinct true as old, {SITE_PATH} as path, 'spec' || (l_suppkey % 25) as module, 'SPEC' || ((l_suppkey % 25) % 8) as code, 'SPEC' || ((l_suppkey % 25) % 8) as name from {{lineitem}}",
     "bound": f"select distinct true as old, {SITE_PATH} as path, 'SPEC' || ((l_suppkey % 25) % 8) as name from {{lineitem}} where l_suppkey % 7 = 0",
     "declaration": "select true as old, 'domain/spec' || n_nationkey || '.py' as path, 100 as line, 1 as col, 900 as end_line, 1 as end_col, case when n_nationkey % 7 <> 0 then 'lambda' end as construct, 'SPEC' || (n_nationkey % 8) as name, 'code' || n_nationkey as code from {nation} where n_nationkey % 5 <> 0",
