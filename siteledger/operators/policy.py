@@ -65,10 +65,11 @@ def conflicting(ownership: Column, tool: Column, intent: Column, conflicts: Colu
 
 
 def recommendation(role: Column, support: Column, ownership: Column, tool: Column, intent: Column, conflicts: Column | None = None) -> Column:
-    """action, basis, status and unresolved of the ordered recommendation rules.
+    """action, basis, status and unresolved: the first rule that holds decides.
 
-    Existing ownership settles reuse even if other facts are open; any other action is provisional while some are.
+    Where an owner was found, reuse is final; every other action stays provisional until no fact is open.
     """
+    # fixed values: the rules' order, and the names of actions, bases and open facts
     conflict, sure = conflicting(ownership, tool, intent, conflicts), F.coalesce(support == "supported", F.lit(False))
     rules = [
         ("none/conflicting_facts", conflict), ("reuse_specification/existing_specification", ownership.isin(*OWNED)), ("use_tool_rules/tool_responsibility", tool == "yes"),
@@ -160,6 +161,7 @@ def review_observations(answered: Column, missing: Column, labels: dict[str, Col
     labels: concern_kind, evidence_confidence, ownership, tool_responsibility; null where there is no answer, and then nothing is said of
     them. required: names of axes that must be known; claims: checked ones, an array of structs of axis, relation and value.
     """
+    # fixed values: the names of observations, axes, actions and relations
     there = labels["concern_kind"].isNotNull()
     role, support, owner, tool = (labels[k] for k in ("concern_kind", "evidence_confidence", "ownership", "tool_responsibility"))
     needs = F.concat(F.array(F.lit("concern_kind")), F.coalesce(required, F.array().cast("array<string>")), F.when(action.isin(*OWNER_ACTIONS), F.array(F.lit("ownership"))).when(action == "delegate_tool", F.array(F.lit("tool_responsibility"))).otherwise(F.array().cast("array<string>")))

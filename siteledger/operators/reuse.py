@@ -79,6 +79,7 @@ def evaluated(node: ast.expr) -> str | None:
 
 
 def conditions(node: ast.AST, lines: list[str]) -> Iterator[tuple[str, ast.expr]]:
+    # fixed values: the names of constructs
     if isinstance(node, ast.If):
         yield "elif_clause" if lines[node.lineno - 1].encode()[node.col_offset :].startswith(b"elif") else "if_statement", node.test
     elif isinstance(node, ast.While):
