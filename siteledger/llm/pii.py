@@ -307,9 +307,12 @@ def rewritten(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
     def one(m: Column) -> Column:
         def typed(t: Column) -> Column:
-            canon = canonical(m, t)
-            new = F.coalesce(F.col("known")[F.concat_ws("|", t, canon)], surrogate(t, canon, key, 0)) if again is not None else surrogate(t, canon, key, 0)
-            return rendered(m, t, new, key)
+            def drawn(canon: Column) -> Column:
+                first = surrogate(t, canon, key, 0)
+                return F.coalesce(F.col("known")[F.concat_ws("|", t, canon)], first) if again is not None else first
+
+            # bound one by one: written out in every place, they fill the driver's memory with expressions
+            return let(let(canonical(m, t), drawn), lambda new: rendered(m, t, new, key))
 
         return let(kind(m), lambda t: F.when(t == NONE, m).otherwise(typed(t)))
 

@@ -192,6 +192,13 @@ def test_pii_distinct(spark):
     assert len(set(got)) == len(texts) and not set(got) & set(texts)
 
 
+def test_pii_plan_is_small(spark):
+    """The driver holds each plan several times: written out in every place, the surrogates' expressions made over a million characters."""
+    rows = [(k, f"Write to person{k}@example.org or call {k:03d}-{k % 100:02d}-1234.") for k in range(4)]
+    plan = pii.rewritten(spark.createDataFrame(rows, "doc_id long, text string"), "k")._jdf.queryExecution().toString()
+    assert len(plan) < 250_000
+
+
 def test_pii_of_any_length(spark):
     secrets = ["0123456789abcdef" * 20, "Ab" * 20, "sk-" + "aZ9" * 30, "sk-proj-" + "k3Q" * 12, "ghp_" + "x" * 50]
     names = ["Anna Maria Schmidt", "Mr. Aaron Miller", "Frau Lang Termin"]
