@@ -12,6 +12,7 @@ import functools
 import os
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 
@@ -69,6 +70,17 @@ def span_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mixed((sums[ends] - sums[starts]) * powers(True)[starts] + (ends - starts).astype(np.uint64))
 
 
+def different(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes in order, a place of each, and which of them each one is; np.unique's stable sort takes longer."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.ones(len(hashes), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    inverse = np.empty(len(hashes), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
+
+
 def contractions(cps: np.ndarray, run_at: np.ndarray, kind: np.ndarray, starts: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Where an apostrophe takes one or two letters with it: the new start of the run of letters, else -1."""
     out = np.full(len(run_at), -1, np.int64)
@@ -123,20 +135,37 @@ def unsure(text: str) -> bool:
     return bool((classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)] == UNSURE).any())
 
 
-def byte_level_joins(word: str) -> bool:
-    return len(word) > 1 and word[0] == " " and not word[1].isspace()
+def byte_level_joins(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    out = (cps[starts] == 32) & (ends - starts > 1)
+    out[out] = classes()[cps[starts[out] + 1]] != SPACE
+    return out
+
+
+def blank_leads(tok) -> np.ndarray:
+    """By id, whether a token begins with a blank: of the tokens of a part that joins, the first one alone does."""
+    vocab = tok.get_vocab()
+    out = np.zeros(max(vocab.values(), default=0) + 1, bool)
+    # fixed values: the letter that stands for a blank in byte-level vocabularies
+    out[[k for t, k in vocab.items() if t.startswith("Ġ")]] = True
+    return out
+
+
+def laid_end_to_end(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
+    n = ends - starts
+    return cps[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes().decode("utf-32-le")
 
 
 class SpanEncoder:
     """encode(texts): ids of all texts in a row, and how many each has. A null counts as an empty text.
 
     starts(code points, texts' starts) gives the starts of the parts that the tokenizer handles by
-    themselves; joins(part) tells those that part again when they are laid end to end; whole(text)
-    tells texts that must go to the library as they are.
+    themselves; joins(code points, parts' starts, ends) tells those that part again when they are laid
+    end to end; whole(text) tells texts that must go to the library as they are.
     """
 
     def __init__(self, tok, starts=gpt_starts, joins=byte_level_joins, whole=None):
         self.tok, self.starts, self.joins, self.whole = tok, starts, joins, whole
+        self.leads = blank_leads(tok) if joins is byte_level_joins else None
         self.clear()
 
     def clear(self) -> None:
@@ -158,18 +187,24 @@ class SpanEncoder:
         self.used += len(ids)
         self.rows += len(counts)
 
-    def _add(self, words: list[str]) -> list[int]:
+    def _add(self, joined: str, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Encode new pre-tokens; the order in which they got their rows. Those that begin with a
         blank part again at the blanks, so many go to the library as one text."""
-        apart = [i for i, w in enumerate(words) if self.joins(w)]
+        joins = self.joins(cps, starts, ends)
+        apart, rest = np.flatnonzero(joins), np.flatnonzero(~joins)
         runs = [apart[k : k + 1000] for k in range(0, len(apart), 1000)]
-        for run, e in zip(runs, self.tok.encode_batch(["".join([words[i] for i in r]) for r in runs], add_special_tokens=False), strict=True):
-            self._keep(np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(run)))
-        rest = sorted(set(range(len(words))).difference(apart))
-        for e in self.tok.encode_batch_fast([words[i] for i in rest], add_special_tokens=False):
-            ids = e.ids
-            self._keep(np.array(ids, np.uint32), np.array([len(ids)]))
-        return apart + rest
+        # the quicker call tells no words; a token with a blank in front does
+        encode = self.tok.encode_batch if self.leads is None else self.tok.encode_batch_fast
+        for run, e in zip(runs, encode([laid_end_to_end(cps, starts[r], ends[r]) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            word = np.array(e.word_ids, np.int64) if self.leads is None else np.cumsum(self.leads[ids]) - 1
+            if word[0] != 0 or word[-1] != len(run) - 1:
+                raise ValueError("pre-tokens laid end to end don't part again")
+            self._keep(ids, np.bincount(word, minlength=len(run)))
+        each = [e.ids for e in self.tok.encode_batch_fast([joined[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)], add_special_tokens=False)]
+        counts = np.fromiter(map(len, each), np.int64, len(each))
+        self._keep(np.fromiter(chain.from_iterable(each), np.uint32, int(counts.sum())), counts)
+        return np.concatenate([apart, rest])
 
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.keys) > KEPT:
@@ -183,7 +218,7 @@ class SpanEncoder:
         cps = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         starts = self.starts(cps, np.unique(text_at[:-1][sizes > 0]))
         ends = np.append(starts[1:], len(cps))
-        hashes, first, inverse = np.unique(span_hashes(cps, starts, ends), return_index=True, return_inverse=True)
+        hashes, first, inverse = different(span_hashes(cps, starts, ends))
         place = np.searchsorted(self.keys, hashes)
         known = place < len(self.keys)
         known[known] = self.keys[place[known]] == hashes[known]
@@ -192,7 +227,7 @@ class SpanEncoder:
         if (miss := np.flatnonzero(~known)).size:
             at = first[miss]
             base = self.rows
-            order = self._add([joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            order = self._add(joined, cps, starts[at], ends[at])
             rows[miss[order]] = np.arange(base, self.rows)
             self.keys, self.row = np.insert(self.keys, place[miss], hashes[miss]), np.insert(self.row, place[miss], rows[miss])
         rows = rows[inverse]

@@ -145,8 +145,10 @@ def marker_starts(cps: np.ndarray, text_at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def marker_joins(part: str) -> bool:
-    return len(part) > 1 and part[0] == " " and part[1] not in f" {MARK}\n"
+def marker_joins(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    out = (cps[starts] == 32) & (ends - starts > 1)
+    out[out] = ~np.isin(cps[starts[out] + 1], (32, 0x2581, 10))
+    return out
 
 
 class Piece:
@@ -164,7 +166,7 @@ class Piece:
         self.bad: set[str] = set()
         self.cached = SpanEncoder(self.tok, marker_starts, marker_joins)
         plain = self.cached._add
-        self.cached._add = lambda parts: (self.verify(parts), plain(parts))[1]
+        self.cached._add = lambda joined, cps, starts, ends: (self.verify([joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), plain(joined, cps, starts, ends))[1]
 
     def normal(self, text: str) -> str:
         """The text that decoding gives back."""

@@ -130,13 +130,20 @@ def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarra
         rules.append(pairs[order][used])
         n_rules += len(used)
         symbols[hit] = number[rank]
-        keep, look = np.ones(len(symbols), bool), np.zeros(len(symbols), bool)
+        keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
-        look[live] = True
-        symbols, look = symbols[keep], look[keep]
+        symbols = symbols[keep]
         new = hit - np.arange(len(hit))
-        look[new] = look[new - 1] = True  # place -1 is the last one, which starts no pair
-        at = np.flatnonzero(look[:-1])
+        if len(live) > FEW:
+            look = np.zeros(len(keep), bool)
+            look[live] = True
+            look = look[keep]
+            look[new] = look[new - 1] = True  # place -1 is the last one, which starts no pair
+            at = np.flatnonzero(look[:-1])
+        else:
+            live = live[keep[live]]
+            at = np.unique(np.concatenate([live - np.searchsorted(hit, live), new, new - 1]))
+            at = at[(at >= 0) & (at < len(symbols) - 1)]
     pairs = np.concatenate(rules) if rules else np.empty(0, np.uint64)
     return symbols, np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
 
@@ -256,9 +263,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, first: int, i
             for k in range(0, batch.num_rows, 256):
                 piece = batch.slice(k, 256)
                 ids, n = enc.encode(piece.column(1).to_pylist())
-                held.append((piece.column(0).fill_null(NO_ID).to_numpy(), n, ids))
-                if sum(len(h[2]) for h in held) >= SHARD_IDS:
-                    yield flush()
+                doc_ids, after, at = piece.column(0).fill_null(NO_ID).to_numpy(), np.concatenate([[0], np.cumsum(n)]), 0
+                while at < len(n):
+                    # up to the document with which the shard has enough
+                    room = SHARD_IDS - sum(len(h[2]) for h in held)
+                    stop = min(len(n), max(at + 1, int(np.searchsorted(after, after[at] + room))))
+                    held.append((doc_ids[at:stop], n[at:stop], ids[after[at] : after[stop]]))
+                    if after[stop] - after[at] >= room:
+                        yield flush()
+                    at = stop
         if held:
             yield flush()
 

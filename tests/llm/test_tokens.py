@@ -59,6 +59,18 @@ def test_long_text_is_cut_safely(monkeypatch):
     check_bpe(["one two  three\n\nfour's " * 40, "x" * 400, EDGE[5]])
 
 
+def test_new_words_are_kept_together(monkeypatch):
+    enc = pretokens.SpanEncoder(tokenizers.Tokenizer.from_file(str(BPE)))
+    kept = []
+    keep = enc._keep
+    monkeypatch.setattr(enc, "_keep", lambda ids, counts: (kept.append(len(counts)), keep(ids, counts)))
+    texts = [f"w{chr(97 + k % 26)}{k}\t{k}x, {k}\u3000" for k in range(3000)]
+    ids, n = enc.encode(texts)
+    whole = [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(x) for x in whole] and ids.tolist() == [i for x in whole for i in x]
+    assert len(kept) <= sum(kept) / 500 + 2
+
+
 def test_spm_parity():
     both = spm.piece(str(SPM))
     rng = random.Random(2)
@@ -243,6 +255,19 @@ def test_shards_are_cut_by_size(spark, monkeypatch):
     assert len({r.shard for r in got}) >= 3
 
 
+def test_a_shard_ends_with_a_document(spark, monkeypatch):
+    """Not with a batch of documents, however many ids that has."""
+    monkeypatch.setattr(tokenfile, "SHARD_IDS", 500)
+    rows = [(k, "some words " * (400 if k % 7 == 0 else 20)) for k in range(100)] + [(k, None) for k in range(100, 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = tokenfile.round_trip(df, str(BPE), end_id=0, first=65536).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r.doc_id):
+        by.setdefault(r.shard, []).append(r.n_tokens - 1)
+    assert len(got) == 120 and sorted(by) == list(by)
+    assert all(sum(n[:-1]) < 500 for n in by.values())
+
+
 def expanded(symbol, rules):
     out, open_ = [], [int(symbol)]
     while open_:
