@@ -5,7 +5,8 @@ builds a shard's hierarchical graph and searches it with the shard's own vectors
 layers, runs a beam on the lowest one, and then opens all vectors within a margin of the threshold until
 no new one comes. A sample of searches is compared with a scan of the shard; while the recall is under
 1, beam and margin are widened, up to the whole shard. All links are verified by cosine in double
-precision. Where a label has several shards, every vector is searched in each of the other shards too: tiles of TILE
+precision. Where a label has several shards, every vector is searched in each shard of a larger number too; a link
+that is found there counts for both ends, so two shards meet once. Tiles of TILE
 shards' graphs meet tiles of TILE shards' vectors, so a graph travels once for every TILE shards. Tasks
 return counts of links and links between components, never all pairs. audits() gives each shard's measured recall.
 
@@ -293,20 +294,20 @@ BUILT = "label long, dim long, shard long, shards long, ids binary, n binary, co
 
 
 def across(targets: pa.Table, sources: pa.Table) -> pa.Table:
-    """A tile's vectors searched in the graphs of another tile: each vector's links there, and linked components."""
+    """A tile's vectors searched in the graphs of another tile, those of larger shards: both ends' links, and linked components."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     pairs = [np.empty((0, 2), np.int64)]
-    vectors = [(s, *(np.frombuffer(sources.column(k)[i].as_buffer(), np.int64) for k in ("ids", "component")), np.frombuffer(sources.column("units")[i].as_buffer(), np.float64)) for i, s in enumerate(sources.column("shard").to_pylist())]
+    vectors = [(s, *(np.frombuffer(sources.column(k)[i].as_buffer(), np.int64) for k in ("ids", "component", "copies")), np.frombuffer(sources.column("units")[i].as_buffer(), np.float64)) for i, s in enumerate(sources.column("shard").to_pylist())]
     for i, shard in enumerate(targets.column("shard").to_pylist()):
         graph = Graph.loaded(targets.column("graph")[i].as_py())
-        component, copies = (np.frombuffer(targets.column(k)[i].as_buffer(), np.int64) for k in ("component", "copies"))
-        for other, mine, own, unit in vectors:
-            if other == shard:
+        ids, component, copies = (np.frombuffer(targets.column(k)[i].as_buffer(), np.int64) for k in ("ids", "component", "copies"))
+        for other, mine, own, many, unit in vectors:
+            if other >= shard:
                 continue
             row, node = graph.search(unit.reshape(len(mine), -1))
             node = graph.order[node]
-            n = np.bincount(row, copies[node], len(mine)).astype(np.int64)
-            found.append((mine[n > 0], n[n > 0]))
+            for who, n in ((mine, np.bincount(row, copies[node], len(mine))), (ids, np.bincount(node, many[row], len(ids)))):
+                found.append((who[n > 0], n[n > 0].astype(np.int64)))
             pairs.append(np.unique(np.stack([own[row], component[node]], 1), axis=0))
     ids, n = (np.concatenate([f[k] for f in found] or [np.empty(0, np.int64)]) for k in (0, 1))
     pair = np.unique(np.concatenate(pairs), axis=0)
@@ -353,12 +354,12 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     member = cut(good.join(first, ["label", "digest"]).select("vec_id", "first", "copies"), "membership")
     built = shards(good, first)
     inside = cut(built.select("ids", "n", "component").mapInArrow(unrolled, "vec_id long, n long, component long"), "inside")
-    # every tile's vectors go to every tile's graphs
+    # every tile's vectors go to the graphs of its own tile and of those with larger shards
     many = built.where("shards > 1").withColumn("tile", F.floor(F.col("shard") / TILE))
-    all_tiles = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shards") - 1) / TILE)))
+    lower, upper = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tile"))), F.explode(F.sequence(F.col("tile"), F.floor((F.col("shards") - 1) / TILE)))
     fresh = lambda *names: [F.col(c).alias(c) for c in names]
-    targets = many.select(*fresh("label", "dim", "shard", "component", "copies", "graph"), F.col("tile").alias("q"), all_tiles.alias("p"))
-    sources = many.select(*fresh("label", "dim", "shard", "ids", "component", "units"), F.col("tile").alias("p"), all_tiles.alias("q"))
+    targets = many.select(*fresh("label", "dim", "shard", "ids", "component", "copies", "graph"), F.col("tile").alias("q"), lower.alias("p"))
+    sources = many.select(*fresh("label", "dim", "shard", "ids", "component", "copies", "units"), F.col("tile").alias("p"), upper.alias("q"))
     by = ["label", "dim", "p", "q"]
     crossed = cut(targets.groupBy(*by).cogroup(sources.groupBy(*by)).applyInArrow(across, "a long, n long, b long"), "crossed")
     counts = inside.select("vec_id", "n").unionByName(crossed.where("n is not null").select(F.col("a").alias("vec_id"), "n")).groupBy("vec_id").agg(F.sum("n").alias("n"))

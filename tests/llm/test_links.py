@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siteledger.llm import annlinks, graph, quotes, warc
@@ -92,6 +93,25 @@ def test_recall_of_many_shards(spark):
     assert len(audits) == 3 and all(a.recall == 1 for a in audits) and sum(a.vectors for a in audits) == 12_000
 
 
+def test_two_shards_meet_once(spark, monkeypatch):
+    """Their links count for both ends, copies included."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    vectors = unit(unit(rng.normal(size=(8, 16)))[rng.integers(0, 8, 120)] + rng.normal(size=(120, 16)) * 0.02)
+    table = pa.table({"vec_id": np.arange(120), "embedding": vectors.tolist(), "label": np.ones(120, int), "dim": np.full(120, 16), "copies": rng.integers(1, 4, 120), "shard": np.arange(120) % 3, "shards": np.full(120, 3)})
+    built = pa.concat_tables([annlinks.build(table.filter(pa.array(np.arange(120) % 3 == k))) for k in range(3)])
+    asked = []
+    search = annlinks.Graph.search
+    monkeypatch.setattr(annlinks.Graph, "search", lambda self, query, own=None: (asked.append(len(query)), search(self, query, own))[1])
+    out = annlinks.across(built, built)
+    assert asked == [40, 40, 40]
+    near = (vectors @ vectors.T >= 0.98) & (np.arange(120)[:, None] % 3 != np.arange(120)[None] % 3)
+    got = np.zeros(120, int)
+    counts = out.filter(out.column("n").is_valid())
+    np.add.at(got, counts.column("a").to_numpy(), counts.column("n").to_numpy())
+    assert got.tolist() == (near @ table.column("copies").to_numpy()).tolist() and got.sum() > 0
+
+
 def test_components(spark):
     pairs = [(1, 2), (2, 3), (5, 4), (4, 9), (7, 7), (None, 3), *((100 + i, 101 + i) for i in range(40))]
     got = {r.u: r.v for r in graph.components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
