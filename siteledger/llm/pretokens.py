@@ -19,8 +19,10 @@ import numpy as np
 SPACE, LETTER, NUMBER, OTHER, UNSURE = 0, 1, 2, 3, 4
 #: Characters that one array pass handles; longer texts are cut between a letter and a space.
 CHUNK = 1_000_000
-#: Threads of the library in one task.
+#: Threads of the library in one task, where it runs many.
 THREADS = 2
+#: New pre-tokens that go to the library as one text.
+TOGETHER = 200
 #: Pre-tokens kept by a worker before it starts afresh.
 KEPT = 1_000_000
 SAFE_CUT = re.compile(r"[A-Za-z](?= )")
@@ -63,10 +65,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@functools.cache
+def marks() -> np.ndarray:
+    """A 64-bit number for each code point."""
+    return mixed(np.arange(1, 0x110001, dtype=np.uint64))
+
+
 def span_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of cps[s:e] for each span, all at once."""
     sums = np.zeros(len(cps) + 1, np.uint64)
-    np.cumsum(mixed(cps.astype(np.uint64) + np.uint64(1)) * powers(False)[: len(cps)], out=sums[1:])
+    np.take(marks(), cps, out=sums[1:], mode="clip")
+    sums[1:] *= powers(False)[: len(cps)]
+    np.cumsum(sums, out=sums)
     return mixed((sums[ends] - sums[starts]) * powers(True)[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -81,52 +91,39 @@ def different(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], order[new], inverse
 
 
-def contractions(cps: np.ndarray, run_at: np.ndarray, kind: np.ndarray, starts: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Where an apostrophe takes one or two letters with it: the new start of the run of letters, else -1."""
-    out = np.full(len(run_at), -1, np.int64)
-    end = np.append(run_at[1:], len(cps))
-    lone = np.flatnonzero((cps[run_at] == 39) & (end - run_at == 1) & (starts == run_at))
-    lone = lone[lone + 1 < len(run_at)]
-    lone = lone[(kind[lone + 1] == LETTER) & ~first[lone + 1]]
-    for r in lone.tolist():
-        tail = "".join(map(chr, cps[run_at[r] + 1 : min(run_at[r] + 3, end[r + 1])].tolist()))
-        # fixed values: the endings that the tokenizer's pattern keeps with the apostrophe
-        n = 1 if tail[:1] in ("s", "t", "m", "d") else 2 if tail in ("re", "ve", "ll") else 0
-        if n:
-            out[r] = run_at[r] + 1 + n
-    return out
+def contractions(cps: np.ndarray, cls: np.ndarray, new: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a letter follows an apostrophe that takes one or two letters with it, and how many it takes."""
+    at = np.flatnonzero((cps[:-1] == 39) & starts[:-1] & new[1:] & (cls[1:] == LETTER)) + 1
+    a, b = cps[at], np.zeros(len(at), np.uint32)
+    more = at + 1 < len(cps)
+    more[more] = ~new[at[more] + 1]
+    b[more] = cps[at[more] + 1]
+    # fixed values: the endings that the tokenizer's pattern keeps with the apostrophe
+    n = np.where(np.isin(a, [ord(c) for c in "stmd"]), 1, 0)
+    for x, y in ("re", "ve", "ll"):
+        n[(a == ord(x)) & (b == ord(y))] = 2
+    return at[n > 0], n[n > 0]
 
 
 def gpt_starts(cps: np.ndarray, text_at: np.ndarray) -> np.ndarray:
     """Starts of the pre-tokens of texts laid end to end; text_at has the texts' starts."""
     cls = classes()[cps]
-    new = np.empty(len(cps), bool)
-    new[0] = True
-    np.not_equal(cls[1:], cls[:-1], out=new[1:])
-    new[text_at] = True
-    run_at = np.flatnonzero(new)
-    kind = cls[run_at]
-    end = np.append(run_at[1:], len(cps))
-    first = np.zeros(len(run_at) + 1, bool)
-    first[np.searchsorted(run_at, text_at)] = True
-    first[-1] = True
-    space = kind == SPACE
+    first = np.zeros(len(cps), bool)
+    first[text_at] = True
+    new = first.copy()
+    new[1:] |= cls[1:] != cls[:-1]
+    starts = new.copy()
     # a run of white space before a word gives up its last character: to the word if it is a blank
-    gives = space & ~first[1:]
-    blank = gives & (cps[end - 1] == 32)
-    starts = run_at.copy()
-    takes = np.flatnonzero(blank) + 1
-    starts[takes] -= 1
-    short = contractions(cps, run_at, kind, starts, first)
-    keep = np.ones(len(run_at), bool)
-    keep[space & blank & (end - run_at == 1)] = False
-    if (hit := np.flatnonzero(short >= 0)).size:
-        starts[hit + 1] = short[hit]
-        keep[hit[short[hit] >= end[hit + 1]] + 1] = False
-    extra = end[gives & ~blank & (end - run_at > 1)] - 1
-    out = np.concatenate([starts[keep], extra])
-    out.sort()
-    return out
+    space = cls == SPACE
+    gives = space[:-1] & ~(space[1:] | first[1:])
+    starts[:-1] |= gives
+    starts[1:] &= ~(gives & (cps[:-1] == 32))
+    at, n = contractions(cps, cls, new & ~first, starts)
+    starts[at] = False
+    at = at + n
+    at = at[at < len(cps)]
+    starts[at] |= ~new[at]
+    return np.flatnonzero(starts)
 
 
 def unsure(text: str) -> bool:
@@ -169,21 +166,54 @@ class SpanEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.row = np.empty(0, np.uint64), np.empty(0, np.int32)  # sorted hashes of known pre-tokens, and their rows
+        # hashes of known pre-tokens and their rows (-1: free), each at the place of its first bits or at the next free one
+        self.keys, self.row = np.zeros(1 << 15, np.uint64), np.full(1 << 15, -1, np.int32)
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
-        self.at, self.n, self.rows = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+        self.at, self.rows = np.zeros(1 << 14, np.int64), 0  # a row's ids in the pool end where the next row's begin
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The rows of known hashes, -1 for others."""
+        place = self._places(hashes)
+        rows = self.row[place]
+        other = np.flatnonzero(self.keys[place] != hashes)
+        place = place[other]
+        while len(other):
+            taken = rows[other] >= 0
+            other, place = other[taken], (place[taken] + 1) % len(self.keys)
+            rows[other] = self.row[place]
+            differs = self.keys[place] != hashes[other]
+            other, place = other[differs], place[differs]
+        return rows
+
+    def _learn(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        """Put in new hashes, which all differ; at most half of the places are taken."""
+        if 2 * self.rows > len(self.keys):
+            old = self.row >= 0
+            hashes, rows = np.concatenate([self.keys[old], hashes]), np.concatenate([self.row[old], rows])
+            size = 1 << (4 * self.rows - 1).bit_length()
+            self.keys, self.row = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        place = self._places(hashes)
+        while len(rows):
+            free = self.row[place] < 0
+            self.row[place[free]] = rows[free]
+            # of several that want one place, one gets it
+            stays = self.row[place] == rows
+            self.keys[place[stays]] = hashes[stays]
+            hashes, rows, place = hashes[~stays], rows[~stays], (place[~stays] + 1) % len(self.keys)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _keep(self, ids: np.ndarray, counts: np.ndarray) -> None:
-        while self.rows + len(counts) > len(self.at):
-            self.at, self.n = np.resize(self.at, 2 * len(self.at)), np.resize(self.n, 2 * len(self.n))
+        while self.rows + len(counts) >= len(self.at):
+            self.at = np.resize(self.at, 2 * len(self.at))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         self.pool[self.used : self.used + len(ids)] = ids
-        self.n[self.rows : self.rows + len(counts)] = counts
-        self.at[self.rows : self.rows + len(counts)] = self.used + np.cumsum(counts) - counts
+        self.at[self.rows + 1 : self.rows + 1 + len(counts)] = self.used + np.cumsum(counts)
         self.used += len(ids)
         self.rows += len(counts)
 
@@ -192,22 +222,26 @@ class SpanEncoder:
         blank part again at the blanks, so many go to the library as one text."""
         joins = self.joins(cps, starts, ends)
         apart, rest = np.flatnonzero(joins), np.flatnonzero(~joins)
-        runs = [apart[k : k + 1000] for k in range(0, len(apart), 1000)]
+        runs = [apart[k : k + TOGETHER] for k in range(0, len(apart), TOGETHER)]
         # the quicker call tells no words; a token with a blank in front does
         encode = self.tok.encode_batch if self.leads is None else self.tok.encode_batch_fast
+        parts, sizes = [], []
         for run, e in zip(runs, encode([laid_end_to_end(cps, starts[r], ends[r]) for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
             word = np.array(e.word_ids, np.int64) if self.leads is None else np.cumsum(self.leads[ids]) - 1
             if word[0] != 0 or word[-1] != len(run) - 1:
                 raise ValueError("pre-tokens laid end to end don't part again")
-            self._keep(ids, np.bincount(word, minlength=len(run)))
+            parts.append(ids)
+            sizes.append(np.bincount(word, minlength=len(run)))
+        if runs:
+            self._keep(np.concatenate(parts), np.concatenate(sizes))
         each = [e.ids for e in self.tok.encode_batch_fast([joined[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)], add_special_tokens=False)]
         counts = np.fromiter(map(len, each), np.int64, len(each))
         self._keep(np.fromiter(chain.from_iterable(each), np.uint32, int(counts.sum())), counts)
         return np.concatenate([apart, rest])
 
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.keys) > KEPT:
+        if self.rows > KEPT:
             self.clear()
         joined = "".join(texts)
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -218,22 +252,21 @@ class SpanEncoder:
         cps = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         starts = self.starts(cps, np.unique(text_at[:-1][sizes > 0]))
         ends = np.append(starts[1:], len(cps))
-        hashes, first, inverse = different(span_hashes(cps, starts, ends))
-        place = np.searchsorted(self.keys, hashes)
-        known = place < len(self.keys)
-        known[known] = self.keys[place[known]] == hashes[known]
-        rows = np.full(len(hashes), -1, np.int64)
-        rows[known] = self.row[place[known]]
-        if (miss := np.flatnonzero(~known)).size:
-            at = first[miss]
-            base = self.rows
-            order = self._add(joined, cps, starts[at], ends[at])
-            rows[miss[order]] = np.arange(base, self.rows)
-            self.keys, self.row = np.insert(self.keys, place[miss], hashes[miss]), np.insert(self.row, place[miss], rows[miss])
-        rows = rows[inverse]
-        n = self.n[rows]
+        hashes = span_hashes(cps, starts, ends)
+        rows = self._find(hashes)
+        if (miss := np.flatnonzero(rows < 0)).size:
+            new, first, inverse = different(hashes[miss])
+            at, base = miss[first], self.rows
+            order, added = self._add(joined, cps, starts[at], ends[at]), np.empty(len(new), np.int32)
+            added[order] = np.arange(base, self.rows)
+            self._learn(new, added)
+            rows[miss] = added[inverse]
+        at = self.at[rows]
+        n = self.at[rows + 1] - at
         after = np.cumsum(n)
-        ids = self.pool[np.repeat(self.at[rows] - (after - n), n) + np.arange(after[-1])]
+        place = np.repeat(at - (after - n), n)
+        place += np.arange(len(place))
+        ids = self.pool[place]
         total = np.concatenate([[0], after])
         cut_at = total[np.searchsorted(starts, text_at)]
         return ids, np.diff(cut_at)
@@ -287,7 +320,8 @@ def encoder(path: str) -> SpanEncoder:
     """One encoder for each worker process; it lives as long as the worker."""
     from tokenizers import Tokenizer
 
-    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+    # every core has a task of its own, and threads that wait for work take CPU time
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     tok = Tokenizer.from_file(path)
     added = [t.content for t in tok.get_added_tokens_decoder().values()]
     return SpanEncoder(tok, whole=lambda text: any(a in text for a in added) or unsure(text))

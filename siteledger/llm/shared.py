@@ -32,16 +32,17 @@ def annotated(docs: DataFrame, keep: list[str], text_col: str, answer: Callable[
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], *T._parse_datatype_string(new).fields]))
 
 
-def write_shards(df: DataFrame, shard: str, blob: str, path: str) -> None:
-    """One file for each row of df: the bytes in blob and a final newline, in path/shard=N.
+def write_shards(df: DataFrame, shard: str, total: str, blob: str, path: str) -> None:
+    """One file for each row of df: the bytes in blob and a final newline, in path/shard=N/total=M.
 
     Spark's text writer puts bytes out as they are, and its committer keeps only files of
     tasks that succeeded, on any store that Spark can reach.
     """
-    df.select(F.col(shard).alias("shard"), F.col(blob).cast("string").alias("value")).write.partitionBy("shard").text(path)
+    df.select(F.col(shard).alias("shard"), F.col(total).alias("total"), F.col(blob).cast("string").alias("value")).write.partitionBy("shard", "total").text(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """shard, content of the files that write_shards wrote."""
+    """shard, total, content of the files that write_shards wrote; content is only read where it is used."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.regexp_extract("path", r"/shard=(-?\d+)/", 1).cast("long").alias("shard"), "content")
+    number = lambda name: F.regexp_extract("path", rf"/{name}=(-?\d+)/", 1).cast("long").alias(name)
+    return files.select(number("shard"), number("total"), "content")

@@ -7,7 +7,8 @@ the next round. No pair reaches over a document's end, so every document keeps s
 
 File format (little endian): magic, end id, first nonterminal, counts of rules, documents and symbols;
 then rules (left, right), expansion lengths of the rules, doc ids, symbol ends and id ends of the
-documents, and the symbols (without end ids, which the reader puts back). One document is read by expanding its own symbols; a range within it by a
+documents, and the symbols (without end ids, which the reader puts back). A file's folders name its shard and its total of ids, so
+starts come from a listing; the reader holds each total against the file. One document is read by expanding its own symbols; a range within it by a
 binary search over the running expansion lengths.
 
 Null text counts as empty and gives the end id alone. Repeated ids keep their rows, in any order. An
@@ -40,8 +41,8 @@ NO_ID = -(1 << 63)
 LEAST = 16
 #: Buckets of pairs that one round looks at.
 PAIRS = 4096
-#: Places that a round sorts without buckets.
-FEW = 1 << 16
+#: Places that a round sorts without buckets, and of which it sorts those to look at next.
+FEW, SPARSE = 1 << 16, 1 << 12
 #: Ids after which a shard ends; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
 #: Buckets of a round's first count, by which it leaves out rare pairs.
@@ -90,8 +91,10 @@ def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarra
             rate[often] = 1
             rate[top] = np.arange(2, len(top) + 2)
             rate = rate[bucket]
-            live, hit = np.flatnonzero(rate), np.flatnonzero(rate > 1)
-            kind = rate[hit] - 2
+            live = np.flatnonzero(rate > 0)
+            kind = rate[live] - 2
+            known = np.flatnonzero(kind >= 0)
+            hit, kind = live[known], kind[known]
             if at is not None:
                 live, hit = at[live], at[hit]
             whole = len(top) == len(often)
@@ -111,18 +114,20 @@ def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarra
             most *= 16
             continue
         rank = rank[kind]
-        good = rank < int(best.sum())
+        # masks are turned into places, as picking by places takes a third of the time
+        good = np.flatnonzero(rank < int(best.sum()))
         hit, rank = hit[good], rank[good]
         # of places that overlap, the one of the more frequent pair stays; alike pairs go from left to right
         near = hit[1:] == hit[:-1] + 1
         worse = np.zeros(len(hit), bool)
         worse[1:] = near & (rank[1:] > rank[:-1])
         worse[:-1] |= near & (rank[:-1] > rank[1:])
-        hit, rank = hit[~worse], rank[~worse]
+        stays = np.flatnonzero(~worse)
+        hit, rank = hit[stays], rank[stays]
         near = np.zeros(len(hit), bool)
         near[1:] = hit[1:] == hit[:-1] + 1
         run_at = np.maximum.accumulate(np.where(near, 0, np.arange(len(hit))))
-        even = (np.arange(len(hit)) - run_at) % 2 == 0
+        even = np.flatnonzero((np.arange(len(hit)) - run_at) & 1 == 0)
         hit, rank = hit[even], rank[even]
         used = np.flatnonzero(np.bincount(rank, minlength=len(pairs)))
         number = np.zeros(len(pairs), np.uint32)
@@ -132,12 +137,13 @@ def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarra
         symbols[hit] = number[rank]
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
-        symbols = symbols[keep]
+        stays = np.flatnonzero(keep)
+        symbols = symbols[stays]
         new = hit - np.arange(len(hit))
-        if len(live) > FEW:
+        if len(live) > SPARSE:
             look = np.zeros(len(keep), bool)
             look[live] = True
-            look = look[keep]
+            look = look[stays]
             look[new] = look[new - 1] = True  # place -1 is the last one, which starts no pair
             at = np.flatnonzero(look[:-1])
         else:
@@ -254,10 +260,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, first: int, i
 
         def flush() -> pa.RecordBatch:
             nonlocal number
-            blob = write_shard(*(np.concatenate([h[k] for h in held]) for k in range(3)), end_id, first)
+            doc_ids, counts, ids = (np.concatenate([h[k] for h in held]) for k in range(3))
+            blob = write_shard(doc_ids, counts, ids, end_id, first)
             held.clear()
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([blob], pa.binary())], names=["shard", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([len(ids) + len(counts)], pa.int64()), pa.array([blob], pa.binary())], names=["shard", "total", "blob"])
 
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -278,7 +285,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, first: int, i
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    write_shards(ranged.mapInArrow(run, "shard long, blob binary"), "shard", "blob", path)
+    write_shards(ranged.mapInArrow(run, "shard long, total long, blob binary"), "shard", "total", "blob", path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -286,8 +293,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for number, total, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 shard = Shard(blob.as_buffer())
+                if total != (shard.id_ends[-1] if len(shard.id_ends) else 0):
+                    raise ValueError(f"shard {number} doesn't hold the {total} ids that its folder names")
                 for k in range(0, len(shard.doc_ids), 256):
                     stop = min(k + 256, len(shard.doc_ids))
                     ids, n = shard.documents(k, stop)
@@ -305,11 +314,6 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int, first: int, id_col:
     write(docs, path, tokenizer, end_id, first, id_col, text_col)
     back = read(spark, path)
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [int(ends[-1]) if len(ends := Shard(blob.as_buffer()).id_ends) else 0 for blob in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["shard", "total"])
-
     # one row for each shard file
-    starts = F.broadcast(starts_of(read_shards(spark, path).mapInArrow(total, "shard long, total long"), "shard", "total"))
+    starts = F.broadcast(starts_of(read_shards(spark, path).select("shard", "total"), "shard", "total"))
     return back.join(starts, "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids", "shard")

@@ -1,8 +1,11 @@
 """Encoders, packing and token shards against the libraries themselves."""
 
 import functools
+import os
 import random
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -16,6 +19,7 @@ from hypothesis import strategies as st
 
 from siteledger.llm import packing, pretokens, spm, tokenfile
 from siteledger.llm.queries import queries
+from siteledger.llm.shared import read_shards
 
 #: Texts that hold an added token, which the library takes for that token.
 MARKED = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "a<|endoftext|", "word " * 3000 + "x<|endoftext|> y", "<|endoftext|>\u0378 z"]
@@ -277,3 +281,41 @@ def expanded(symbol, rules):
         else:
             open_ += [int(x) for x in reversed(rules[s - 50000])]
     return out
+
+
+def test_known_words_stay_in_place_as_they_grow():
+    """Hashes that share their first bits, and 0, are told apart while the places are dealt anew."""
+    enc = pretokens.SpanEncoder(tokenizers.Tokenizer.from_file(str(BPE)))
+    rng = np.random.default_rng(11)
+    known, first = np.empty(0, np.uint64), len(enc.keys)
+    for k in range(12):
+        near = (np.uint64((1 << 64) - 1) >> np.uint64(k)) - np.arange(40, dtype=np.uint64)
+        more = np.setdiff1d(np.concatenate([near, rng.integers(0, 1 << 63, 4000).astype(np.uint64), [np.uint64(0)]]), known)
+        assert (enc._find(more) == -1).all()
+        enc.rows += len(more)
+        enc._learn(more, np.arange(len(known), enc.rows, dtype=np.int32))
+        known = np.concatenate([known, more])
+        assert enc._find(known).tolist() == list(range(len(known)))
+    assert len(enc.keys) > first and 2 * len(known) <= len(enc.keys)
+
+
+def test_starts_of_shards_open_no_file(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    df, texts = docs(spark)
+    tokenfile.write(df, path, str(BPE), end_id=0, first=65536)
+    totals = read_shards(spark, path).select("shard", "total")
+    shards = {r.shard: tokenfile.Shard(bytes(r.content)) for r in read_shards(spark, path).collect()}
+    assert {r.shard: r.total for r in totals.collect()} == {k: int(s.id_ends[-1]) for k, s in shards.items()}
+    assert "content" not in totals._jdf.queryExecution().executedPlan().toString()
+    # a file that doesn't hold what its folder names is refused
+    folder = next(p for p in (tmp_path / "shards").glob("shard=*/total=*"))
+    folder.rename(folder.with_name(folder.name + "1"))
+    with pytest.raises(Exception, match="that its folder names"):
+        tokenfile.read(spark, path).collect()
+
+
+def test_library_runs_in_one_thread():
+    """A core has a task of its own; threads of the library that wait for work would take CPU time."""
+    code = "import os, sys; from siteledger.llm import pretokens; pretokens.encoder(sys.argv[1]).encode([' '.join(f'w{k}q' for k in range(3000))]); print(len(os.listdir('/proc/self/task')))"
+    few = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")} | {"OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1"}
+    assert subprocess.run([sys.executable, "-c", code, str(BPE)], env=few, capture_output=True, text=True, check=True).stdout.strip() == "1"
