@@ -193,7 +193,7 @@ class SpanEncoder:
         if 2 * self.rows > len(self.keys):
             old = self.row >= 0
             hashes, rows = np.concatenate([self.keys[old], hashes]), np.concatenate([self.row[old], rows])
-            size = 1 << (4 * self.rows - 1).bit_length()
+            size = 1 << (2 * self.rows).bit_length()
             self.keys, self.row = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
         place = self._places(hashes)
         while len(rows):
