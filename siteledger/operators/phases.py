@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteledger.plans.lineage import cut, numbered
+from siteledger.plans.lineage import cut
 
-#: Rows of a block, within which moves are composed in one task.
-BLOCK = 1024
+#: Rows of a block, within which moves are composed in one task, and so many blocks' rows make a key long.
+BLOCK, LONG = 1024, 8
 _SIGNS = string.digits + string.ascii_letters
 
 
@@ -34,53 +34,71 @@ class Automaton:
             out = F.when(symbol == name, self.image(move)).otherwise(out)
         return out
 
-    def after(self, function: Column) -> Column:
-        """The name of the state to which a composed move leads from the start."""
-        sign = F.substring(function, self.states.index(self.start) + 1, 1)
+    def named(self, sign: Column) -> Column:
+        """The name of the state of a sign."""
         out = F.lit(self.start)
         for k, name in enumerate(self.states):
             out = F.when(sign == _SIGNS[k], name).otherwise(out)
         return out
 
 
-def then(first: Column, signs: str) -> Column:
-    """The move first, if there is one, and after it the column move."""
-    return F.when(first.isNull(), F.col("move")).otherwise(F.call_function("translate", first, F.lit(signs), F.col("move")))
+def blocked(rows: DataFrame, order: list[str], signs: str, block: int) -> DataFrame:
+    """rows (_key, _move, _n, columns of order and others) as _key, _block, _items (rows as structs, in order), _move (all of them composed) and _n (added up), written once.
 
-
-def composed(rows: DataFrame, signs: str, block: int = BLOCK) -> DataFrame:
-    """rows (key, position from 1 without gaps, move) with move composed of all moves of the key up to the row.
-
-    Moves are functions from states to states, so their composition is associative: within a block it doubles its reach in
-    each step; the blocks' last moves are composed the same way, as rows of their own, and lead into the blocks after them. So a
-    key of any length is spread over as many tasks as it has blocks.
+    A key of at most LONG times block rows is one block, whose number is null. Longer ones are sorted over all tasks and cut
+    after every block rows of a task, so a key of any length is spread over as many tasks as it has blocks.
+    """
+    long = cut(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > LONG * block).select("_key"), "long-keys")
+    whole = rows.withColumn("_block", F.lit(None).cast("bigint"))
+    if not long.isEmpty():
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        laid = rows.join(long, "_key", "left_semi").repartitionByRange(n, "_key", *order).sortWithinPartitions("_key", *order).withColumn("_block", F.monotonically_increasing_id())
+        # the task's number, and the row's in the task by blocks
+        laid = laid.withColumn("_block", F.shiftleft(F.shiftright("_block", 33), 33) + F.expr(f"(_block & {(1 << 33) - 1}) div {block}"))
+        whole = whole.join(long, "_key", "left_anti").unionByName(laid)
+    item = F.struct(*order, *[c for c in rows.columns if c not in (*order, "_key")])
+    blocks = whole.groupBy("_key", "_block").agg(F.array_sort(F.collect_list(item)).alias("_items"), F.sum("_n").alias("_n"))
+    return cut(blocks.withColumn("_move", F.aggregate("_items", F.lit(signs), lambda move, x: F.call_function("translate", move, F.lit(signs), x["_move"]))), "blocks")
+
+
+def led(blocks: DataFrame, signs: str, block: int) -> DataFrame:
+    """blocks with _carry (the moves of the key's earlier blocks, composed) and _first (their rows).
+
+    Moves are functions from states to states, so their composition is associative: the blocks of a long key are rows that are
+    cut into blocks themselves.
     """
-    most = rows.agg(F.max("position")).first()[0] or 0
-    rows = rows.withColumn("_block", F.expr(f"(position - 1) div {block}"))
-    w = Window.partitionBy("key", "_block").orderBy("position")
-    reach = 1
-    while reach < min(block, most):
-        before = F.lag("move", reach).over(w)
-        rows = rows.withColumn("_before", before).withColumn("move", then(F.col("_before"), signs)).drop("_before")
-        reach *= 2
-    if most <= block:
-        return rows.drop("_block")
-    rows = cut(rows, "moves")
-    ends = rows.where(F.col("position") % block == 0).select("key", F.expr(f"position div {block}").alias("position"), "move")
-    carry = composed(ends, signs, block).select(F.col("key").alias("_key"), F.col("position").alias("_after"), F.col("move").alias("_carry"))
-    met = rows.join(carry, rows["key"].eqNullSafe(carry["_key"]) & (rows["_block"] == carry["_after"]), "left")
-    return met.withColumn("move", then(F.col("_carry"), signs)).drop("_block", "_key", "_after", "_carry")
+    ends = blocks.where("_block is not null").select("_key", F.col("_block").alias("_at"), "_move", "_n")
+    if ends.isEmpty():
+        return blocks.withColumns({"_carry": F.lit(signs), "_first": F.lit(0).cast("bigint")})
+    upper = led(blocked(ends, ["_at"], signs, block), signs, block)
+    size = F.size("_items")
+    moves, width = running(F.col("_carry"), signs), len(signs)
+    rows = F.aggregate("_items", F.array(F.col("_first")), lambda ns, x: F.concat(ns, F.array(F.element_at(ns, -1) + x["_n"])))
+    each = upper.select("_key", F.explode(F.arrays_zip(F.transform("_items", lambda x: x["_at"]).alias("at"), F.regexp_extract_all(moves, F.lit(f".{{{width}}}"), F.lit(0)).alias("carry"), F.slice(rows, 1, size).alias("first"))).alias("_x"))
+    each = cut(each.where("_x.at is not null").select("_key", F.col("_x.at").alias("_block"), F.col("_x.carry").alias("_carry"), F.col("_x.first").alias("_first")), "carries")
+    short = blocks.where("_block is null").withColumns({"_carry": F.lit(signs), "_first": F.lit(0).cast("bigint")})
+    return short.unionByName(blocks.where("_block is not null").join(each.hint("merge"), ["_key", "_block"]))
+
+
+def running(first: Column, signs: str) -> Column:
+    """first, and first after each of the moves of _items in turn, laid end to end."""
+    zero = F.struct(first.alias("at"), F.lit("").alias("all"))
+    step = lambda a, x: F.struct(F.call_function("translate", a["at"], F.lit(signs), x["_move"]).alias("at"), F.concat(a["all"], a["at"]).alias("all"))
+    return F.aggregate("_items", zero, step, lambda a: F.concat(a["all"], a["at"]))
 
 
 def traced(events: DataFrame, key: str, order: list[str], symbol: str, automaton: Automaton, block: int = BLOCK) -> DataFrame:
-    """events with position (in the key, from 1), before and after (states). order must be unique in a key; a null key is one of its own."""
-    rows = numbered(events.withColumn("key", F.struct(key)), ["key"], order).withColumn("_move", automaton.function(F.col(symbol)))
-    rows = cut(rows, "events")
-    done = composed(rows.select("key", "position", F.col("_move").alias("move")), _SIGNS[: len(automaton.states)], block)
-    done = cut(done.select("key", "position", automaton.after(F.col("move")).alias("after")), "states")
-    prior = done.select("key", (F.col("position") + 1).alias("position"), F.col("after").alias("before"))
-    out = rows.drop("_move").join(done, ["key", "position"]).join(prior, ["key", "position"], "left")
-    return out.withColumn("before", F.coalesce("before", F.lit(automaton.start))).drop("key")
+    """events with position (in the key, from 1), before and after (states). order must be unique in a key; a null key is one of its own; columns must have an order (no maps).
+
+    A block carries its events, so nothing is joined but what leads into the blocks of long keys.
+    """
+    signs = _SIGNS[: len(automaton.states)]
+    rows = events.select("*", F.struct(key).alias("_key"), automaton.function(F.col(symbol)).alias("_move"), F.lit(1).cast("bigint").alias("_n"))
+    blocks = led(blocked(rows, order, signs, block), signs, block)
+    states = F.split(running(F.substring("_carry", automaton.states.index(automaton.start) + 1, 1), signs), "")
+    size = F.size("_items")
+    each = blocks.select("_first", F.posexplode(F.arrays_zip(F.col("_items").alias("item"), F.slice(states, 1, size).alias("before"), F.slice(states, 2, size).alias("after"))).alias("_pos", "_x"))
+    return each.select(*[F.col(f"_x.item.{c}").alias(c) for c in events.columns], (F.col("_first") + F.col("_pos") + 1).alias("position"), automaton.named(F.col("_x.before")).alias("before"), automaton.named(F.col("_x.after")).alias("after"))
 
 
 def summary(trace: DataFrame, key: str, value: str, goal: str, bad: str, says: Column) -> DataFrame:

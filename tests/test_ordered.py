@@ -27,6 +27,14 @@ def test_phases_of_a_hot_key(spark, block):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_phases_broadcast_no_events(spark, block):
+    """States of sorted events are small as files and large in memory, so a join with them must not go by a file's size."""
+    frame = spark.range(3000).select((F.col("id") % 2).alias("user"), F.col("id").alias("at"), F.lit("view").alias("kind"), F.col("id").cast("double").alias("value"))
+    plan = phases.traced(frame, "user", ["at"], "kind", SESSION, block)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and ("Join" in plan) == (block == 4)
+
+
 def test_phases_of_no_events(spark):
     frame = spark.createDataFrame([], "user string, at long, kind string, value double")
     traced = phases.traced(frame, "user", ["at"], "kind", SESSION)
