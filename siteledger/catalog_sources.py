@@ -199,18 +199,21 @@ LISTS = ("names", "features", "renameable", "paths", "t_names", "t_features")
 
 
 def reuse_facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Facts of the old and the new side (only sites differ), and templates."""
+    """Facts of the old and the new side (only sites differ), and templates. The other facts are few and written; sites are read where they are used."""
     frames = {n: table(spark, sf, n) for n in ("lineitem", "nation")}
     read = lambda sql: spark.sql(sql, **{n: f for n, f in frames.items() if "{" + n + "}" in sql}).withColumnsRenamed({"col": "column", "end_col": "end_column"})
-    out = None
+    few, sites = None, None
     for fact, sql in SITE_SQL.items():
         rows = read(sql)
         rows = rows.withColumns({c: F.split(c, ",") for c in LISTS if c in rows.columns})
         rows = rows.select("old", F.lit(fact).alias("fact"), *[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in (f.split() for f in reuse.FACT.split(", ")) if c != "fact"])
-        out = rows if out is None else out.unionByName(rows)
-    out, templates = cut(out, "reuse-facts"), read(TEMPLATE_SQL)
+        if fact == "site":
+            sites = rows
+        else:
+            few = rows if few is None else few.unionByName(rows)
+    few, templates = cut(few, "reuse-facts").drop("old"), read(TEMPLATE_SQL)
     templates = templates.withColumns({c: F.split(c, ",") for c in LISTS if c in templates.columns})
-    return out.where("old").drop("old"), out.where("fact != 'site' or not old").drop("old"), cut(templates, "templates")
+    return sites.where("old").drop("old").unionByName(few), sites.where("not old").drop("old").unionByName(few), cut(templates, "templates")
 
 
 REUSE = "with " + ",\n".join(f"g_{n} as ({x.format(lineitem='lineitem', nation='nation')})" for n, x in SITE_SQL.items()) + f""",

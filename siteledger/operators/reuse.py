@@ -13,7 +13,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteledger.operators import similarity
@@ -156,10 +156,6 @@ def canonical_problems(rules: DataFrame, facts: DataFrame) -> DataFrame:
     return asked.join(own, ["canonical_path", "canonical_symbol"], "left").select("rule_id", problem.alias("problem"))
 
 
-def in_scope(path: Column, paths: Column) -> Column:
-    return F.exists(paths, lambda p: (p == ".") | (path == p) | path.startswith(F.concat(p, F.lit("/"))))
-
-
 def renamed(names: Column, wanted: Column, renameable: Column) -> Column:
     """Whether the identifiers are the wanted ones in order, where renameable ones stand for others one to one."""
     pairs = F.zip_with(wanted, names, lambda t, s: F.struct(t.alias("t"), s.alias("s")))
@@ -171,39 +167,98 @@ def renamed(names: Column, wanted: Column, renameable: Column) -> Column:
 SITE = ["path", "line", "column", "construct", "code"]
 
 
-def judged(facts: DataFrame, templates: DataFrame) -> DataFrame:
-    """SITE columns, rule_id, basis and template_id for each site and rule in whose scope it lies, where one of these holds.
+#: Rows up to which a table goes to all tasks. A size in bytes is no measure, as written tables are compressed.
+FEW = 20_000
+#: Sites of a file with one shape up to which they are numbered in one task.
+LONG = 1_000_000
+BASES = ("verified_reuse", "equivalent_template", "review_template", "feature_overlap")
+
+
+def beside(df: DataFrame) -> DataFrame:
+    """df, written, as the right side of a join: sent to all tasks if it has few rows, else never."""
+    df = cut(df, "beside")
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df.hint("merge")
+
+
+def catalogue(templates: DataFrame) -> DataFrame:
+    """templates with numbers: _rule, and _template from 1 by rule, ordinal and id, and with scopes: a file is in one if its path and a slash start with it."""
+    every = lambda *c: F.row_number().over(Window.orderBy(*c)).cast("bigint")  # noqa: E731  one row for each template
+    rules = templates.select("rule_id").distinct().withColumn("_rule", every("rule_id"))
+    scopes = F.transform("paths", lambda p: F.when(p == ".", "").otherwise(F.concat(p, F.lit("/"))))
+    return cut(templates.join(rules, "rule_id").withColumns({"_template": every("rule_id", "ordinal", "template_id"), "scopes": scopes}), "catalogue")
+
+
+def hit(rank: int | Column, template: int | Column = 0) -> Column:
+    """A rule, a base's place in BASES and a template (or 0) as one number; of a site's hits on a rule the least counts."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.shiftleft("_rule", 32) + F.shiftleft(lit(rank).cast("bigint"), 30) + lit(template)
+
+
+def rule_of(code: Column) -> Column:
+    return F.shiftright(code, 32)
+
+
+def rank_of(code: Column) -> Column:
+    return F.shiftright(code, 30).bitwiseAND(F.lit(3).cast("bigint"))
+
+
+def template_of(code: Column) -> Column:
+    return code.bitwiseAND(F.lit((1 << 30) - 1).cast("bigint"))
+
+
+def matched(facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Columns of the site facts and _hits: for each rule in whose scope the site lies its hit(), if there is one.
 
     Bases, the first of which counts: verified_reuse (the site evaluates the rule's own specification, imported by name from
     its module and bound nowhere else in the file), equivalent_template, review_template (the first template by its place), and
-    feature_overlap. Sites inside the rule's canonical declaration don't count.
+    feature_overlap. Sites inside the rule's canonical declaration don't count. rules is the catalogue(), which is small, so sites
+    meet it where they are read; they are neither written nor dealt anew unless there are many sets of features or imports.
     """
-    sites = facts.where("fact = 'site'").select(*SITE, "end_line", "end_column", "shape", "names", "features", "evaluates")
-    sites = cut(sites.withColumn("site", F.xxhash64("path", "line", "column", "construct", "end_line", "end_column")), "reuse-sites")
-    rules = templates.select("rule_id", "paths", "canonical_path", "canonical_symbol").distinct()
-    shapes = templates.select("rule_id", "template_id", "ordinal", "review_only", "renameable", "paths", F.col("t_shape").alias("shape"), "t_names")
-    same = sites.join(shapes, "shape").where(in_scope(F.col("path"), F.col("paths")) & renamed(F.col("names"), F.col("t_names"), F.col("renameable")))
-    exact = same.select("site", "rule_id", F.when(F.col("review_only"), 2).otherwise(1).alias("rank"), "ordinal", "template_id")
+    sites = facts.where("fact = 'site'").withColumns({"_set": F.xxhash64("features"), "_file": F.concat("path", F.lit("/"))})
+    shapes = rules.select(F.col("t_shape").alias("shape"), F.struct(hit(F.when(F.col("review_only"), 2).otherwise(1), F.col("_template")).alias("hit"), "scopes", "t_names", "renameable").alias("t"))
+    shapes = shapes.groupBy("shape").agg(F.collect_list("t").alias("_same"))
     # one row for each distinct set of features of each side
-    sets = sites.select(F.xxhash64("features").alias("set"), "features").dropDuplicates(["set"])
-    wanted = templates.where("not review_only").select(F.concat_ws("|", "rule_id", "template_id").alias("template"), F.col("t_features").alias("features"))
-    near = similarity.near_templates(sets, wanted, "set", "template", "features").join(templates.where("not review_only").select(F.concat_ws("|", "rule_id", "template_id").alias("template"), "rule_id", "paths"), "template")
-    near = sites.select("site", "path", F.xxhash64("features").alias("set")).join(near, "set").where(in_scope(F.col("path"), F.col("paths")))
-    near = near.select("site", "rule_id", F.lit(3).alias("rank"), F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("template_id"))
+    sets = sites.groupBy(F.col("_set").alias("set")).agg(F.any_value("features").alias("features"))
+    wanted = rules.where("not review_only").select(F.col("_template").alias("template"), F.col("t_features").alias("features"))
+    near = similarity.near_templates(cut(sets, "sets"), wanted, "set", "template", "features").join(F.broadcast(rules), F.col("template") == F.col("_template"))
+    near = near.select("set", F.explode("scopes").alias("scope"), hit(3).alias("hit")).groupBy(F.col("set").alias("_set")).agg(F.collect_set(F.struct("scope", "hit")).alias("_near"))
+    canonical = rules.where("canonical_path is not null").select("_rule", "scopes", "canonical_path", "canonical_symbol").distinct()
     bound = facts.where("fact = 'bound'").select("path", F.col("name").alias("evaluates")).distinct()
-    stem = F.regexp_extract("canonical_path", r"([^/]*?)(?:\.py)?$", 1)
     imports = facts.where("fact = 'import'").select("path", "module", F.col("code").alias("canonical_symbol"), F.col("name").alias("evaluates"))
-    known = imports.join(rules.where("canonical_path is not null").withColumn("module", stem), ["module", "canonical_symbol"]).join(bound, ["path", "evaluates"], "left_anti")
-    reused = sites.where("evaluates is not null").join(known, ["path", "evaluates"]).where(in_scope(F.col("path"), F.col("paths")))
-    reused = reused.select("site", "rule_id", F.lit(0).alias("rank"), F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("template_id"))
-    best = exact.unionByName(near).unionByName(reused).groupBy("site", "rule_id").agg(F.min(F.struct("rank", "ordinal", "template_id")).alias("b"))
-    spans = facts.where("fact = 'declaration'").select(F.col("path").alias("canonical_path"), F.col("name").alias("canonical_symbol"), F.col("line").alias("d_line"), F.col("column").alias("d_column"), F.col("end_line").alias("d_end_line"), F.col("end_column").alias("d_end_column"))
-    spans = rules.join(spans, ["canonical_path", "canonical_symbol"]).select("rule_id", F.col("canonical_path").alias("path"), "d_line", "d_column", "d_end_line", "d_end_column")
-    out = best.join(sites, "site").join(spans, ["rule_id", "path"], "left")
-    start, stop = F.struct("line", "column"), F.struct("end_line", "end_column")
-    inside = (start >= F.struct(F.col("d_line").alias("line"), F.col("d_column").alias("column"))) & (stop <= F.struct(F.col("d_end_line").alias("end_line"), F.col("d_end_column").alias("end_column")))
-    basis = F.element_at(F.array(*map(F.lit, ("verified_reuse", "equivalent_template", "review_template", "feature_overlap"))), F.col("b.rank") + 1)
-    return out.where(~F.coalesce(inside, F.lit(False))).select(*SITE, "rule_id", basis.alias("basis"), F.col("b.template_id").alias("template_id"), "shape", "names").distinct()
+    stem = F.regexp_extract("canonical_path", r"([^/]*?)(?:\.py)?$", 1)
+    known = imports.join(F.broadcast(canonical.withColumn("module", stem)), ["module", "canonical_symbol"]).join(bound, ["path", "evaluates"], "left_anti")
+    known = known.select("path", "evaluates", F.explode("scopes").alias("scope"), hit(0).alias("hit")).groupBy("path", "evaluates").agg(F.collect_set(F.struct("scope", "hit")).alias("_known"))
+    own = facts.where("fact = 'declaration'").select(F.col("path").alias("canonical_path"), F.col("name").alias("canonical_symbol"), F.struct("line", "column").alias("start"), F.struct("end_line", "end_column").alias("stop"))
+    own = own.join(F.broadcast(canonical), ["canonical_path", "canonical_symbol"]).groupBy(F.col("canonical_path").alias("path")).agg(F.collect_list(F.struct("_rule", "start", "stop")).alias("_own"))
+    met = sites.join(F.broadcast(shapes), "shape", "left").join(beside(near), "_set", "left").join(beside(known), ["path", "evaluates"], "left").join(beside(own), "path", "left")
+    none = F.array().cast("array<bigint>")
+    file = F.col("_file")
+    same = F.filter("_same", lambda t: F.exists(t["scopes"], lambda p: file.startswith(p)) & renamed(F.col("names"), t["t_names"], t["renameable"]))
+    given = [same, *[F.filter(c, lambda t: file.startswith(t["scope"])) for c in ("_near", "_known")]]
+    hits = F.sort_array(F.concat(*[F.coalesce(F.transform(c, lambda t: t["hit"]), none) for c in given]))
+    first = lambda best, x: F.when(rule_of(F.element_at(best, -1)) == rule_of(x), best).otherwise(F.concat(best, F.array(x)))
+    # a leading 0 is of no rule
+    hits = F.slice(F.aggregate(hits, F.array(F.lit(0).cast("bigint")), first), 2, 1 << 30)
+    inside = lambda x: F.exists("_own", lambda d: (d["_rule"] == rule_of(x)) & (F.struct("line", "column") >= d["start"]) & (F.struct("end_line", "end_column") <= d["stop"]))
+    hits = F.when(F.col("_own").isNull(), hits).otherwise(F.filter(hits, lambda x: ~inside(x)))
+    # laid out from an array of one, as a filter would compute it a second time
+    out = met.withColumn("_hits", F.explode(F.array(hits)))
+    return out.where(F.size("_hits") > 0).drop("_same", "_near", "_known", "_own", "_set", "_file")
+
+
+def named(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows with rule_id, basis and template_id of their _hit."""
+    ids = F.broadcast(rules.select("_rule", "rule_id").distinct())
+    templates = F.broadcast(rules.select("_template", "template_id"))
+    rows = rows.withColumns({"_rule": rule_of(F.col("_hit")), "_template": template_of(F.col("_hit"))}).join(ids, "_rule").join(templates, "_template", "left")
+    return rows.withColumn("basis", F.element_at(F.array(*map(F.lit, BASES)), rank_of(F.col("_hit")).cast("int") + 1)).drop("_rule", "_template")
+
+
+def judged(facts: DataFrame, templates: DataFrame) -> DataFrame:
+    """SITE columns, rule_id, basis and template_id, shape and names for each site and rule that matched()."""
+    rules = catalogue(templates)
+    rows = named(matched(facts, rules).withColumn("_hit", F.explode("_hits")), rules)
+    return rows.select(*SITE, "rule_id", "basis", "template_id", "shape", "names").distinct()
 
 
 def findings(facts: DataFrame, templates: DataFrame) -> DataFrame:
@@ -212,6 +267,37 @@ def findings(facts: DataFrame, templates: DataFrame) -> DataFrame:
     return rows.select(*SITE, "rule_id", F.when(F.col("basis") == "equivalent_template", "reimplementation").otherwise("near_match").alias("kind"), "basis", "template_id")
 
 
+def long_cells(sites: DataFrame) -> DataFrame:
+    """path and shape that more than LONG sites share."""
+    return cut(sites.groupBy("path", "shape").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LONG).select("path", "shape"), "long-cells")
+
+
+def introduced(sites: DataFrame, long: DataFrame) -> DataFrame:
+    """SITE columns, old, _hit and introduced for each hit of sites (SITE, shape, names, _hits, old), equal ones once.
+
+    Hits of one group (file, rule, base, and template or else expression) have one shape, so sites are dealt by file and shape, and their hits
+    are laid out only after that. Hits of the long_cells() are numbered over all tasks.
+    """
+    cell, group, order = ["path", "shape"], ["path", "shape", "_hit", "_key"], ["line", "column", "construct"]
+    sites = sites.select("old", *SITE, "shape", F.concat_ws(",", "names").alias("_names"), "_hits")
+    key = F.when(rank_of(F.col("_hit")) == 3, F.col("_names")).otherwise("")
+    each = lambda df: df.withColumn("_hit", F.explode("_hits")).withColumn("_key", key).drop("_hits", "_names")
+    several = not long.isEmpty()
+    # old ones come first
+    w = Window.partitionBy(*group).orderBy(F.col("old").desc(), *order)
+    rows = each((sites.join(long, cell, "left_anti") if several else sites).repartition(*cell))
+    rows = rows.withColumn("_prior", F.lag(F.struct("old", *order)).over(w)).where(~F.col("_prior").eqNullSafe(F.struct("old", *order)))
+    n = F.count_if("old").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("introduced", ~F.col("old") & (F.row_number().over(w) > 2 * n))
+    out = [*SITE, "old", "_hit", "introduced"]
+    if not several:
+        return rows.select(*out)
+    far = cut(each(sites.join(long, cell, "left_semi")).dropDuplicates(["old", *group, *order]), "long-hits")
+    counts = far.where("old").groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    now = numbered(far.where("not old"), group, order, "_k").join(counts, group, "left").withColumn("introduced", F.col("_k") > F.coalesce("_n", F.lit(0)))
+    return rows.select(*out).unionByName(now.select(*out)).unionByName(far.where("old").withColumn("introduced", F.lit(False)).select(*out))
+
+
 def check(before: DataFrame, after: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Findings of the after side with introduced, one row of totals, and files that count as incomplete.
 
@@ -229,20 +315,17 @@ def compared(old: DataFrame, new: DataFrame, paths: DataFrame, templates: DataFr
     prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"))
     scoped = paths.withColumn("prefix", F.explode(F.concat(F.array(F.lit(".")), prefixes))).join(scope, "prefix").select("path").distinct()
     files = cut(scoped.join(bad.withColumn("bad", F.lit(True)), "path", "left"), "reuse-files")
-    whole = files.where("bad is null").select("path")
-    side = lambda facts: cut(judged(facts.join(whole, "path", "left_semi"), templates), "judged")
-    was, now = side(old), side(new)
+    rules, broken = catalogue(templates), beside(bad)
+    side = lambda facts, old: matched(facts.join(broken, "path", "left_anti"), rules).withColumn("old", F.lit(old))
+    rows = introduced(side(old, True).unionByName(side(new, False)), long_cells(old.unionByName(new).where("fact = 'site'")))
     kind = F.when(F.col("basis") == "equivalent_template", "reimplementation").otherwise("near_match")
-    key = F.coalesce("template_id", F.concat_ws(",", F.col("shape"), F.concat_ws(",", "names")))
-    keyed = lambda df: df.where("basis != 'verified_reuse'").select(*SITE, "rule_id", "basis", "template_id", kind.alias("kind"), key.alias("key"))
-    group = ["path", "rule_id", "kind", "key"]
-    counts = keyed(was).groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    found = numbered(keyed(now), group, ["line", "column", "construct"], "occurrence").join(counts, group, "left")
-    found = cut(found.select(*SITE, "rule_id", "kind", "basis", "template_id", (F.col("occurrence") > F.coalesce("n", F.lit(0))).alias("introduced")), "reuse-findings")
-    exact = F.col("kind") == "reimplementation"
-    one = F.lit(1).alias("_one")
-    total = found.agg(F.count_if(exact).alias("after_reimplementations"), F.count_if(exact & F.col("introduced")).alias("new_reimplementations"), F.count_if(~exact & F.col("introduced")).alias("new_near_matches"), one)
-    total = total.join(keyed(was).agg(F.count_if(exact).alias("before_reimplementations"), one), "_one").join(now.agg(F.count_if(F.col("basis") == "verified_reuse").alias("reused_specifications"), one), "_one")
+    found = named(rows.where(~F.col("old") & (rank_of(F.col("_hit")) > 0)), rules).select(*SITE, "rule_id", kind.alias("kind"), "basis", "template_id", "introduced")
+    rank, one = rank_of(F.col("_hit")), F.lit(1).alias("_one")
+    exact, near, now = rank == 1, rank > 1, ~F.col("old")
+    total = rows.agg(
+        F.count_if(exact & now).alias("after_reimplementations"), F.count_if(exact & F.col("introduced")).alias("new_reimplementations"), F.count_if(near & F.col("introduced")).alias("new_near_matches"),
+        F.count_if(exact & F.col("old")).alias("before_reimplementations"), F.count_if((rank == 0) & now).alias("reused_specifications"), one,
+    )
     total = total.join(files.agg(F.count(F.lit(1)).alias("files_checked"), F.count_if(F.col("bad")).alias("incomplete_files"), one), "_one").drop("_one")
     return found, total, files.where("bad").select("path")
 

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siteledger import catalog_sources
 from siteledger.functions import text as T
 from siteledger.functions import vectors as V
 from siteledger.operators import arms, context, history, policy, retrieval, reuse, scoring
@@ -158,6 +159,33 @@ def test_reuse_matches_as_a_walk_over_both_trees(spark):
     assert got == want and len(want) > len(catalogue["rules"])
 
 
+def test_reuse_of_many_sites(spark, monkeypatch, sf):
+    """Sites are neither written nor joined by their numbers; those of one file and shape are numbered the same over all tasks, and equal ones count once."""
+    _, now, templates = catalog_sources.reuse_facts(spark, sf)
+    old = now.where("line % 3 = 0 or fact != 'site'")
+    paths = now.where("fact = 'site'").select("path").distinct()
+    written = []
+    monkeypatch.setattr(reuse, "cut", lambda df, what="cut": written.append(lineage.cut(df, what)) or written[-1])
+    answers = []
+    for most in (1_000_000, 2):
+        monkeypatch.setattr(reuse, "LONG", most, raising=False)
+        for after in (now, now.unionByName(now)):
+            found, total, _ = reuse.compared(old, after, paths, templates)
+            answers.append((sorted(map(tuple, found.collect()), key=repr), total.first()))
+            if most > 2:
+                assert not [df for df in written if "construct" in df.columns]
+    assert all(a == answers[0] for a in answers) and {r[-1] for r in answers[0][0]} == {True, False}
+
+
+def test_reuse_outside_any_of_two_declarations(spark):
+    """A name that is declared twice: sites inside either declaration don't count."""
+    body = "PredicateSpec(lambda p: p.kind == 'adult' and p.age > 17 and p.ok)\n"
+    rule = {"id": "adult", "paths": ["."], "canonical_path": "a.py", "canonical_symbol": "ADULT", "templates": [{"id": "t", "expression": "p.kind == 'adult' and p.age > 17 and p.ok", "renameable_identifiers": ["p"]}]}
+    texts = spark.createDataFrame([("a.py", f"ADULT = {body}ADULT = {body}OTHER = {body}")], "path string, text string")
+    found = reuse.findings(reuse.parsed(texts), reuse.templates_frame(spark, {"rules": [rule]}))
+    assert [r.line for r in found.collect()] == [3]
+
+
 def test_reuse_catalogue_and_requests(spark):
     for bad in ({"rules": [{"id": "x", "paths": []}, {"id": "x", "paths": []}]}, {"rules": [{"id": "x", "paths": ["../a"]}]}):
         with pytest.raises(ValueError):
