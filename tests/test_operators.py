@@ -177,6 +177,17 @@ def test_reuse_of_many_sites(spark, monkeypatch, sf):
     assert all(a == answers[0] for a in answers) and {r[-1] for r in answers[0][0]} == {True, False}
 
 
+def test_reuse_hits_are_not_dealt(spark, sf):
+    """A site travels once, with all its hits; nothing that has a row for each hit is written or dealt."""
+    old, now, templates = catalog_sources.reuse_facts(spark, sf)
+    found = reuse.compared(old, now, now.where("fact = 'site'").select("path").distinct(), templates)[0]
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    # the others are of the catalogue, by rule and by shape
+    dealt = [x for x in lines if "hashpartitioning(path" in x or "_hit" in x and "Exchange" in x]
+    assert len(dealt) == 1 and "REPARTITION_BY_COL" in dealt[0]
+    assert not any("SortMergeJoin" in x or "Exchange rangepartitioning" in x for x in lines)
+
+
 def test_reuse_outside_any_of_two_declarations(spark):
     """A name that is declared twice: sites inside either declaration don't count."""
     body = "PredicateSpec(lambda p: p.kind == 'adult' and p.age > 17 and p.ok)\n"
