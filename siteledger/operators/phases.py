@@ -57,7 +57,7 @@ def blocked(rows: DataFrame, order: list[str], signs: str, block: int) -> DataFr
         laid = laid.withColumn("_block", F.shiftleft(F.shiftright("_block", 33), 33) + F.expr(f"(_block & {(1 << 33) - 1}) div {block}"))
         whole = whole.join(long, "_key", "left_anti").unionByName(laid)
     item = F.struct(*order, *[c for c in rows.columns if c not in (*order, "_key")])
-    blocks = whole.groupBy("_key", "_block").agg(F.array_sort(F.collect_list(item)).alias("_items"), F.sum("_n").alias("_n"))
+    blocks = whole.groupBy("_key", "_block").agg(F.sort_array(F.collect_list(item)).alias("_items"), F.sum("_n").alias("_n"))
     return cut(blocks.withColumn("_move", F.aggregate("_items", F.lit(signs), lambda move, x: F.call_function("translate", move, F.lit(signs), x["_move"]))), "blocks")
 
 
